@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, edit_fingerprint, license, packing, quality, simhash, warc
+from . import bpe, chat, edit_fingerprint, html_text, license, line_dedup, packing, quality, simhash, warc
 from .common import new_dir
 
 
@@ -47,11 +47,19 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(table(spark, sf_dir, "documents"))
 
 
+def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages")).drop("url")
+
+
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.summary(table(spark, sf_dir, "documents"))
+
+
 def op10_edit_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edit_fingerprint.edited_pairs(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_packing, op3_license, op4_quality, op5_warc, op6_chat, op7_simhash, op10_edit_fingerprint)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_packing, op3_license, op4_quality, op5_warc, op6_chat, op7_simhash, op8_html, op9_line_dedup, op10_edit_fingerprint)}
 
 
 def _license_sql() -> str:

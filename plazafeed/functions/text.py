@@ -100,7 +100,7 @@ def ellipsis(c: Column, limit: int, mark: str = "…") -> Column:
 
 def sentences(c: Column) -> Column:
     found = F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(r"[^.!?]+[.!?]?"), 0)
-    return F.filter(F.transform(found, F.trim), lambda s: s != "")
+    return F.filter(F.transform(found, lambda x: F.trim(x)), lambda s: s != "")
 
 
 def lead_summary(c: Column, count: int = 2, limit: int = 180) -> Column:
@@ -180,7 +180,7 @@ def repair_mojibake(c: Column) -> Column:
 
 def parse_list(c: Column, limit: int = 12) -> Column:
     """Items divided by line ends or semicolons, trimmed, without empty ones."""
-    return F.slice(F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), r"[\n;]"), F.trim), lambda x: x != ""), 1, limit)
+    return F.slice(F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), r"[\n;]"), lambda x: F.trim(x)), lambda x: x != ""), 1, limit)
 
 
 def parse_links(c: Column) -> Column:

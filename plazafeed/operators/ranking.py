@@ -97,8 +97,7 @@ def select_batch(cands: DataFrame, history: DataFrame, pending: DataFrame, limit
     pref = F.array_position(F.array(*map(F.lit, rules.PREFERRED_KINDS)), F.col("kind_group"))
     order = ["tier", "phase", F.when(F.col("phase") == 1, pref).otherwise(0), F.desc(score), "id"]
     short = c.orderBy(*order).limit(max(8 * limit, 40)).withColumn("pos", F.row_number().over(Window.orderBy(*order)))
-    schema = short.schema
-    return short.groupBy(F.lit(1)).applyInPandas(lambda pdf: _greedy(pdf, limit), schema)
+    return short.withColumn("_all", F.lit("")).groupBy("_all").applyInPandas(lambda pdf: _greedy(pdf.drop(columns="_all"), limit), short.schema)
 
 
 def _greedy(pdf: pd.DataFrame, limit: int) -> pd.DataFrame:

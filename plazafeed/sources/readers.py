@@ -22,7 +22,7 @@ def raw_item(source: dict[str, str], kind: str, title: Column, summary: Column,
 def read_social_export(spark: SparkSession, path: str, source: dict[str, str]) -> DataFrame:
     """Items of a JSON export; the title is the first filled line of the caption where none is given, else the source's name."""
     df = spark.read.schema(SOCIAL).json(path, multiLine=True)
-    line = F.get(F.filter(F.transform(F.split(F.coalesce("caption", F.lit("")), "\n"), F.trim), lambda x: x != ""), 0)
+    line = F.get(F.filter(F.transform(F.split(F.coalesce("caption", F.lit("")), "\n"), lambda x: F.trim(x)), lambda x: x != ""), 0)
     return df.select(*raw_item(source, "social", text.first_truthy(F.col("title"), line, F.lit(source.get("name", ""))), F.col("caption"), F.col("url"), F.col("published_at")))
 
 

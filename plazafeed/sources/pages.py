@@ -127,7 +127,8 @@ def extract_embedded_json_events(pages: DataFrame, marker: str = "__INITIAL_STAT
     """Event rows from JSON state in a script: title, description, venue, dates, the first image of several places."""
     raw = F.regexp_extract("html", rf"(?s){marker}\s*=\s*(\{{.*?\}})\s*;?\s*</script>", 1)
     v = pages.withColumn("_v", F.try_parse_json(F.nullif(raw, F.lit("")))).where("_v is not null")
-    at = lambda p: F.try_variant_get("_v", f"{root}.{p}", "string")
+    flat = lambda c: F.when(~c.rlike(r"^\s*[\[{]"), c)
+    at = lambda p: flat(F.try_variant_get("_v", f"{root}.{p}", "string"))
     images = ("image", "poster", "cover", "imageUrl", "media.image", "media[0].url", "images[0]", "images[0].url")
     return v.select("url", at("title").alias("title"), text.first_truthy(at("description"), at("summary")).alias("summary"), text.first_truthy(at("venue.title"), at("place.name")).alias("venue_title"),
                     text.first_truthy(at("startDate"), at("date")).alias("date_text"), text.first_truthy(*map(at, images)).alias("image_url")).where("title is not null")

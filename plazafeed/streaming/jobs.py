@@ -68,27 +68,26 @@ def due_reminders(reminders: DataFrame, as_of: datetime | str) -> tuple[DataFram
 
 
 class ReminderTimers(StatefulProcessor):
-    """Emits a reminder when event time reaches its due_at, once; a timer for each pending one."""
+    """Emits a user's reminders when event time reaches their due_at, each once; a timer for each time one is due."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.pending = handle.getMapState("pending", "due_ms long", "id string")
+        self.pending = handle.getMapState("pending", "id string", "due_ms long")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         for pdf in rows:
             for r in pdf.itertuples():
                 ms = int(r.due_at.timestamp() * 1000)
-                if not self.pending.containsKey((ms,)):
-                    self.handle.registerTimer(ms)
-                self.pending.updateValue((ms,), (str(r.id),))
-        yield pd.DataFrame({"user_id": [], "id": []}).astype({"user_id": str, "id": str})
-
-    def handleExpiredTimer(self, key, timers, expired) -> Iterator[pd.DataFrame]:
-        ms = expired.getExpiryTimeInMs()
-        if self.pending.containsKey((ms,)):
-            (rid,) = self.pending.getValue((ms,))
-            self.pending.removeKey((ms,))
-            yield pd.DataFrame({"user_id": [str(key[0])], "id": [rid]})
+                self.pending.updateValue((str(r.id),), (ms,))
+                self.handle.registerTimer(ms)
+        yield pd.DataFrame({"user_id": pd.Series([], dtype=str), "id": pd.Series([], dtype=str)})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = expiredTimerInfo.getExpiryTimeInMs()
+        due = [rid for (rid,), (ms,) in self.pending.iterator() if ms <= now]
+        for rid in due:
+            self.pending.removeKey((rid,))
+        yield pd.DataFrame({"user_id": pd.Series([str(key[0])] * len(due), dtype=str), "id": pd.Series(due, dtype=str)})
 
     def close(self) -> None:
         pass

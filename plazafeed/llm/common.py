@@ -56,8 +56,6 @@ def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     the node; tables are staged between rounds. Nodes without an edge to another node do
     not appear. A hot node is summed before the shuffle, and its join can be split.
     """
-    spark = edges.sparkSession
-
     def star(e: DataFrame, large: bool) -> DataFrame:
         if large:
             e = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -88,4 +86,4 @@ def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
         before = after
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    return spark.read.schema(now.schema).parquet(*{f.rsplit("/", 1)[0] for f in now.inputFiles()}).select(F.col("a").alias("node"), F.col("b").alias("root")) if before[0] else now.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    return now.select(F.col("a").alias("node"), F.col("b").alias("root"))

@@ -25,6 +25,8 @@ from .common import components, n_partitions, stage, text_or_empty
 BITS, SEED, PERIOD = 256, 20240131, 1 << 13
 #: Below so many walks a plain loop beats array steps; characters walked at a time (a longer text goes alone).
 FEW, BLOCK = 24, 6_000_000
+#: Members of a bucket that are compared pair by pair.
+PAIRWISE = 16
 END = 0
 
 
@@ -162,19 +164,29 @@ def near_groups(docs: DataFrame, min_likeness: float = 0.8, bands: int = 32, row
     """``(doc_id, fingerprint, class_id)``: one row per row of ``docs``; class_id the smallest doc_id that links reach.
 
     Banding: ``bands`` keys of ``rows`` sampled bits each (the samples are random, so any
-    bits will do). In a bucket every member is verified against the bucket's smallest and
-    against its neighbour in order, so rows stay linear in the members; a link needs a
-    likeness of ``min_likeness`` between the whole fingerprints. Equal fingerprints form one class first.
-    Banding can miss a pair: at likeness 0.8 (0.9 of the bits equal) one is missed in about 10^-8.
+    bits will do). A link needs a likeness of ``min_likeness`` between the whole
+    fingerprints. Buckets of up to PAIRWISE members are verified pair by pair; in a larger
+    one every member is verified against the smallest, here and among the members that
+    agree on the next band too, so rows stay linear in the members. Equal fingerprints form
+    one class first. Banding can miss a pair: at likeness 0.8, with 0.9 of the bits equal,
+    about one in 10^8 has no common bucket. Empty and null texts are one class.
     """
     fps = stage(fingerprints(docs), "edit-fingerprints")
     classes = stage(fps.groupBy("fingerprint").agg(F.min("doc_id").alias("low")).select(F.xxhash64("fingerprint").alias("node"), "fingerprint", "low"), "edit-classes")
     width = rows // 4
-    keys = classes.select("node", "fingerprint", F.posexplode(F.array(*[F.substring("fingerprint", 1 + k * width, width) for k in range(bands)])).alias("band", "key"))
-    first = keys.groupBy("band", "key").agg(F.min(F.struct("node", "fingerprint")).alias("low"), F.count("*").alias("n")).where("n > 1")
-    equal = lambda x, y: sum((F.bit_count(F.conv(F.substring(x, 1 + 15 * k, 15), 16, 10).cast("long").bitwiseXOR(F.conv(F.substring(y, 1 + 15 * k, 15), 16, 10).cast("long"))) for k in range(5)), F.lit(0))
-    pairs = keys.join(first.select("band", "key", "low"), ["band", "key"]).where(F.col("node") != F.col("low.node"))
-    links = pairs.where(1 - 2 * equal(F.col("fingerprint"), F.col("low.fingerprint")) / BITS >= min_likeness).select(F.col("node").alias("a"), F.col("low.node").alias("b"))
+    part = lambda k: F.substring("fingerprint", 1 + k % bands * width, width)
+    single = [F.concat(F.lit(f"{k}:"), part(k)) for k in range(bands)]
+    double = [F.concat(F.lit(f"{k}+:"), part(k), part(k + 1)) for k in range(bands)]
+    member = F.struct("node", "fingerprint")
+    keys = classes.select(member.alias("m"), F.explode(F.array(*single, *double)).alias("key"))
+    sizes = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("m").alias("low")).where("n > 1")
+    full = stage(keys.join(sizes, "key"), "edit-buckets")
+    some = full.where(~F.col("key").contains("+") & (F.col("n") <= PAIRWISE)).groupBy("key").agg(F.sort_array(F.collect_list("m")).alias("g"))
+    pairs = some.select(F.explode(F.flatten(F.transform("g", lambda x, i: F.transform(F.slice(F.col("g"), i + 2, F.size("g")), lambda y: F.struct(x.alias("x"), y.alias("y")))))).alias("p")).select("p.x", "p.y")
+    stars = full.where(F.col("n") > PAIRWISE).where(F.col("m.node") != F.col("low.node")).select(F.col("m").alias("x"), F.col("low").alias("y"))
+    eight = lambda c, k: F.conv(F.substring(c, 1 + 8 * k, 8), 16, 10).cast("long")
+    apart = sum((F.bit_count(eight("x.fingerprint", k).bitwiseXOR(eight("y.fingerprint", k))) for k in range(BITS // 32)), F.lit(0))
+    links = pairs.union(stars).distinct().where(1 - 2 * apart / BITS >= min_likeness).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
     roots = components(links)
     named = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     lows = named.groupBy("root").agg(F.min("low").alias("class_id"))

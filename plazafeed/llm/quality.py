@@ -96,15 +96,15 @@ def assess(docs: DataFrame, min_docs: int = 10, max_share: float = 0.1, min_word
 
 def keep_good(docs: DataFrame, **limits) -> DataFrame:
     """The rows of ``docs`` that ``assess`` keeps, unchanged."""
-    bad = stage(assess(docs, **limits).where(~F.col("kept")).select(F.col("doc_id").alias("bad_id"), F.col("text_key").alias("bad_key")).distinct(), "quality-rejected")
-    return docs.join(_only_if_small(bad), F.col("doc_id").eqNullSafe(F.col("bad_id")) & (text_key() == F.col("bad_key")), "left_anti")
+    bad = stage(assess(docs, **limits).where(~F.col("kept")).select(F.col("doc_id").alias("__bad_id"), F.col("text_key").alias("__bad_key")).distinct(), "quality-rejected")
+    return docs.join(_only_if_small(bad), F.col("doc_id").eqNullSafe(F.col("__bad_id")) & (text_key() == F.col("__bad_key")), "left_anti")
 
 
 def remove_lines(docs: DataFrame, **limits) -> DataFrame:
     """The kept rows of ``docs`` with the lines above the limits taken out of ``text``."""
-    v = assess(docs, **limits).where("kept").groupBy(F.col("doc_id").alias("v_id"), F.col("text_key").alias("v_key")).agg(F.first("removed_lines").alias("v_gone"))
-    joined = docs.join(v, F.col("doc_id").eqNullSafe(F.col("v_id")) & (text_key() == F.col("v_key")))
+    v = assess(docs, **limits).where("kept").groupBy(F.col("doc_id").alias("__v_id"), F.col("text_key").alias("__v_key")).agg(F.first("removed_lines").alias("__v_gone"))
+    joined = docs.join(v, F.col("doc_id").eqNullSafe(F.col("__v_id")) & (text_key() == F.col("__v_key")))
     parts = F.split(text_or_empty(), "\n", -1)
     number = F.transform(parts, lambda x, i: F.struct(x.alias("x"), F.when(x.rlike(WORDS), F.size(F.filter(F.slice(parts, 1, i), lambda y: y.rlike(WORDS)))).alias("n")))
-    clean = F.array_join(F.transform(F.filter(number, lambda p: p.n.isNull() | ~F.array_contains("v_gone", p.n)), lambda p: p.x), "\n")
-    return joined.withColumn("text", F.when(F.size("v_gone") == 0, F.col("text")).otherwise(clean)).drop("v_id", "v_key", "v_gone")
+    clean = F.array_join(F.transform(F.filter(number, lambda p: p.n.isNull() | ~F.array_contains("__v_gone", p.n)), lambda p: p.x), "\n")
+    return joined.withColumn("text", F.when(F.size("__v_gone") == 0, F.col("text")).otherwise(clean)).drop("__v_id", "__v_key", "__v_gone")

@@ -129,7 +129,8 @@ def route_affinity(routes: DataFrame, places: DataFrame) -> DataFrame:
     Both sides bring ``area_tokens``, ``intent_tokens`` and ``title_tokens``.
     """
     def toks(df: DataFrame, id_col: str) -> DataFrame:
-        parts = [F.transform(F.col(c), lambda t, w=w, c=c: F.struct(t.alias("tok"), F.lit(c).alias("kind"), F.lit(w).alias("weight"))) for c, w in (("area_tokens", 3), ("intent_tokens", 1), ("title_tokens", 5))]
+        as_row = lambda c, w: lambda t: F.struct(t.alias("tok"), F.lit(c).alias("kind"), F.lit(w).alias("weight"))
+        parts = [F.transform(F.col(c), as_row(c, w)) for c, w in (("area_tokens", 3), ("intent_tokens", 1), ("title_tokens", 5))]
         return df.select(id_col, F.explode(F.concat(*parts)).alias("t")).select(id_col, "t.tok", "t.kind", "t.weight").distinct()
 
     j = toks(routes, "route_id").join(toks(places, "place_id").drop("weight"), ["tok", "kind"])

@@ -221,3 +221,11 @@ def draft_states(spark, d):
     last = F.max("at").over(Window.partitionBy("draft_id"))
     clear = log.withColumn("last", last).groupBy("draft_id").agg(F.count_if(F.col("at") == F.col("last")).alias("ties")).where("ties = 1").select("draft_id")
     return fold(log.join(clear, "draft_id", "left_semi"), AS_OF)
+
+
+@query("reminder_texts", "SELECT o_orderkey AS id, 'Напоминание: Order ' || o_orderkey || ' — завтра, ' || strftime(o_orderdate + INTERVAL 3 HOUR, '%d.%m %H:%M') AS text FROM orders WHERE o_orderdate >= TIMESTAMP '2015-01-01' OR o_orderdate < TIMESTAMP '1981-01-01' OR o_orderdate BETWEEN TIMESTAMP '1992-12-01' AND TIMESTAMP '1993-02-01'")
+def reminder_texts(spark, d):
+    from ..functions.copy import reminder_text
+
+    o = dated(spark, d).where("event_date >= timestamp'2015-01-01' or event_date < timestamp'1981-01-01' or event_date between timestamp'1992-12-01' and timestamp'1993-02-01'")
+    return o.select("id", reminder_text(F.col("title"), F.lit("24h"), F.col("event_date"), "Europe/Moscow").alias("text"))

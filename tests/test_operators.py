@@ -216,3 +216,35 @@ def test_plans(spark):
     assert [r["item"] for r in R.personalize(plan, prefs).orderBy("rn").collect()] == ["i3", "i0"]
     r = spark.createDataFrame([([*"abcdefgh"],), (["a", "кафе", "c", "вид", "e", "f", "g", "h"],)], "stops array<string>")
     assert [x.stops for x in R.sample_stops(r).collect()] == [["a", "h"], ["a", "кафе", "вид", "h"]]
+
+
+def test_copy(spark):
+    from plazafeed.functions import copy
+
+    at = F.lit("2026-03-12 16:00:00").cast("timestamp")
+    got = one(spark, copy.post_text(F.lit("Название"), F.lit(""), F.lit("Зал"), at, F.lit(True), F.lit("concert"), F.lit("https://u"), TZ))
+    assert got == "Название\n\nЖивая музыка\n\n12.03.2026 19:00, Зал\n\nhttps://u"
+    assert one(spark, copy.reminder_text(F.lit("Название"), F.lit("1h"), at, TZ)) == "Напоминание: Название — через час, 12.03 19:00"
+    p = spark.createDataFrame([((" длинный ", "", ["a", " ", "b" * 50]),)], "p struct<title:string,note:string,tags:array<string>>")
+    r = p.select(copy.sanitize_patch(F.col("p"), {"title": 5, "note": 10}, {"tags": 3}).alias("p")).first().p
+    assert (r.title, r.note, r.tags) == ("длинн", None, ["a", "bbb"])
+
+
+def test_affinity_and_misc_joins(spark):
+    toks = "area_tokens array<string>, intent_tokens array<string>, title_tokens array<string>"
+    routes = spark.createDataFrame([("r", ["центр"], ["кофе"], ["кремль"])], "route_id string, " + toks)
+    places = spark.createDataFrame([("p", ["центр"], [], ["кремль"]), ("q", [], ["кофе"], [])], "place_id string, " + toks)
+    aff = J.route_affinity(routes, places)
+    assert sorted((r.place_id, r.score) for r in aff.collect()) == [("p", 8), ("q", 1)]
+    near = spark.createDataFrame([("r", "z", 10.0)], "route_id string, place_id string, distance_m double")
+    assert [r.place_id for r in J.top_up_route(near, aff).orderBy("rn").collect()] == ["z", "p", "q"]
+    ap = spark.createDataFrame([("s", "i", "a", True), ("s", "i", "b", True), ("s", "i", "c", False), ("s", "i", "d", True)], "section_id string, item_id string, file string, approved boolean")
+    files = ap.where("file in ('a', 'd')").drop("approved")
+    assert {r.file: r.result for r in J.approval_status(ap, files, files.where("file = 'd'")).collect()} == {"a": "ready", "b": "error", "c": "skipped", "d": "applied"}
+    items = spark.createDataFrame([("s1", "", ["events", "sport"], "", None, "concert"), ("s2", "", ["events"], "", None, "concert")], "source_id string, section string, categories array<string>, url string, source_name string, kind string")
+    src = spark.createDataFrame([("s1", "One", "x")], "id string, name string, section string")
+    assert sorted((r.source_name, r.section) for r in J.with_source_section(items, src).collect()) == [("One", "sport"), ("s2", "concert")]
+    drafts = spark.createDataFrame([("d", "1", "", "", "")], "id string, item_id string, title string, text string, photo_url string")
+    it = spark.createDataFrame([("1", "T", "S", "https://i", "u", T(2026, 1, 1))], "id string, title string, summary string, image_url string, url string, event_date timestamp")
+    r = J.hydrate_drafts(drafts, it).first()
+    assert (r.title, r.text, r.photo_url) == ("T", "T\n\nS", "https://i")

@@ -100,3 +100,12 @@ def test_sinks(spark, tmp_path):
     assert sinks.write_snapshot(prev, nxt, "incremental_merge", str(tmp_path / "snap"), "UTC", "2026-03-10") == {"rows": 2, "new": 1, "retained": 1}
     assert sinks.write_snapshot(prev, nxt.limit(0), "replace", str(tmp_path / "snap"), "UTC", "2026-03-10")["rows"] == -1
     assert spark.read.parquet(str(tmp_path / "snap")).where(F.col("url") == "u1").count() == 1
+
+
+def test_page_events_in_sql(spark):
+    from plazafeed.sources import udtf
+
+    udtf.register(spark)
+    ld = '<script type="application/ld+json">{"@graph": [{"@type": "MusicEvent", "name": "A", "location": {"name": "V"}}, {"@type": "Person"}]}</script><script type="application/ld+json">broken</script>'
+    page(spark, ld).createOrReplaceTempView("landed")
+    assert [(r.title, r.venue) for r in spark.sql("SELECT e.* FROM landed, LATERAL page_events(html, url) e").collect()] == [("A", "V")]

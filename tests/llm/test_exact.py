@@ -250,10 +250,10 @@ def test_lines(spark, docs, rows, slice_, monkeypatch):
 def test_lines_near_and_crowded(spark, monkeypatch):
     monkeypatch.setattr(line_dedup, "SLICE", 5)
     r = random.Random(7)
-    words = [f"w{k}" for k in range(30)]
+    words = [f"w{k}" for k in range(14)]
     texts = []
-    for i in range(60):
-        base = words[: r.randint(4, 14)] if i % 2 else r.sample(words, r.randint(1, 14))
+    for i in range(150):
+        base = words[: r.randint(4, 14)] if i % 2 else r.sample(words, r.randint(1, 12))
         texts.append((i, "\n".join(" ".join(w if r.random() > 0.1 else r.choice(words) for w in base) for _ in range(3))))
     df = spark.createDataFrame(texts, "doc_id long, text string")
     assert {x.doc_id: list(x.gone) for x in line_dedup.repeated_lines(df).collect()} == brute_lines(texts)

@@ -121,7 +121,16 @@ def near_dup_docs(spark, d):
     return roots.select(F.col("node").alias("doc_id"), F.col("root").alias("group_id"))
 
 
-@query("strip_html")
+def _strip_sql() -> str:
+    c = "html"
+    for pattern in (r"(?is)<script\b.*?</script>", r"(?is)<style\b.*?</style>", r"(?s)<!--.*?-->", r"(?s)<[^>]+>"):
+        c = f"regexp_replace({c}, '{pattern}', ' ', 'g')"
+    for name, char in text.ENTITIES:
+        c = f"replace({c}, '{name}', '{char.replace(chr(39), chr(39) * 2)}')"
+    return f"SELECT page_id, trim(regexp_replace({c}, '[\\s\\x{{A0}}]+', ' ', 'g'), ' ') AS text FROM pages"
+
+
+@query("strip_html", _strip_sql())
 def strip_html(spark, d):
     return table(spark, d, "pages").select("page_id", text.strip_html(F.col("html")).alias("text"))
 

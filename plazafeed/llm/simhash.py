@@ -3,13 +3,15 @@
 For radius r each bit gets a nonzero vector of GF(2)^(r+1). A mask exists for every nonzero
 vector v: the bits whose vectors are not orthogonal to v. Any r bits span at most r of the
 r+1 dimensions, so some v is orthogonal to all of them and its mask ignores them: every pair
-within the radius agrees under at least one of the 2^(r+1) - 1 masks.
+within the radius agrees under at least one of the 2^(r+1) - 1 masks. For a wide radius the
+bits are split into parts: of a pair within r bits some part has at most r/parts changes
+(pigeonhole), so covering every part at that smaller radius covers the whole.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, stage, text_or_empty
+from .quality import _only_if_small
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = {c: c + 32 for c in range(65, 91)}
@@ -27,22 +30,36 @@ BLOCK = 1 << 15
 PAIRWISE = 16
 
 
-def fingerprint(text: str, shingle: int = 3) -> int:
-    """64 bits: 1 where more than half the hashes of the word shingles have a 1; no words: 0."""
-    words = [w.encode("utf-8", "replace") for w in WORD.findall(text.translate(LOWER) if not text.isascii() else text.lower())]
+def words_of(text: str) -> list[bytes]:
+    return [w.encode("utf-8", "replace") for w in WORD.findall(text.translate(LOWER) if not text.isascii() else text.lower())]
+
+
+def shingle_hashes(words: list[bytes], shingle: int) -> Iterator[np.ndarray]:
+    """The hashes of the word shingles in order, BLOCK at a time; fewer words than a shingle has are one."""
     if not words:
-        return 0
+        return
     line, ends = b" ".join(words), np.cumsum([len(w) + 1 for w in words]) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     n = max(1, len(words) - shingle + 1)
     firsts, lasts = starts[:n].tolist(), ends[min(shingle, len(words)) - 1 :].tolist()
-    ones, digest = np.zeros(64, np.int64), xxhash.xxh64_intdigest
+    digest = xxhash.xxh64_intdigest
     for at in range(0, n, BLOCK):
-        h = np.array([digest(line[a:b], 42) for a, b in zip(firsts[at : at + BLOCK], lasts[at : at + BLOCK])], ">u8")
+        yield np.array([digest(line[a:b], 42) for a, b in zip(firsts[at : at + BLOCK], lasts[at : at + BLOCK])], ">u8")
+
+
+def majority(blocks: Iterable[np.ndarray]) -> int:
+    ones, n = np.zeros(64, np.int64), 0
+    for h in blocks:
         ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+        n += len(h)
     return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big", signed=True)
 
 
+def fingerprint(text: str, shingle: int = 3) -> int:
+    """64 bits: 1 where more than half the hashes of the word shingles have a 1; no words: 0."""
+    return majority(shingle_hashes(words_of(text), shingle))
+
+
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """``(doc_id, fp)`` for every row; fp is the fingerprint as a signed long. A null text has no words."""
 
@@ -123,3 +140,147 @@ def keep_one(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataFrame:
     """
     kept = near_groups(docs, shingle, radius).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__kept_id")).distinct()
     return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__kept_id")), "left_semi")
+
+
+def part_masks(radius: int, parts: int) -> np.ndarray:
+    """Masks that cover ``radius`` in 64 bits, part by part; ``parts=1`` gives ``covering_masks``."""
+    cuts = [64 * k // parts for k in range(parts + 1)]
+    return np.array([(m & (1 << 64) - 1) << lo for lo, hi in zip(cuts, cuts[1:]) for m in covering_masks(radius // parts, hi - lo)], np.uint64)
+
+
+def _bucket_of(t: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """One long for a table and a masked fingerprint; two buckets that collide only add comparisons."""
+    x = (key + t * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+    return (x ^ (x >> np.uint64(32))).view(np.int64)
+
+
+def wide_pairs(classes: DataFrame, radius: int, parts: int, least: float = 0.0) -> DataFrame:
+    """All pairs ``(a, b)`` of ``classes(node, fp, n, root)`` within ``radius`` bits whose roots differ.
+
+    Each fingerprint goes to one bucket a mask; buckets are compared pair by pair and a pair
+    comes from the first mask under which it agrees. Pairs whose sizes ``n`` have a ratio
+    below ``least`` go. Comparisons grow with the square of a bucket, rows out do not.
+    """
+    masks = part_masks(radius, parts)
+    tables = np.arange(len(masks), dtype=np.uint64)
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fp = b.column(1).to_numpy().view(np.uint64)
+            for t, m in zip(tables, masks):
+                yield pa.RecordBatch.from_arrays([pa.array(_bucket_of(t, fp & m)), *b.columns], names=["h", "node", "fp", "n", "root"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for b in batches:
+            now = [c.to_numpy() for c in b.columns]
+            cols = now if held is None else [np.concatenate(p) for p in zip(held, now)]
+            edges = np.concatenate(([0], np.flatnonzero(np.diff(cols[0])) + 1))
+            held = [c[edges[-1] :] for c in cols]
+            yield from found(cols, edges)
+        if held is not None:
+            yield from found(held, np.array([0, len(held[0])]))
+
+    def found(cols: list[np.ndarray], edges: np.ndarray) -> Iterator[pa.RecordBatch]:
+        h, node, fp, n, root = cols
+        fp = fp.view(np.uint64)
+        for k in np.flatnonzero(np.diff(edges) > 1).tolist():
+            hi = int(edges[k + 1])
+            for lo in range(int(edges[k]), hi, 512):
+                end = min(lo + 512, hi)
+                i, j = np.nonzero(np.bitwise_count(fp[lo:end, None] ^ fp[None, lo:hi]) <= radius)
+                i, j = i[i < j] + lo, j[i < j] + lo
+                ok = (root[i] != root[j]) & (np.minimum(n[i], n[j]) >= least * np.maximum(n[i], n[j]) - 1e-9)
+                for at in range(0, len(i), BLOCK):
+                    x, y = i[at : at + BLOCK][ok[at : at + BLOCK]], j[at : at + BLOCK][ok[at : at + BLOCK]]
+                    if len(x):
+                        first = ((fp[x] ^ fp[y])[:, None] & masks[None, :] == 0).argmax(1)
+                        here = _bucket_of(tables[first], fp[x] & masks[first]) == h[x]
+                        x, y = node[x[here]], node[y[here]]
+                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
+
+    rows = "node long, fp long, n long, root long"
+    dealt = classes.select("node", "fp", "n", "root").mapInArrow(spread, f"h long, {rows}").repartition("h").sortWithinPartitions("h")
+    return dealt.mapInArrow(compare, "a long, b long").distinct()
+
+
+#: Smallest hashes that lead near copies to one another before buckets are compared.
+LEADS = 4
+
+
+def sketches(docs: DataFrame, shingle: int) -> DataFrame:
+    """``(doc_id, key, node, fp, n, leads)`` for every row: node names the sequence of words, key the text, n counts distinct shingles."""
+    salts = np.random.Generator(np.random.PCG64(7)).integers(0, 1 << 63, LEADS, np.uint64) * np.uint64(2) + np.uint64(1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            node, fp, n, leads = [], [], [], []
+            for t in b.column(2).to_pylist():
+                words = words_of(t)
+                blocks = list(shingle_hashes(words, shingle))
+                h = np.unique(np.concatenate(blocks).astype(np.uint64)) if blocks else np.zeros(0, np.uint64)
+                node.append(_word_key(words))
+                fp.append(majority(blocks))
+                n.append(len(h))
+                leads.append([int((h * s).min().view(np.int64)) for s in salts] if len(h) else [])
+            cols = [b.column(0), b.column(1), pa.array(node, pa.int64()), pa.array(fp, pa.int64()), pa.array(n, pa.int64()), pa.array(leads, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "key", "node", "fp", "n", "leads"])
+
+    src = docs.select(F.col("doc_id").cast("long"), F.xxhash64(text_or_empty()).alias("key"), text_or_empty().alias("text"))
+    return src.mapInArrow(run, "doc_id long, key long, node long, fp long, n long, leads array<long>")
+
+
+def _word_key(words: list[bytes]) -> int:
+    return int.from_bytes(xxhash.xxh64_digest(b" ".join(words), 1), "big", signed=True)
+
+
+def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The ``pairs`` of nodes whose sets of shingles have a Jaccard similarity of ``similarity`` at least, from the texts."""
+    used = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+    keys = stage(classes.select("node", "key").join(used, "node", "left_semi").select("key"), "simhash-used")
+    texts = docs.select(F.xxhash64(text_or_empty()).alias("key"), text_or_empty().alias("text")).join(_only_if_small(keys), "key", "left_semi")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            words = [words_of(t) for t in b.column(0).to_pylist()]
+            sets = [np.unique(np.concatenate([*shingle_hashes(w, shingle), np.zeros(0, ">u8")]).astype(np.uint64)).view(np.int64) for w in words]
+            yield pa.RecordBatch.from_arrays([pa.array([_word_key(w) for w in words], pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["node", "s"])
+
+    sets = stage(texts.groupBy("key").agg(F.first("text").alias("text")).select("text").mapInArrow(run, "node long, s array<long>"), "simhash-sets")
+    j = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("y")), "b")
+    both = F.size(F.array_intersect("x", "y"))
+    return j.where((1 + similarity) * both >= similarity * (F.size("x") + F.size("y")) - 1e-9).select("a", "b")
+
+
+def similar_links(docs: DataFrame, shingle: int, radius: int, parts: int, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """``classes(node, low, ...)`` of equal word sequences, and links between those that are similar.
+
+    Classes with an equal smallest hash are first verified against the smallest class of
+    that hash: a crowd of near copies is joined by as many links as it has members. All
+    pairs of classes within the radius that this has not joined are then verified.
+    """
+    rows = stage(sketches(docs, shingle), "simhash-sketches")
+    classes = stage(rows.groupBy("node").agg(F.min("doc_id").alias("low"), F.min("key").alias("key"), F.min("fp").alias("fp"), F.min("n").alias("n"), F.min("leads").alias("leads")), "simhash-classes")
+    leads = classes.select("node", "fp", "n", F.posexplode("leads").alias("k", "lead"))
+    least = leads.groupBy("k", "lead").agg(F.min(F.struct("node", "fp", "n")).alias("o"), F.count("*").alias("m")).where("m > 1")
+    close = (F.bit_count(F.col("fp").bitwiseXOR(F.col("o.fp"))) <= radius) & (F.least("n", "o.n") >= similarity * F.greatest("n", "o.n") - 1e-9)
+    stars = leads.join(least, ["k", "lead"]).where((F.col("node") != F.col("o.node")) & close).select(F.col("o.node").alias("a"), F.col("node").alias("b")).distinct()
+    links = stage(_verified(stage(stars, "simhash-stars"), classes, docs, shingle, similarity), "simhash-links")
+    named = classes.join(components(links), "node", "left").select("node", "fp", "n", F.coalesce("root", "node").alias("root"))
+    pairs = stage(wide_pairs(named.where("n > 0"), radius, parts, similarity), "simhash-pairs")
+    return classes, links.union(_verified(pairs, classes, docs, shingle, similarity))
+
+
+def keep_one_similar(docs: DataFrame, shingle: int = 5, radius: int = 14, parts: int = 3, similarity: float = 0.8) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is the smallest of their group: one document of each stays.
+
+    Groups connect texts with equal words, and texts at most ``radius`` bits apart whose
+    sets of word shingles have a Jaccard similarity of ``similarity`` or more. No pair
+    within the radius is lost; a pair beyond it is. Texts without words are one group. A
+    row without doc_id stays only if its whole group has none.
+    """
+    classes, links = similar_links(docs, shingle, radius, parts, similarity)
+    named = classes.join(components(links), "node", "left")
+    kept = named.groupBy(F.coalesce("root", "node")).agg(F.min("low").alias("__kept_id")).select("__kept_id").distinct()
+    return docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("__kept_id")), "left_semi")

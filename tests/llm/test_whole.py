@@ -1,0 +1,65 @@
+"""The whole job where an earlier version did part of it: near copies, walks, lines, tags and rows."""
+
+import itertools
+import random
+
+import pytest
+
+import corpus_pipeline
+from plazafeed.llm import simhash
+
+
+def shingles(t, k=5):
+    w = t.lower().split()
+    return {" ".join(w[i : i + k]) for i in range(max(1, len(w) - k + 1))}
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b)
+
+
+# The pipeline's near-duplicate stage
+
+
+def test_part_masks_cover():
+    masks = [int(m) for m in simhash.part_masks(14, 3)]
+    assert len(masks) == 93
+    r = random.Random(2)
+    for _ in range(3000):
+        d = sum(1 << k for k in r.sample(range(64), 14))
+        assert any(not d & m for m in masks)
+
+
+def test_wide_pairs_are_all_pairs(spark):
+    r = random.Random(4)
+    base = [r.getrandbits(64) for _ in range(8)]
+    fps = sorted({b ^ sum(1 << k for k in r.sample(range(64), r.randint(0, 11))) for b in base for _ in range(40)})
+    fps = [f - (1 << 64) if f >> 63 else f for f in fps]
+    got = simhash.wide_pairs(spark.createDataFrame([(k, f, 1, k) for k, f in enumerate(fps)], "node long, fp long, n long, root long"), 14, 3)
+    u = [f & (1 << 64) - 1 for f in fps]
+    assert {(x.a, x.b) for x in got.collect()} == {(i, j) for i, j in itertools.combinations(range(len(u)), 2) if (u[i] ^ u[j]).bit_count() <= 14}
+
+
+def test_stage_finds_near_copies(spark):
+    """Copies with a few words changed: groups equal those of Jaccard 0.8 and 14 bits by brute force, and few pairs lie beyond."""
+    r = random.Random(6)
+    texts = []
+    for k in range(60):
+        w = [f"w{r.randrange(3000)}" for _ in range(150)]
+        texts.append(" ".join(w))
+        for _ in range(k % 4):
+            v = list(w)
+            for _ in range(r.randint(1, 3)):
+                v[r.randrange(150)] = f"x{r.randrange(3000)}"
+            texts.append(" ".join(v))
+    sets, fps = [shingles(t) for t in texts], [simhash.fingerprint(t, 5) & (1 << 64) - 1 for t in texts]
+    alike = [(i, j) for i, j in itertools.combinations(range(len(texts)), 2) if jaccard(sets[i], sets[j]) >= 0.8]
+    near = [(i, j) for i, j in alike if (fps[i] ^ fps[j]).bit_count() <= 14]
+    assert len(near) >= 0.95 * len(alike)
+    root = list(range(len(texts)))
+    for i, j in near:
+        a, b = sorted((root[i], root[j]))
+        root = [a if x == b else x for x in root]
+    df = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {x.doc_id for x in corpus_pipeline.simhash_stage(spark, df, "").collect()}
+    assert got == set(root) and len(got) < len({simhash.fingerprint(t) for t in texts})

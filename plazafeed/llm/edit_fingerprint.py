@@ -21,12 +21,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, n_partitions, stage, text_or_empty
+from .simhash import _bucket_of as bucket_of
 
 BITS, SEED, PERIOD = 256, 20240131, 1 << 13
 #: Below so many walks a plain loop beats array steps; characters walked at a time (a longer text goes alone).
 FEW, BLOCK = 24, 6_000_000
-#: Members of a bucket that are compared pair by pair.
-PAIRWISE = 16
+#: Members of a bucket that are compared pair by pair at once; in a larger one so many leaders come first.
+PAIRWISE, LEADERS = 16, 16
+#: The chance that banding misses a pair of just the likeness asked for.
+MISS = 1e-3
 END = 0
 
 
@@ -160,37 +163,101 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text")).mapInArrow(run, "doc_id long, fingerprint string, bits binary")
 
 
-def near_groups(docs: DataFrame, min_likeness: float = 0.8, bands: int = 32, rows: int = 8) -> DataFrame:
-    """``(doc_id, fingerprint, class_id)``: one row per row of ``docs``; class_id the smallest doc_id that links reach.
+def banding(n: int, apart: float, rows: int | None = None, bands: int | None = None) -> np.ndarray:
+    """The bits that each band samples: enough bits for ``n`` classes to have a bucket each, and enough bands that a
+    pair with a share ``apart`` of its bits unequal has a common bucket but once in MISS."""
+    rows = rows or min(48, max(8, int(np.ceil(np.log2(max(n, 2))))))
+    bands = bands or int(np.ceil(np.log(MISS) / np.log1p(-((1 - apart) ** rows)))) if apart else bands or 1
+    rng = np.random.Generator(np.random.PCG64(SEED + 1))
+    return np.array([rng.permutation(BITS)[:rows] for _ in range(bands)])
 
-    Banding: ``bands`` keys of ``rows`` sampled bits each (the samples are random, so any
-    bits will do). A link needs a likeness of ``min_likeness`` between the whole
-    fingerprints. Buckets of up to PAIRWISE members are verified pair by pair; in a larger
-    one every member is verified against the smallest, here and among the members that
-    agree on the next band too, so rows stay linear in the members. Equal fingerprints form
-    one class first. Banding can miss a pair: at likeness 0.8, with 0.9 of the bits equal,
-    about one in 10^8 has no common bucket. Empty and null texts are one class.
+
+def bucket_links(fp: np.ndarray, most: int) -> np.ndarray:
+    """Pairs of rows of one bucket at most ``most`` bits apart that connect whatever all such pairs connect.
+
+    First some leaders take the rows near them; then every row outside the largest such
+    group is compared with all, and each two groups that meet are linked once.
+    """
+    n = len(fp)
+    group, left, links = np.arange(n), np.arange(n), []
+    for _ in range(LEADERS if n > PAIRWISE else 0):
+        if len(left) < 2:
+            break
+        near = left[1:][np.bitwise_count(fp[left[1:]] ^ fp[left[0]]).sum(1, dtype=np.int64) <= most]
+        group[near] = left[0]
+        links.append(np.stack((np.full(len(near), left[0]), near), 1))
+        left = left[1:][group[left[1:]] == left[1:]]
+    rest = np.flatnonzero(group != np.bincount(group).argmax())
+    step = max(1, (1 << 20) // n)
+    for at in range(0, len(rest), step):
+        some = rest[at : at + step]
+        apart = sum(np.bitwise_count(fp[some, None, w] ^ fp[None, :, w]).astype(np.int16) for w in range(fp.shape[1]))
+        i, j = np.nonzero((apart <= most) & (group[some][:, None] != group[None, :]))
+        if len(i):
+            x = np.sort(np.stack((some[i], j), 1), 1)
+            g = np.sort(group[x], 1)
+            links.append(x[np.unique(g[:, 0] * n + g[:, 1], return_index=True)[1]])
+    return np.concatenate(links) if links else np.zeros((0, 2), np.int64)
+
+
+def near_links(classes: DataFrame, min_likeness: float, bands: int | None = None, rows: int | None = None) -> DataFrame:
+    """Links ``(a, b)`` between ``classes(node, fingerprint)`` whose fingerprints have a likeness of ``min_likeness``; a crowd may come as stars."""
+    most = int(np.floor((1 - min_likeness) * BITS / 2 + 1e-9))
+    samples = banding(classes.count(), most / BITS, rows, bands)
+    names = ["h", "node", *[f"f{w}" for w in range(BITS // 64)]]
+    schema = ", ".join(f"{c} long" for c in names)
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            raw = np.frombuffer(bytes.fromhex("".join(b.column(1).to_pylist())), np.uint8).reshape(-1, BITS // 8)
+            bits, words = np.unpackbits(raw, axis=1), [pa.array(w) for w in np.ascontiguousarray(raw).view(np.int64).T.copy()]
+            for t, pick in enumerate(samples):
+                key = bits[:, pick].astype(np.uint64) @ (np.uint64(1) << np.arange(len(pick), dtype=np.uint64))
+                yield pa.RecordBatch.from_arrays([pa.array(bucket_of(np.uint64(t), key)), b.column(0), *words], names=names)
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for b in batches:
+            now = np.stack([c.to_numpy() for c in b.columns], 1)
+            held = now if held is None else np.concatenate((held, now))
+            edges = np.concatenate(([0], np.flatnonzero(np.diff(held[:, 0])) + 1))
+            yield from found(held, edges)
+            held = held[edges[-1] :]
+        if held is not None:
+            yield from found(held, np.array([0, len(held)]))
+
+    def found(table: np.ndarray, edges: np.ndarray) -> Iterator[pa.RecordBatch]:
+        links = []
+        for k in np.flatnonzero(np.diff(edges) > 1).tolist():
+            part = table[edges[k] : edges[k + 1]]
+            links.append(part[:, 1][bucket_links(part[:, 2:].view(np.uint64), most)])
+        if links:
+            x = np.unique(np.concatenate(links), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1])], names=["a", "b"])
+
+    dealt = classes.select("node", "fingerprint").mapInArrow(spread, schema).repartition("h").sortWithinPartitions("h", "node")
+    return dealt.mapInArrow(compare, "a long, b long")
+
+
+def with_classes(rows: DataFrame, min_likeness: float = 0.8, bands: int | None = None, rows_a_band: int | None = None) -> DataFrame:
+    """``rows(doc_id, fingerprint, ...)`` with class_id, the smallest doc_id that links reach; ``rows`` should be staged.
+
+    Banding: each band samples as many bits as the number of classes asks for, and there
+    are as many bands as find a pair of ``min_likeness`` but once in a thousand, closer ones more
+    surely. All members of a bucket are verified on the whole fingerprints. Equal
+    fingerprints form one class first. Empty and null texts are one class.
     """
-    fps = stage(fingerprints(docs), "edit-fingerprints")
-    classes = stage(fps.groupBy("fingerprint").agg(F.min("doc_id").alias("low")).select(F.xxhash64("fingerprint").alias("node"), "fingerprint", "low"), "edit-classes")
-    width = rows // 4
-    part = lambda k: F.substring("fingerprint", 1 + k % bands * width, width)
-    single = [F.concat(F.lit(f"{k}:"), part(k)) for k in range(bands)]
-    double = [F.concat(F.lit(f"{k}+:"), part(k), part(k + 1)) for k in range(bands)]
-    member = F.struct("node", "fingerprint")
-    keys = classes.select(member.alias("m"), F.explode(F.array(*single, *double)).alias("key"))
-    sizes = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("m").alias("low")).where("n > 1")
-    full = stage(keys.join(sizes, "key"), "edit-buckets")
-    some = full.where(~F.col("key").contains("+") & (F.col("n") <= PAIRWISE)).groupBy("key").agg(F.sort_array(F.collect_list("m")).alias("g"))
-    pairs = some.select(F.explode(F.flatten(F.transform("g", lambda x, i: F.transform(F.slice(F.col("g"), i + 2, F.size("g")), lambda y: F.struct(x.alias("x"), y.alias("y")))))).alias("p")).select("p.x", "p.y")
-    stars = full.where(F.col("n") > PAIRWISE).where(F.col("m.node") != F.col("low.node")).select(F.col("m").alias("x"), F.col("low").alias("y"))
-    eight = lambda c, k: F.conv(F.substring(c, 1 + 8 * k, 8), 16, 10).cast("long")
-    apart = sum((F.bit_count(eight("x.fingerprint", k).bitwiseXOR(eight("y.fingerprint", k))) for k in range(BITS // 32)), F.lit(0))
-    links = pairs.union(stars).distinct().where(1 - 2 * apart / BITS >= min_likeness).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-    roots = components(links)
+    classes = stage(rows.groupBy("fingerprint").agg(F.min("doc_id").alias("low")).select(F.xxhash64("fingerprint").alias("node"), "fingerprint", "low"), "edit-classes")
+    roots = components(near_links(classes, min_likeness, bands, rows_a_band))
     named = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     lows = named.groupBy("root").agg(F.min("low").alias("class_id"))
-    return fps.join(named.join(lows, "root").select("fingerprint", "class_id"), "fingerprint").select("doc_id", "fingerprint", "class_id")
+    return rows.join(named.join(lows, "root").select("fingerprint", "class_id"), "fingerprint").select(*rows.columns, "class_id")
+
+
+def near_groups(docs: DataFrame, min_likeness: float = 0.8, bands: int | None = None, rows: int | None = None) -> DataFrame:
+    """``(doc_id, fingerprint, class_id)``: one row per row of ``docs``; see ``with_classes``."""
+    fps = stage(fingerprints(docs).select("doc_id", "fingerprint"), "edit-fingerprints")
+    return with_classes(fps, min_likeness, bands, rows)
 
 
 def _bucket(cuts: list[int]) -> Column:

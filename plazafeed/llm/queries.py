@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, chat, edit_fingerprint, html_text, license, line_dedup, packing, quality, simhash, warc
-from .common import new_dir
+from .common import new_dir, stage
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,7 +56,8 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_edit_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return edit_fingerprint.edited_pairs(table(spark, sf_dir, "documents"))
+    pairs = stage(edit_fingerprint.edited_pairs(table(spark, sf_dir, "documents")), "edit-pairs")
+    return edit_fingerprint.with_classes(pairs)
 
 
 QUERIES = {f.__name__: f for f in (op1_bpe, op2_packing, op3_license, op4_quality, op5_warc, op6_chat, op7_simhash, op8_html, op9_line_dedup, op10_edit_fingerprint)}

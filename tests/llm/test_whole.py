@@ -3,10 +3,11 @@
 import itertools
 import random
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
-from plazafeed.llm import simhash
+from plazafeed.llm import edit_fingerprint, queries, simhash
 
 
 def shingles(t, k=5):
@@ -63,3 +64,45 @@ def test_stage_finds_near_copies(spark):
     df = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
     got = {x.doc_id for x in corpus_pipeline.simhash_stage(spark, df, "").collect()}
     assert got == set(root) and len(got) < len({simhash.fingerprint(t) for t in texts})
+
+
+# 10: banding and verification
+
+
+def test_banding_recall(spark):
+    """20,000 random fingerprints and 300 pairs of likeness 0.8 to 0.92 among them."""
+    rng = np.random.Generator(np.random.PCG64(5))
+    bits = rng.integers(0, 2, (20_000, 256), np.uint8)
+    for k in range(300):
+        bits[10_000 + k] = bits[k]
+        bits[10_000 + k, rng.permutation(256)[: rng.integers(10, 26)]] ^= 1
+    df = spark.createDataFrame([(k, h) for k, h in enumerate(edit_fingerprint._hex(bits))], "node long, fingerprint string")
+    got = {tuple(sorted((x.a, x.b))) for x in edit_fingerprint.near_links(df, 0.8).collect()}
+    assert got <= {(k, 10_000 + k) for k in range(300)} and len(got) >= 297
+
+
+@pytest.mark.parametrize("n", [3, 12, 200])
+def test_bucket_links_lose_no_connection(n):
+    rng = np.random.Generator(np.random.PCG64(n))
+    base = rng.integers(0, 2, (4, 256), np.uint8)
+    bits = base[rng.integers(0, 4, n)] ^ (rng.random((n, 256)) < 0.06)
+    fp = np.packbits(bits.astype(np.uint8), axis=1).view(np.uint64)
+
+    def groups(links):
+        root = list(range(n))
+        for i, j in links:
+            a, b = sorted((root[i], root[j]))
+            root = [a if x == b else x for x in root]
+        return root
+
+    near = [(i, j) for i, j in itertools.combinations(range(n), 2) if (bits[i] != bits[j]).sum() <= 25]
+    links = edit_fingerprint.bucket_links(fp, 25).tolist()
+    assert {tuple(sorted(x)) for x in links} <= set(near) and groups(links) == groups(near)
+
+
+def test_op10_has_classes(spark):
+    rows = queries.op10_edit_fingerprint(spark, "/root/testdata/sf0.001").collect()
+    low = {}
+    for r in rows:
+        low[r.fingerprint] = min(r.doc_id, low.get(r.fingerprint, r.doc_id))
+    assert all(r.class_id <= low[r.fingerprint] for r in rows) and len({r.class_id for r in rows}) > 100

@@ -4,9 +4,10 @@ All texts share one random bit for each step and character. A pointer walks over
 step emits the character under the pointer, and that character's bit says whether the
 pointer moves on. Two texts that differ by few edits fall into the same places again soon
 after each edit, so the edit distance turns into a Hamming distance between the emitted
-strings. The fingerprint is one hashed bit at each of 256 shared random steps; for a text
-of n characters they lie in its first 2n steps, chosen by lowest priority, so texts of
-nearly equal length look at nearly the same ones.
+strings. A walk takes 2n steps for n characters, and goes on until the pointer has passed the
+last one. The fingerprint is one hashed bit at each of 256 shared random steps of the whole
+walk, chosen by lowest priority, so walks of nearly equal length look at nearly the same ones.
+No bound on steps is set: within 8192 steps every character moves on about 4096 times.
 """
 
 from __future__ import annotations
@@ -102,22 +103,25 @@ def walk_bits(texts: list[str]) -> np.ndarray:
     samples = np.arange(BITS)
     known: dict[int, np.ndarray] = {}
     for row, i in enumerate(order.tolist()):
-        n = int(steps[row])
+        together = min(int(steps[row]), few)
+        trail = _tail(data, int(start[row]), int(place[row]), together, int(steps[row]), int(size[row]), flat_moves)
+        n = together + len(trail)
         if (pick := known.get(n)) is None:
             known[n] = pick = sample_steps(n)
         seen = np.empty(BITS, np.uint8)
-        early = pick < few
+        early = pick < together
         seen[early] = emitted[at[pick[early]] + row]
-        if n > few:
-            seen[~early] = _tail(data, int(start[row]), int(place[row]), few, n, size[row], pick[~early], flat_moves)
+        seen[~early] = trail[pick[~early] - together]
         out[i] = of_code[samples, seen]
     return out
 
 
-def _tail(data: np.ndarray, start: int, place: int, step: int, steps: int, size: int, pick: np.ndarray, moves: list[bytes]) -> np.ndarray:
-    """The rest of one long walk: the characters emitted at the steps ``pick``."""
-    text = data[start : start + int(size) + 1].tobytes()
+def _tail(data: np.ndarray, start: int, place: int, step: int, steps: int, size: int, moves: list[bytes]) -> np.ndarray:
+    """The characters that one walk emits from ``step`` on, up to ``steps`` and until its pointer has passed the text."""
     p, trail = place - start, bytearray()
+    if step >= steps and p >= size:
+        return np.zeros(0, np.uint8)
+    text = data[start : start + size + 1].tobytes()
     put = trail.append
     base = step % PERIOD
     while step < steps:
@@ -126,7 +130,12 @@ def _tail(data: np.ndarray, start: int, place: int, step: int, steps: int, size:
             put(c)
             p += m[c]
         step, base = step + min(PERIOD - base, steps - step), 0
-    return np.frombuffer(trail, np.uint8)[pick - (steps - len(trail))]
+    while p < size:
+        c = text[p]
+        put(c)
+        p += moves[step % PERIOD][c]
+        step += 1
+    return np.frombuffer(trail, np.uint8)
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:

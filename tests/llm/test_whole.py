@@ -106,3 +106,29 @@ def test_op10_has_classes(spark):
     for r in rows:
         low[r.fingerprint] = min(r.doc_id, low.get(r.fingerprint, r.doc_id))
     assert all(r.class_id <= low[r.fingerprint] for r in rows) and len({r.class_id for r in rows}) > 100
+
+
+# 10: the walk
+
+
+@pytest.mark.parametrize("few", [24, 1])
+def test_walk_reads_the_whole_text(few, monkeypatch):
+    monkeypatch.setattr(edit_fingerprint, "FEW", few)
+    moves, _, of_code = edit_fingerprint._tables()
+    texts = ["a", "abc" * 50, "слово и дело " * 30, "x" * 3000, *("q" * k for k in range(1, 40))]
+    want, longer = [], 0
+    for t in texts:
+        c, p, out = [*edit_fingerprint.codes(t).tolist(), 0], 0, []
+        while len(out) < 2 * len(t) or p < len(t):
+            out.append(c[p])
+            p += int(moves[(len(out) - 1) % edit_fingerprint.PERIOD][c[p]])
+        longer += len(out) > 2 * len(t)
+        want.append([int(of_code[k][out[s]]) for k, s in enumerate(edit_fingerprint.sample_steps(len(out)))])
+    assert longer >= 3 and edit_fingerprint.walk_bits(texts).tolist() == want
+
+
+def test_last_characters_touch_the_fingerprint():
+    r = random.Random(8)
+    texts = ["".join(r.choice("abcdefgh ") for _ in range(400)) for _ in range(200)]
+    same = edit_fingerprint.walk_bits(texts) == edit_fingerprint.walk_bits([t[:-12] + "ZYXWVUTSRQPO" for t in texts])
+    assert same.all(1).sum() <= 10  # a sample can miss the few last steps

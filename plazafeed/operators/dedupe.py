@@ -68,24 +68,50 @@ def same_event(a: Callable[[str], Column], b: Callable[[str], Column]) -> Column
     )
 
 
+SAME_COLS = ["kind_family", "title_key", "venue_key", "title_tokens", "venue_tokens", "quoted", "summary_tokens", "summary_text", "exact_signature", "loose_signature"]
+
+
+def title_pairs(heads: DataFrame) -> DataFrame:
+    """``(a, b)``: rows of one date that share two title tokens and 0.74 of the shorter title's.
+
+    A shorter title of s tokens shares ``need`` of them, so one of its s - need + 1 rarest
+    tokens stands in the other: those look the pair up, and no pair is lost.
+    """
+    tok = heads.select("id", "date_key", F.size("title_tokens").alias("s"), F.explode("title_tokens").alias("w"))
+    seen = tok.groupBy("date_key", "w").agg(F.count("*").alias("n"))
+    ranked = tok.join(seen, ["date_key", "w"]).withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy("n", "w")))
+    need = F.greatest(F.lit(2), F.ceil(0.74 * F.col("s") - 1e-9))
+    probe = ranked.where((F.col("s") >= 2) & (F.col("n") > 1) & (F.col("rank") <= F.col("s") - need + 1)).select("date_key", "w", F.col("id").alias("p"), F.col("s").alias("ps"))
+    met = probe.join(tok.withColumnRenamed("id", "q"), ["date_key", "w"]).where("ps <= s and p <> q").select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
+    x, y = (heads.select(F.col("id").alias(n), F.col("title_tokens").alias(t)) for n, t in (("a", "x"), ("b", "y")))
+    return met.join(x, "a").join(y, "b").where((text.overlap("x", "y") >= 2) & (text.overlap_ratio(F.col("x"), F.col("y")) >= 0.74)).select("a", "b")
+
+
 def match_pairs(signed: DataFrame) -> DataFrame:
-    """``(a, b)`` with a < b: rows of one local date that are the same event.
+    """``(a, b)`` with a < b: links that connect the rows of one local date that are the same event.
 
-    Candidates come from equi-joins on blocking keys: signatures, the title key, quoted
-    tokens, and pairs of title tokens (a title match needs two in common, so none is lost).
+    Rows that are equal but for their id are linked to the first of them, as are rows of an
+    equal signature, which always match: a crowd gives as many links as it has members.
+    Other candidates come from equi-joins on the title key and quoted tokens and from
+    ``title_pairs``; each is a pair that matches.
     """
-    key = lambda tag, c: F.when(c != "", F.concat(F.lit(tag), c))
-    pairs = F.flatten(F.transform("title_tokens", lambda x: F.transform(F.filter("title_tokens", lambda y: y > x), lambda y: F.concat(F.lit("p:"), x, F.lit("+"), y))))
-    blocks = F.array_distinct(F.concat(F.array_compact(F.array(key("e:", F.col("exact_signature")), key("l:", F.col("loose_signature")), key("t:", F.col("title_key")))), F.transform("quoted", lambda q: F.concat(F.lit("q:"), q)), pairs))
-    keyed = signed.where("date_key is not null").select("id", "date_key", F.explode(blocks).alias("block"))
+    own = lambda c: F.col(c)
+    dated = signed.where("date_key is not null").withColumn("same", F.sha2(F.to_json(F.struct("date_key", *SAME_COLS)), 256))
+    first = dated.groupBy("same").agg(F.min("id").alias("a"))
+    # a row that does not match its own copy matches no row at all
+    equal = dated.where(same_event(own, own)).select("id", "same").join(first, "same").where("id <> a").select("a", F.col("id").alias("b"))
+    heads = dated.join(first.select(F.col("a").alias("id")), "id", "left_semi")
+    signs = heads.select("id", F.explode(F.array("exact_signature", "loose_signature")).alias("sign")).where("sign <> ''")
+    stars = signs.join(signs.groupBy("sign").agg(F.min("id").alias("a")), "sign").where("id <> a").select("a", F.col("id").alias("b"))
+    blocks = F.concat(F.array_compact(F.array(F.when(F.col("title_key") != "", F.concat(F.lit("t:"), "title_key")))), F.transform("quoted", lambda q: F.concat(F.lit("q:"), q)))
+    keyed = heads.select("id", "date_key", F.explode(F.array_distinct(blocks)).alias("block"))
     crowd = keyed.groupBy("date_key", "block").agg(F.count("*").alias("n")).where("n > 1").drop("n")
     keyed = keyed.join(crowd, ["date_key", "block"])
     other = keyed.select("date_key", "block", F.col("id").alias("b"))
-    cand = keyed.withColumnRenamed("id", "a").join(other, ["date_key", "block"]).where("a < b").select("a", "b").distinct()
-    cols = ["id", "kind_family", "title_key", "venue_key", "title_tokens", "venue_tokens", "quoted", "summary_tokens", "summary_text", "exact_signature", "loose_signature"]
-    left, right = (signed.select(F.struct(*cols).alias(n)) for n in ("l", "r"))
+    cand = keyed.withColumnRenamed("id", "a").join(other, ["date_key", "block"]).where("a < b").select("a", "b").union(title_pairs(heads)).distinct()
+    left, right = (heads.select(F.struct("id", *SAME_COLS).alias(n)) for n in ("l", "r"))
     j = cand.join(left, F.col("a") == F.col("l.id")).join(right, F.col("b") == F.col("r.id"))
-    return j.where(same_event(lambda c: F.col(f"l.{c}"), lambda c: F.col(f"r.{c}"))).select("a", "b")
+    return j.where(same_event(lambda c: F.col(f"l.{c}"), lambda c: F.col(f"r.{c}"))).select("a", "b").union(equal).union(stars).distinct()
 
 
 def connected(pairs: DataFrame, nodes: DataFrame, max_rounds: int = 40) -> DataFrame:

@@ -36,3 +36,12 @@ def test_near_dup_docs_is_brute_force(spark, tmp_path):
 def test_preview_keys_take_the_whole_title(spark, tmp_path):
     spark.createDataFrame([(k, "word " * 30 + str(k), "en", "s", 151) for k in range(2)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     assert len({r.preview_key for r in registry.queries()["preview_keys"](spark, str(tmp_path)).collect()}) == 2
+
+
+def orders_query(spark, name, sf="/root/testdata/sf0.01"):
+    return same(registry.queries()[name](spark, sf), connect(sf), registry.oracle_sql()[name])
+
+
+def test_reminder_texts_of_every_order(spark):
+    assert orders_query(spark, "reminder_texts_all") == 15_000
+

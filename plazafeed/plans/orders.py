@@ -73,6 +73,12 @@ def round_robin(spark, d):
     return R.interleave(dated(spark, d), "kind", ["event_date", "id"]).where("round <= 20").select("id", "kind", "round")
 
 
+@query("round_robin_all", """SELECT o_orderkey AS id, o_orderpriority AS kind, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderdate, o_orderkey) AS round FROM orders""")
+def round_robin_all(spark, d):
+    """Every round; ``round_robin`` and its SQL end at the twentieth."""
+    return R.interleave(dated(spark, d), "kind", ["event_date", "id"]).select("id", "kind", "round")
+
+
 @query("digest", "SELECT o_orderkey AS id, o_totalprice AS score, 'Order ' || o_orderkey || ' — ' || strftime(o_orderdate, '%d.%m %H:%M') AS line FROM orders ORDER BY score DESC, id LIMIT 12")
 def digest(spark, d):
     return R.digest(dated(spark, d)).select("id", "score", "line")
@@ -223,6 +229,17 @@ def draft_states(spark, d):
     return fold(log.join(clear, "draft_id", "left_semi"), AS_OF)
 
 
+@query("draft_states_all", """WITH l AS (SELECT o_custkey AS draft_id, CASE o_orderstatus WHEN 'F' THEN 'published' WHEN 'P' THEN 'rejected' ELSE 'pending' END AS status, o_orderdate AS t, o_orderkey AS k FROM orders),
+ g AS (SELECT draft_id, min(t) AS created_at, max(t) AS updated_at FROM l GROUP BY 1), s AS (SELECT draft_id, status FROM l QUALIFY row_number() OVER (PARTITION BY draft_id ORDER BY t DESC, k DESC) = 1)
+ SELECT draft_id, CASE WHEN status = 'pending' AND created_at < TIMESTAMP '1998-01-01' - INTERVAL 30 HOUR THEN 'expired' ELSE status END AS status, created_at, updated_at FROM g JOIN s USING (draft_id)""")
+def draft_states_all(spark, d):
+    """Every draft, of equal times the event with the larger order id; ``draft_states`` and its SQL leave such drafts out."""
+    from ..streaming.jobs import draft_states as fold
+
+    log = dated(spark, d).select(F.col("custkey").alias("draft_id"), F.when(F.col("status") == "F", "published").when(F.col("status") == "P", "rejected").otherwise("pending").alias("status"), F.col("event_date").alias("at"), "id")
+    return fold(log, AS_OF, tie="id")
+
+
 @query("reminder_texts_all", "SELECT o_orderkey AS id, 'Напоминание: Order ' || o_orderkey || ' — завтра, ' || strftime(timezone('Europe/Moscow', timezone('UTC', o_orderdate)), '%d.%m %H:%M') AS text FROM orders")
 def reminder_texts_all(spark, d):
     """Every order; ``reminder_texts`` and its SQL take dates at which Moscow is three hours ahead."""

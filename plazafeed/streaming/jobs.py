@@ -123,9 +123,9 @@ def ingest_listings(pages: DataFrame, extract: Callable[[DataFrame], DataFrame],
     return pages.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def draft_states(log: DataFrame, as_of: datetime | str, ttl_hours: int = 30) -> DataFrame:
-    """The latest status of each draft from ``(draft_id, status, at)``; pending beyond the time to live is expired."""
-    g = log.groupBy("draft_id").agg(F.max_by("status", "at").alias("status"), F.min("at").alias("created_at"), F.max("at").alias("updated_at"))
+def draft_states(log: DataFrame, as_of: datetime | str, ttl_hours: int = 30, tie: str = "status") -> DataFrame:
+    """The latest status of each draft from ``(draft_id, status, at)``, of equal times the one with the largest ``tie``; pending beyond the time to live is expired."""
+    g = log.groupBy("draft_id").agg(F.max_by("status", F.struct("at", F.col(tie).alias("tie"))).alias("status"), F.min("at").alias("created_at"), F.max("at").alias("updated_at"))
     old = (F.col("status") == "pending") & (F.col("created_at") < ts(as_of) - F.expr(f"INTERVAL '{max(12, ttl_hours)}' HOUR"))
     return g.withColumn("status", F.when(old, "expired").otherwise(F.col("status")))
 

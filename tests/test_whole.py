@@ -45,3 +45,19 @@ def orders_query(spark, name, sf="/root/testdata/sf0.01"):
 def test_reminder_texts_of_every_order(spark):
     assert orders_query(spark, "reminder_texts_all") == 15_000
 
+
+def test_every_round(spark):
+    assert orders_query(spark, "round_robin_all") == 15_000
+
+
+def test_tied_drafts_stay(spark):
+    n = spark.read.parquet("/root/testdata/sf0.01/orders.parquet").select("o_custkey").distinct().count()
+    assert orders_query(spark, "draft_states_all") == n
+
+
+def test_ties_of_drafts_have_one_result(spark):
+    from plazafeed.streaming.jobs import draft_states
+
+    for rows in ([(1, "published", 5), (1, "rejected", 9)], [(1, "rejected", 9), (1, "published", 5)]):
+        log = spark.createDataFrame(rows, "draft_id long, status string, id long").withColumn("at", F.lit("1997-01-01").cast("timestamp"))
+        assert draft_states(log, "1998-01-01 00:00:00", tie="id").first().status == "rejected"

@@ -101,10 +101,15 @@ def keep_good(docs: DataFrame, **limits) -> DataFrame:
 
 
 def remove_lines(docs: DataFrame, **limits) -> DataFrame:
-    """The kept rows of ``docs`` with the lines above the limits taken out of ``text``."""
-    v = assess(docs, **limits).where("kept").groupBy(F.col("doc_id").alias("__v_id"), F.col("text_key").alias("__v_key")).agg(F.first("removed_lines").alias("__v_gone"))
-    joined = docs.join(v, F.col("doc_id").eqNullSafe(F.col("__v_id")) & (text_key() == F.col("__v_key")))
+    """The kept rows of ``docs`` with the lines above the limits taken out of ``text``; n_chars, where there is one, is made anew for these."""
+    v = assess(docs, **limits).where(~F.col("kept") | (F.size("removed_lines") > 0))
+    v = stage(v.groupBy(F.col("doc_id").alias("__v_id"), F.col("text_key").alias("__v_key")).agg(F.first("kept").alias("__v_kept"), F.first("removed_lines").alias("__v_gone")), "quality-changed")
+    joined = docs.join(_only_if_small(v), F.col("doc_id").eqNullSafe(F.col("__v_id")) & (text_key() == F.col("__v_key")), "left").where(F.coalesce("__v_kept", F.lit(True)))
     parts = F.split(text_or_empty(), "\n", -1)
-    number = F.transform(parts, lambda x, i: F.struct(x.alias("x"), F.when(x.rlike(WORDS), F.size(F.filter(F.slice(parts, 1, i), lambda y: y.rlike(WORDS)))).alias("n")))
-    clean = F.array_join(F.transform(F.filter(number, lambda p: p.n.isNull() | ~F.array_contains("__v_gone", p.n)), lambda p: p.x), "\n")
-    return joined.withColumn("text", F.when(F.size("__v_gone") == 0, F.col("text")).otherwise(clean)).drop("__v_id", "__v_key", "__v_gone")
+    with_words = F.filter(F.transform(parts, lambda x, i: F.when(x.rlike(WORDS), i)), lambda i: i.isNotNull())
+    places = joined.withColumn("__v_at", F.when(F.size("__v_gone") > 0, F.transform("__v_gone", lambda n: F.get(with_words, n))))
+    clean = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains("__v_at", i)), "\n")
+    out = places.withColumn("text", F.when(F.col("__v_at").isNull(), F.col("text")).otherwise(clean))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.col("__v_at").isNull(), F.col("n_chars")).otherwise(F.length("text")))
+    return out.select(*docs.columns)

@@ -132,3 +132,15 @@ def test_last_characters_touch_the_fingerprint():
     texts = ["".join(r.choice("abcdefgh ") for _ in range(400)) for _ in range(200)]
     same = edit_fingerprint.walk_bits(texts) == edit_fingerprint.walk_bits([t[:-12] + "ZYXWVUTSRQPO" for t in texts])
     assert same.all(1).sum() <= 10  # a sample can miss the few last steps
+
+
+# 4: the pipeline's quality stage
+
+
+def test_quality_stage_takes_lines_out(spark):
+    shared = "This very line of boilerplate stands on every single page of the host today."
+    texts = [f"\n{shared}\n \nOnly page {k} says that {' '.join(f'w{k}x{j}' for j in range(30))}." for k in range(15)] + [shared + "\nshort"]
+    df = spark.createDataFrame([(k, t, "en", "h", len(t)) for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: (r.text, r.n_chars) for r in corpus_pipeline.quality_stage(spark, df, "").collect()}
+    want = {k: t.replace(shared + "\n", "") for k, t in enumerate(texts[:15])}
+    assert got == {k: (t, len(t)) for k, t in want.items()}

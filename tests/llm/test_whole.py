@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from plazafeed.llm import edit_fingerprint, queries, simhash
+from plazafeed.llm import edit_fingerprint, html_text, queries, simhash
 
 
 def shingles(t, k=5):
@@ -144,3 +144,15 @@ def test_quality_stage_takes_lines_out(spark):
     got = {r.doc_id: (r.text, r.n_chars) for r in corpus_pipeline.quality_stage(spark, df, "").collect()}
     want = {k: t.replace(shared + "\n", "") for k, t in enumerate(texts[:15])}
     assert got == {k: (t, len(t)) for k, t in want.items()}
+
+
+# 8: stray quotes
+
+
+@pytest.mark.parametrize("tag", ["<p class=it's>", '<p class="a"">', "<p 'x>", '<p title="a > b">', "<p class=x=\"y>", "<p a='1' b = \"2>3\" c>"])
+def test_stray_quotes_lose_no_text(tag):
+    assert html_text.Page().render(f"one{tag}two <b>three</b><p>it is</p>") == "one\n\ntwo three\n\nit is"
+
+
+def test_unclosed_quote_keeps_the_rest():
+    assert html_text.Page().render('a<p class="x>b<p>c') == "a\n\nb\n\nc"

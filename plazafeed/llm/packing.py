@@ -21,24 +21,86 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import regex
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .bpe import load_model
 from .common import n_partitions, stage, text_or_empty
+from .spans import random_values, span_hashes
 
-MEMO, SHORT = 300_000, 40
+#: Pretokens that the memo holds, characters of one that are merged here, characters worked on together.
+MEMO, SHORT, BLOCK = 600_000, 40, 2_000_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-#: Fixed value: the pattern by which the vocabulary splits lower-cased text.
-PRETOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+#: Characters from here on, and some below, are left to the tokenizer's own normaliser.
+PLAIN = 0x250
+BLANK, LETTER, DIGIT, OTHER, ODD = range(5)
+#: What a free token, document place and unit of attention cost count for, as shares of a sequence's.
+WEIGHTS = (1.0, 0.01, 0.01)
+
+
+def _kinds() -> np.ndarray:
+    """What each character below PLAIN is to the pattern by which the vocabulary splits lower-cased text; the last entry is for all others.
+
+    Fixed value, the pattern: 's|'t|'re|'ve|'m|'ll|'d|\\p{L}+|\\p{N}|[^\\s\\p{L}\\p{N}]+
+    """
+    of = np.full(PLAIN + 1, ODD, np.uint8)
+    for c in map(chr, range(PLAIN)):
+        if len(c.lower()) == 1 and not "\x1c" <= c <= "\x1f":
+            of[ord(c)] = BLANK if regex.match(r"\s", c) else LETTER if regex.match(r"\p{L}", c.lower()) else DIGIT if regex.match(r"\p{N}", c) else OTHER
+    return of
+
+
+KIND = _kinds()
+LOWER = np.array([*(ord(chr(c).lower()[0]) for c in range(PLAIN)), 0xFFFF], np.uint16)
+_OF_CHAR = random_values(1 << 16)[LOWER]
+
+
+def pretokens(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(start, end, hash)`` of the pretokens of ``text``, which begins and ends with a blank.
+
+    A word with a character that is not plain is one whole span, for the tokenizer to split:
+    no pretoken crosses white space.
+    """
+    points = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
+    at = np.minimum(points, PLAIN).astype(np.uint16)
+    kind = KIND[at]
+    new = kind[1:] != kind[:-1]
+    new |= kind[1:] == DIGIT
+    new = np.concatenate(([False], new))
+    quote = np.flatnonzero(points == 39)
+    quote = quote[kind[quote - 1] != OTHER]
+    if len(quote):
+        low = LOWER[at[np.minimum(quote[:, None] + np.arange(1, 3), len(at) - 1)]]
+        one = np.isin(low[:, 0], [ord(c) for c in "stmd"])
+        two = np.any([(low[:, 0] == ord(a)) & (low[:, 1] == ord(b)) for a, b in ("re", "ve", "ll")], 0)
+        new[quote[one | two] + 1] = False
+        for q, size in ((quote[one], 2), (quote[two], 3)):
+            new[q + size] = True
+    edge = np.flatnonzero(new)
+    full = kind[edge] != BLANK
+    start, end = edge[full], np.concatenate((edge[1:], [len(at)]))[full]
+    h = span_hashes(_OF_CHAR[at], start, end)
+    odd = np.flatnonzero(kind == ODD)
+    if len(odd):
+        blank = np.flatnonzero(kind == BLANK)
+        k = np.unique(np.searchsorted(blank, odd))
+        first, last = blank[k - 1] + 1, blank[k]
+        inside = np.searchsorted(first, start, "right") - 1
+        keep = (inside < 0) | (start >= last[inside])
+        words = np.array([xxhash.xxh3_64_intdigest(text[a:b].encode("utf-8", "replace"), 1) for a, b in zip(first.tolist(), last.tolist())], np.uint64)
+        start, end, h = np.concatenate((start[keep], first)), np.concatenate((end[keep], last)), np.concatenate((h[keep], words))
+        order = np.argsort(start, kind="stable")
+        start, end, h = start[order], end[order], h[order]
+    return start, end, h
 
 
 class WordEncoder:
-    """A tokenizer that drops white space, memoised by word: its ids are those of the words one after another.
+    """A tokenizer that drops white space, memoised by pretoken: its ids are those of the pretokens one after another.
 
-    Common words are merged many at a time, with the tokenizer's own merges; what its
-    normaliser could change in more than case goes through the tokenizer itself.
+    New pretokens are merged many at a time, with the tokenizer's own merges; what its
+    normaliser could change in more than case, and long ones, go through the tokenizer itself.
     """
 
     def __init__(self, path: str):
@@ -50,59 +112,65 @@ class WordEncoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.words: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        self.slots: dict[str, int] = {}
+        self.start, self.size, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def prime(self, words: set[str]) -> None:
-        known, old = self.words, self.old
-        if len(known) + len(words) > MEMO:
-            old, known = known, {}
-            self.old, self.words = old, known
-            if len(self.parts) > MEMO:
-                self.parts = {}
-        split, whole = {}, []
-        for w in words:
-            if w in known:
-                continue
-            if (got := old.get(w)) is not None:
-                known[w] = got
-            elif len(w) <= SHORT and max(w) < "ɐ":  # here lower-casing is by character, and nothing composes
-                split[w] = (low,) if (low := w.lower()).isalpha() else PRETOKEN.findall(low)
-            else:
-                whole.append(w)
-        parts = self.parts
-        fresh = [*{p for ps in split.values() for p in ps if p not in parts}]
-        coded = [p.encode() for p in fresh]
-        merged = self.bpe.merge_many([*set(coded)])
-        parts.update(zip(fresh, map(merged.__getitem__, coded)))
-        known.update({w: parts[ps[0]] if len(ps) == 1 else b"".join([parts[p] for p in ps]) for w, ps in split.items()})
+    def _learn(self, fresh: list[str]) -> None:
+        plain = [p for p in fresh if len(p) <= SHORT and max(p) < "\u0250" and "\u0130" not in p and not ODD_SPACE.search(p)]
+        merged = self.bpe.merge_many([*{p.lower().encode() for p in plain}])
+        known = {p: merged[p.lower().encode()] for p in plain}
+        whole = [p for p in fresh if p not in known]
         known.update(zip(whole, self._encode(whole)))
+        size = np.array([len(known[p]) // 4 for p in fresh], np.int64)
+        self.slots.update(zip(fresh, range(len(self.slots), len(self.slots) + len(fresh))))
+        self.start = np.concatenate((self.start, len(self.ids) + np.cumsum(size) - size))
+        self.size = np.concatenate((self.size, size))
+        self.ids = np.concatenate((self.ids, np.frombuffer(b"".join([known[p] for p in fresh]), np.uint32)))
+
+    def _block(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text, none with a special token."""
+        text = "\n".join(["", *texts, ""])
+        start, end, h = pretokens(text)
+        coded = pa.array(h).dictionary_encode()
+        code = coded.indices.to_numpy()
+        at = np.empty(len(coded.dictionary), np.int64)
+        at[code[::-1]] = np.arange(len(code) - 1, -1, -1)
+        names = [text[a:b] for a, b in zip(start[at].tolist(), end[at].tolist())]
+        if len(self.slots) > MEMO:
+            self._forget()
+        slots = self.slots
+        if fresh := [*{p: 0 for p in names if p not in slots}]:
+            self._learn(fresh)
+        slot = np.array([slots[p] for p in names], np.int64)[code]
+        size = self.size[slot]
+        done = np.cumsum(size)
+        ids = self.ids[np.repeat(self.start[slot] - done + size, size) + np.arange(done[-1] if len(done) else 0)].tobytes()
+        ends = np.searchsorted(start, np.cumsum([len(t) + 1 for t in texts]) + 1)
+        cut = 4 * np.concatenate(([0], done))[np.concatenate(([0], ends))]
+        return [ids[a:b] for a, b in zip(cut.tolist(), cut[1:].tolist())]
 
     def encode_all(self, texts: list[str]) -> Iterator[bytes]:
         """The ids of each text, as 32-bit numbers."""
         at = 0
         while at < len(texts):
-            found, chars, words = [], 0, set()
-            while at < len(texts) and chars < 2_000_000:
-                t = texts[at]
-                if any(s in t for s in self.special) or _ODD_SPACE.search(t):
-                    found.append(None)
-                else:
-                    found.append(w := t.split())
-                    words.update(w)
-                chars += len(t)
-                at += 1
-            self.prime(words)
-            for t, w in zip(texts[at - len(found) : at], found):
-                yield self._encode([t])[0] if w is None else b"".join(map(self.words.__getitem__, w))
+            to, chars = at, 0
+            while to < len(texts) and chars < BLOCK:
+                chars += len(texts[to])
+                to += 1
+            special = [any(s in t for s in self.special) for t in texts[at:to]]
+            plain = iter(self._block([t for t, s in zip(texts[at:to], special) if not s]))
+            yield from (self._encode([t])[0] if s else next(plain) for t, s in zip(texts[at:to], special))
+            at = to
 
 
 #: White space to Python but not to the tokenizer.
-_ODD_SPACE = re.compile("[\x1c-\x1f]")
+ODD_SPACE = re.compile("[\x1c-\x1f]")
 
 
 @lru_cache(maxsize=2)
@@ -126,7 +194,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id:
     return docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text")).mapInArrow(run, PIECES)
 
 
-def plan(counts: dict[int, int], capacity: int = 4096, max_docs: int = 4096, max_attention: int | None = None, weights: tuple[float, float, float] = (1.0, 1e-6, 1e-6), score: str = "norm") -> np.ndarray:
+def plan(counts: dict[int, int], capacity: int = 4096, max_docs: int = 4096, max_attention: int | None = None, weights: tuple[float, float, float] = WEIGHTS, score: str = "norm") -> np.ndarray:
     """Places for ``counts`` (pieces of each length): rows ``(length, first rank, sequence, copies, offset)`` by length and rank.
 
     Of the pieces of one length those from first rank on fill the sequences from
@@ -186,7 +254,7 @@ def plan(counts: dict[int, int], capacity: int = 4096, max_docs: int = 4096, max
     return np.array(sorted(out), np.int64).reshape(-1, 5)
 
 
-def pack_pieces(pieces: DataFrame, capacity: int = 4096, max_docs: int = 4096, max_attention: int | None = None, weights: tuple[float, float, float] = (1.0, 1e-6, 1e-6), score: str = "norm") -> DataFrame:
+def pack_pieces(pieces: DataFrame, capacity: int = 4096, max_docs: int = 4096, max_attention: int | None = None, weights: tuple[float, float, float] = WEIGHTS, score: str = "norm") -> DataFrame:
     """``pieces`` (a staged table with doc_id, piece and length) with ``sequence_id`` and ``offset``.
 
     The driver sees one count for each length, at most ``capacity`` of them. Ranks are

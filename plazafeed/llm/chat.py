@@ -11,6 +11,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: Escapes in the order they are applied; undone in reverse.
 ESCAPES = [("~", "~0"), ("[", "~1"), ("<", "~2"), ("]", "~3")]
@@ -49,29 +50,36 @@ def _pick(role: Column, template: ChatTemplate, part: int, other: Column) -> Col
 def format_chats(turns: DataFrame, template: ChatTemplate = ChatTemplate()) -> DataFrame:
     """One row per conv_id: n_turns, state (the machine's last, ``invalid`` if a turn had no move), formatted, spans.
 
+    A turn's place is a running sum over its conversation, so the work is linear in the turns.
     spans(start, length, loss): the formatted text's segments in order, from 0; together
     they cover it. Turns are ordered by turn (null first), then role and text. A null text
     or role is empty; a null conv_id is a conversation of its own. Every conversation is
     formatted, valid or not. Other columns are ignored.
     """
     t = turns.select("conv_id", F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    grouped = t.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
+    opening = lambda r: _pick(r, template, 0, F.concat(F.lit("[ROLE "), escape(r), F.lit("]")))
+    closing = lambda r: _pick(r, template, 1, F.lit("[/ROLE]"))
+    sizes = t.select("*", F.length(opening(F.col("role"))).alias("head"), F.length(escape(F.col("text"))).alias("body"), F.length(closing(F.col("role"))).alias("tail"))
+    whole = F.col("head") + F.col("body") + F.col("tail")
+    before = (F.sum(whole).over(Window.partitionBy("conv_id").orderBy("turn", "role", "text").rowsBetween(Window.unboundedPreceding, 0)) - whole).cast("int")
+    placed = sizes.select("conv_id", F.struct("turn", "role", "text", before.alias("at"), "head", "body", "tail").alias("x"))
+    grouped = placed.groupBy("conv_id").agg(F.sort_array(F.collect_list("x")).alias("turns"))
     moves = F.create_map(*[F.lit(x) for (s, r), to in template.moves.items() for x in (f"{s}>{r}", to)])
     state = F.aggregate("turns", F.lit("start"), lambda s, x: F.coalesce(F.try_element_at(moves, F.concat(s, F.lit(">"), x.role)), F.lit("invalid")))
-    seg = lambda text, loss: F.struct(text.alias("text"), loss.alias("loss"))
-    pieces = F.flatten(F.transform("turns", lambda x: F.array(
-        seg(_pick(x.role, template, 0, F.concat(F.lit("[ROLE "), escape(x.role), F.lit("]"))), F.lit(False)),
-        seg(escape(x.text), _pick(x.role, template, 2, F.lit(False))),
-        seg(_pick(x.role, template, 1, F.lit("[/ROLE]")), F.lit(False)),
+    text = F.array_join(F.transform("turns", lambda x: F.concat(opening(x.role), escape(x.text), closing(x.role))), "")
+    span = lambda at, size, loss: F.struct(at.alias("start"), size.alias("length"), loss.alias("loss"))
+    spans = F.flatten(F.transform("turns", lambda x: F.array(
+        span(x["at"], x["head"], F.lit(False)), span(x["at"] + x["head"], x["body"], _pick(x.role, template, 2, F.lit(False))), span(x["at"] + x["head"] + x["body"], x["tail"], F.lit(False)),
     )))
-    built = grouped.select("conv_id", F.size("turns").cast("long").alias("n_turns"), state.alias("state"), pieces.alias("segments"))
-    ends = F.aggregate("segments", F.array().cast("array<struct<start:int,length:int,loss:boolean>>"), lambda a, x: F.concat(a, F.array(F.struct(
-        F.coalesce(F.get(a, F.size(a) - 1)["start"] + F.get(a, F.size(a) - 1)["length"], F.lit(0)).alias("start"), F.length(x.text).alias("length"), x.loss.alias("loss")))))
-    return built.select("conv_id", "n_turns", "state", F.array_join(F.transform("segments", lambda x: x.text), "").alias("formatted"), ends.alias("spans"))
+    return grouped.select("conv_id", F.size("turns").cast("long").alias("n_turns"), state.alias("state"), text.alias("formatted"), spans.alias("spans"))
 
 
 def read_chats(formatted: DataFrame, template: ChatTemplate = ChatTemplate()) -> DataFrame:
-    """What ``format_chats`` wrote, from ``formatted`` and ``spans`` alone: conv_id, turns(role, text), loss_text, formatted."""
+    """What ``format_chats`` wrote, from ``formatted`` and ``spans`` alone: conv_id, turns(role, text), loss_text, formatted.
+
+    One row per row of ``formatted``; empty texts and roles come back empty (so do null ones), and an
+    empty table gives an empty one.
+    """
     closings = "|".join(rf"\Q{c}\E" for c in sorted({c for _, c, _ in template.roles.values()} | {"[/ROLE]"}))
     pattern = rf"(\[[^\]]*\])([^\[<]*)({closings})"
     names = {o: r for r, (o, _, _) in template.roles.items()}
@@ -85,11 +93,14 @@ def read_chats(formatted: DataFrame, template: ChatTemplate = ChatTemplate()) ->
 
     openings, bodies = (F.regexp_extract_all("formatted", F.lit(pattern), k) for k in (1, 2))
     turns = F.zip_with(openings, bodies, lambda o, b: F.struct(role(o).alias("role"), unescape(b).alias("text")))
-    loss = F.array_join(F.transform(F.filter("spans", lambda s: s.loss), lambda s: unescape(F.substring("formatted", s.start + 1, s.length))), "")
+    #: Spans come in threes, the text of a turn in the middle: segments are taken as the pattern finds them, not by
+    #: their places, since finding a place in a long text means counting its characters from the start.
+    loss = F.array_join(F.transform(bodies, lambda x, i: F.when(F.get("spans", 3 * i + 1)["loss"], unescape(x))), "")
     return formatted.select("conv_id", turns.alias("turns"), loss.alias("loss_text"), "formatted", *[c for c in ("state",) if c in formatted.columns])
 
 
 def digests(read: DataFrame) -> DataFrame:
+    """Counts and digests of each row of ``read``; no assistant turn: no characters under the loss mask and the digest of nothing."""
     told = F.array_join(F.transform("turns", lambda x: F.concat(x.role, F.lit("\n"), x.text, F.lit("\n"))), "")
     return read.select(
         "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(told.cast("binary"), 256).alias("turns_sha256"),

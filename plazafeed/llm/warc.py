@@ -1,7 +1,8 @@
 """WARC archives: a deterministic sharded writer and a streaming reader.
 
-Records are range-sorted by page id, so a shard's records and bytes depend on the rows
-alone. Every record is a gzip member of its own with headers and digests made anew; a file
+Records are range-sorted by page id, then payload. A shard is as many records in this order
+as have a given number of bytes, counted from the first record on, so its records and bytes
+depend on the rows alone: not on partitions, sampling or retries. Every record is a gzip member of its own with headers and digests made anew; a file
 is closed once its compressed size passes the limit. Files are written under names of the
 task attempt and renamed; the manifest, a table that Spark's own committer publishes in one
 step, lists what belongs to the archive, and the reader opens nothing else.
@@ -22,6 +23,7 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import ranges
 from .common import n_partitions, stage, text_or_empty
 
 MANIFEST = "first_page long, last_page long, file string, n_records long, n_bytes long, sha256 string"
@@ -83,29 +85,46 @@ class _Shard:
             self.out = None
 
 
-def write_archive(pages: DataFrame, root: str, min_revisit_bytes: int = 1000, roll_bytes: int = 16 << 20, level: int = 6, as_of: datetime = datetime(2024, 1, 31, tzinfo=timezone.utc)) -> DataFrame:
+def write_archive(pages: DataFrame, root: str, min_revisit_bytes: int = 1000, roll_bytes: int = 16 << 20, level: int = 6, as_of: datetime = datetime(2024, 1, 31, tzinfo=timezone.utc), shard_bytes: int = 16 << 20) -> DataFrame:
     """Write one record per row of ``pages(page_id, url, html)`` under ``root``; returns the manifest.
 
     Of records with equal payloads of at least ``min_revisit_bytes`` that with the largest
     page_id is the response and the others revisit it; of rows with that same page_id the
     first written is the response. Rows without page_id are responses, as nothing could
-    name them. A null html or url is empty. The html itself is shuffled once: a row for
-    each revisit is sorted in just before its page.
+    name them; they come first, by url and payload, in as many shards as they need. A null
+    html or url is empty; repeated rows are records of their own; an empty table gives an
+    empty manifest. A shard takes about ``shard_bytes`` of payload and rolls its file once its
+    compressed size passes ``roll_bytes``. The html itself is shuffled once: a row for each
+    revisit is sorted in just before its page. Files that lost attempts left unfinished go at the end.
     """
+    spark = pages.sparkSession
     src = pages.select(F.col("page_id").cast("long"), text_or_empty("url").alias("url"), text_or_empty("html").alias("html"))
-    size = F.octet_length("html").cast("long")
-    light = stage(src.where(size >= min_revisit_bytes).where("page_id is not null").select("page_id", F.sha1(F.col("html").cast("binary")).alias("digest")), "warc-digests")
-    last = light.groupBy("digest").agg(F.max("page_id").alias("target"), F.count("*").alias("n")).where("n > 1").drop("n")
-    marks = light.join(last, "digest").select("page_id", F.lit(None).cast("string").alias("url"), F.col("digest").alias("html"), F.col("target"), F.lit(0).alias("is_page")).distinct()
-    rows = src.select("page_id", "url", "html", F.lit(None).cast("long").alias("target"), F.lit(1).alias("is_page")).union(marks)
-    parts = max(n_partitions(pages.sparkSession), 1)
-    ordered = rows.repartitionByRange(parts, F.col("page_id").asc_nulls_first()).sortWithinPartitions(F.col("page_id").asc_nulls_first(), "is_page", "url", "html")
+    src = src.withColumn("digest", F.sha1(F.col("html").cast("binary")))
+    #: Rows of one page and payload stay together; rows without page_id are spread by all they have.
+    of_digest = F.conv(F.substring("digest", 1, 15), 16, 10).cast("long")
+    tied = src.withColumn("tie", F.when(F.col("page_id").isNull(), F.xxhash64("url", "digest")).otherwise(of_digest))
+    light = stage(tied.select("page_id", "tie", "digest", (F.octet_length("html").cast("long") + F.octet_length("url") + 500).alias("size"), (F.octet_length("html") >= min_revisit_bytes).alias("large")), "warc-digests")
+    named = light.where("large and page_id is not null").select("page_id", "tie", "digest")
+    last = named.groupBy("digest").agg(F.max("page_id").alias("target"), F.count("*").alias("n")).where("n > 1").drop("n")
+    marks = named.join(last, "digest").select("page_id", "tie", F.lit(None).cast("string").alias("url"), F.col("digest").alias("html"), "target", F.lit(0).alias("is_page")).distinct()
+    rows = tied.select("page_id", "tie", "url", "html", F.lit(None).cast("long").alias("target"), F.lit(1).alias("is_page")).union(marks)
+    shards = spark.sparkContext.broadcast(ranges.cut(light.select(F.col("page_id").alias("key"), "tie", "size"), shard_bytes))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(shards.value.of(b.column(0), b.column(1).to_numpy())), *b.columns], names=["shard", *b.schema.names])
+
+    dealt = rows.mapInArrow(deal, "shard long, page_id long, tie long, url string, html string, target long, is_page int")
+    ordered = dealt.repartition(max(n_partitions(spark), 1), "shard").sortWithinPartitions("shard", F.col("page_id").asc_nulls_first(), "tie", "is_page", "url", "html").drop("tie")
     date = as_of.strftime("%Y-%m-%dT%H:%M:%SZ")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, at, targets, used = _Shard(root, roll_bytes, level), None, {}, set()
+        out, now, at, targets, used = _Shard(root, roll_bytes, level), None, None, {}, set()
         for b in batches:
-            for page, url, html, target, is_page in zip(*(c.to_pylist() for c in b.columns)):
+            for shard, page, url, html, target, is_page in zip(*(c.to_pylist() for c in b.columns)):
+                if shard != now:
+                    out.close()
+                    now = shard
                 if page != at:
                     at, targets, used = page, {}, set()
                 if not is_page:
@@ -117,12 +136,15 @@ def write_archive(pages: DataFrame, root: str, min_revisit_bytes: int = 1000, ro
                 if to == page and page is not None and digest not in used:
                     to = None
                     used.add(digest)
-                shard.add(page, _record(page, url, payload, digest, to, date))
-        shard.close()
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*shard.done) if shard.done else [()] * 6, (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string()))], names=["first_page", "last_page", "file", "n_records", "n_bytes", "sha256"])
+                out.add(page, _record(page, url, payload, digest, to, date))
+        out.close()
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out.done) if out.done else [()] * 6, (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string()))], names=["first_page", "last_page", "file", "n_records", "n_bytes", "sha256"])
 
     ordered.mapInArrow(run, MANIFEST).write.parquet(f"{root}/_manifest")
-    return read_manifest(pages.sparkSession, root)
+    store, base = _open(root)
+    if store.get_file_info(f"{base}/_temporary").type == pafs.FileType.Directory:
+        store.delete_dir(f"{base}/_temporary")
+    return read_manifest(spark, root)
 
 
 def read_manifest(spark: SparkSession, root: str) -> DataFrame:
@@ -145,7 +167,11 @@ def _members(stream, block: int = 1 << 20) -> Iterator[bytes]:
 
 
 def read_archive(spark: SparkSession, root: str, payload: bool = True) -> DataFrame:
-    """The records of the files that the manifest names; digests and lengths are checked, a mismatch raises."""
+    """The records of the files that the manifest names; digests and lengths are checked, a mismatch raises.
+
+    One row per record: page_id null where it was, an empty payload where the html was null
+    or empty, payload null for revisits (and for all, without ``payload``). An empty archive gives an empty table.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, base = _open(root)

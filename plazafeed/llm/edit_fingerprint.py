@@ -18,15 +18,18 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import ranges
 from .common import components, n_partitions, stage, text_or_empty
 from .simhash import _bucket_of as bucket_of
 
 BITS, SEED, PERIOD = 256, 20240131, 1 << 13
 #: Below so many walks a plain loop beats array steps; characters walked at a time (a longer text goes alone).
 FEW, BLOCK = 24, 6_000_000
+#: Characters of a range of documents.
+RANGE = 4_000_000
 #: Members of a bucket that are compared pair by pair at once; in a larger one so many leaders come first.
 PAIRWISE, LEADERS = 16, 16
 #: The chance that banding misses a pair of just the likeness asked for.
@@ -269,41 +272,32 @@ def near_groups(docs: DataFrame, min_likeness: float = 0.8, bands: int | None =
     return with_classes(fps, min_likeness, bands, rows)
 
 
-def _bucket(cuts: list[int]) -> Column:
-    """How many of the ascending ``cuts`` lie at or below doc_id; a null id is below all."""
-    a = F.array(*[F.lit(c).cast("long") for c in cuts]) if cuts else F.array().cast("array<long>")
-    return F.coalesce(F.size(F.filter(a, lambda c: c <= F.col("doc_id"))), F.lit(0))
-
-
 def edited_pairs(docs: DataFrame, digest_only: bool = True) -> DataFrame:
     """Fingerprint every text, its edited text and the next document's, in order of descending doc_id.
 
     The edited text is the text with its last half (rounded down) replaced by as many first
     characters of the next document, or all it has; the last document's next is the first.
-    Rows are dealt by ranges of doc_id; the first row of a range also goes to the range
-    before it, where the last row needs it, so neither a task nor the driver sees more than
-    one range. Null ids come last; rows with equal ids are ordered by text. A null text is
-    empty, with a fingerprint of zeros; two empty texts are alike (1). One row per row of ``docs``.
+    Rows are dealt by ranges in that order, cut by their characters; the first row of a
+    range also goes to the range before it, where the last row needs it, so neither a task
+    nor the driver sees more than one range. Null ids come last; rows with equal ids (null
+    ones too) are ordered by a hash of the text, and a range may begin among them. A null text
+    is empty, with a fingerprint of zeros; two empty texts are alike (1). One row per row of ``docs``.
     """
     spark = docs.sparkSession
-    src = docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text"))
-    n = 4 * max(n_partitions(spark), 2)
-    cuts = src.agg(F.percentile_approx("doc_id", [k / n for k in range(1, n)], 10000).alias("c")).first()["c"] or []
-    keyed = src.withColumn("bucket", _bucket(sorted({*cuts})))
-    #: Of each range the first row's id and text digest: as many rows as ranges.
-    order = [F.col("doc_id").desc_nulls_last(), F.col("tie").desc()]
-    tied = keyed.withColumn("tie", F.xxhash64("text"))
-    heads = tied.groupBy("bucket").agg(F.max(F.struct(F.col("doc_id").isNotNull().alias("k"), "doc_id", "tie")).alias("head")).orderBy("bucket").collect()
-    to = {h["bucket"]: (heads[k + 1]["bucket"] if k + 1 < len(heads) else heads[0]["bucket"], h["head"]["doc_id"], h["head"]["tie"]) for k, h in enumerate(heads)}
-    if not to:
-        to = {0: (0, None, 0)}
-    goes = F.create_map(*[x for b, (t, _, _) in to.items() for x in (F.lit(b), F.lit(t))])
-    head_id = F.create_map(*[x for b, (_, i, _) in to.items() for x in (F.lit(b), F.lit(i).cast("long"))])
-    head_tie = F.create_map(*[x for b, (_, _, e) in to.items() for x in (F.lit(b), F.lit(e).cast("long"))])
-    is_head = F.col("doc_id").eqNullSafe(head_id[F.col("bucket")]) & (F.col("tie") == head_tie[F.col("bucket")])
-    copies = F.when(is_head, F.array(F.struct(F.col("bucket").alias("to"), F.lit(0).alias("borrowed")), F.struct(goes[F.col("bucket")].alias("to"), F.lit(1).alias("borrowed")))).otherwise(F.array(F.struct(F.col("bucket").alias("to"), F.lit(0).alias("borrowed"))))
-    dealt = tied.select("doc_id", "text", "tie", F.explode(copies).alias("c")).select("doc_id", "text", "tie", "c.to", "c.borrowed")
-    ordered = dealt.repartition(n_partitions(spark), "to").sortWithinPartitions("to", "borrowed", *order).select("to", "borrowed", "doc_id", "text")
+    tied = docs.select(F.col("doc_id").cast("long"), F.xxhash64(text_or_empty()).alias("tie"), text_or_empty().alias("text"))
+    cuts = spark.sparkContext.broadcast(ranges.cut(tied.select(F.col("doc_id").alias("key"), "tie", (F.length("text") + 50).cast("long").alias("size")), RANGE))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        r = cuts.value
+        for b in batches:
+            no = r.of(b.column(0), b.column(1).to_numpy())
+            heads = np.flatnonzero(r.ends(b.column(0), b.column(1).to_numpy(), no))
+            for take, to, borrowed in ((np.arange(len(no)), no, 0), (heads, (no[heads] + 1) % max(len(r), 1), 1)):
+                rows = b.take(pa.array(take))
+                yield pa.RecordBatch.from_arrays([pa.array(to), pa.array(np.full(len(take), borrowed, np.int32)), *rows.columns], names=["to", "borrowed", "doc_id", "tie", "text"])
+
+    dealt = tied.mapInArrow(deal, "to long, borrowed int, doc_id long, tie long, text string")
+    ordered = dealt.repartition(n_partitions(spark), "to").sortWithinPartitions("to", "borrowed", F.col("doc_id").desc_nulls_last(), F.col("tie").desc()).select("to", "borrowed", "doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def pairs() -> Iterator[tuple[int | None, str, str]]:

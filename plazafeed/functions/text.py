@@ -36,10 +36,11 @@ def strip_html(c: Column) -> Column:
 
 
 def normalize(c: Column) -> Column:
-    """Entities decoded, no-break spaces plain, blanks collapsed, at most one empty line, trimmed."""
-    c = F.replace(decode_entities(F.coalesce(c, F.lit(""))), F.lit(" "), F.lit(" "))
-    c = F.regexp_replace(F.regexp_replace(c, r"[ \t\f\r]+", " "), r" ?\n ?", "\n")
-    return F.trim(F.regexp_replace(c, r"\n{3,}", "\n\n"))
+    """Entities decoded, no-break spaces plain, blanks collapsed and none beside a line end, at most one empty line, trimmed."""
+    c = F.replace(decode_entities(F.coalesce(c, F.lit(""))), F.lit("\u00a0"), F.lit(" "))
+    c = F.regexp_replace(F.replace(c, F.lit("\r"), F.lit("\n")), r"\n{3,}", "\n\n")
+    c = F.regexp_replace(F.regexp_replace(c, r"[ \t]+", " "), r" *\n *", "\n")
+    return F.regexp_replace(c, r"^\s+|\s+\z", "")
 
 
 def fingerprint_text(c: Column) -> Column:
@@ -65,7 +66,12 @@ def search_text(c: Column) -> Column:
 
 def tokens(c: Column, stop: Sequence[str] = rules.STOP_WORDS) -> Column:
     """Distinct words of ``fingerprint_text`` with three characters or more, without stop words."""
-    words = F.filter(F.split(fingerprint_text(c), " "), lambda w: F.length(w) >= 3)
+    return plain_tokens(fingerprint_text(c), stop)
+
+
+def plain_tokens(plain: Column, stop: Sequence[str] = rules.STOP_WORDS) -> Column:
+    """``tokens`` of a text that is a fingerprint text already."""
+    words = F.filter(F.split(plain, " "), lambda w: F.length(w) >= 3)
     return F.array_except(words, F.array(*map(F.lit, stop))) if stop else F.array_distinct(words)
 
 
@@ -83,14 +89,35 @@ def overlap_ratio(a: Column, b: Column) -> Column:
     return F.when(F.least(F.size(a), F.size(b)) > 0, overlap(a, b) / F.least(F.size(a), F.size(b))).otherwise(F.lit(0.0))
 
 
+#: What a full stop ends without ending a sentence, and words that a cut text must not end in.
+ABBREVIATIONS = "г|им|ул|д|стр|пр|респ|пос|с"
+DANGLING = "и|а|но|или|что|чтобы|как|где|когда|если|который|которая|которое|которые|каком-то|какой-то|какая-то|какие-то"
+#: What a text that was cut loses at its end, in this order: an open bracket, what follows a last dash or slash, a
+#: word that needs another, a last short word, an abbreviation. Boundaries are those of ASCII words.
+LOOSE_ENDS = [
+    (r"\s*\([^)]*\z", ""), (r"\s+[–—-]\s*[^–—-]*\z", ""), (r"\s+/\s*[^/]*\z", ""), (rf"(?iu)\s+(?:{DANGLING})\s*\z", ""),
+    (r"\s+[А-Яа-яЁё]{1,10}\s*\z", ""), (rf"(?iu)(?<=[A-Za-z0-9_])(?:{ABBREVIATIONS})\.\z", ""),
+]
+
+
+def ensure_sentence(c: Column) -> Column:
+    """The text with one mark at its end that closes a sentence."""
+    c = F.regexp_replace(F.regexp_replace(normalize(c), r"(?:\.{3,}|…)\s*\z", "."), r"[,:;–—-]\s*\z", ".")
+    c = F.trim(c)
+    return F.when(c == "", "").when(c.rlike(r"[.!?]\z"), c).otherwise(F.concat(c, F.lit(".")))
+
+
 def trim_text(c: Column, limit: int) -> Column:
-    """At most ``limit`` characters: to the last sentence end at 45 per cent or later, else to a word and a full stop."""
-    c = F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", " "))
-    head = F.substring(c, 1, limit)
-    sentence = F.regexp_extract(head, r"^(.*[.!?])(?:\s|$)", 1)
-    word = F.regexp_replace(F.regexp_extract(head, r"^(.*)\s", 1), r"[\s,;:.!?\-–—]+$", "")
-    word = F.when(word == "", head).otherwise(word)
-    return F.when(F.length(c) <= limit, c).when(F.length(sentence) >= 0.45 * limit, sentence).otherwise(F.concat(word, F.lit(".")))
+    """At most ``limit`` characters: to the last sentence end at 45 per cent or later, else to a word, without loose ends and closed by a full stop."""
+    c = normalize(c)
+    least = int(0.45 * limit)
+    head = F.regexp_replace(F.substring(c, 1, max(0, limit - 1)), r"^\s+|\s+\z", "")
+    sentence = F.regexp_extract(head, rf"(?s)^(.*(?:[!?]|(?<!(?iu:[A-Za-z0-9_](?:{ABBREVIATIONS})))\.))", 1)
+    word = F.regexp_extract(head, r"(?s)^(.*) ", 1)
+    cut = F.when(F.length(word) >= least, word).otherwise(head)
+    for pattern, to in LOOSE_ENDS:
+        cut = F.regexp_replace(cut, pattern, to)
+    return F.when(F.length(c) <= limit, c).when(F.length(sentence) > least, sentence).otherwise(ensure_sentence(F.trim(cut)))
 
 
 def ellipsis(c: Column, limit: int, mark: str = "…") -> Column:
@@ -104,8 +131,10 @@ def sentences(c: Column) -> Column:
 
 
 def lead_summary(c: Column, count: int = 2, limit: int = 180) -> Column:
-    """The first sentences, trimmed."""
-    return trim_text(F.array_join(F.slice(sentences(c), 1, count), " "), limit)
+    """The first sentences of the normalised text on one line, trimmed; the whole where it has none."""
+    c = normalize(c)
+    lead = F.array_join(F.slice(sentences(F.regexp_replace(c, r"\n+", " ")), 1, count), " ")
+    return trim_text(F.when(lead == "", c).otherwise(lead), limit)
 
 
 def whole_sentences(c: Column, limit: int = 180) -> Column:
@@ -128,19 +157,32 @@ def highlight(c: Column, title: Column, venue: Column, min_chars: int = 24) -> C
     return F.when(F.length(c) >= min_chars, c)
 
 
+#: Labels with which a sentence gives a date or place and tells nothing else.
+LABELS = "дата|место|площадка|адрес|когда|где"
+
+
+def has_highlight(c: Column, least: int = 24) -> Column:
+    """Whether the text has something to tell: ``least`` characters or more with letters or digits, and no mere date or place."""
+    n = normalize(c)
+    return (F.length(n) >= least) & (fingerprint_text(n) != "") & ~n.rlike(rf"(?iu)^({LABELS})\s*:")
+
+
 def text_quality(c: Column) -> Column:
-    c = F.coalesce(c, F.lit(""))
-    return F.length(c) + F.when(c.rlike('[«»"“”]'), 6).otherwise(0)
+    c = normalize(c)
+    return F.length(c) + F.when(c.rlike('[«»"]'), 6).otherwise(0)
+
+
+#: Words before a name that say no more than the name.
+COLLECTIVE = "группы|певца|артиста|команды|оркестра"
 
 
 def title_quality(c: Column) -> Column:
-    c = F.coalesce(c, F.lit(""))
-    generic = c.rlike("(?iu)^(концерт|спектакль|выставка|фестиваль|событие|мероприятие)[ыи]?\\s*$")
-    return F.length(c) + F.when(c.rlike("[0-9]"), 20).otherwise(0) + F.when(c.rlike('[«»"“”]'), 8).otherwise(0) - F.when(generic, 18).otherwise(0)
+    c = normalize(c)
+    return F.length(c) + F.when(c.rlike("[0-9]"), 20).otherwise(0) + F.when(c.rlike('[«»"]'), 8).otherwise(0) - F.when(c.rlike(rf"(?iu)^(?:{COLLECTIVE})\s+"), 18).otherwise(0)
 
 
 def summary_quality(c: Column) -> Column:
-    c = F.coalesce(c, F.lit(""))
+    c = normalize(c)
     return F.least(F.length(c), F.lit(260)) + F.when(c.rlike("[.!?]"), 15).otherwise(0) + F.when(c.rlike("[0-9]"), 10).otherwise(0)
 
 

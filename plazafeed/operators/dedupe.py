@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from datetime import datetime
 from itertools import chain
+from types import SimpleNamespace
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -14,29 +15,33 @@ from ..functions import keys, rules, text
 from ..functions.time import date_key, time_key, ts
 
 
-def title_key() -> Column:
-    return F.array_join(F.array_sort(text.tokens(F.col("title"))), "-")
-
-
-def venue_key() -> Column:
-    return F.replace(text.fingerprint_text(F.col("venue_title")), F.lit(" "), F.lit("-"))
-
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` written to the folder in ``spark.checkpoint.dir`` and read from there; a folder of its own only on one machine."""
+    spark = df.sparkSession
+    if spark.conf.get("spark.checkpoint.dir", None) is None and spark.sparkContext.getCheckpointDir() is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        import tempfile
 
-def summary_tokens() -> Column:
-    """Tokens of the summary beyond title and venue; all of them if none remain."""
-    own = text.tokens(F.col("summary"))
-    rest = F.array_except(F.array_except(own, text.tokens(F.col("title"))), text.tokens(F.col("venue_title")))
-    return F.when(F.size(rest) > 0, rest).otherwise(own)
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
+    return df.checkpoint()
 
 
 def with_signatures(items: DataFrame, tz: str) -> DataFrame:
-    """date_key, kind_family, token arrays, exact and loose signatures and the fingerprint."""
+    """date_key, kind_family, token arrays, exact and loose signatures and the fingerprint.
+
+    summary_tokens: those beyond title and venue, all of them if none remain. Each step adds
+    what the next one uses, so a text is tokenised once.
+    """
     family = F.create_map(*map(F.lit, chain.from_iterable(rules.KIND_FAMILY.items())))
     out = items.withColumns({
-        "date_key": date_key(F.col("event_date"), tz), "title_key": title_key(), "venue_key": venue_key(), "title_tokens": text.tokens(F.col("title")),
-        "venue_tokens": text.tokens(F.col("venue_title")), "quoted": text.quoted_tokens(F.col("title")), "summary_tokens": summary_tokens(),
-        "summary_text": text.fingerprint_text(F.col("summary")), "kind_family": F.coalesce(F.try_element_at(family, F.coalesce("kind", F.lit(""))), F.col("kind")),
+        "date_key": date_key(F.col("event_date"), tz), "summary_text": text.fingerprint_text(F.col("summary")), "title_tokens": text.tokens(F.col("title")), "venue_tokens": text.tokens(F.col("venue_title")),
+        "venue_key": F.replace(text.fingerprint_text(F.col("venue_title")), F.lit(" "), F.lit("-")), "quoted": text.quoted_tokens(F.col("title")),
+        "kind_family": F.coalesce(F.try_element_at(family, F.coalesce("kind", F.lit(""))), F.col("kind")),
     })
+    out = out.withColumns({"summary_tokens": text.plain_tokens(F.col("summary_text")), "title_key": F.array_join(F.array_sort("title_tokens"), "-")})
+    out = out.withColumn("_rest", F.array_except(F.array_except("summary_tokens", "title_tokens"), "venue_tokens"))
+    out = out.withColumn("summary_tokens", F.when(F.size("_rest") > 0, F.col("_rest")).otherwise(F.col("summary_tokens"))).drop("_rest")
     whole = F.col("date_key").isNotNull() & (F.col("title_key") != "") & (F.col("venue_key") != "")
     clock = F.when(F.coalesce("event_has_explicit_time", F.lit(False)), time_key(F.col("event_date"), tz)).otherwise("no-time")
     skey = F.array_join(F.array_sort(F.slice("summary_tokens", 1, 8)), "-")
@@ -96,11 +101,11 @@ def match_pairs(signed: DataFrame) -> DataFrame:
     ``title_pairs``; each is a pair that matches.
     """
     own = lambda c: F.col(c)
-    dated = signed.where("date_key is not null").withColumn("same", F.sha2(F.to_json(F.struct("date_key", *SAME_COLS)), 256))
+    dated = checkpointed(signed.where("date_key is not null").select("id", "date_key", *SAME_COLS).withColumn("same", F.sha2(F.to_json(F.struct("date_key", *SAME_COLS)), 256)))
     first = dated.groupBy("same").agg(F.min("id").alias("a"))
     # a row that does not match its own copy matches no row at all
     equal = dated.where(same_event(own, own)).select("id", "same").join(first, "same").where("id <> a").select("a", F.col("id").alias("b"))
-    heads = dated.join(first.select(F.col("a").alias("id")), "id", "left_semi")
+    heads = checkpointed(dated.join(first.select(F.col("a").alias("id")), "id", "left_semi"))
     signs = heads.select("id", F.explode(F.array("exact_signature", "loose_signature")).alias("sign")).where("sign <> ''")
     stars = signs.join(signs.groupBy("sign").agg(F.min("id").alias("a")), "sign").where("id <> a").select("a", F.col("id").alias("b"))
     blocks = F.concat(F.array_compact(F.array(F.when(F.col("title_key") != "", F.concat(F.lit("t:"), "title_key")))), F.transform("quoted", lambda q: F.concat(F.lit("q:"), q)))
@@ -116,67 +121,112 @@ def match_pairs(signed: DataFrame) -> DataFrame:
 
 def connected(pairs: DataFrame, nodes: DataFrame, max_rounds: int = 40) -> DataFrame:
     """``(node, root)`` for every node: the smallest one that pairs reach. Labels spread and jump; lineage is cut each round."""
-    sc = pairs.sparkSession.sparkContext
-    if pairs.sparkSession.conf.get("spark.checkpoint.dir", None) is None and sc.getCheckpointDir() is None:
-        import tempfile
-
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
-    e = pairs.select("a", "b").union(pairs.select("b", "a")).distinct().checkpoint()
-    labels = nodes.select(F.col(nodes.columns[0]).alias("node")).distinct().withColumn("root", F.col("node")).checkpoint()
+    e = checkpointed(pairs.select("a", "b").union(pairs.select("b", "a")).distinct())
+    labels = checkpointed(nodes.select(F.col(nodes.columns[0]).alias("node")).distinct().withColumn("root", F.col("node")))
     for _ in range(max_rounds):
         heard = e.join(labels, F.col("b") == F.col("node")).groupBy(F.col("a").alias("to")).agg(F.min("root").alias("r"))
         spread = labels.join(heard, F.col("node") == F.col("to"), "left").select("node", F.least("root", F.coalesce("r", "root")).alias("root"), F.col("root").alias("old"))
         up = spread.select(F.col("node").alias("n2"), F.col("root").alias("r2"))
-        new = spread.join(up, F.col("root") == F.col("n2")).select("node", F.least("root", "r2").alias("root"), "old").checkpoint()
+        new = checkpointed(spread.join(up, F.col("root") == F.col("n2")).select("node", F.least("root", "r2").alias("root"), "old"))
         labels = new.select("node", "root")
         if new.where("root <> old").isEmpty():
             return labels
     raise RuntimeError(f"groups did not settle in {max_rounds} rounds")
 
 
+def _sources() -> Column:
+    """A row's sources: its own list, else one entry from its source id, name and url."""
+    return F.array(F.struct(F.get("source_ids", 0).alias("id"), F.get("source_names", 0).alias("name"), F.col("url").cast("string").alias("url")))
+
+
+def merged_sources(df: DataFrame, group: str) -> DataFrame:
+    """``(group, sources)``: one entry for each source id (else url, else name), of several the last by item id; counted per key before groups are gathered."""
+    own = F.col("sources") if "sources" in df.columns else _sources()
+    e = df.select(group, F.col("id").alias("_item"), F.explode(own).alias("s")).withColumn("_key", text.first_truthy(F.col("s.id"), F.col("s.url"), F.col("s.name"))).where("_key is not null")
+    once = e.groupBy(group, "_key").agg(F.max_by("s", "_item").alias("s"))
+    return once.groupBy(group).agg(F.array_sort(F.collect_list(F.struct("s.id", "s.name", "s.url"))).alias("sources"))
+
+
 def merge_group(df: DataFrame, group: str) -> DataFrame:
-    """One row a group: text fields by quality (ties: the earlier id), unions of sets, best date, maxima, source_count and priority."""
+    """One row a group: text fields by quality (ties: the earlier id), unions of sets, best date, maxima, sources, source_count and priority.
+
+    The source's name goes with the title, the url with the summary (where these have one);
+    short_summary is made from the summary that stays. Rows without sources count as one.
+    """
     best = lambda c, q: F.max_by(F.col(c), F.struct(q(F.col(c)).alias("q"), (-F.col("_ord")).alias("o"))).alias(c)
+    along = lambda c, of, q, name: F.max_by(F.col(c), F.when(F.coalesce(F.col(c), F.lit("")) != "", F.struct(q(F.col(of)).alias("q"), (-F.col("_ord")).alias("o")))).alias(name)
     longest = lambda c: F.length(F.coalesce(c, F.lit("")))
-    union = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.coalesce(c, F.array().cast("array<string>")))))).alias(c)
-    d = df.withColumn("_ord", F.dense_rank().over(Window.partitionBy(group).orderBy("id")))
+    union = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.coalesce(c, F.array().cast("array<string>")))))).alias(c)
+    d = df.withColumn("_ord", F.dense_rank().over(Window.partitionBy(group).orderBy("id"))).withColumn("_name", F.get("source_names", 0))
     g = d.groupBy(group).agg(
         F.min("id").alias("id"), best("title", text.title_quality), best("summary", text.summary_quality), best("venue_title", text.text_quality), best("kind", longest),
-        F.max_by("image_url", F.when(F.coalesce("image_url", F.lit("")) != "", F.col("updated_at"))).alias("image_url"), F.min_by("url", "id").alias("url"),
+        along("_name", "title", text.title_quality, "source_name"), along("url", "summary", text.summary_quality, "url"),
+        F.max_by("image_url", F.when(F.coalesce("image_url", F.lit("")) != "", F.col("updated_at"))).alias("image_url"),
         union("categories"), union("source_ids"), union("source_names"), F.array_sort(F.collect_set("url")).alias("duplicate_urls"),
         F.min_by("event_date", F.struct((~F.coalesce("event_has_explicit_time", F.lit(False))).alias("e"), "event_date")).alias("event_date"),
         F.max(F.coalesce("event_has_explicit_time", F.lit(False))).alias("event_has_explicit_time"), F.max("score").alias("score"), F.max("base_score").alias("base_score"),
         F.min("seen_at").alias("seen_at"), F.max("updated_at").alias("updated_at"), F.count("*").alias("group_size"),
     )
-    g = g.withColumn("source_count", F.greatest(F.size("source_ids"), F.lit(1)))
+    s = merged_sources(df, group).withColumnRenamed(group, "_g")
+    g = g.join(s, F.col(group).eqNullSafe(F.col("_g")), "left").drop("_g")
+    g = g.withColumn("source_count", F.greatest(F.coalesce(F.size("sources"), F.lit(1)), F.lit(1))).withColumn("short_summary", text.lead_summary(F.col("summary")))
     return g.withColumn("priority_score", F.coalesce("base_score", "score", F.lit(0.0)) + 6 * (F.col("source_count") - 1))
 
 
 def collapse(items: DataFrame, tz: str, mode: str = "components") -> DataFrame:
     """One row an event. ``components``: matching pairs, connected; ``fold``: rows in id order join the first group whose
-    merged signature they match, date by date (the sequential reading of the rule, for checking and small dates)."""
+    merged fields they match, date by date (the sequential reading of the rule, for checking and small dates). Undated
+    rows match nothing."""
     signed = with_signatures(items, tz)
     if mode == "components":
         roots = connected(match_pairs(signed), signed.select("id"))
         grouped = signed.join(roots, F.col("id") == F.col("node")).drop("node")
     else:
-        grouped = signed.groupBy("date_key").applyInPandas(_fold, signed.select("*", F.col("id").alias("root")).schema)
+        clock = F.when(F.coalesce("event_has_explicit_time", F.lit(False)), time_key(F.col("event_date"), tz)).otherwise("no-time")
+        rated = signed.withColumns({"title_q": text.title_quality(F.col("title")), "summary_q": text.summary_quality(F.col("summary")), "venue_q": text.text_quality(F.col("venue_title")), "clock": clock})
+        folded = rated.where("date_key is not null").groupBy("date_key").applyInPandas(_fold, rated.select("*", F.col("id").alias("root")).schema)
+        grouped = folded.unionByName(rated.where("date_key is null").withColumn("root", F.col("id"))).drop("title_q", "summary_q", "venue_q", "clock")
     return merge_group(grouped, "root").drop("root")
 
 
 def _fold(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Greedy first match against each group's first row."""
+    """Greedy first match against what each group has merged so far: its best title, summary and venue, and their signatures."""
     pdf = pdf.sort_values("id")
-    heads: list[tuple] = []
+    heads: list[SimpleNamespace] = []
     roots = []
     for r in pdf.itertuples():
-        root = next((h.id for h in heads if _same(h, r)), None)
-        if root is None:
+        r = SimpleNamespace(**{k: getattr(r, k) for k in _FOLDED})
+        head = next((h for h in heads if _same(h, r)), None)
+        if head is None:
             heads.append(r)
-        roots.append(r.id if root is None else root)
+            roots.append(r.id)
+            continue
+        roots.append(head.id)
+        if r.title_q > head.title_q:
+            head.title_q, head.title_key, head.title_tokens, head.quoted = r.title_q, r.title_key, r.title_tokens, r.quoted
+        if r.summary_q > head.summary_q:
+            head.summary_q, head.summary_text = r.summary_q, r.summary_text
+        if r.venue_q > head.venue_q:
+            head.venue_q, head.venue_key, head.venue_tokens = r.venue_q, r.venue_key, r.venue_tokens
+        timed = lambda x: (x.clock == "no-time", x.event_date)
+        if timed(r) < timed(head):
+            head.clock, head.event_date = r.clock, r.event_date
+        own = [w for w in dict.fromkeys(head.summary_text.split(" ")) if len(w) >= 3 and w not in _STOP]
+        rest = [w for w in own if w not in {*head.title_tokens, *head.venue_tokens}]
+        head.summary_tokens = rest or own
+        key = "-".join(sorted(head.summary_tokens[:8]))
+        head.exact_signature = f"exact:{head.date_key}:{head.clock}:{head.title_key}:{head.venue_key}" if head.title_key and head.venue_key else ""
+        head.loose_signature = f"loose:{head.date_key}:{head.title_key}:{key}" if head.title_key and key else ""
     return pdf.assign(root=roots)
 
 
+_STOP = frozenset(rules.STOP_WORDS)
+_FOLDED = (
+    "id", "date_key", "kind_family", "title_key", "venue_key", "title_tokens", "venue_tokens", "quoted", "summary_tokens", "summary_text", "exact_signature", "loose_signature",
+    "event_date", "title_q", "summary_q", "venue_q", "clock",
+)
+
+
 def _same(a, b) -> bool:
     """``same_event`` on two plain rows."""
     sets = {c: (set(getattr(a, c)), set(getattr(b, c))) for c in ("title_tokens", "venue_tokens", "quoted", "summary_tokens")}

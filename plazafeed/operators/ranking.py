@@ -2,19 +2,19 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Sequence
 from datetime import datetime
 from functools import reduce
 from itertools import chain
 from math import ceil
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import keys, rules, text
 from ..functions.time import ts
-from . import filters, joins
+from . import dedupe, filters, joins
 
 
 def feed_order(locale: str | None = "ru") -> list[Column]:
@@ -54,9 +54,9 @@ def editorial_score(df: DataFrame, as_of: datetime | str) -> DataFrame:
     score = (
         3 * F.least(F.coalesce("priority_score", F.lit(0.0)), F.lit(220.0)) + 55 * F.least(F.coalesce("source_count", F.lit(1)), F.lit(4)) + date_points
         + F.coalesce(F.try_element_at(kinds, F.coalesce("kind", F.lit(""))), F.lit(28))
-        + F.least(F.lit(140), round_half_up(text.summary_quality(F.col("summary")) / 3)) + F.least(F.lit(60), round_half_up(F.greatest(F.lit(0), text.title_quality(F.col("title"))) / 4))
+        + F.least(F.lit(140), round_half_up(text.summary_quality(F.col("summary")) / 3)) + F.least(F.lit(60), round_half_up(text.title_quality(F.col("title")) / 4))
         + F.least(F.lit(28), round_half_up(text.text_quality(F.col("short_summary")) / 5)) + bonus(F.coalesce("event_has_explicit_time", F.lit(False)), 18)
-        + bonus(has("venue_title"), 18) + bonus(has("url"), 12) + bonus(has("source_label"), 8) + bonus(F.coalesce(festive, F.lit(False)), 10) + bonus(F.length(F.coalesce("summary", F.lit(""))) >= 24, 16) + image
+        + bonus(has("venue_title"), 18) + bonus(has("url"), 12) + bonus(has("source_label"), 8) + bonus(F.coalesce(festive, F.lit(False)), 10) + bonus(text.has_highlight(F.col("summary")), 16) + image
     )
     return df.withColumn("editorial_score", score)
 
@@ -73,43 +73,62 @@ def quotas(limit: int) -> dict[str, int]:
 
 
 def select_batch(cands: DataFrame, history: DataFrame, pending: DataFrame, limit: int, as_of: datetime | str, tiers: Sequence[int] = (4, 2, 1, 0), score: str = "editorial_score") -> DataFrame:
-    """Up to ``limit`` candidates: the longest cool-down first, then the best of each preferred kind, then within kind quotas, then any.
+    """Up to ``limit`` candidates, with the tier, phase and position in which they were taken.
 
-    Pending and recently posted events go by shared identity; of equal signatures or visuals
-    the best stays. What can still win (8 times the limit, 40 at least) then passes an exact
-    greedy pass that compares every choice with those before it.
+    Tier by tier, the longest cool-down first: the best of each preferred kind that the
+    batch has none of yet (phase 1), then the best within kind quotas (2), then the best (3).
+    Pending events go by shared identity, as do those posted within the tier's days and
+    those that share an identity, a visual, or title and day with what the batch has.
+
+    Every choice is one query for the best candidate left, over all of them: there are at
+    most ``limit`` choices, and the driver holds these rows alone. Ties: the smaller id.
     """
-    base = joins.anti_identity(cands, pending)
-    tiered = None
-    for rank, days in enumerate(tiers):
-        t = (joins.cooldown(base, history, as_of, days) if days else base).withColumn("tier", F.lit(rank))
-        tiered = t if tiered is None else tiered.unionByName(t)
-    one = tiered.groupBy("id").agg(F.min("tier").alias("tier"))
-    c = base.join(one, "id").withColumn("visual_key", visual_key())
-    for key in ("event_signature", "event_loose_signature", "visual_key"):
-        w = Window.partitionBy(F.when(F.coalesce(key, F.lit("")) == "", F.col("id").cast("string")).otherwise(F.col(key))).orderBy("tier", F.desc(score), "id")
-        c = c.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
-    known = F.when(F.col("kind").isin(*rules.PREFERRED_KINDS), F.col("kind")).otherwise("other")
-    q = F.create_map(*map(F.lit, chain.from_iterable(quotas(limit).items())))
-    c = c.withColumn("kind_group", known).withColumn("kind_rank", F.row_number().over(Window.partitionBy("tier", "kind_group").orderBy(F.desc(score), "id")))
-    first = (F.col("kind_rank") == 1) & (F.col("kind_group") != "other")
-    c = c.withColumn("phase", F.when(first, 1).when(F.col("kind_rank") <= q[F.col("kind_group")], 2).otherwise(3))
-    pref = F.array_position(F.array(*map(F.lit, rules.PREFERRED_KINDS)), F.col("kind_group"))
-    order = ["tier", "phase", F.when(F.col("phase") == 1, pref).otherwise(0), F.desc(score), "id"]
-    short = c.orderBy(*order).limit(max(8 * limit, 40)).withColumn("pos", F.row_number().over(Window.orderBy(*order)))
-    return short.withColumn("_all", F.lit("")).groupBy("_all").applyInPandas(lambda pdf: _greedy(pdf.drop(columns="_all"), limit), short.schema)
-
-
-def _greedy(pdf: pd.DataFrame, limit: int) -> pd.DataFrame:
-    """Over a shortlist whose size the limit fixes: take rows in order that share no visual and no title of one day with those taken."""
-    seen: set[tuple] = set()
-    take = []
-    for i, r in pdf.sort_values("pos").iterrows():
-        marks = {("v", r["visual_key"])} | ({("t", r.get("date_key"), r.get("title_key"))} if r.get("title_key") else set())
-        if len(take) < limit and not marks & seen:
-            seen |= marks
-            take.append(i)
-    return pdf.loc[take]
+    base = joins.anti_identity(cands, pending).withColumn("visual_key", visual_key())
+    known = F.coalesce("kind", F.lit("other"))
+    marks = joins.identity_keys(base, "id").groupBy("id").agg(F.collect_set("identity").alias("marks"))
+    day = F.when(F.coalesce("title_key", F.lit("")) != "", F.concat_ws("|", F.lit("day"), "date_key", "title_key")) if {"date_key", "title_key"} <= set(base.columns) else F.lit(None).cast("string")
+    tagged = base.join(marks, "id", "left").withColumn("marks", F.array_compact(F.concat(F.coalesce("marks", F.array().cast("array<string>")), F.array(F.concat(F.lit("visual|"), "visual_key"), day)))).withColumn("kind_group", known)
+    quota, kinds = quotas(limit), rules.PREFERRED_KINDS
+    taken: list[tuple] = []
+    seen: set[str] = set()
+    counts: Counter[str] = Counter()
+
+    def best(left: DataFrame, groups: Sequence[str] | None = None) -> list:
+        """The best candidate of each of ``groups`` that shares nothing with the batch, or the best of all."""
+        free = left.where(~F.arrays_overlap("marks", F.array(*map(F.lit, sorted(seen)))) & ~F.col("id").isin([t[0] for t in taken])) if seen else left
+        lead = F.min_by(F.struct("id", "kind_group", "marks"), F.struct((-F.col(score)).alias("s"), "id"))
+        if groups is not None:
+            return [r["lead"] for r in free.where(F.col("kind_group").isin(*groups)).groupBy("kind_group").agg(lead.alias("lead")).collect()] if groups else []
+        row = free.agg(lead.alias("lead")).first()["lead"]
+        return [row] if row else []
+
+    def take(row, tier: int, phase: int) -> None:
+        taken.append((row["id"], tier, phase, len(taken) + 1))
+        seen.update(row["marks"])
+        counts[row["kind_group"]] += 1
+
+    for tier, days in enumerate(tiers):
+        if len(taken) >= limit:
+            break
+        left = dedupe.checkpointed((joins.cooldown(tagged, history, as_of, days) if days else tagged).select("id", "kind_group", "marks", score))
+        wanted = [k for k in kinds if not counts[k]]
+        leads = {r["kind_group"]: r for r in best(left, wanted)}
+        for k in wanted:
+            if len(taken) < limit and k in leads:
+                row = leads[k] if not seen & {*leads[k]["marks"]} else next(iter(best(left, [k])), None)
+                if row is not None:
+                    take(row, tier, 1)
+        while len(taken) < limit:
+            full = [k for k, n in counts.items() if n >= quota.get(k, quota["other"])]
+            row = next(iter(best(left.where(~F.col("kind_group").isin(*full)) if full else left)), None)
+            if row is None:
+                break
+            take(row, tier, 2)
+        while len(taken) < limit and (rows := best(left)):
+            take(rows[0], tier, 3)
+    kind = dict(tagged.dtypes)["id"]
+    picked = cands.sparkSession.createDataFrame(taken, f"id {kind}, tier int, phase int, pos int")
+    return tagged.drop("marks", "kind_group").join(F.broadcast(picked), "id")  # at most ``limit`` rows
 
 
 def next_unposted(items: DataFrame, posted: DataFrame, pending: DataFrame, n: int, key: str = "item_id") -> DataFrame:

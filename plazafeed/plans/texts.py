@@ -64,9 +64,18 @@ def quality_flags(spark, d):
     return A.quality_flags(x).select("doc_id", "weak_title", "weak_summary")
 
 
-@query("editorial_score", f"""WITH t AS (SELECT doc_id, {TITLE_SQL} AS title, text FROM documents)
+def norm_sql(c: str) -> str:
+    """``text.normalize`` in DuckDB."""
+    for name, char in text.ENTITIES:
+        c = f"replace({c}, '{name}', '{char.replace(chr(39), chr(39) * 2)}')"
+    c = f"regexp_replace(replace(replace({c}, chr(160), ' '), chr(13), chr(10)), '\\n{{3,}}', chr(10) || chr(10), 'g')"
+    return f"regexp_replace(regexp_replace(regexp_replace({c}, '[ \\t]+', ' ', 'g'), ' *\\n *', chr(10), 'g'), '^\\s+|\\s+\\z', '', 'g')"
+
+
+@query("editorial_score", f"""WITH t AS (SELECT doc_id, {norm_sql(TITLE_SQL)} AS title, {norm_sql("coalesce(text, '')")} AS text FROM documents)
  SELECT doc_id, CAST(3 * least(doc_id % 300, 220) + 55 * least(1 + doc_id % 5, 4) - 120 + 28 + least(140, floor((least(length(text), 260) + CASE WHEN regexp_matches(text, '[.!?]') THEN 15 ELSE 0 END + CASE WHEN regexp_matches(text, '[0-9]') THEN 10 ELSE 0 END) / 3.0 + 0.5))
- + least(60, floor((length(title) + CASE WHEN regexp_matches(title, '[0-9]') THEN 20 ELSE 0 END + CASE WHEN regexp_matches(title, '[«»"“”]') THEN 8 ELSE 0 END) / 4.0 + 0.5)) + 0 + CASE WHEN length(text) >= 24 THEN 16 ELSE 0 END - 14 AS DOUBLE) AS score FROM t""")
+ + least(60, floor((length(title) + CASE WHEN regexp_matches(title, '[0-9]') THEN 20 ELSE 0 END + CASE WHEN regexp_matches(title, '[«»"]') THEN 8 ELSE 0 END - CASE WHEN regexp_matches(title, '(?i)^(?:{text.COLLECTIVE})\\s') THEN 18 ELSE 0 END) / 4.0 + 0.5))
+ + CASE WHEN length(text) >= 24 AND {FP_SQL.format('text')} <> '' AND NOT regexp_matches(text, '(?i)^(дата|место|площадка|адрес|когда|где)\\s*:') THEN 16 ELSE 0 END - 14 AS DOUBLE) AS score FROM t""")
 def editorial_score(spark, d):
     from ..operators.ranking import editorial_score as add
 
@@ -75,13 +84,36 @@ def editorial_score(spark, d):
     return add(x, "2024-01-31 00:00:00").select("doc_id", F.col("editorial_score").cast("double").alias("score"))
 
 
-@query("trim_text", r"""WITH t AS (SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS t FROM documents), h AS (SELECT *, left(t, 180) AS head FROM t),
- p AS (SELECT *, regexp_extract(head, '(?s)^(.*[.!?])(?:\s|$)', 1) AS sentence, regexp_replace(regexp_extract(head, '(?s)^(.*)\s', 1), '[\s,;:.!?–—-]+$', '') AS word FROM h)
- SELECT doc_id, CASE WHEN length(t) <= 180 THEN t WHEN length(sentence) >= 81 THEN sentence ELSE (CASE WHEN word = '' THEN head ELSE word END) || '.' END AS short FROM p""")
+def trim_sql(c: str, limit: int, source: str) -> str:
+    """``text.trim_text`` in DuckDB, as columns (doc_id, short): abbreviations lose their full stop before the last sentence end is sought."""
+    ends = "CASE WHEN length(word) >= {k} THEN word ELSE head END".format(k=int(0.45 * limit))
+    for pattern, _ in text.LOOSE_ENDS[:-1]:
+        ends = f"regexp_replace({ends}, '{pattern.replace('(?iu)', '(?i)')}', '')"
+    ends = f"trim(regexp_replace({ends}, '(?i)([A-Za-z0-9_])(?:{text.ABBREVIATIONS})\\.\\z', '\\1'), ' ')"
+    closed = f"trim(regexp_replace(regexp_replace({norm_sql('cut')}, '(?:\\.{{3,}}|…)\\s*\\z', '.'), '[,:;–—-]\\s*\\z', '.'), ' ')"
+    return f"""WITH t AS (SELECT doc_id, {norm_sql(c)} AS t FROM {source}), h AS (SELECT *, regexp_replace(left(t, {limit - 1}), '^\\s+|\\s+\\z', '', 'g') AS head FROM t),
+ p AS (SELECT *, left(head, CAST(length(regexp_extract(regexp_replace(head, '(?i)([A-Za-z0-9_](?:{text.ABBREVIATIONS}))\\.', '\\1,', 'g'), '(?s)^(.*[.!?])', 1)) AS BIGINT)) AS sentence, regexp_extract(head, '(?s)^(.*) ', 1) AS word FROM h),
+ e AS (SELECT *, {ends} AS cut FROM p), z AS (SELECT *, {closed} AS closed FROM e)
+ SELECT doc_id, CASE WHEN length(t) <= {limit} THEN t WHEN length(sentence) > {int(0.45 * limit)} THEN sentence WHEN closed = '' OR regexp_matches(closed, '[.!?]\\z') THEN closed ELSE closed || '.' END AS short FROM z"""
+
+
+@query("trim_text", trim_sql("coalesce(text, '')", 180, "documents"))
 def trim_text(spark, d):
     return docs(spark, d).select("doc_id", text.trim_text(F.col("text"), 180).alias("short"))
 
 
+@query("trim_words", trim_sql("regexp_replace(coalesce(text, ''), '[.!?]', ' г.', 'g') || ' (open'", 60, "documents"))
+def trim_words(spark, d):
+    """Texts without sentence ends, cut at a word."""
+    c = F.concat(F.regexp_replace(F.coalesce("text", F.lit("")), "[.!?]", " г."), F.lit(" (open"))
+    return docs(spark, d).select("doc_id", text.trim_text(c, 60).alias("short"))
+
+
+@query("lead_summaries", trim_sql("CASE WHEN lead = '' THEN n ELSE lead END", 180, f"""(SELECT doc_id, n, array_to_string(list_filter(list_transform(regexp_extract_all(regexp_replace(n, '\\n+', ' ', 'g'), '[^.!?]+[.!?]?'), lambda s: trim(s, ' ')), lambda s: s <> '')[1:2], ' ') AS lead FROM (SELECT doc_id, {norm_sql("coalesce(text, '')")} AS n FROM documents))"""))
+def lead_summaries(spark, d):
+    return docs(spark, d).select("doc_id", text.lead_summary(F.col("text")).alias("short"))
+
+
 @query("summaries", r"SELECT doc_id, len(list_filter(list_transform(regexp_extract_all(text, '[^.!?]+[.!?]?'), lambda s: trim(s, ' ')), lambda s: s <> '')) AS n_sentences FROM documents")
 def summaries(spark, d):
     return docs(spark, d).select("doc_id", F.size(text.sentences(F.col("text"))).cast("long").alias("n_sentences"))
@@ -105,13 +137,47 @@ def item_ids(spark, d):
     return docs(spark, d).select("doc_id", keys.item_id(F.lit(""), F.col("source_id"), F.col("title"), F.col("lang")).alias("item_id"))
 
 
-@query("preview_keys")
+def fnv_sql(c: str) -> str:
+    """FNV-1a of ``c`` in base 36, 32 bits."""
+    return f"lower(to_base(list_reduce(list_prepend(CAST(2166136261 AS BIGINT), list_transform(list_filter(string_split({c}, ''), lambda x: x <> ''), lambda x: CAST(unicode(x) AS BIGINT))), lambda h, x: (xor(h, x) * 16777619) & 4294967295), 36))"
+
+
+def preview_sql(date: str, title: str, venue: str, kind: str) -> str:
+    return f"{date} || '-' || {fnv_sql(f'lower({date} || chr(124) || {title} || chr(124) || {venue} || chr(124) || {kind})')}"
+
+
+PREVIEW_SQL = f"""SELECT doc_id, {preview_sql("'2024-01-31'", TITLE_SQL, 'source', 'lang')} AS preview_key FROM documents"""
+
+
+@query("preview_keys", PREVIEW_SQL)
 def preview_keys(spark, d):
     x = docs(spark, d)
     return x.select("doc_id", keys.preview_key(F.lit("2024-01-31"), F.col("title"), F.col("source_id"), F.col("lang")).alias("preview_key"))
 
 
-@query("near_dup_docs")
+def _signed_sql() -> str:
+    """CTEs up to ``s``: title tokens, title key, quoted tokens, summary tokens, their text and the loose signature of each document."""
+    stop = ", ".join(f"'{w}'" for w in rules.STOP_WORDS)
+    keep = lambda x: f"list_filter(string_split({x}, ' '), lambda w: length(w) >= 3 AND NOT list_contains([{stop}], w))"
+    quoted = FP_SQL.format("array_to_string(regexp_extract_all(title, '[«\"“]([^»\"”]+)[»\"”]', 1), ' ')")
+    return f"""d AS (SELECT doc_id, {TITLE_SQL} AS title, {FP_SQL.format("coalesce(text, '')")} AS f FROM documents),
+ k AS (SELECT doc_id, f, list_distinct({keep(FP_SQL.format('title'))}) AS tt, list_distinct({keep(quoted)}) AS q, {keep('f')} AS words FROM d),
+ w AS (SELECT doc_id, unnest(words) AS w, generate_subscripts(words, 1) AS pos FROM k), u AS (SELECT doc_id, w, min(pos) AS pos FROM w GROUP BY ALL),
+ o AS (SELECT doc_id, list(w ORDER BY pos) AS own, list(w ORDER BY pos) FILTER (NOT list_contains(tt, w)) AS rest FROM u JOIN k USING (doc_id) GROUP BY 1),
+ s AS (SELECT doc_id, f, tt, q, array_to_string(list_sort(tt), '-') AS tk, coalesce(CASE WHEN len(rest) > 0 THEN rest ELSE own END, []) AS st, array_to_string(list_sort(coalesce(CASE WHEN len(rest) > 0 THEN rest ELSE own END, [])[1:8]), '-') AS sk FROM k LEFT JOIN o USING (doc_id))"""
+
+
+#: All pairs of documents by the whole rule, then what they connect.
+_NEAR_SQL = f"""WITH RECURSIVE {_signed_sql()},
+ c AS (SELECT a.doc_id AS x, b.doc_id AS y, a.tk <> '' AND a.sk <> '' AND a.tk = b.tk AND a.sk = b.sk AS loose, a.tk <> '' AND a.tk = b.tk AS titled, len(a.q) > 0 AND len(b.q) > 0 AND len(list_intersect(a.q, b.q)) >= least(2, len(a.q), len(b.q)) AS quoted,
+ len(list_intersect(a.tt, b.tt)) >= 2 AND len(list_intersect(a.tt, b.tt)) / least(len(a.tt), len(b.tt)) >= 0.74 AS titles FROM s a JOIN s b ON a.doc_id < b.doc_id),
+ m AS (SELECT x, y, loose, titled, quoted, least(len(a.st), len(b.st)) AS low, len(list_intersect(a.st, b.st)) AS n, a.f AS f, b.f AS g FROM c JOIN s a ON a.doc_id = x JOIN s b ON b.doc_id = y WHERE loose OR titled OR quoted OR titles),
+ e AS (SELECT x, y FROM m WHERE loose OR (quoted AND NOT titled) OR low < 2 OR n >= least(4, low) OR n >= 0.75 * low OR (f <> '' AND g <> '' AND (contains(f, g) OR contains(g, f)))),
+ z AS (SELECT x, y FROM e UNION ALL SELECT y, x FROM e), r AS (SELECT doc_id AS id, doc_id AS g FROM s UNION SELECT z.y, r.g FROM r JOIN z ON z.x = r.id)
+ SELECT id AS doc_id, min(g) AS group_id FROM r GROUP BY 1"""
+
+
+@query("near_dup_docs", _NEAR_SQL)
 def near_dup_docs(spark, d):
     """Documents as items of one date: matched, connected; the rows of each group."""
     x = docs(spark, d).select("id", F.col("title"), "summary", F.lit("").alias("venue_title"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("kind"), F.lit(False).alias("event_has_explicit_time"),

@@ -81,13 +81,55 @@ def extract_listing_items(pages: DataFrame, rules: ListingRules) -> DataFrame:
     return out.withColumn("url", keys.absolute_url(F.col("url"), F.col("page_url"))).where("title <> '' or summary <> ''").drop("page_url")
 
 
-def extract_channel_posts(pages: DataFrame, source_name: str, block: str = "tgme_widget_message_text") -> DataFrame:
-    """One row a post of a channel page: first line as title, else the source's name; empty posts go."""
-    found = F.regexp_extract_all("html", F.lit(rf'(?s)<div[^>]*class="[^"]*\b{block}\b[^"]*"[^>]*>(.*?)</div>'), 1)
-    posts = pages.select("url", F.posexplode(found).alias("pos", "body"))
-    body = F.trim(text.strip_html(F.regexp_replace("body", r"(?i)<br\s*/?>", "\u2028")))
-    body = F.regexp_replace(body, "\\s*\u2028\\s*", "\n")
-    return posts.withColumn("summary", body).where("summary <> ''").select("url", "pos", text.first_truthy(F.trim(F.get(F.split("summary", "\n"), 0)), F.lit(source_name)).alias("title"), "summary")
+class _Posts(HTMLParser):
+    """Texts of the blocks with a class, whatever stands inside them; br is a line end."""
+
+    def __init__(self, block: str):
+        super().__init__()
+        self.block, self.depth, self.posts, self.post, self.top = block, 0, [], None, 0
+
+    def handle_starttag(self, tag, attrs):
+        if tag == "br" and self.post is not None:
+            self.post.append("\n")
+        if tag in ("br", "img", "input", "meta", "link", "hr"):
+            return
+        self.depth += 1
+        if self.post is None and self.block in (dict(attrs).get("class") or "").split():
+            self.post, self.top = [], self.depth
+
+    def handle_data(self, data):
+        if self.post is not None:
+            self.post.append(data.replace("\n", " "))
+
+    def handle_endtag(self, tag):
+        if tag in ("br", "img", "input", "meta", "link", "hr"):
+            return
+        if self.post is not None and self.depth <= self.top:
+            self.close_post()
+        self.depth -= 1
+
+    def close_post(self) -> None:
+        lines = (" ".join(x.split()) for x in "".join(self.post or ()).split("\n"))
+        self.posts.append("\n".join(lines).strip("\n"))
+        self.post = None
+
+
+def extract_channel_posts(pages: DataFrame, source_name: str, block: str) -> DataFrame:
+    """One row a post of a channel page, by the class of its block: first line as title, else the source's name; empty posts go."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for url, html in zip(b["url"], b["html"]):
+                p = _Posts(block)
+                p.feed(html or "")
+                if p.post is not None:
+                    p.close_post()
+                rows += [(url, k, x) for k, x in enumerate(p.posts) if x]
+            yield pd.DataFrame(rows, columns=["url", "pos", "summary"])
+
+    posts = pages.select("url", "html").mapInPandas(run, "url string, pos int, summary string")
+    return posts.select("url", "pos", text.first_truthy(F.trim(F.get(F.split("summary", "\n"), 0)), F.lit(source_name)).alias("title"), "summary")
 
 
 def extract_links(pages: DataFrame, include: str = "", exclude: str = "", limit: int | None = None, page_key: str = "page_id") -> DataFrame:

@@ -29,9 +29,10 @@ def write_snapshot(prev: DataFrame, nxt: DataFrame, mode: str, path: str, tz: st
     return dict(seen.get)
 
 
-def append_events(log: DataFrame, batch: DataFrame, cap: int) -> DataFrame:
-    """The newest ``cap`` events of log and batch."""
-    return log.unionByName(batch, allowMissingColumns=True).orderBy(F.desc("ts")).limit(cap)
+def append_events(log: DataFrame, batch: DataFrame, cap: int, tie: str | None = None) -> DataFrame:
+    """The newest ``cap`` events of log and batch; of equal times those with the larger ``tie``."""
+    both = log.unionByName(batch, allowMissingColumns=True)
+    return both.orderBy(F.desc("ts"), *([F.desc(tie)] if tie else [])).limit(cap)
 
 
 def write_report(df: DataFrame, path: str) -> None:

@@ -59,7 +59,7 @@ def test_text(spark):
     assert one(spark, text.tokens(F.lit("Большой концерт на Неве, большой"))) == ["большой", "неве"]
     assert one(spark, text.quoted_tokens(F.lit("Спектакль «Чайка» и шоу \"Лёд\""))) == ["чайка", "лед"]
     assert one(spark, text.trim_text(F.lit("Одно предложение здесь. Второе длиннее и не влезет."), 30)) == "Одно предложение здесь."
-    assert one(spark, text.trim_text(F.lit("слово " * 20), 30)) == "слово слово слово слово слово."
+    assert one(spark, text.trim_text(F.lit("слово " * 20), 30)) == "слово слово слово."  # cut at a word, and a short last word goes too
     assert one(spark, text.whole_sentences(F.lit("Раз два. Три четыре. Пять."), 20)) == "Раз два. Три четыре."
     assert one(spark, text.strip_html(F.lit("<p>A&amp;B<script>x</script> c</p>"))) == "A&B c"
     assert one(spark, text.clean_title(F.lit("19:30 Концерт | Афиша"))) == "Концерт"
@@ -248,3 +248,53 @@ def test_affinity_and_misc_joins(spark):
     it = spark.createDataFrame([("1", "T", "S", "https://i", "u", T(2026, 1, 1))], "id string, title string, summary string, image_url string, url string, event_date timestamp")
     r = J.hydrate_drafts(drafts, it).first()
     assert (r.title, r.text, r.photo_url) == ("T", "T\n\nS", "https://i")
+
+
+def greedy(rows, limit, tiers, posted):
+    """select_batch as plain loops; rows: (id, kind, score, marks), posted: {mark: days ago}."""
+    kinds = R.rules.PREFERRED_KINDS
+    base = -(-limit // 3)
+    quota = {k: base + 1 if k == "concert" else base if k in ("sport", "theatre", "show", "standup") else max(1, base - 1) for k in kinds}
+    picked, seen, counts = [], set(), {}
+    for days in tiers:
+        fit = sorted((r for r in rows if not any(posted.get(m, 99) < days for m in r[3])), key=lambda r: (-r[2], r[0]))
+        free = lambda r: r[0] not in picked and not seen & r[3]  # noqa: E731, B023
+
+        def take(r):
+            picked.append(r[0])
+            seen.update(r[3])
+            counts[r[1]] = counts.get(r[1], 0) + 1
+
+        for k in kinds:
+            m = next((r for r in fit if r[1] == k and free(r) and not counts.get(k)), None)
+            if m and len(picked) < limit:
+                take(m)
+        for r in fit:
+            if len(picked) < limit and free(r) and counts.get(r[1], 0) < quota.get(r[1], base):
+                take(r)
+        for r in fit:
+            if len(picked) < limit and free(r):
+                take(r)
+    return picked
+
+
+@pytest.mark.parametrize("limit", [5, 12])
+def test_batch_is_the_greedy_choice(spark, limit):
+    """Sixty rows of one title and a few others, repeats of identities and visuals, cool-downs."""
+    import random
+
+    r = random.Random(limit)
+    data, plain = [], []
+    for k in range(90):
+        kind = r.choice(["concert", "concert", "sport", "theatre", "quiz", None])
+        title = "Same" if k < 60 else f"Title {k % 17}"
+        sign, image = f"s{r.randrange(70)}" if k >= 60 else f"own{k}", f"https://i.test/{r.randrange(80)}.jpg" if k >= 60 else f"https://i.test/x{k}.jpg"
+        score = float(500 - k if k < 60 else r.randrange(300))
+        data.append((f"{k:03d}", f"i{k}", kind, title, "", image, sign, title.lower(), "2026-03-12", score))
+        plain.append((f"{k:03d}", kind or "other", score, {f"i:{k}", f"e:{sign}", f"v:{image}", f"d:{title}"}))
+    df = spark.createDataFrame(data, "id string, item_id string, kind string, title string, venue_title string, image_url string, event_signature string, title_key string, date_key string, editorial_score double")
+    days = {f"s{k}": k % 6 for k in range(40)}
+    posted = spark.createDataFrame([(f"d{s}", "none", s, T(2026, 3, 10 - n, 8)) for s, n in days.items()], "draft_id string, item_id string, event_signature string, posted_at timestamp")
+    none = posted.limit(0)
+    got = [x.id for x in R.select_batch(df, posted, none, limit, AS_OF).orderBy("pos").collect()]
+    assert got == greedy(plain, limit, (4, 2, 1, 0), {f"e:{s}": n + 0.01 for s, n in days.items()}) and len(got) == limit

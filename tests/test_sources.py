@@ -41,7 +41,7 @@ def test_listing(spark):
     r = S.extract_listing_items(page(spark, html), S.ListingRules("card", "t", "s")).collect()
     assert [(x.title, x.summary, x.url) for x in r] == [("Один", "Текст", "https://a.test/e/1")]
     posts = '<div class="tgme_widget_message_text js">Первая<br/>вторая</div><div class="tgme_widget_message_text"> </div>'
-    assert [(x.title, x.summary) for x in S.extract_channel_posts(page(spark, posts), "К").collect()] == [("Первая", "Первая\nвторая")]
+    assert [(x.title, x.summary) for x in S.extract_channel_posts(page(spark, posts), "К", "tgme_widget_message_text").collect()] == [("Первая", "Первая\nвторая")]
 
 
 def test_links_and_sitemaps(spark):

@@ -1,21 +1,24 @@
 """Licence scan with a positional index of rare template words, in DataFrame functions alone.
 
-The index holds, for every template, its words by position and the place of its anchor: the
-word of the mandatory key phrase with the highest inverse document frequency over the
-templates. A text is split into words once; each anchor word found in it gives a start (its
-position less the anchor's offset), the template's postings are compared with the words
-from that start on, and a match stands only if the whole key phrase does.
+The index holds, for every template, the places of the rarest words of its mandatory phrase:
+those with the highest inverse document frequency over the templates. A text is split into
+words once. Each of its words that the index knows gives starts (its position less its place in
+the template); a start counts only where all the template's postings meet, at the same
+relative position. There the whole phrase is verified, and the template is compared with
+the words from that start on.
 """
 
 from __future__ import annotations
 
 import math
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import text_or_empty
+from .license_texts import LICENSES
 
 WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -30,11 +33,11 @@ class Template:
 
     @property
     def words(self) -> list[str]:
-        return self.text.split()
+        return re.findall(WORDS, self.text.lower())
 
     @property
     def key_words(self) -> list[str]:
-        return (self.key or self.text).split()
+        return re.findall(WORDS, (self.key or self.text).lower())
 
     @property
     def key_at(self) -> int:
@@ -43,21 +46,27 @@ class Template:
 
 
 BASE = [Template("mit", "under the mit license", base=True), Template("apache-2", "apache license version 2", base=True), Template("cc-by-nc", "cc by nc", base=True)]
-TEMPLATES = [
-    *BASE,
+#: Short notices beside the licence texts.
+NOTICES = [
     Template("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software", "permission is hereby granted free of charge"),
     Template("gpl-3", "this work is licensed under the gnu general public license version 3", "gnu general public license"),
     Template("bsd", "redistribution and use in source and binary forms with or without modification are permitted", "redistribution and use in source and binary forms"),
     Template("mpl-2", "subject to the terms of the mozilla public license v 2 0", "mozilla public license"),
     Template("all-rights-reserved", "all rights reserved"),
 ]
+TEMPLATES = [*BASE, *NOTICES, *(Template(label, text, key) for label, text, key in LICENSES)]
+#: Words of a template's mandatory phrase that the index holds.
+POSTINGS = 3
 
 
-def anchor(t: Template, templates: list[Template]) -> tuple[str, int]:
-    """The key phrase's rarest word over the templates and its offset in ``t``; ties: the longer word, then the earlier."""
-    idf = lambda w: math.log(len(templates) / sum(w in x.words for x in templates))
-    k = max(range(len(t.key_words)), key=lambda i: (idf(t.key_words[i]), len(t.key_words[i]), -i))
-    return t.key_words[k], t.key_at + k
+def idf(word: str, templates: list[Template]) -> float:
+    return math.log(len(templates) / sum(word in t.words for t in templates))
+
+
+def postings(t: Template, templates: list[Template]) -> list[tuple[str, int]]:
+    """The rarest words of the mandatory phrase over the templates and their places in ``t``; ties: the longer word, then the earlier. Words that repeat in the phrase have a place each."""
+    order = sorted(range(len(t.key_words)), key=lambda i: (-idf(t.key_words[i], templates), -len(t.key_words[i]), i))
+    return [(t.key_words[i], t.key_at + i) for i in order[:POSTINGS]]
 
 
 def scan(docs: DataFrame, templates: list[Template] = TEMPLATES, min_score: float = 0.6) -> DataFrame:
@@ -69,18 +78,28 @@ def scan(docs: DataFrame, templates: list[Template] = TEMPLATES, min_score: floa
     the best share of any match, 0 without one. A null or empty text has no words, null
     first_word and last_word and empty labels. Only doc_id and text are read.
     """
-    anchors = [anchor(t, templates) for t in templates]
+    held = [postings(t, templates) for t in templates]
     strings = lambda ws: F.array(*map(F.lit, ws))
-    index = F.array(*[F.struct(F.lit(w).alias("word"), F.lit(k).alias("t"), F.lit(o).alias("o")) for k, (w, o) in enumerate(anchors)])
+    by_word: dict[str, list[tuple[int, int]]] = {}
+    for k, ps in enumerate(held):
+        for word, o in ps:
+            by_word.setdefault(word, []).append((k, o))
+    place = lambda k, o: F.struct(F.lit(k).alias("t"), F.lit(o).alias("o"))
+    index = F.create_map(*[x for word, ps in sorted(by_word.items()) for x in (F.lit(word), F.array(*[place(k, o) for k, o in ps]))])
     table = F.array(*[F.struct(F.lit(t.label).alias("label"), strings(t.words).alias("words"), strings(t.key_words).alias("key"), F.lit(t.key_at).alias("key_at"), F.lit(t.base).alias("base")) for t in templates])
-    rare = sorted({w for w, _ in anchors})
+    need = F.array(*[F.lit(len(ps)) for ps in held])
+    rare = sorted(by_word)
 
     w = F.col("words")
     split = docs.select("doc_id", F.regexp_extract_all(F.translate(text_or_empty(), UPPER, LOWER), F.lit(WORDS), 0).alias("words"))
     hits = F.filter(F.transform(w, lambda x, i: F.when(x.isin(rare), F.struct(x.alias("word"), i.alias("i")))), lambda h: h.isNotNull())
     found = split.select("doc_id", "words", F.size("words").cast("long").alias("n_words"), hits.alias("hits"))
 
-    starts = F.flatten(F.transform("hits", lambda h: F.transform(F.filter(index, lambda p: p.word == h.word), lambda p: F.struct(p.t.alias("t"), (h.i - p.o).alias("at")))))
+    every = F.flatten(F.transform("hits", lambda h: F.transform(F.element_at(index, h.word), lambda p: F.struct(p.t.alias("t"), (h.i - p.o).alias("at")))))
+    found = found.withColumn("starts", F.array_sort(every))
+    #: Of equal starts there are as many as postings that meet there; the first of a full row stands for it.
+    whole = lambda x, i: F.equal_null(F.get("starts", i + F.get(need, x.t) - 1), x) & ~F.equal_null(F.get("starts", i - 1), x)
+    starts = F.filter("starts", whole)
 
     def stands(c: Column) -> Column:
         t = F.get(table, c.t)

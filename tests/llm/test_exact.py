@@ -161,9 +161,13 @@ def brute_components(fps):
     return {f: find(f) for f in fps}
 
 
-def plain_fingerprint(t):
+def plain_shingles(t, size=3):
     w = re.findall(r"[^\x20\x09-\x0D]+", t.translate({c: c + 32 for c in range(65, 91)}))
-    sh = [" ".join(w[i : i + 3]) for i in range(len(w) - 2)] or ([" ".join(w)] if w else [])
+    return [" ".join(w[i : i + size]) for i in range(len(w) - size + 1)] or ([" ".join(w)] if w else [])
+
+
+def plain_fingerprint(t, size=3):
+    sh = plain_shingles(t, size)
     h = [xxhash.xxh64_intdigest(s.encode(), 42) for s in sh]
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
@@ -281,10 +285,10 @@ def test_walk_is_the_walk():
     moves, _, of_code = edit_fingerprint._tables()
     for t in ["a", "abc" * 50, "слово и дело " * 30, "x" * 3000]:
         c, p, out = [*edit_fingerprint.codes(t).tolist(), 0], 0, []
-        for j in range(2 * len(t)):
+        while len(out) < 2 * len(t) or p < len(t):  # on past 2n steps until the whole text is read
             out.append(c[p])
-            p += int(moves[j % edit_fingerprint.PERIOD][c[p]])
-        pick = edit_fingerprint.sample_steps(2 * len(t))
+            p += int(moves[(len(out) - 1) % edit_fingerprint.PERIOD][c[p]])
+        pick = edit_fingerprint.sample_steps(len(out))
         assert edit_fingerprint.walk_bits([t])[0].tolist() == [int(of_code[k][out[s]]) for k, s in enumerate(pick)]
 
 
@@ -301,17 +305,28 @@ def test_edit_groups(spark):
 
 
 def test_pipeline(spark, rows):
+    """The stages by brute force: documents rejected, lines that a host's texts share, repeated lines, near copies, packing."""
     con = connect(SF)
     kept = {x[0] for x in con.execute(f"SELECT doc_id FROM ({queries.ORACLE_SQL['op4_quality']}) WHERE kept").fetchall()}
-    texts = [(i, t) for i, t in zip(rows.doc_id, rows.text) if i in kept]
+    source = dict(zip(rows.doc_id, con.execute(f"SELECT source FROM '{SF}/documents.parquet' ORDER BY doc_id").df().source)) if rows.doc_id.is_monotonic_increasing else None
+    norm = lambda x: re.sub(r"[\x20\x09-\x0D]+", " ", x.lower()).strip(" ")
+    of_host, of_line = {}, {}
+    for i, t in zip(rows.doc_id, rows.text):
+        of_host.setdefault(source[i], set()).add(t)
+        for x in t.split("\n"):
+            if norm(x):
+                of_line.setdefault((source[i], norm(x)), set()).add(t)
+    hot = {k for k, v in of_line.items() if len(v) > 10 and len(v) > 0.1 * len(of_host[k[0]])}
+    texts = [(i, "\n".join(x for x in t.split("\n") if (source[i], norm(x)) not in hot)) for i, t in zip(rows.doc_id, rows.text) if i in kept]
     gone = brute_lines(texts)
     texts = [(i, "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone.get(i, []))) for i, t in texts]
-    fps = {i: plain_fingerprint(t) for i, t in texts}
-    root, seen, left = brute_components(sorted({*fps.values()})), set(), []
-    for i, t in texts:
-        if root[fps[i]] not in seen:
-            seen.add(root[fps[i]])
-            left.append((i, t))
+    sets, fps, root = [{*plain_shingles(t, 5)} for _, t in texts], [plain_fingerprint(t, 5) for _, t in texts], list(range(len(texts)))
+    for a, b in itertools.combinations(range(len(texts)), 2):
+        same = (fps[a] ^ fps[b]).bit_count() <= 14 and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+        if same and root[a] != root[b]:
+            low, high = sorted((root[a], root[b]))
+            root = [low if x == high else x for x in root]
+    left = [texts[k] for k in range(len(texts)) if root[k] == k]
     got = corpus_pipeline.run(spark, SF).toPandas()
     assert set(got.doc_id) == {i for i, _ in left}
     check_packed(got, left)

@@ -587,3 +587,34 @@ def channel_posts(spark, d):
     html = F.concat(F.lit('<div class="a tgme_widget_message_text b">First '), i, F.lit('<br/><div class="in">inner</div> rest</div><div class="tgme_widget_message_text"> </div>'))
     p = table(spark, d, "pages").select(i.alias("url"), html.alias("html"))
     return S.extract_channel_posts(p, "Channel", "tgme_widget_message_text").select(F.col("url").cast("long").alias("page_id"), F.col("pos").cast("long").alias("pos"), "title", "summary")
+
+
+@query("snapshot_file", """WITH a AS (SELECT o_orderkey AS id, 'u' || o_orderkey AS url, o_orderdate AS t, 0 AS n FROM orders WHERE o_orderkey % 2 = 0 UNION ALL SELECT o_orderkey, 'u' || o_orderkey, o_orderdate, 1 FROM orders WHERE o_orderkey % 3 = 0)
+ SELECT id, max(t) AS event_date FROM a GROUP BY id, url HAVING max(t) BETWEEN TIMESTAMP '1998-01-01' AND TIMESTAMP '1998-12-31 23:59:59.999'""")
+def snapshot_file(spark, d):
+    """A snapshot merged with the one before, written and read back."""
+    o = dated(spark, d).withColumn("url", F.concat(F.lit("u"), F.col("id").cast("string"))).withColumn("venue_title", F.lit("")).select("id", "url", "title", "venue_title", "event_date", "score", "summary")
+    path = sinks.shared_folder(spark, "snapshot")
+    sinks.write_snapshot(o.where("id % 2 = 0"), o.where("id % 3 = 0"), "incremental_merge", path, "UTC", AS_OF)
+    return spark.read.parquet(path).select("id", "event_date")
+
+
+@query("report_file", "SELECT o_orderstatus AS status, count(*) AS n FROM orders GROUP BY 1")
+def report_file(spark, d):
+    """A report written as JSON and read back."""
+    path = sinks.shared_folder(spark, "report")
+    sinks.write_report(A.status_counts(dated(spark, d)), path)
+    return spark.read.schema("status string, n long").json(path)
+
+
+@query("image_search", """WITH i AS (SELECT p_type AS item_id, 'File ' || p_partkey || CASE WHEN p_partkey % 11 = 0 THEN ' Logo' ELSE '' END AS title, 'https://img/' || p_partkey // 2 AS url, CASE p_partkey % 5 WHEN 0 THEN 'image/gif' WHEN 1 THEN 'image/png' ELSE 'image/jpeg' END AS mime, p_partkey * 997 % 90000 AS size, 300 + p_partkey * 31 % 1700 AS width, 200 + p_partkey * 17 % 900 AS height FROM part),
+ g AS (SELECT *, least(width * height / 100000, 60) + CASE WHEN width > height THEN 20 ELSE 0 END AS score FROM i WHERE mime <> 'image/gif' AND size >= 8192 AND title NOT LIKE '%Logo'), o AS (SELECT * FROM g QUALIFY row_number() OVER (PARTITION BY item_id, url ORDER BY title) = 1)
+ SELECT item_id, title, url, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, url) AS rank FROM o QUALIFY rank <= 5""")
+def image_search(spark, d):
+    """Search answers as JSON, one a kind of part, its parts as images."""
+    i = F.col("p_partkey")
+    image = F.struct(F.concat(F.lit("https://img/"), F.floor(i / 2).cast("string")).alias("url"), F.when(i % 5 == 0, "image/gif").when(i % 5 == 1, "image/png").otherwise("image/jpeg").alias("mime"), (i * 997 % 90000).alias("size"), (300 + i * 31 % 1700).alias("width"), (200 + i * 17 % 900).alias("height"))
+    page = F.struct(F.concat(F.lit("File "), i.cast("string"), F.when(i % 11 == 0, " Logo").otherwise("")).alias("title"), F.array(image).alias("imageinfo"))
+    p = table(spark, d, "part").groupBy(F.col("p_type").alias("item_id")).agg(F.map_from_entries(F.collect_list(F.struct(i.cast("string"), page))).alias("pages"))
+    body = F.to_json(F.struct(F.struct("pages").alias("query")))
+    return readers.normalize_image_search(p.select("item_id", body.alias("body"))).select("item_id", "title", "url", "rank")

@@ -164,7 +164,7 @@ def _signed_sql() -> str:
  k AS (SELECT doc_id, f, list_distinct({keep(FP_SQL.format('title'))}) AS tt, list_distinct({keep(quoted)}) AS q, {keep('f')} AS words FROM d),
  w AS (SELECT doc_id, unnest(words) AS w, generate_subscripts(words, 1) AS pos FROM k), u AS (SELECT doc_id, w, min(pos) AS pos FROM w GROUP BY ALL),
  o AS (SELECT doc_id, list(w ORDER BY pos) AS own, list(w ORDER BY pos) FILTER (NOT list_contains(tt, w)) AS rest FROM u JOIN k USING (doc_id) GROUP BY 1),
- s AS (SELECT doc_id, f, tt, q, array_to_string(list_sort(tt), '-') AS tk, coalesce(CASE WHEN len(rest) > 0 THEN rest ELSE own END, []) AS st, array_to_string(list_sort(coalesce(CASE WHEN len(rest) > 0 THEN rest ELSE own END, [])[1:8]), '-') AS sk FROM k LEFT JOIN o USING (doc_id))"""
+ s AS (SELECT doc_id, f, tt, q, array_to_string(list_sort(tt), '-') AS tk, coalesce(CASE WHEN len(rest) > 0 THEN rest ELSE own END, []) AS st, array_to_string(list_sort(coalesce(CASE WHEN len(rest) > 0 THEN rest ELSE own END, [])[1:8]), '-') AS sk, coalesce(own, []) AS own FROM k LEFT JOIN o USING (doc_id))"""
 
 
 #: All pairs of documents by the whole rule, then what they connect.
@@ -187,6 +187,53 @@ def near_dup_docs(spark, d):
     return roots.select(F.col("node").alias("doc_id"), F.col("root").alias("group_id"))
 
 
+def _as_items(spark, d):
+    """Documents as items of one date, with the columns that merging uses."""
+    i = F.col("doc_id")
+    none = lambda c: F.lit(None).cast("string").alias(c)
+    at = F.lit("2014-01-01").cast("timestamp")
+    return docs(spark, d).select("id", "title", "summary", F.lit("").alias("venue_title"), F.when(i % 4 > 0, F.concat(F.lit("https://d/"), i.cast("string"))).otherwise("").alias("url"), none("kind"), none("image_url"), F.lit(False).alias("event_has_explicit_time"), at.alias("event_date"),
+                                 F.array("lang").alias("categories"), F.array("source_id").alias("source_ids"), F.array(F.concat(F.lit("The "), F.col("source_id"))).alias("source_names"), (i % 100).cast("double").alias("score"), F.lit(None).cast("double").alias("base_score"), at.alias("seen_at"), F.timestamp_add("DAY", (i % 7).cast("int"), at).alias("updated_at"))
+
+
+@query("signatures", f"""WITH {_signed_sql()}, b AS (SELECT s.doc_id, tk, sk, list_sort(CASE WHEN len(q) > 0 THEN q WHEN len(tt) > 0 THEN tt WHEN coalesce(text, '') <> '' THEN own WHEN length(CAST(s.doc_id AS VARCHAR)) >= 3 THEN [CAST(s.doc_id AS VARCHAR)] ELSE [] END)[1:7] AS body FROM s JOIN documents USING (doc_id))
+ SELECT doc_id, tk AS title_key, CASE WHEN tk <> '' AND sk <> '' THEN 'loose:2014-01-01:' || tk || ':' || sk ELSE '' END AS loose_signature, '2014-01-01:' || array_to_string(body, '-') AS fingerprint FROM b""")
+def signatures(spark, d):
+    return D.with_signatures(_as_items(spark, d), "UTC").select(F.col("id").alias("doc_id"), "title_key", "loose_signature", "fingerprint")
+
+
+#: Items of each group as merged: text fields by quality, of equal ones the earlier id.
+_COLLAPSE_SQL = _NEAR_SQL.replace("\n SELECT id AS doc_id, min(g) AS group_id FROM r GROUP BY 1", f""",
+ gr AS (SELECT id AS doc_id, min(g) AS g FROM r GROUP BY 1),
+ t AS (SELECT g, doc_id, {TITLE_SQL} AS title, coalesce(text, '') AS summary, lang, source, {norm_sql(TITLE_SQL)} AS nt, {norm_sql("coalesce(text, '')")} AS ns FROM gr JOIN documents USING (doc_id)),
+ v AS (SELECT *, length(nt) + CASE WHEN regexp_matches(nt, '[0-9]') THEN 20 ELSE 0 END + CASE WHEN regexp_matches(nt, '[«»"]') THEN 8 ELSE 0 END - CASE WHEN regexp_matches(nt, '(?i)^(?:{text.COLLECTIVE})\\s') THEN 18 ELSE 0 END AS tq,
+ least(length(ns), 260) + CASE WHEN regexp_matches(ns, '[.!?]') THEN 15 ELSE 0 END + CASE WHEN regexp_matches(ns, '[0-9]') THEN 10 ELSE 0 END AS sq FROM t)
+ SELECT g AS id, arg_max(title, (tq, -doc_id)) AS title, sha256(arg_max(summary, (sq, -doc_id))) AS summary_sha256, coalesce(arg_max('https://d/' || doc_id, (sq, -doc_id)) FILTER (doc_id % 4 > 0), NULL) AS url, arg_max('The ' || source, (tq, -doc_id)) AS source_name,
+ array_to_string(list_sort(list_distinct(list(lang))), ',') AS categories, count(*) AS group_size, CAST(count(DISTINCT source) AS INTEGER) AS source_count, array_to_string(list_sort(list_distinct(list(source))), ',') AS sources, max(doc_id % 100) + 6.0 * (count(DISTINCT source) - 1) AS priority_score FROM v GROUP BY 1""")
+
+
+@query("collapse_events", _COLLAPSE_SQL)
+def collapse_events(spark, d):
+    """Documents as items of one date: matched, connected, merged."""
+    c = D.collapse(_as_items(spark, d), "UTC")
+    return c.select("id", "title", F.sha2(F.coalesce("summary", F.lit("")), 256).alias("summary_sha256"), "url", "source_name", F.array_join("categories", ",").alias("categories"), "group_size", "source_count", F.array_join(F.transform("sources", lambda x: x.id), ",").alias("sources"), "priority_score")
+
+
+@query("import_batch", """WITH b AS (SELECT o_orderkey AS id, o_orderdate AS t, o_orderpriority AS type, 0 AS fresh FROM orders WHERE o_orderpriority <> '1-URGENT' AND o_orderkey % 3 > 0 UNION ALL SELECT o_orderkey, o_orderdate, '1-URGENT', 1 FROM orders WHERE o_orderkey % 3 = 0)
+ SELECT min(id) AS id, count(*) AS group_size FROM b WHERE type <> '5-LOW' GROUP BY t, id % 50""")
+def import_batch(spark, d):
+    """Orders of one day and title as one event; a batch replaces its own type."""
+    from .orders import dated
+
+    none = lambda c: F.lit(None).cast("string").alias(c)
+    o = dated(spark, d)
+    items = o.select("id", F.concat(F.lit("Concert number"), (F.col("id") % 50).cast("string"), F.lit(" of orders")).alias("title"), F.lit("").alias("summary"), F.lit("Hall").alias("venue_title"), none("url"), none("kind"), none("image_url"), F.lit(True).alias("event_has_explicit_time"), "event_date",
+                     F.array(F.lit("events")).alias("categories"), F.array("status").alias("source_ids"), F.array("status").alias("source_names"), "score", F.col("score").alias("base_score"), F.col("event_date").alias("seen_at"), F.col("event_date").alias("updated_at"), F.col("kind").alias("type"))
+    old = items.where("id % 3 > 0")
+    batch = items.where("id % 3 = 0").withColumn("type", F.lit("1-URGENT"))
+    return D.import_batch(old, batch, "replace_source", "1-URGENT", "UTC", ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED"]).select("id", "group_size")
+
+
 def _strip_sql() -> str:
     c = "html"
     for pattern in (r"(?is)<script\b.*?</script>", r"(?is)<style\b.*?</style>", r"(?s)<!--.*?-->", r"(?s)<[^>]+>"):

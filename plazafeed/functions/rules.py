@@ -39,3 +39,15 @@ MONTHS = ["января", "февраля", "марта", "апреля", "ма
 #: Key names whose values are secrets, and values that are placeholders.
 SECRET_KEYS = ["TOKEN", "SECRET", "PASSWORD", "API_KEY", "PRIVATE_KEY", "ACCESS_KEY"]
 PLACEHOLDERS = ["example", "changeme", "placeholder", "your_", "xxx", "<", "process.env", "test"]
+#: Places outside the area, by what their names begin with in titles, venues and addresses.
+OUTSIDE_AREA = ["chistopol", "zelenodolsk", "almet", "nizhnekamsk", "naberezhn", "elabug", "bugulm", "leninogorsk", "buinsk", "yoshkar", "ulyanovsk", "чистопол", "зеленодоль", "альмет", "нижнекам", "набережн", "елабуг", "бугульм", "лениногор", "буинск", "йошкар", "ульяновск"]
+#: A week's plan. Of each day its slots in order, and for each the sections and places (from 1) that are tried.
+TRIP_WEEK = [
+    [["excursions 1"], ["food 1"], ["routes 1"], ["events 1", "sights 1"]],
+    [["sights 1"], ["food 2", "food 1"], ["parks 1"], ["events 2", "excursions 2"]],
+    [["active 1"], ["food 3", "food 1"], ["masterclasses 1", "routes 2", "routes 1"], ["events 3", "active 2"]],
+    [["sights 2", "sights 1"], ["parks 2", "parks 1"], ["food 4", "food 2", "food 1"], ["masterclasses 2", "events 4", "excursions 3", "sights 3"]],
+    [["roadtrip 1"], ["food 5", "food 3", "food 1"], ["roadtrip 2", "active 2"], ["events 5", "parks 3", "sights 3"]],
+    [["routes 3", "routes 1"], ["food 1"], ["masterclasses 3", "active 3", "parks 1"], ["events 6", "sights 4", "excursions 1"]],
+    [["sights 4", "sights 1"], ["parks 1"], ["food 2", "food 1"], ["events 7", "roadtrip 3", "excursions 1"]],
+]

@@ -88,9 +88,13 @@ def scan_meta(items: DataFrame, stats: DataFrame, as_of: datetime | str) -> Data
 
 
 def duplicate_groups(df: DataFrame, key: Column, urls: int = 6) -> DataFrame:
-    """Groups of two or more rows with equal non-empty ``key``: size, sources, some urls, the first title by id."""
-    g = df.withColumn("key", key).where("key is not null and key <> ''").groupBy("key").agg(F.count("*").alias("n"), F.array_sort(F.collect_set("source_id")).alias("sources"), F.slice(F.array_sort(F.collect_set("url")), 1, urls).alias("urls"), F.min_by("title", "id").alias("title"))
-    return g.where("n > 1")
+    """Groups of two or more rows with equal non-empty ``key``: size, sources, some urls, the first title by id.
+
+    Rows meet by a digest of the key, which is made once; the key itself goes along once a task and group.
+    """
+    keyed = df.withColumn("key", key).withColumn("_digest", F.sha2("key", 256))
+    g = keyed.groupBy("_digest").agg(F.any_value("key").alias("key"), F.count("*").alias("n"), F.array_sort(F.collect_set("source_id")).alias("sources"), F.slice(F.array_sort(F.collect_set("url")), 1, urls).alias("urls"), F.min_by("title", "id").alias("title"))
+    return g.where("n > 1 and key <> ''").drop("_digest")
 
 
 def quality_flags(df: DataFrame) -> DataFrame:
@@ -142,15 +146,30 @@ def status_counts(drafts: DataFrame) -> DataFrame:
     return count_by(drafts, F.col("status"), "status")
 
 
-def health_warnings(meta: DataFrame, as_of: datetime | str, event_hours: int = 18, catalog_hours: int = 72) -> DataFrame:
-    """``(level, code)`` from one row of ``meta(last_event_scan, last_catalog_scan, upcoming, visuals)``; no rows: healthy."""
+def health_warnings(meta: DataFrame, as_of: datetime | str, event_hours: int = 18, catalog_hours: int = 72, drafts_a_day: int = 10) -> DataFrame:
+    """``(level, code)`` for each rule that holds in a row of ``meta``; no rows: healthy. A rule whose figures are absent or null is silent.
+
+    Scans too old (last_event_scan, last_catalog_scan); drafts of the day (created, delivered)
+    none, fewer than ``drafts_a_day``, or made and none delivered; candidates (ready_count) below
+    the next batch (target), and distinct pictures (unique_photos) below it or six.
+    """
+    has = lambda *cols: all(c in meta.columns for c in cols)
     age = lambda c: (F.unix_timestamp(ts(as_of)) - F.unix_timestamp(c)) / 3600
-    stale = lambda c, h: F.col(c).isNull() | (age(F.col(c)) > h)
-    found = [F.when(stale("last_event_scan", event_hours), F.struct(F.lit(2).alias("level"), F.lit("events_stale").alias("code"))), F.when(stale("last_catalog_scan", catalog_hours), F.struct(F.lit(1).alias("level"), F.lit("catalog_stale").alias("code"))),
-             F.when(F.col("upcoming") < 10, F.struct(F.lit(2).alias("level"), F.lit("few_events").alias("code"))), F.when(F.col("visuals") < 10, F.struct(F.lit(1).alias("level"), F.lit("low_diversity").alias("code")))]
+    rules_ = [
+        (("last_event_scan",), lambda: age("last_event_scan") > event_hours, "events_stale"), (("last_catalog_scan",), lambda: age("last_catalog_scan") > catalog_hours, "catalog_stale"),
+        (("delivered",), lambda: F.col("delivered") == 0, "drafts_today"), (("delivered",), lambda: (F.col("delivered") > 0) & (F.col("delivered") < drafts_a_day), "drafts_today_incomplete"),
+        (("created", "delivered"), lambda: (F.col("created") > 0) & (F.col("delivered") == 0), "draft_delivery_failed"), (("ready_count", "target"), lambda: F.col("ready_count") < F.col("target"), "draft_candidates_low"),
+        (("unique_photos", "target"), lambda: F.col("unique_photos") < F.least("target", F.lit(6)), "draft_visuals_low"),
+    ]
+    found = [F.when(rule(), F.struct(F.lit("warn").alias("level"), F.lit(code).alias("code"))) for cols, rule, code in rules_ if has(*cols)]
     return meta.select(F.explode(F.array_compact(F.array(*found))).alias("w")).select("w.level", "w.code")
 
 
+def overall_status(warnings: DataFrame) -> DataFrame:
+    """One row: degraded with an error, warning with a warning, else ok."""
+    return warnings.agg(F.when(F.count_if(F.col("level") == "error") > 0, "degraded").when(F.count_if(F.col("level") == "warn") > 0, "warning").otherwise("ok").alias("status"))
+
+
 def completeness(items: DataFrame, section: str, checks: dict[str, Column]) -> DataFrame:
     """Per section: items and the share for which each check holds."""
     return items.groupBy(section).agg(F.count("*").alias("items"), *[F.avg(F.coalesce(p, F.lit(False)).cast("double")).alias(n) for n, p in checks.items()])

@@ -77,7 +77,8 @@ def match_categories(df: DataFrame, wanted: Sequence[str]) -> DataFrame:
     return df.where(_any([F.coalesce(one.get(c, F.col("kind") == c), F.lit(False)) for c in wanted]))
 
 
-def drop_outside_area(df: DataFrame, patterns: Sequence[str], cols: Sequence[str] = ("title", "venue_title", "url")) -> DataFrame:
+def drop_outside_area(df: DataFrame, patterns: Sequence[str] = rules.OUTSIDE_AREA, cols: Sequence[str] = ("title", "venue_title", "url")) -> DataFrame:
+    """Rows in which none of the patterns stands, whatever the case."""
     return df.where(~F.concat_ws(" ", *cols).rlike("(?iu)" + "|".join(f"(?:{p})" for p in patterns))) if patterns else df
 
 

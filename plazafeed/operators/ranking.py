@@ -9,7 +9,7 @@ from functools import reduce
 from itertools import chain
 from math import ceil
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import keys, rules, text
@@ -199,6 +199,12 @@ def trip_plans(catalog: DataFrame, events: DataFrame, slots: DataFrame) -> DataF
     return slots.join(pool, ["section", "rank"]).groupBy("days", "day", "slot").agg(F.min_by("item", "pref_ord").alias("item"), F.min("pref_ord").alias("pref_ord"))
 
 
+def trip_slots(spark: SparkSession, days: int = 7, week: Sequence[Sequence[Sequence[str]]] = rules.TRIP_WEEK) -> DataFrame:
+    """The fallback chains of a trip of ``days`` as ``slots`` for ``trip_plans``."""
+    rows = [(days, d, n, k, *p.split(" ")) for d, slots in enumerate(week[:days], 1) for n, prefs in enumerate(slots, 1) for k, p in enumerate(prefs)]
+    return spark.createDataFrame([(*r[:5], int(r[5])) for r in rows], "days int, day int, slot int, pref_ord int, section string, rank int")
+
+
 PACE = {"calm": 2, "normal": 3, "active": 4}
 
 

@@ -59,6 +59,14 @@ def outside_area(spark, d):
     return P.drop_outside_area(x, [r"\bder\b", "license", "^the "]).select("doc_id")
 
 
+@query("outside_area_names", "SELECT p_partkey FROM part WHERE NOT (p_partkey % 5 IN (0, 1) OR p_partkey % 7 = 0)")
+def outside_area_names(spark, d):
+    """The shipped place names, in titles, venues and addresses."""
+    i = F.col("p_partkey")
+    p = table(spark, d, "part").select("p_partkey", F.concat("p_name", F.when(i % 5 == 0, " в Альметьевске").otherwise("")).alias("title"), F.when(i % 5 == 1, "Зеленодольск").alias("venue_title"), F.when(i % 7 == 0, "https://a.test/Elabuga/x").otherwise("https://a.test/").alias("url"))
+    return P.drop_outside_area(p).select("p_partkey")
+
+
 @query("any_category", "SELECT doc_id FROM documents WHERE lang IN ('en', 'de') OR source LIKE '%1'")
 def any_category(spark, d):
     x = docs(spark, d).withColumn("categories", F.array("lang", F.when(F.col("source_id").endswith("1"), "ends with one").otherwise("other")))
@@ -289,13 +297,14 @@ def content_audit(spark, d):
     return A.content_audit(x, AS_OF).select("items", "weak_title", "weak_summary", "missing_venue", "missing_url", "duplicate_groups", "duplicate_rows", "upcoming", "next_7")
 
 
-@query("health_warnings", """WITH m AS (SELECT l_suppkey, max(l_shipdate) FILTER (l_returnflag = 'R') AS e, max(l_shipdate) AS c, count(*) FILTER (l_shipdate >= TIMESTAMP '1998-01-01') AS up, count(DISTINCT l_partkey) FILTER (l_shipdate >= TIMESTAMP '1998-01-01') AS vis FROM lineitem WHERE l_shipdate < TIMESTAMP '1998-02-01' GROUP BY 1),
- w AS (SELECT 2 AS level, 'events_stale' AS code FROM m WHERE e IS NULL OR epoch(TIMESTAMP '1998-01-31') - epoch(e) > 18 * 3600 UNION ALL SELECT 1, 'catalog_stale' FROM m WHERE c IS NULL OR epoch(TIMESTAMP '1998-01-31') - epoch(c) > 72 * 3600
- UNION ALL SELECT 2, 'few_events' FROM m WHERE up < 10 UNION ALL SELECT 1, 'low_diversity' FROM m WHERE vis < 10) SELECT level, code, count(*) AS n FROM w GROUP BY ALL""")
+@query("health_warnings", """WITH m AS (SELECT l_suppkey, max(l_shipdate) FILTER (l_returnflag = 'R') AS e, max(l_shipdate) AS c, count(*) FILTER (l_shipdate >= TIMESTAMP '1998-01-01') AS n, count(*) FILTER (l_shipdate >= TIMESTAMP '1998-01-01' AND l_returnflag = 'N') AS done, count(DISTINCT l_partkey) FILTER (l_shipdate >= TIMESTAMP '1998-01-01') AS vis, 4 + l_suppkey % 9 AS target FROM lineitem WHERE l_shipdate < TIMESTAMP '1998-02-01' GROUP BY 1),
+ w AS (SELECT 'events_stale' AS code FROM m WHERE epoch(TIMESTAMP '1998-01-31') - epoch(e) > 18 * 3600 UNION ALL SELECT 'catalog_stale' FROM m WHERE epoch(TIMESTAMP '1998-01-31') - epoch(c) > 72 * 3600 UNION ALL SELECT 'drafts_today' FROM m WHERE done = 0 UNION ALL SELECT 'drafts_today_incomplete' FROM m WHERE done > 0 AND done < 10
+ UNION ALL SELECT 'draft_delivery_failed' FROM m WHERE n > 0 AND done = 0 UNION ALL SELECT 'draft_candidates_low' FROM m WHERE n < target UNION ALL SELECT 'draft_visuals_low' FROM m WHERE vis < least(target, 6)) SELECT 'warn' AS level, code, count(*) AS n FROM w GROUP BY ALL""")
 def health_warnings(spark, d):
     """Warnings of every supplier as a channel, counted."""
     ahead = F.col("l_shipdate") >= F.lit(AS_OF).cast("timestamp")
-    m = table(spark, d, "lineitem").where("l_shipdate < timestamp'1998-02-01'").groupBy("l_suppkey").agg(F.max(F.when(F.col("l_returnflag") == "R", F.col("l_shipdate"))).alias("last_event_scan"), F.max("l_shipdate").alias("last_catalog_scan"), F.count_if(ahead).alias("upcoming"), F.count_distinct(F.when(ahead, F.col("l_partkey"))).alias("visuals"))
+    m = table(spark, d, "lineitem").where("l_shipdate < timestamp'1998-02-01'").groupBy("l_suppkey").agg(F.max(F.when(F.col("l_returnflag") == "R", F.col("l_shipdate"))).alias("last_event_scan"), F.max("l_shipdate").alias("last_catalog_scan"), F.count_if(ahead).alias("created"),
+        F.count_if(ahead & (F.col("l_returnflag") == "N")).alias("delivered"), F.count_if(ahead).alias("ready_count"), F.count_distinct(F.when(ahead, F.col("l_partkey"))).alias("unique_photos")).withColumn("target", 4 + F.col("l_suppkey") % 9)
     return A.health_warnings(m, "1998-01-31 00:00:00").groupBy("level", "code").agg(F.count("*").alias("n"))
 
 
@@ -366,6 +375,24 @@ def trip_plans(spark, d):
     return R.trip_plans(c, e, s.withColumn("section", wanted).withColumn("rank", rank))
 
 
+_WEEK = ", ".join(f"({d}, {n}, {k}, '{p.split()[0]}', {p.split()[1]})" for d, slots in enumerate(rules.TRIP_WEEK, 1) for n, prefs in enumerate(slots, 1) for k, p in enumerate(prefs))
+SECTIONS = ["excursions", "food", "routes", "sights", "parks", "active", "masterclasses", "roadtrip"]
+_SECTION_SQL = "[" + ", ".join(f"'{x}'" for x in SECTIONS) + "][1 + p_partkey % 8]"
+
+
+@query("trip_week", f"""WITH c AS (SELECT {_SECTION_SQL} AS section, row_number() OVER (PARTITION BY p_partkey % 8 ORDER BY p_retailprice, p_partkey) AS rank, CAST(p_partkey AS VARCHAR) AS item FROM part WHERE p_partkey < 20), e AS (SELECT 'events' AS section, row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS rank, 'order ' || o_orderkey AS item FROM orders WHERE o_orderdate >= TIMESTAMP '1998-01-01' QUALIFY rank <= 4)
+ SELECT day, slot, arg_min(item, pref) AS item, min(pref) AS pref_ord FROM (VALUES {_WEEK}) w(day, slot, pref, section, rank) JOIN (SELECT * FROM c UNION ALL SELECT * FROM e) USING (section, rank) WHERE day <= 5 GROUP BY ALL""")
+def trip_week(spark, d):
+    """Five days by the shipped chains, from pools that are too short for some of their first choices."""
+    from pyspark.sql import Window
+
+    section = F.element_at(F.array(*map(F.lit, SECTIONS)), (1 + F.col("p_partkey") % 8).cast("int"))
+    c = table(spark, d, "part").where("p_partkey < 20").select(section.alias("section"), F.row_number().over(Window.partitionBy(F.col("p_partkey") % 8).orderBy("p_retailprice", "p_partkey")).alias("rank"), F.col("p_partkey").cast("string").alias("item"))
+    top = dated(spark, d).where("event_date >= timestamp'1998-01-01'").orderBy("event_date", "id").limit(4)
+    e = top.select(F.row_number().over(Window.orderBy("event_date", "id")).alias("rank"), F.concat(F.lit("order "), F.col("id").cast("string")).alias("item"))
+    return R.trip_plans(c, e, R.trip_slots(spark, 5)).select("day", "slot", "item", "pref_ord")
+
+
 @query("recommendations", "SELECT p_type AS section, p_partkey AS item, row_number() OVER (PARTITION BY p_type ORDER BY p_size, p_partkey) AS rn FROM part QUALIFY rn <= CASE p_type WHEN 'ECONOMY' THEN 5 WHEN 'STANDARD' THEN 2 ELSE 0 END")
 def recommendations(spark, d):
     p = table(spark, d, "part").select(F.col("p_type").alias("section"), F.col("p_partkey").alias("item"), F.col("p_size").alias("rank"))

@@ -202,8 +202,10 @@ def test_audit_and_registry(spark):
     assert (r["items"], r.weak_title, r.weak_summary, r.missing_venue, r.duplicate_groups, r.duplicate_rows, r.ok) == (3, 1, 1, 1, 1, 2, False)
     reg = spark.createDataFrame([("a", "A", "html", "u", True), ("a", "B", "html", "u", True), ("b", "", "rss", "", True), ("c", "C", "rss", "", False)], "id string, name string, type string, url string, enabled boolean")
     assert sorted((r.id, r.code) for r in A.validate_registry(reg).collect()) == [("a", "duplicate_id"), ("b", "enabled_without_url"), ("b", "no_name")]
-    meta = spark.createDataFrame([(T(2026, 3, 9), T(2026, 3, 9), 3, 20)], "last_event_scan timestamp, last_catalog_scan timestamp, upcoming int, visuals int")
-    assert sorted(r.code for r in A.health_warnings(meta, AS_OF).collect()) == ["events_stale", "few_events"]
+    meta = spark.createDataFrame([(T(2026, 3, 9), T(2026, 3, 9), 4, 0, 3, 10, 5), (None, None, 0, 4, 12, 10, 6), (T(2026, 3, 10), T(2026, 3, 1), 9, 10, 2, 2, 2)], "last_event_scan timestamp, last_catalog_scan timestamp, created int, delivered int, ready_count int, target int, unique_photos int")
+    found = [sorted(r.code for r in A.health_warnings(meta.where(c), AS_OF).collect()) for c in ("created = 4", "created = 0", "created = 9")]
+    assert found == [["draft_candidates_low", "draft_delivery_failed", "draft_visuals_low", "drafts_today", "events_stale"], ["drafts_today_incomplete"], ["catalog_stale"]]
+    assert [A.overall_status(w).first().status for w in (A.health_warnings(meta, AS_OF), A.health_warnings(meta.limit(0), AS_OF))] == ["warning", "ok"]
 
 
 def test_plans(spark):

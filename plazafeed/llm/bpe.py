@@ -211,7 +211,7 @@ def packed(ids: list[int]) -> bytes:
 
 
 class RunEncoder:
-    """The transducer proper: bytes of one pretoken in, stable ids out."""
+    """The transducer proper: bytes of one pretoken in, stable ids out. Up to three lookaheads are held and merged whole: most pretokens never stream."""
 
     def __init__(self, model: BpeModel):
         self.model, self.held = model, b""

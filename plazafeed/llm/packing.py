@@ -31,7 +31,7 @@ from .common import n_partitions, stage, text_or_empty
 from .spans import random_values, span_hashes
 
 #: Pretokens that the memo holds, characters of one that are merged here, characters worked on together.
-MEMO, SHORT, BLOCK = 600_000, 40, 2_000_000
+MEMO, SHORT, BLOCK = 250_000, 40, 1_000_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: Characters from here on, and some below, are left to the tokenizer's own normaliser.
 PLAIN = 0x250
@@ -259,6 +259,8 @@ def pack_pieces(pieces: DataFrame, capacity: int = 4096, max_docs: int = 4096, m
 
     The driver sees one count for each length, at most ``capacity`` of them. Ranks are
     taken inside salted groups of a length, so one very common length is shared by many tasks.
+    Repeated rows and null ids are pieces like others, equal ones in any order; an empty
+    table gives an empty one.
     """
     spark = pieces.sparkSession
     salts = 4 * max(n_partitions(spark), 8)

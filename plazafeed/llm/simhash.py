@@ -26,6 +26,8 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = {c: c + 32 for c in range(65, 91)}
 #: Shingles hashed at a time: a long text's memory does not grow beyond it.
 BLOCK = 1 << 15
+#: Hashes of sets that are sent together.
+HELD = 1 << 20
 #: Members of a bucket that are compared pair by pair; larger ones go through shared neighbours.
 PAIRWISE = 16
 
@@ -241,11 +243,21 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, shingle: in
     keys = stage(classes.select("node", "key").join(used, "node", "left_semi").select("key"), "simhash-used")
     texts = docs.select(F.xxhash64(text_or_empty()).alias("key"), text_or_empty().alias("text")).join(_only_if_small(keys), "key", "left_semi")
 
+    def out(keys: list[int], sets: list[np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["node", "s"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            words = [words_of(t) for t in b.column(0).to_pylist()]
-            sets = [np.unique(np.concatenate([*shingle_hashes(w, shingle), np.zeros(0, ">u8")]).astype(np.uint64)).view(np.int64) for w in words]
-            yield pa.RecordBatch.from_arrays([pa.array([_word_key(w) for w in words], pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["node", "s"])
+            keys, sets, size = [], [], 0
+            for t in b.column(0).to_pylist():  # one text's words at a time, and batches of bounded size
+                words = words_of(t)
+                sets.append(np.unique(np.concatenate([*shingle_hashes(words, shingle), np.zeros(0, ">u8")]).astype(np.uint64)).view(np.int64))
+                keys.append(_word_key(words))
+                size += len(sets[-1])
+                if size > HELD:
+                    yield out(keys, sets)
+                    keys, sets, size = [], [], 0
+            yield out(keys, sets)
 
     sets = stage(texts.groupBy("key").agg(F.first("text").alias("text")).select("text").mapInArrow(run, "node long, s array<long>"), "simhash-sets")
     j = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("y")), "b")
@@ -261,7 +273,7 @@ def similar_links(docs: DataFrame, shingle: int, radius: int, parts: int, simila
     pairs of classes within the radius that this has not joined are then verified.
     """
     rows = stage(sketches(docs, shingle), "simhash-sketches")
-    classes = stage(rows.groupBy("node").agg(F.min("doc_id").alias("low"), F.min("key").alias("key"), F.min("fp").alias("fp"), F.min("n").alias("n"), F.min("leads").alias("leads")), "simhash-classes")
+    classes = stage(rows.groupBy("node").agg(_least(F.struct("doc_id", "key"), "doc_id").alias("low"), F.min("key").alias("key"), F.min("fp").alias("fp"), F.min("n").alias("n"), F.min("leads").alias("leads")), "simhash-classes")
     leads = classes.select("node", "fp", "n", F.posexplode("leads").alias("k", "lead"))
     least = leads.groupBy("k", "lead").agg(F.min(F.struct("node", "fp", "n")).alias("o"), F.count("*").alias("m")).where("m > 1")
     close = (F.bit_count(F.col("fp").bitwiseXOR(F.col("o.fp"))) <= radius) & (F.least("n", "o.n") >= similarity * F.greatest("n", "o.n") - 1e-9)
@@ -273,14 +285,19 @@ def similar_links(docs: DataFrame, shingle: int, radius: int, parts: int, simila
 
 
 def keep_one_similar(docs: DataFrame, shingle: int = 5, radius: int = 14, parts: int = 3, similarity: float = 0.8) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the smallest of their group: one document of each stays.
+    """The rows of ``docs`` whose doc_id (of equal ones, whose text's hash) is the smallest of their group: one document of each stays.
 
-    Groups connect texts with equal words, and texts at most ``radius`` bits apart whose
+    Rows of one id and different texts are different documents; a row that came twice is one, and comes twice. Groups connect texts with equal words, and texts at most ``radius`` bits apart whose
     sets of word shingles have a Jaccard similarity of ``similarity`` or more. No pair
     within the radius is lost; a pair beyond it is. Texts without words are one group. A
     row without doc_id stays only if its whole group has none.
     """
     classes, links = similar_links(docs, shingle, radius, parts, similarity)
     named = classes.join(components(links), "node", "left")
-    kept = named.groupBy(F.coalesce("root", "node")).agg(F.min("low").alias("__kept_id")).select("__kept_id").distinct()
-    return docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("__kept_id")), "left_semi")
+    kept = named.groupBy(F.coalesce("root", "node")).agg(_least(F.col("low"), "low.doc_id").alias("low")).select(F.col("low.doc_id").alias("__kept_id"), F.col("low.key").alias("__kept_key")).distinct()
+    return docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("__kept_id")) & (F.xxhash64(text_or_empty()) == F.col("__kept_key")), "left_semi")
+
+
+def _least(row: Column, doc_id: str) -> Column:
+    """The least row with an id, else the least without."""
+    return F.coalesce(F.min(F.when(F.col(doc_id).isNotNull(), row)), F.min(row))

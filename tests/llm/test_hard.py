@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from plazafeed.llm import chat, edit_fingerprint, html_text, line_dedup, packing, ranges, warc
+from plazafeed.llm import bpe, chat, edit_fingerprint, html_text, line_dedup, packing, ranges, warc
 from plazafeed.llm.common import new_dir
 
 # 9: lines
@@ -269,3 +269,32 @@ def test_other_capacities_choose():
     where = lambda p: {x[0]: x[2] for x in p.tolist()}
     assert where(plain)[20] == where(plain)[70] and where(other)[20] == where(other)[35]
     assert max(plain[:, 2]) == max(other[:, 2]) == 1
+
+
+def test_near_copies_of_repeated_ids(spark):
+    """A row goes with its own group, not with another row of its id."""
+    from plazafeed.llm import simhash
+
+    words = lambda p: " ".join(f"{p}{k}" for k in range(40))
+    rows = [(1, words("a")), (2, words("a") + " more"), (2, words("b")), (None, words("c")), (3, words("c") + " x"), (None, words("d")), (4, words("e")), (4, words("e"))]
+    got = Counter((r.doc_id, r.text) for r in simhash.keep_one_similar(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == Counter({rows[0]: 1, rows[2]: 1, rows[4]: 1, rows[5]: 1, rows[6]: 2})
+
+
+def test_runs_that_stream():
+    """Runs of letters, digits and marks beyond three lookaheads, fed in random pieces, against the library."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    model, lib, r = bpe.load_model(path), Tokenizer.from_file(path), random.Random(12)
+    lib.no_truncation()
+    for alphabet in ("abcdefghijklmnopqrstuvwxyz", "aaab", "0123456789", "-=_!*", "éüñab", "的是不了在"):
+        text = "".join(r.choice(alphabet) for _ in range(r.randint(3 * model.lookahead, 9000)))
+        enc, ids, at = bpe.RunEncoder(model), [], 0
+        while at < len(text):
+            n = r.choice([1, 7, 100, 1500])
+            ids += enc.feed(text[at : at + n].encode())
+            at += n
+        early = len(ids)
+        assert ids + enc.finish() == lib.encode(text, add_special_tokens=False).ids and early > 0

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, edit_fingerprint, html_text, license, line_dedup, packing, quality, simhash, warc
+from . import bpe, chat, cross_tokenizer, edit_fingerprint, hard_negatives, html_text, license, line_dedup, packing, quality, sharding, simhash, warc
 from .common import new_dir, stage
 
 
@@ -60,7 +60,26 @@ def op10_edit_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edit_fingerprint.with_classes(pairs)
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_packing, op3_license, op4_quality, op5_warc, op6_chat, op7_simhash, op8_html, op9_line_dedup, op10_edit_fingerprint)}
+def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.placed(table(spark, sf_dir, "documents"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = hard_negatives.whole_vectors(table(spark, sf_dir, "embeddings"))
+    return hard_negatives.mine(vectors, F.col("id") % 50 == 0)
+
+
+def op13_cross_tokenizer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cross_tokenizer.alignment(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_bpe, op2_packing, op3_license, op4_quality, op5_warc, op6_chat, op7_simhash, op8_html, op9_line_dedup, op10_edit_fingerprint,
+        op11_sharding, op12_hard_negatives, op13_cross_tokenizer,
+    )
+}
 
 
 def _license_sql() -> str:
@@ -112,4 +131,28 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
  regexp_full_match(string_agg(role, '>' ORDER BY turn NULLS FIRST, role, text), '(system>)?user(>assistant>user)*(>assistant)?|system') AS valid
 FROM e GROUP BY conv_id"""
 
-ORACLE_SQL = {"op3_license": _license_sql(), "op4_quality": _QUALITY_SQL, "op5_warc": _WARC_SQL, "op6_chat": _CHAT_SQL}
+#: The checksum is made byte by byte from the text's hexadecimal digits, with the table of the reflected polynomial.
+_SHARDING_SQL = """
+WITH RECURSIVE t(n, k, c) AS (SELECT CAST(i AS BIGINT), 0, CAST(i AS BIGINT) FROM range(256) r(i)
+ UNION ALL SELECT n, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM t WHERE k < 8),
+tab AS (SELECT list(c ORDER BY n) AS crc FROM t WHERE k = 8),
+b AS (SELECT doc_id, CAST(coalesce(strlen(text), 0) + 1 AS BIGINT) AS size,
+ list_prepend(CAST(4294967295 AS BIGINT), list_transform(regexp_extract_all(lower(hex(encode(coalesce(text, '')))), '..'), lambda x: CAST('0x' || x AS BIGINT))) AS bytes FROM documents),
+d AS (SELECT doc_id, size, xor(list_reduce(bytes, lambda c, x: xor(c >> 8, crc[(xor(c, x) & 255) + 1])), 4294967295) AS text_crc32 FROM b, tab),
+k AS (SELECT *, coalesce(CAST(doc_id AS VARCHAR), 'null') AS named FROM d),
+h AS (SELECT named, i, CAST('0x' || substr(md5(named || ':' || i), 1, 15) AS BIGINT) AS draw FROM (SELECT DISTINCT named FROM k), range(17) r(i)),
+s AS (SELECT named, CAST(arg_max(i, draw) FILTER (i < 16) AS INTEGER) AS shard, CAST(arg_max(i, draw) AS INTEGER) AS grown_shard FROM h GROUP BY named)
+SELECT doc_id, size, text_crc32, 'key' AS law, shard,
+ row_number() OVER (PARTITION BY shard ORDER BY CAST('0x' || substr(md5(named || ':' || size || ':' || text_crc32), 1, 5) AS BIGINT) % 1024, doc_id NULLS FIRST, size, text_crc32) - 1 AS slot, grown_shard
+FROM k JOIN s USING (named)"""
+
+_NEGATIVES_SQL = """
+WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+ FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, c.vec_id AS id, a.label = c.label AS same, CAST(list_inner_product(a.v, c.v) AS BIGINT) AS score
+ FROM e a JOIN e c ON a.vec_id <> c.vec_id WHERE a.vec_id % 50 = 0),
+p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id) AS INTEGER) AS rank, id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score QUALIFY rank <= 3"""
+
+ORACLE_SQL = {"op3_license": _license_sql(), "op4_quality": _QUALITY_SQL, "op5_warc": _WARC_SQL, "op6_chat": _CHAT_SQL, "op11_sharding": _SHARDING_SQL, "op12_hard_negatives": _NEGATIVES_SQL}

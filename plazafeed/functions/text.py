@@ -53,6 +53,11 @@ def compact_text(c: Column) -> Column:
     return F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"[^a-zа-яё0-9]+", "")
 
 
+def label_text(c: Column) -> Column:
+    """Lower case without quotation marks; everything but a-z, а-я, ё and digits a single blank, trimmed."""
+    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), "[«»\"']", ""), "[^a-zа-яё0-9]+", " "))
+
+
 @F.pandas_udf(StringType())
 def nfkc(s: pd.Series) -> pd.Series:
     """Unicode NFKC, which SQL has no function for."""

@@ -13,18 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import keys, rules, text
 from ..functions.time import date_key, time_key, ts
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written to the folder in ``spark.checkpoint.dir`` and read from there; a folder of its own only on one machine."""
-    spark = df.sparkSession
-    if spark.conf.get("spark.checkpoint.dir", None) is None and spark.sparkContext.getCheckpointDir() is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
-    return df.checkpoint()
+from .staging import checkpointed
 
 
 def with_signatures(items: DataFrame, tz: str) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo, keys, text
 from ..functions.time import ts
+from .staging import checkpointed
 
 
 def with_manifest(items: DataFrame, manifest: DataFrame, key: str = "id") -> tuple[DataFrame, DataFrame]:
@@ -102,8 +103,32 @@ def duplicate_reviews(new: DataFrame, drafts: DataFrame) -> DataFrame:
     return new.withColumn("url_key", k).join(old, ["section_id", "item_id", "url_key"], "left_semi")
 
 
-def near_route(routes: DataFrame, places: DataFrame, radius_m: float = 1500, k: int = 3, cell_deg: float = 0.02) -> DataFrame:
-    """Per route its ``k`` nearest places within ``radius_m`` of the polyline.
+def contained_keys(texts: DataFrame, patterns: DataFrame, q: int = 6) -> DataFrame:
+    """``(text_id, key_id)``: every text of ``texts(text_id, text)`` with every key of ``patterns(key_id, key)`` that stands anywhere in it.
+
+    A key is looked up by one of its substrings of up to ``q`` characters, the one that the
+    fewest texts have; texts bring theirs, so the two meet by an equi-join, and ``contains``
+    decides. Equal texts are searched once. An empty key stands in no text, as does a null one.
+    """
+    known = patterns.where(F.length("key") > 0).select("key_id", "key", F.least(F.length("key"), F.lit(q)).alias("g"))
+    sizes = sorted(r["g"] for r in known.select("g").distinct().collect())  # q numbers at most
+
+    def grams(c: str, g: Column) -> Column:
+        letters, last = F.split(F.col(c), ""), F.length(c) - g + 1
+        return F.when(last > 0, F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.array_join(F.slice(letters, i, g), ""))))
+
+    whole = checkpointed(texts.where(F.length("text") > 0).select("text_id", "text", F.sha2("text", 256).alias("same")))
+    heads = whole.groupBy("same").agg(F.first("text").alias("text"))
+    parts = known.select("key_id", "key", F.explode(grams("key", F.col("g"))).alias("gram"))
+    of_text = F.flatten(F.array_compact(F.array(*(grams("text", F.lit(g)) for g in sizes)))) if sizes else F.array().cast("array<string>")
+    found = checkpointed(heads.select("same", F.explode(of_text).alias("gram")).join(parts.select("gram").distinct(), "gram", "left_semi"))
+    rare = parts.join(found.groupBy("gram").agg(F.count("*").alias("n")), "gram", "left").groupBy("key_id", "key").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram"))
+    met = found.join(rare, "gram").select("same", "key_id", "key").join(heads, "same").where(F.col("text").contains(F.col("key"))).select("same", "key_id")
+    return whole.select("same", "text_id").join(met, "same").select("text_id", "key_id")
+
+
+def within_reach(routes: DataFrame, places: DataFrame, radius_m: float = 1500, cell_deg: float = 0.02) -> DataFrame:
+    """``(route_id, place_id, distance_m)``: every place within ``radius_m`` of a route's polyline.
 
     ``routes(route_id, stops array<struct<lat,lng>>)``, ``places(place_id, lat, lng)``. A
     segment is put into every grid cell within reach of it, a place into its own: an
@@ -118,45 +143,81 @@ def near_route(routes: DataFrame, places: DataFrame, radius_m: float = 1500, k:
     cells = seg.withColumn("cy", F.explode(lats)).withColumn("cx", F.explode(lngs))
     p = places.select("place_id", "lat", "lng", cell(F.col("lat")).alias("cy"), cell(F.col("lng")).alias("cx"))
     d = geo.to_segment_m(F.col("lat"), F.col("lng"), F.col("s.a.lat"), F.col("s.a.lng"), F.col("s.b.lat"), F.col("s.b.lng"))
-    near = cells.join(p, ["cy", "cx"]).groupBy("route_id", "place_id").agg(F.min(d).alias("distance_m")).where(F.col("distance_m") <= radius_m)
+    return cells.join(p, ["cy", "cx"]).groupBy("route_id", "place_id").agg(F.min(d).alias("distance_m")).where(F.col("distance_m") <= radius_m)
+
+
+def near_route(routes: DataFrame, places: DataFrame, radius_m: float = 1500, k: int = 3, cell_deg: float = 0.02) -> DataFrame:
+    """Per route its ``k`` nearest places of those ``within_reach``, with their rank ``rn``."""
     w = Window.partitionBy("route_id").orderBy("distance_m", "place_id")
-    return near.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= k)
+    return within_reach(routes, places, radius_m, cell_deg).withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= k)
 
 
-def route_affinity(routes: DataFrame, places: DataFrame) -> DataFrame:
-    """Score of each route and place that share a token: 3 an area, 1 an intent, 5 a title mention.
+def route_affinity(routes: DataFrame, places: DataFrame, tokens: DataFrame, reach: DataFrame, k: int = 3) -> DataFrame:
+    """Per route the ``k`` places with the highest score: ``route_id, place_id, score, distance_m, rn``.
 
-    Both sides bring ``area_tokens``, ``intent_tokens`` and ``title_tokens``.
-    """
-    def toks(df: DataFrame, id_col: str) -> DataFrame:
-        as_row = lambda c, w: lambda t: F.struct(t.alias("tok"), F.lit(c).alias("kind"), F.lit(w).alias("weight"))
-        parts = [F.transform(F.col(c), as_row(c, w)) for c, w in (("area_tokens", 3), ("intent_tokens", 1), ("title_tokens", 5))]
-        return df.select(id_col, F.explode(F.concat(*parts)).alias("t")).select(id_col, "t.tok", "t.kind", "t.weight").distinct()
+    ``routes(route_id, text)``, ``places(place_id, title, text)``, ``tokens(token, weight)``
+    (areas 3, intents 1), ``reach`` the pairs of ``within_reach``. Points: the weight of each
+    token that stands anywhere in both texts, 5 if the place's title stands in the route's
+    text, and 1 at least for a place in reach, up to 8 as it is nearer. No score, no row.
+    Ties: the nearer (places out of reach last), then the smaller id.
 
-    j = toks(routes, "route_id").join(toks(places, "place_id").drop("weight"), ["tok", "kind"])
-    return j.groupBy("route_id", "place_id").agg(F.sum("weight").alias("score"))
+    Routes and places with the same tokens are scored as classes, each with its first ``k``
+    places, so that pairs are made only where a title or the distance says something.
+    """
+    norm = lambda df, i, c: df.select(F.col(i).alias("text_id"), text.label_text(F.col(c)).alias("text"))
+    keys_ = tokens.groupBy(text.label_text(F.col("token")).alias("key")).agg(F.sum("weight").alias("weight")).withColumn("key_id", F.col("key"))
+    told = norm(routes, "route_id", "text")
+
+    def classes(df: DataFrame, i: str) -> DataFrame:
+        held = contained_keys(df, keys_.select("key_id", "key"))
+        return checkpointed(held.groupBy(F.col("text_id").alias(i)).agg(F.array_sort(F.collect_set("key_id")).alias("held")))
+
+    of_route, of_place = classes(told, "route_id"), classes(norm(places, "place_id", "text"), "place_id")
+    side = lambda df, n: df.select("held").distinct().select(F.col("held").alias(n), F.explode("held").alias("key_id"))
+    pairs = side(of_route, "rc").join(side(of_place, "pc"), "key_id").join(keys_.select("key_id", "weight"), "key_id").groupBy("rc", "pc").agg(F.sum("weight").alias("base"))
+    first = of_place
+    for by in (["held", "part"], ["held"]):  # a class may hold most places: part by part, then all
+        first = first.withColumn("part", F.pmod(F.xxhash64("place_id"), F.lit(64))).withColumn("n", F.row_number().over(Window.partitionBy(*by).orderBy("place_id"))).where(F.col("n") <= k)
+    lead = pairs.join(first.select(F.col("held").alias("pc"), "place_id"), "pc").withColumn("n", F.row_number().over(Window.partitionBy("rc").orderBy(F.desc("base"), "place_id"))).where(F.col("n") <= k)
+    by_text = of_route.withColumnRenamed("held", "rc").join(lead.select("rc", "place_id"), "rc").select("route_id", "place_id")
+
+    titles = places.select(F.col("place_id").alias("key_id"), text.label_text(F.col("title")).alias("key"))
+    named = contained_keys(told, titles).select(F.col("text_id").alias("route_id"), F.col("key_id").alias("place_id"), F.lit(5).alias("named"))
+    near = reach.withColumn("distance_m", F.round("distance_m"))
+    bonus = F.when(F.col("distance_m").isNotNull(), F.greatest(F.lit(1.0), F.floor((1600 - F.col("distance_m")) / 200 + 0.5)).cast("long"))
+    some = by_text.union(named.select("route_id", "place_id")).union(near.select("route_id", "place_id")).distinct()
+    some = some.join(named, ["route_id", "place_id"], "left").join(near, ["route_id", "place_id"], "left")
+    some = some.join(of_route.withColumnRenamed("held", "rc"), "route_id", "left").join(of_place.withColumnRenamed("held", "pc"), "place_id", "left").join(pairs, ["rc", "pc"], "left")
+    score = F.coalesce("base", F.lit(0)) + F.coalesce("named", F.lit(0)) + F.coalesce(bonus, F.lit(0))
+    w = Window.partitionBy("route_id").orderBy(F.desc("score"), F.asc_nulls_last("distance_m"), "place_id")
+    ranked = some.withColumn("score", score).where("score > 0").withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= k)
+    return ranked.select("route_id", "place_id", "score", "distance_m", "rn")
 
 
 def top_up_route(near: DataFrame, affinity: DataFrame, least: int = 2, k: int = 3) -> DataFrame:
-    """Nearest places; a route with fewer than ``least`` gets its best by text as well."""
+    """Nearest places; a route with fewer than ``least`` gets its best by ``route_affinity`` as well."""
     n = near.groupBy("route_id").agg(F.count("*").alias("n"))
     poor = affinity.join(n, "route_id", "left").where(F.coalesce("n", F.lit(0)) < least).join(near.select("route_id", "place_id"), ["route_id", "place_id"], "left_anti")
-    both = near.select("route_id", "place_id", F.lit(0).alias("tier"), F.col("distance_m").alias("key")).unionByName(poor.select("route_id", "place_id", F.lit(1).alias("tier"), (-F.col("score")).cast("double").alias("key")))
+    both = near.select("route_id", "place_id", F.lit(0).alias("tier"), F.col("rn").alias("key")).unionByName(poor.select("route_id", "place_id", F.lit(1).alias("tier"), F.col("rn").alias("key")))
     w = Window.partitionBy("route_id").orderBy("tier", "key", "place_id")
     return both.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= k)
 
 
 def geocode(stops: DataFrame, gazetteer: DataFrame, name: str = "stop") -> DataFrame:
-    """Coordinates of a stop by its key, else by the first entry whose key the name contains."""
-    s = stops.withColumn("place_key", text.fingerprint_text(F.col(name)))
-    exact = s.join(gazetteer.select("place_key", F.struct("lat", "lng").alias("hit")), "place_key", "left")
-    rows = gazetteer.select(F.col("ord"), F.col("place_key").alias("part"), F.struct("lat", "lng").alias("near"))
-    keyed = exact.where("hit is null").select("place_key").distinct()
-    words = keyed.select("place_key", F.explode(F.array_distinct(F.split("place_key", " "))).alias("word"))
-    parts = rows.withColumn("word", F.element_at(F.split("part", " "), 1))
-    found = words.join(parts, F.substring(words.word, 1, F.length(parts.word)) == parts.word).where(F.col("place_key").contains(F.col("part")))
-    first = found.groupBy("place_key").agg(F.min_by("near", "ord").alias("near"))
-    return exact.join(first, "place_key", "left").withColumn("coord", F.coalesce("hit", "near")).drop("hit", "near")
+    """``stops`` with ``coord``, that of the first entry one of whose keys is the stop's name, else of the first with a key anywhere in it.
+
+    ``gazetteer(ord, place_key, lat, lng)`` has a row for each key; entries come by ``ord``.
+    Names and keys are compared as ``text.label_text``: lower case, no quotation marks, single
+    blanks. A stop that no key fits, a null or an empty one has no ``coord``.
+    """
+    gaz = gazetteer.select("ord", text.label_text(F.col("place_key")).alias("key"), F.struct("lat", "lng").alias("at"))
+    s = stops.withColumn("_name", text.label_text(F.col(name)))
+    exact = gaz.where("key <> ''").groupBy(F.col("key").alias("_name")).agg(F.min_by("at", "ord").alias("_exact"))
+    names = s.select(F.col("_name").alias("text_id"), F.col("_name").alias("text")).distinct()
+    inside = contained_keys(names.join(exact, F.col("text") == F.col("_name"), "left_anti"), gaz.select(F.col("key").alias("key_id"), "key").distinct())
+    first = inside.join(exact, F.col("key_id") == F.col("_name")).drop("_name").join(gaz.groupBy("key").agg(F.min("ord").alias("ord")), F.col("key_id") == F.col("key"))
+    first = first.groupBy(F.col("text_id").alias("_name")).agg(F.min_by("_exact", "ord").alias("_inside"))
+    return s.join(exact, "_name", "left").join(first, "_name", "left").withColumn("coord", F.coalesce("_exact", "_inside")).drop("_name", "_exact", "_inside")
 
 
 def photo_feedback(cands: DataFrame, feedback: DataFrame, trusted: Sequence[str], blocked: Sequence[str]) -> DataFrame:

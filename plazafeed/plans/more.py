@@ -183,26 +183,49 @@ def near_route(spark, d):
     return J.near_route(routes, places).select("route_id", "place_id", F.round("distance_m", 3).alias("distance_m"))
 
 
-_AFF = "SELECT {k} AS id, regexp_extract_all(lower({a}), '[a-z]+') AS a, [lower({b})] AS i, regexp_extract_all(lower({c}), '[a-z]+') AS t FROM {f}"
+def label_sql(c):
+    return f"trim(regexp_replace(regexp_replace(lower(coalesce({c}, '')), '[«»\"'']', '', 'g'), '[^a-zа-яё0-9]+', ' ', 'g'))"
 
 
-@query("route_affinity", f"""WITH r AS ({_AFF.format(k='p_partkey', a='p_name', b='p_type', c='p_brand', f='part WHERE p_partkey % 50 = 0')}), p AS ({_AFF.format(k='p_partkey', a='p_name', b='p_type', c='p_brand', f='part')}),
- s AS (SELECT r.id AS route_id, p.id AS place_id, 3 * len(list_intersect(r.a, p.a)) + len(list_intersect(r.i, p.i)) + 5 * len(list_intersect(r.t, p.t)) AS score FROM r, p) SELECT * FROM s WHERE score > 0""")
-def route_affinity(spark, d):
-    """Every fiftieth part against all parts."""
-    words = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit("[a-z]+"), 0))
-    p = table(spark, d, "part").select(F.col("p_partkey").alias("place_id"), words("p_name").alias("area_tokens"), F.array(F.lower("p_type")).alias("intent_tokens"), words("p_brand").alias("title_tokens"))
-    return J.route_affinity(p.where("place_id % 50 = 0").withColumnRenamed("place_id", "route_id"), p)
+#: Tokens of the affinity query, with their weights: areas 3, intents 1.
+AREAS, INTENTS = ["red", "blu", "mall", "gree"], ["olt", "widg", "econ", "promo", "stand"]
+_TOKENS_SQL = ", ".join([*(f"('{t}', 3)" for t in AREAS), *(f"('{t}', 1)" for t in INTENTS)])
 
 
-@query("geocode", """WITH g AS (SELECT n_nationkey AS ord, 'nation ' || n_nationkey AS part, 50.0 + n_nationkey AS lat FROM nation), s AS (SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'nation ' || c_nationkey WHEN c_custkey % 3 = 1 THEN 'the nation ' || c_nationkey || ' square' ELSE 'nowhere ' || c_custkey END AS k FROM customer)
- SELECT c_custkey, coalesce(e.lat, (SELECT arg_min(g.lat, g.ord) FROM g WHERE contains(s.k, g.part))) AS lat FROM s LEFT JOIN g e ON s.k = e.part""")
+@query("route_affinity", f"""WITH r AS (SELECT s_suppkey AS route_id, {label_sql("s_name || ' ' || coalesce(string_agg(DISTINCT p_name, ' '), '')")} AS t, 55.0 + (s_suppkey * 37 % 1000) / 500.0 AS alat, 49.0 + (s_suppkey * 91 % 1000) / 500.0 AS alng,
+  55.005 + (s_suppkey * 37 % 1000) / 500.0 AS blat, 49.005 + (s_suppkey * 91 % 1000) / 500.0 AS blng FROM supplier LEFT JOIN lineitem ON l_suppkey = s_suppkey AND l_quantity > 49 LEFT JOIN part ON p_partkey = l_partkey AND p_size > 25 GROUP BY s_suppkey, s_name),
+ p AS (SELECT p_partkey AS place_id, {label_sql("p_name")} AS title, {label_sql("p_name || ' ' || p_type")} AS t, 55.0 + (p_partkey * 53 % 1000) / 500.0 AS lat, 49.0 + (p_partkey * 71 % 997) / 500.0 AS lng FROM part),
+ x AS (SELECT r.route_id, p.place_id, r.t AS rt, p.t AS pt, title, radians(alng - lng) * cos(radians(lat)) * 6371000 AS ax, radians(alat - lat) * 6371000 AS ay, radians(blng - lng) * cos(radians(lat)) * 6371000 AS bx, radians(blat - lat) * 6371000 AS b_y FROM r, p),
+ u AS (SELECT *, greatest(0, least(1, -(ax * (bx - ax) + ay * (b_y - ay)) / (pow(bx - ax, 2) + pow(b_y - ay, 2)))) AS u FROM x),
+ d AS (SELECT *, CASE WHEN {_SEG} <= 1500 THEN round({_SEG}) END AS distance_m FROM u),
+ s AS (SELECT route_id, place_id, distance_m, (SELECT coalesce(sum(w), 0) FROM (VALUES {_TOKENS_SQL}) v(k, w) WHERE contains(rt, k) AND contains(pt, k)) + CASE WHEN title <> '' AND contains(rt, title) THEN 5 ELSE 0 END
+  + CASE WHEN distance_m IS NOT NULL THEN greatest(1, floor((1600 - distance_m) / 200 + 0.5)) ELSE 0 END AS score FROM d)
+ SELECT route_id, place_id, CAST(score AS BIGINT) AS score, distance_m, CAST(row_number() OVER (PARTITION BY route_id ORDER BY score DESC, distance_m NULLS LAST, place_id) AS INTEGER) AS rn FROM s WHERE score > 0 QUALIFY rn <= 3""")
+def route_affinity(spark, d):
+    """Routes by the names of the larger parts that a supplier ships, places by those of parts."""
+    part, k, i = table(spark, d, "part"), F.col("s_suppkey"), F.col("p_partkey")
+    sold = table(spark, d, "lineitem").where("l_quantity > 49").join(part.where("p_size > 25"), F.col("l_partkey") == i).groupBy("l_suppkey").agg(F.array_join(F.array_sort(F.collect_set("p_name")), " ").alias("names"))
+    s = table(spark, d, "supplier").join(sold, F.col("l_suppkey") == k, "left")
+    lat, lng = k * 37 % 1000 / 500.0, k * 91 % 1000 / 500.0
+    stops = F.array(*(F.struct((a + lat).alias("lat"), (b + lng).alias("lng")) for a, b in ((55.0, 49.0), (55.005, 49.005))))
+    routes = s.select(k.alias("route_id"), F.concat_ws(" ", "s_name", "names").alias("text"), stops.alias("stops"))
+    places = part.select(i.alias("place_id"), F.col("p_name").alias("title"), F.concat_ws(" ", "p_name", "p_type").alias("text"), (55.0 + i * 53 % 1000 / 500.0).alias("lat"), (49.0 + i * 71 % 997 / 500.0).alias("lng"))
+    tokens = spark.createDataFrame([*((t, 3) for t in AREAS), *((t, 1) for t in INTENTS)], "token string, weight int")
+    return J.route_affinity(routes, places, tokens, J.within_reach(routes, places))
+
+
+@query("geocode", f"""WITH w AS (SELECT item_id, unnest(regexp_extract_all(lower(text), '[a-z]{{5,}}')) AS place_key FROM benchmark), g AS (SELECT item_id * 1000 + row_number() OVER (PARTITION BY item_id ORDER BY place_key) AS ord, place_key, 50.0 + item_id / 100.0 AS lat FROM (SELECT DISTINCT * FROM w)),
+ s AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN split_part({label_sql(TITLE_SQL)}, ' ', 1) ELSE {label_sql(TITLE_SQL)} END AS name FROM documents), n AS (SELECT DISTINCT name FROM s),
+ k AS (SELECT place_key, min(ord) AS ord FROM g GROUP BY 1), e AS (SELECT name, ord FROM n JOIN k ON name = place_key), c AS (SELECT name, min(ord) AS ord FROM n JOIN k ON contains(name, place_key) GROUP BY 1)
+ SELECT doc_id, lat FROM s LEFT JOIN e USING (name) LEFT JOIN c USING (name) LEFT JOIN g ON g.ord = coalesce(e.ord, c.ord)""")
 def geocode(spark, d):
-    c = table(spark, d, "customer")
-    i, n = F.col("c_custkey"), F.col("c_nationkey").cast("string")
-    stops = c.select("c_custkey", F.when(i % 3 == 0, F.concat(F.lit("Nation-"), n)).when(i % 3 == 1, F.concat(F.lit("The NATION_"), n, F.lit(" square"))).otherwise(F.concat(F.lit("Nowhere "), i.cast("string"))).alias("stop"))
-    gaz = table(spark, d, "nation").select(F.col("n_nationkey").alias("ord"), F.concat(F.lit("nation "), F.col("n_nationkey").cast("string")).alias("place_key"), (F.lit(50.0) + F.col("n_nationkey")).alias("lat"), F.lit(1.0).alias("lng"))
-    return J.geocode(stops, gaz).select("c_custkey", F.col("coord.lat").alias("lat"))
+    """The first line of each document (of every third its first word) among words of the benchmark, which often stand inside longer ones."""
+    from pyspark.sql import Window
+
+    words = table(spark, d, "benchmark").select("item_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{5,}"), 0))).alias("place_key"))
+    gaz = words.select((F.col("item_id") * 1000 + F.row_number().over(Window.partitionBy("item_id").orderBy("place_key"))).alias("ord"), "place_key", (50.0 + F.col("item_id") / 100.0).alias("lat"), F.lit(1.0).alias("lng"))
+    stop = F.when(F.col("doc_id") % 3 == 0, F.split(text.label_text(F.col("title")), " ")[0]).otherwise(F.col("title"))
+    return J.geocode(docs(spark, d).select("doc_id", stop.alias("stop")), gaz).select("doc_id", F.col("coord.lat").alias("lat"))
 
 
 _HOST = "lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]+)', 1))"

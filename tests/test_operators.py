@@ -232,14 +232,36 @@ def test_copy(spark):
     assert (r.title, r.note, r.tags) == ("длинн", None, ["a", "bbb"])
 
 
+def test_contained_keys_are_found_anywhere(spark):
+    """The reference compares by ``includes``: a key counts in mid-word and across words."""
+    texts = [(1, "old supermarket"), (2, "mar ket place"), (3, "old supermarket"), (4, ""), (5, None), (6, "a"), (7, "😀é market 😀é")]
+    keys = [(1, "market"), (2, "ket pl"), (3, "a"), (4, ""), (5, None), (6, "supermarket hall"), (7, "😀é"), (8, "old supermarket"), (9, "upermarke")]
+    got = J.contained_keys(spark.createDataFrame(texts, "text_id int, text string"), spark.createDataFrame(keys, "key_id int, key string"), 4)
+    assert sorted((r.text_id, r.key_id) for r in got.collect()) == sorted((i, k) for i, t in texts for k, w in keys if t and w and w in t)
+    none = J.contained_keys(spark.createDataFrame(texts, "text_id int, text string"), spark.createDataFrame([], "key_id int, key string"))
+    assert none.count() == 0
+
+
+def test_geocode_by_rule(spark):
+    stops = [("Кремль",), ("Старый «Крем»ль: вид",), ("метро Кремлевская",), ("", ), (None,), ("нет",)]
+    gaz = [(1, "метро кремлевская", 1.0), (1, "кремлевская", 1.0), (2, "казанский кремль", 2.0), (2, "кремль", 2.0), (3, "кремл", 3.0), (4, "кремль", 4.0)]
+    got = J.geocode(spark.createDataFrame(stops, "stop string"), spark.createDataFrame([(*g, 0.0) for g in gaz], "ord int, place_key string, lat double, lng double"))
+    assert sorted(((r.stop or ""), r.coord and r.coord.lat) for r in got.collect()) == sorted([("Кремль", 2.0), ("Старый «Крем»ль: вид", 2.0), ("метро Кремлевская", 1.0), ("", None), ("", None), ("нет", None)], key=lambda x: (x[0], str(x[1])))
+
+
 def test_affinity_and_misc_joins(spark):
-    toks = "area_tokens array<string>, intent_tokens array<string>, title_tokens array<string>"
-    routes = spark.createDataFrame([("r", ["центр"], ["кофе"], ["кремль"])], "route_id string, " + toks)
-    places = spark.createDataFrame([("p", ["центр"], [], ["кремль"]), ("q", [], ["кофе"], [])], "place_id string, " + toks)
-    aff = J.route_affinity(routes, places)
-    assert sorted((r.place_id, r.score) for r in aff.collect()) == [("p", 8), ("q", 1)]
-    near = spark.createDataFrame([("r", "z", 10.0)], "route_id string, place_id string, distance_m double")
-    assert [r.place_id for r in J.top_up_route(near, aff).orderBy("rn").collect()] == ["z", "p", "q"]
+    routes = spark.createDataFrame([("r", "Прогулка по Бауманской: кофейни и «Чай» хаус"), ("s", "ничего")], "route_id string, text string")
+    places = spark.createDataFrame([("p", "чай хаус", "на баумана"), ("q", "Бар", "кофе"), ("w", "", "кофе на баумана"), ("x", "X", "far"), ("y", "Y", "")], "place_id string, title string, text string")
+    tokens = spark.createDataFrame([("бауман", 3), ("кофе", 1)], "token string, weight int")
+    reach = spark.createDataFrame([("r", "x", 700.0), ("s", "y", 1499.6), ("r", "q", 1400.0)], "route_id string, place_id string, distance_m double")
+    aff = J.route_affinity(routes, places, tokens, reach, 9)
+    # 3 an area and 5 the title; 1 an intent and 1 in reach; 3 + 1; in reach alone: (1600 - 700) / 200 rounded up at the half, and 1 at least
+    want = {("r", "p"): (8, None), ("r", "q"): (2, 1400), ("r", "w"): (4, None), ("r", "x"): (5, 700), ("s", "y"): (1, 1500)}
+    assert {(r.route_id, r.place_id): (r.score, r.distance_m) for r in aff.collect()} == want
+    aff = J.route_affinity(routes, places, tokens, reach, 2).where("route_id = 'r'")
+    assert [r.place_id for r in aff.orderBy("rn").collect()] == ["p", "x"]
+    near = spark.createDataFrame([("r", "z", 10.0, 1)], "route_id string, place_id string, distance_m double, rn int")
+    assert [r.place_id for r in J.top_up_route(near, aff).orderBy("rn").collect()] == ["z", "p", "x"]
     ap = spark.createDataFrame([("s", "i", "a", True), ("s", "i", "b", True), ("s", "i", "c", False), ("s", "i", "d", True)], "section_id string, item_id string, file string, approved boolean")
     files = ap.where("file in ('a', 'd')").drop("approved")
     assert {r.file: r.result for r in J.approval_status(ap, files, files.where("file = 'd'")).collect()} == {"a": "ready", "b": "error", "c": "skipped", "d": "applied"}

@@ -72,4 +72,8 @@ def is_decorative_image(url: Column) -> Column:
 
 
 def encode_component(c: Column) -> Column:
-    return F.replace(F.url_encode(c), F.lit("+"), F.lit("%20"))
+    """UTF-8 bytes as %XX, but for letters, digits and ``-_.!~*'()``."""
+    out = F.url_encode(c)
+    for coded, plain in (("+", "%20"), ("%21", "!"), ("%7E", "~"), ("%27", "'"), ("%28", "("), ("%29", ")")):
+        out = F.replace(out, F.lit(coded), F.lit(plain))
+    return out

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -113,14 +114,16 @@ def contained_keys(texts: DataFrame, patterns: DataFrame, q: int = 6) -> DataFra
     known = patterns.where(F.length("key") > 0).select("key_id", "key", F.least(F.length("key"), F.lit(q)).alias("g"))
     sizes = sorted(r["g"] for r in known.select("g").distinct().collect())  # q numbers at most
 
-    def grams(c: str, g: Column) -> Column:
-        letters, last = F.split(F.col(c), ""), F.length(c) - g + 1
-        return F.when(last > 0, F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.array_join(F.slice(letters, i, g), ""))))
+    def grams(c: str, g: int) -> Column:
+        """All substrings of ``g`` characters, in one pass."""
+        return F.array_distinct(F.regexp_extract_all(F.col(c), F.lit(f"(?s)(?=(.{{{g}}}))"), 1))
 
     whole = checkpointed(texts.where(F.length("text") > 0).select("text_id", "text", F.sha2("text", 256).alias("same")))
     heads = whole.groupBy("same").agg(F.first("text").alias("text"))
-    parts = known.select("key_id", "key", F.explode(grams("key", F.col("g"))).alias("gram"))
-    of_text = F.flatten(F.array_compact(F.array(*(grams("text", F.lit(g)) for g in sizes)))) if sizes else F.array().cast("array<string>")
+    none = F.array().cast("array<string>")
+    own = reduce(lambda c, g: F.when(F.col("g") == g, grams("key", g)).otherwise(c), sizes, none)
+    parts = known.select("key_id", "key", F.explode(own).alias("gram"))
+    of_text = F.flatten(F.array(*(grams("text", g) for g in sizes))) if sizes else none
     found = checkpointed(heads.select("same", F.explode(of_text).alias("gram")).join(parts.select("gram").distinct(), "gram", "left_semi"))
     rare = parts.join(found.groupBy("gram").agg(F.count("*").alias("n")), "gram", "left").groupBy("key_id", "key").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram"))
     met = found.join(rare, "gram").select("same", "key_id", "key").join(heads, "same").where(F.col("text").contains(F.col("key"))).select("same", "key_id")

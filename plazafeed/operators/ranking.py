@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from ..functions import keys, rules, text
 from ..functions.time import ts
-from . import dedupe, filters, joins
+from . import filters, joins
+from .staging import checkpointed
 
 
 def feed_order(locale: str | None = "ru") -> list[Column]:
@@ -79,28 +80,48 @@ def select_batch(cands: DataFrame, history: DataFrame, pending: DataFrame, limit
     batch has none of yet (phase 1), then the best within kind quotas (2), then the best (3).
     Pending events go by shared identity, as do those posted within the tier's days and
     those that share an identity, a visual, or title and day with what the batch has.
-
-    Every choice is one query for the best candidate left, over all of them: there are at
-    most ``limit`` choices, and the driver holds these rows alone. Ties: the smaller id.
+    Ties: the smaller id. A null kind is ``other``; null scores come last.
+
+    A round brings the frontier: of each kind the ``limit`` best rows that share nothing with
+    the batch. Choices are made from it for as long as it holds each kind's best free row; a
+    kind whose rows in the frontier are used up while more lie behind them ends the round,
+    and the next strikes out, over all candidates, what now conflicts. A round follows only
+    a choice, so there are at most ``limit`` more rounds than tiers, and mostly one a tier.
+    The driver holds ``limit`` rows a kind.
     """
     base = joins.anti_identity(cands, pending).withColumn("visual_key", visual_key())
-    known = F.coalesce("kind", F.lit("other"))
     marks = joins.identity_keys(base, "id").groupBy("id").agg(F.collect_set("identity").alias("marks"))
     day = F.when(F.coalesce("title_key", F.lit("")) != "", F.concat_ws("|", F.lit("day"), "date_key", "title_key")) if {"date_key", "title_key"} <= set(base.columns) else F.lit(None).cast("string")
-    tagged = base.join(marks, "id", "left").withColumn("marks", F.array_compact(F.concat(F.coalesce("marks", F.array().cast("array<string>")), F.array(F.concat(F.lit("visual|"), "visual_key"), day)))).withColumn("kind_group", known)
+    tagged = base.join(marks, "id", "left").withColumn("marks", F.array_compact(F.concat(F.coalesce("marks", F.array().cast("array<string>")), F.array(F.concat(F.lit("visual|"), "visual_key"), day))))
+    tagged = tagged.withColumn("kind_group", F.coalesce("kind", F.lit("other")))
     quota, kinds = quotas(limit), rules.PREFERRED_KINDS
     taken: list[tuple] = []
     seen: set[str] = set()
     counts: Counter[str] = Counter()
-
-    def best(left: DataFrame, groups: Sequence[str] | None = None) -> list:
-        """The best candidate of each of ``groups`` that shares nothing with the batch, or the best of all."""
-        free = left.where(~F.arrays_overlap("marks", F.array(*map(F.lit, sorted(seen)))) & ~F.col("id").isin([t[0] for t in taken])) if seen else left
-        lead = F.min_by(F.struct("id", "kind_group", "marks"), F.struct((-F.col(score)).alias("s"), "id"))
-        if groups is not None:
-            return [r["lead"] for r in free.where(F.col("kind_group").isin(*groups)).groupBy("kind_group").agg(lead.alias("lead")).collect()] if groups else []
-        row = free.agg(lead.alias("lead")).first()["lead"]
-        return [row] if row else []
+    order = [F.desc_nulls_last(score), F.col("id")]
+
+    class Frontier:
+        """The first free rows of each kind, and whether more lie behind them."""
+
+        def __init__(self, left: DataFrame):
+            free = left.where(~F.arrays_overlap("marks", F.array(*map(F.lit, sorted(seen)))) & ~F.col("id").isin([t[0] for t in taken])) if seen else left
+            ranked = free.withColumn("place", F.row_number().over(Window.partitionBy("kind_group").orderBy(*order))).where(F.col("place") <= limit + 1)
+            self.rows: dict[str, list] = {}
+            for r in sorted(ranked.collect(), key=lambda r: r["place"]):
+                self.rows.setdefault(r["kind_group"], []).append(r)
+            self.more = {k for k, rows in self.rows.items() if len(rows) > limit}
+            self.rows = {k: rows[:limit] for k, rows in self.rows.items()}
+
+        def best(self, groups=None):
+            """The best free row of ``groups`` (None: of all), or None; LookupError where only a new round can tell."""
+            heads = []
+            for k in self.rows if groups is None else groups:
+                rows = [r for r in self.rows.get(k, ()) if not seen & {*r["marks"]}]
+                if rows:
+                    heads.append(rows[0])
+                elif k in self.more:
+                    raise LookupError(k)
+            return min(heads, key=lambda r: (r[score] is None, -(r[score] or 0), r["id"]), default=None)
 
     def take(row, tier: int, phase: int) -> None:
         taken.append((row["id"], tier, phase, len(taken) + 1))
@@ -110,22 +131,24 @@ def select_batch(cands: DataFrame, history: DataFrame, pending: DataFrame, limit
     for tier, days in enumerate(tiers):
         if len(taken) >= limit:
             break
-        left = dedupe.checkpointed((joins.cooldown(tagged, history, as_of, days) if days else tagged).select("id", "kind_group", "marks", score))
-        wanted = [k for k in kinds if not counts[k]]
-        leads = {r["kind_group"]: r for r in best(left, wanted)}
+        left = checkpointed((joins.cooldown(tagged, history, as_of, days) if days else tagged).select("id", "kind_group", "marks", score))
+        front, wanted = Frontier(left), [k for k in kinds if not counts[k]]
+
+        def best(groups=None):
+            nonlocal front
+            try:
+                return front.best(groups() if groups else None)
+            except LookupError:
+                front = Frontier(left)
+                return front.best(groups() if groups else None)
+
         for k in wanted:
-            if len(taken) < limit and k in leads:
-                row = leads[k] if not seen & {*leads[k]["marks"]} else next(iter(best(left, [k])), None)
-                if row is not None:
-                    take(row, tier, 1)
-        while len(taken) < limit:
-            full = [k for k, n in counts.items() if n >= quota.get(k, quota["other"])]
-            row = next(iter(best(left.where(~F.col("kind_group").isin(*full)) if full else left)), None)
-            if row is None:
-                break
-            take(row, tier, 2)
-        while len(taken) < limit and (rows := best(left)):
-            take(rows[0], tier, 3)
+            if len(taken) < limit and (row := best(lambda k=k: [k])):
+                take(row, tier, 1)
+        room = lambda: [k for k in front.rows if counts[k] < quota.get(k, quota["other"])]
+        for phase, groups in ((2, room), (3, None)):
+            while len(taken) < limit and (row := best(groups)):
+                take(row, tier, phase)
     kind = dict(tagged.dtypes)["id"]
     picked = cands.sparkSession.createDataFrame(taken, f"id {kind}, tier int, phase int, pos int")
     return tagged.drop("marks", "kind_group").join(F.broadcast(picked), "id")  # at most ``limit`` rows
@@ -192,7 +215,7 @@ def next_preview(cands: DataFrame, shown: DataFrame, key: str = "item_id", order
 def trip_plans(catalog: DataFrame, events: DataFrame, slots: DataFrame) -> DataFrame:
     """Per (days, day, slot) the first preference that exists.
 
-    ``catalog(section, rank, item)`` and ``events(rank, item)`` are ranked pools; ``slots(days,
+    ``catalog(section, rank, item)`` and ``events(rank, item)`` are ranked pools (``ranked_pool``); ``slots(days,
     day, slot, pref_ord, section, rank)`` lists each slot's fallback chain.
     """
     pool = catalog.select("section", "rank", "item").unionByName(events.select(F.lit("events").alias("section"), "rank", "item"))
@@ -205,19 +228,37 @@ def trip_slots(spark: SparkSession, days: int = 7, week: Sequence[Sequence[Seque
     return spark.createDataFrame([(*r[:5], int(r[5])) for r in rows], "days int, day int, slot int, pref_ord int, section string, rank int")
 
 
+def ranked_pool(items: DataFrame, slots: DataFrame, order: Sequence[Column | str]) -> DataFrame:
+    """``(section, rank, item)``: the first items of each section in ``order``, as many as any chain of ``slots`` asks of it.
+
+    The ranks asked for are few, so each part of a large section keeps its first ones before the section is ranked.
+    """
+    most = slots.groupBy("section").agg(F.max("rank").alias("_most"))
+    kept = items.join(F.broadcast(most), "section")  # one row a section that a chain names
+    for by in (["section", "_part"], ["section"]):
+        kept = kept.withColumn("_part", F.pmod(F.xxhash64("item"), F.lit(64)))
+        kept = kept.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("rank") <= F.col("_most"))
+    return kept.select("section", "rank", "item")
+
+
+#: Slots that a plan has at most: a week of days with one for every hour.
+PLAN_SLOTS = 7 * 24
 PACE = {"calm": 2, "normal": 3, "active": 4}
 
 
 def personalize(plan: DataFrame, prefs: DataFrame) -> DataFrame:
     """Items of each user's day by the weight of their tags, then place; as many as the pace takes.
 
-    ``plan(day, pos, item, tags)``, ``prefs(user_id, pace, tag, weight)``.
+    ``plan(day, pos, item, tags)``, ``prefs(user_id, pace, tag, weight)``. The plan is one
+    week's, and is refused beyond ``PLAN_SLOTS`` rows: every user gets all of it to rank.
     """
+    if plan.limit(PLAN_SLOTS + 1).count() > PLAN_SLOTS:
+        raise ValueError(f"a plan has at most {PLAN_SLOTS} slots")
     pace = F.coalesce(F.try_element_at(F.create_map(*map(F.lit, chain.from_iterable(PACE.items()))), F.col("pace")), F.lit(3))
     users = prefs.groupBy("user_id").agg(F.max("pace").alias("pace"))
     tagged = plan.select("day", "pos", "item", F.explode_outer("tags").alias("tag"))
     hits = tagged.join(prefs.select("user_id", "tag", "weight"), "tag").groupBy("user_id", "day", "pos", "item").agg(F.sum("weight").alias("score"))
-    every = users.crossJoin(F.broadcast(plan.select("day", "pos", "item")))  # a plan has at most 7 days of 4 slots
+    every = users.crossJoin(F.broadcast(plan.select("day", "pos", "item")))  # its size was checked above
     j = every.join(hits, ["user_id", "day", "pos", "item"], "left").withColumn("score", F.coalesce("score", F.lit(0)))
     w = Window.partitionBy("user_id", "day").orderBy(F.desc("score"), "pos")
     return j.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= pace)

@@ -403,17 +403,24 @@ SECTIONS = ["excursions", "food", "routes", "sights", "parks", "active", "master
 _SECTION_SQL = "[" + ", ".join(f"'{x}'" for x in SECTIONS) + "][1 + p_partkey % 8]"
 
 
-@query("trip_week", f"""WITH c AS (SELECT {_SECTION_SQL} AS section, row_number() OVER (PARTITION BY p_partkey % 8 ORDER BY p_retailprice, p_partkey) AS rank, CAST(p_partkey AS VARCHAR) AS item FROM part WHERE p_partkey < 20), e AS (SELECT 'events' AS section, row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS rank, 'order ' || o_orderkey AS item FROM orders WHERE o_orderdate >= TIMESTAMP '1998-01-01' QUALIFY rank <= 4)
- SELECT day, slot, arg_min(item, pref) AS item, min(pref) AS pref_ord FROM (VALUES {_WEEK}) w(day, slot, pref, section, rank) JOIN (SELECT * FROM c UNION ALL SELECT * FROM e) USING (section, rank) WHERE day <= 5 GROUP BY ALL""")
-def trip_week(spark, d):
-    """Five days by the shipped chains, from pools that are too short for some of their first choices."""
-    from pyspark.sql import Window
+_TRIP_SQL = f"""c AS (SELECT {_SECTION_SQL} AS section, row_number() OVER (PARTITION BY p_partkey % 8 ORDER BY p_retailprice, p_partkey) AS rank, CAST(p_partkey AS VARCHAR) AS item FROM part WHERE p_partkey % 8 <> 7),
+ e AS (SELECT 'events' AS section, row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS rank, 'order ' || o_orderkey AS item FROM orders WHERE o_orderdate >= TIMESTAMP '1998-01-01'),
+ trip AS (SELECT day, slot, arg_min(item, pref) AS item, min(pref) AS pref_ord FROM (VALUES {_WEEK}) w(day, slot, pref, section, rank) JOIN (SELECT * FROM c UNION ALL SELECT * FROM e) USING (section, rank) GROUP BY ALL)"""
 
-    section = F.element_at(F.array(*map(F.lit, SECTIONS)), (1 + F.col("p_partkey") % 8).cast("int"))
-    c = table(spark, d, "part").where("p_partkey < 20").select(section.alias("section"), F.row_number().over(Window.partitionBy(F.col("p_partkey") % 8).orderBy("p_retailprice", "p_partkey")).alias("rank"), F.col("p_partkey").cast("string").alias("item"))
-    top = dated(spark, d).where("event_date >= timestamp'1998-01-01'").orderBy("event_date", "id").limit(4)
-    e = top.select(F.row_number().over(Window.orderBy("event_date", "id")).alias("rank"), F.concat(F.lit("order "), F.col("id").cast("string")).alias("item"))
-    return R.trip_plans(c, e, R.trip_slots(spark, 5)).select("day", "slot", "item", "pref_ord")
+
+def _trip(spark, d):
+    """A week by the shipped chains over all parts and coming orders; no part is in the last section, so some first choices are missing."""
+    i = F.col("p_partkey")
+    section = F.element_at(F.array(*map(F.lit, SECTIONS)), (1 + i % 8).cast("int"))
+    slots = R.trip_slots(spark, 7)
+    parts = table(spark, d, "part").where(i % 8 != 7).select(section.alias("section"), i.cast("string").alias("item"), "p_retailprice", "p_partkey")
+    coming = dated(spark, d).where(F.col("event_date") >= AS_OF).select(F.lit("events").alias("section"), F.concat(F.lit("order "), F.col("id").cast("string")).alias("item"), "event_date", "id")
+    return R.trip_plans(R.ranked_pool(parts, slots, ["p_retailprice", "p_partkey"]), R.ranked_pool(coming, slots, ["event_date", "id"]), slots)
+
+
+@query("trip_week", f"WITH {_TRIP_SQL} SELECT * FROM trip")
+def trip_week(spark, d):
+    return _trip(spark, d).select("day", "slot", "item", "pref_ord")
 
 
 @query("recommendations", "SELECT p_type AS section, p_partkey AS item, row_number() OVER (PARTITION BY p_type ORDER BY p_size, p_partkey) AS rn FROM part QUALIFY rn <= CASE p_type WHEN 'ECONOMY' THEN 5 WHEN 'STANDARD' THEN 2 ELSE 0 END")
@@ -422,12 +429,15 @@ def recommendations(spark, d):
     return R.recommendations(p, {"ECONOMY": 5, "STANDARD": 2}).select("section", "item", "rn")
 
 
-@query("personalize", """WITH p AS (SELECT 1 + p_partkey % 7 AS day, p_partkey // 7 AS pos, p_name AS item, p_type AS tag FROM part WHERE p_partkey < 28), u AS (SELECT c_custkey AS user_id, CASE c_custkey % 4 WHEN 0 THEN 'calm' WHEN 1 THEN 'active' WHEN 2 THEN 'normal' END AS pace FROM customer),
- w AS (SELECT o_custkey AS user_id, CASE o_orderpriority WHEN '1-URGENT' THEN 'ECONOMY' WHEN '2-HIGH' THEN 'STANDARD' ELSE 'PROMO' END AS tag, count(*) AS weight FROM orders GROUP BY ALL), k AS (SELECT u.user_id, day, pos, item, coalesce(weight, 0) AS score, CASE pace WHEN 'calm' THEN 2 WHEN 'active' THEN 4 ELSE 3 END AS n FROM u JOIN (SELECT DISTINCT user_id FROM w) USING (user_id) CROSS JOIN p LEFT JOIN w ON w.user_id = u.user_id AND w.tag = p.tag)
+@query("personalize", f"""WITH {_TRIP_SQL}, p AS (SELECT day, slot AS pos, item, coalesce(p_type, 'PROMO') AS tag FROM trip LEFT JOIN part ON item = CAST(p_partkey AS VARCHAR)),
+ u AS (SELECT c_custkey AS user_id, CASE c_custkey % 4 WHEN 0 THEN 'calm' WHEN 1 THEN 'active' WHEN 2 THEN 'normal' END AS pace FROM customer),
+ w AS (SELECT o_custkey AS user_id, CASE o_orderpriority WHEN '1-URGENT' THEN 'ECONOMY' WHEN '2-HIGH' THEN 'STANDARD' ELSE 'PROMO' END AS tag, count(*) AS weight FROM orders GROUP BY ALL),
+ k AS (SELECT u.user_id, day, pos, item, coalesce(weight, 0) AS score, CASE pace WHEN 'calm' THEN 2 WHEN 'active' THEN 4 ELSE 3 END AS n FROM u JOIN (SELECT DISTINCT user_id FROM w) USING (user_id) CROSS JOIN p LEFT JOIN w ON w.user_id = u.user_id AND w.tag = p.tag)
  SELECT user_id, day, pos, item, score FROM k QUALIFY row_number() OVER (PARTITION BY user_id, day ORDER BY score DESC, pos) <= n""")
 def personalize(spark, d):
-    """A week's plan of four slots a day for every customer, by the tags of their orders."""
-    plan = table(spark, d, "part").where("p_partkey < 28").select((1 + F.col("p_partkey") % 7).alias("day"), F.floor(F.col("p_partkey") / 7).alias("pos"), F.col("p_name").alias("item"), F.array("p_type").alias("tags"))
+    """The week's plan for every customer, by the tags of their orders."""
+    types = table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("item"), "p_type")
+    plan = _trip(spark, d).join(types, "item", "left").select("day", F.col("slot").alias("pos"), "item", F.array(F.coalesce("p_type", F.lit("PROMO"))).alias("tags"))
     k, i = F.col("kind"), F.col("user_id")
     pace = F.when(i % 4 == 0, "calm").when(i % 4 == 1, "active").when(i % 4 == 2, "normal")
     prefs = dated(spark, d).groupBy(F.col("custkey").alias("user_id"), F.when(k == "1-URGENT", "ECONOMY").when(k == "2-HIGH", "STANDARD").otherwise("PROMO").alias("tag")).agg(F.count("*").alias("weight")).withColumn("pace", pace)
@@ -455,11 +465,11 @@ def normalize_page_text(spark, d):
     return table(spark, d, "pages").select("page_id", text.normalize(F.col("html")).alias("normal"))
 
 
-@query("clean_titles", rf"""WITH t AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN '19:30 — ' WHEN 1 THEN '12.03.2026 ' WHEN 2 THEN 'Билеты на: ' ELSE '' END || left({TITLE_SQL}, 60) || CASE WHEN doc_id % 3 = 0 THEN ' | Site' ELSE '' END AS t FROM documents)
+@query("clean_titles", rf"""WITH t AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN '19:30 — ' WHEN 1 THEN '12.03.2026 ' WHEN 2 THEN 'Билеты на: ' ELSE '' END || {TITLE_SQL} || CASE WHEN doc_id % 3 = 0 THEN ' | Site' ELSE '' END AS t FROM documents)
  SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '^\s*\d{{1,2}}[:.]\d{{2}}\s*[-–—,]?\s*', ''), '^\s*\d{{1,2}}\.\d{{1,2}}(?:\.\d{{4}})?\s*[-–—,]?\s*', ''), '(?i)^(?:билеты на|купить билеты на|афиша)\s*[:\-–—]?\s*', ''), '\s+[|]\s+[^|]*$', ''), ' ') AS title FROM t""")
 def clean_titles(spark, d):
     i = F.col("doc_id")
-    t = F.concat(F.when(i % 4 == 0, "19:30 — ").when(i % 4 == 1, "12.03.2026 ").when(i % 4 == 2, "Билеты на: ").otherwise(""), F.substring("title", 1, 60), F.when(i % 3 == 0, " | Site").otherwise(""))
+    t = F.concat(F.when(i % 4 == 0, "19:30 — ").when(i % 4 == 1, "12.03.2026 ").when(i % 4 == 2, "Билеты на: ").otherwise(""), F.col("title"), F.when(i % 3 == 0, " | Site").otherwise(""))
     return docs(spark, d).select("doc_id", text.clean_title(t).alias("title"))
 
 

@@ -68,14 +68,8 @@ def reminders(spark, d):
     return J.create_reminders(asked.drop("s"), twins, AS_OF).select("user_id", "target_id", "offset", "due_at")
 
 
-@query("round_robin", """SELECT o_orderkey AS id, o_orderpriority AS kind, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderdate, o_orderkey) AS round FROM orders QUALIFY round <= 20""")
+@query("round_robin", """SELECT o_orderkey AS id, o_orderpriority AS kind, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderdate, o_orderkey) AS round FROM orders""")
 def round_robin(spark, d):
-    return R.interleave(dated(spark, d), "kind", ["event_date", "id"]).where("round <= 20").select("id", "kind", "round")
-
-
-@query("round_robin_all", """SELECT o_orderkey AS id, o_orderpriority AS kind, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderdate, o_orderkey) AS round FROM orders""")
-def round_robin_all(spark, d):
-    """Every round; ``round_robin`` and its SQL end at the twentieth."""
     return R.interleave(dated(spark, d), "kind", ["event_date", "id"]).select("id", "kind", "round")
 
 
@@ -156,10 +150,44 @@ def personalized_topn(spark, d):
     return j.withColumn("rn", F.row_number().over(Window.partitionBy("l_suppkey").orderBy(F.desc("weight"), "p_type"))).where("rn <= 3")
 
 
-@query("unposted", "SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 49) AND p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_shipdate >= TIMESTAMP '1998-12-01')")
+@query("unposted", """SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 40)
+ AND o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_shipdate >= TIMESTAMP '1998-09-01')""")
 def unposted(spark, d):
-    li = table(spark, d, "lineitem").withColumnRenamed("l_partkey", "p_partkey")
-    return J.unposted(table(spark, d, "part").select("p_partkey"), li.where("l_returnflag = 'R' and l_quantity > 49"), li.where("l_shipdate >= timestamp'1998-12-01'"), "p_partkey")
+    li = table(spark, d, "lineitem").withColumnRenamed("l_orderkey", "o_orderkey")
+    return J.unposted(table(spark, d, "orders").select("o_orderkey"), li.where("l_returnflag = 'R' and l_quantity > 40"), li.where("l_shipdate >= timestamp'1998-09-01'"), "o_orderkey")
+
+
+_BATCH_KIND = "CASE o_orderpriority WHEN '1-URGENT' THEN 'concert' WHEN '2-HIGH' THEN 'sport' WHEN '3-MEDIUM' THEN 'theatre' WHEN '4-NOT SPECIFIED' THEN 'other' ELSE 'quiz' END"
+
+
+@query("select_batch", f"""WITH RECURSIVE
+ posted AS (SELECT o_custkey, max(o_orderdate) AS last FROM orders WHERE o_orderdate < TIMESTAMP '1998-01-01' GROUP BY 1),
+ c AS (SELECT o_orderkey AS id, {_BATCH_KIND} AS kind, o_totalprice AS score, last, ['c' || o.o_custkey, 'v' || o.o_custkey % 37, 'd' || o_orderdate || '|' || o_orderkey % 3] AS marks
+  FROM orders o LEFT JOIN posted USING (o_custkey) WHERE o_orderdate >= TIMESTAMP '1998-01-01'
+  AND o_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderdate < TIMESTAMP '1998-01-01' AND o_orderstatus = 'P' AND o_totalprice > 400000)),
+ t(tier, days) AS (VALUES (0, 900), (1, 200), (2, 7), (3, 0)), p(n, wanted) AS (VALUES (1, 'concert'), (2, 'sport'), (3, 'theatre'), (4, NULL)),
+ q(kind, quota) AS (VALUES ('concert', 8), ('sport', 7), ('theatre', 7), ('other', 7), ('quiz', 7)),
+ f AS (SELECT c.*, quota, TIMESTAMP '1998-01-01' AS now FROM c JOIN q USING (kind)),
+ s AS (SELECT 0 AS step, 0 AS tier, 1 AS n, CAST([] AS BIGINT[]) AS taken, CAST([] AS VARCHAR[]) AS marks, CAST([] AS VARCHAR[]) AS kinds, CAST([] AS INTEGER[]) AS tiers, CAST([] AS INTEGER[]) AS phases
+  UNION ALL SELECT step + 1, CASE WHEN n = 5 AND best IS NULL THEN tier + 1 ELSE tier END,
+   CASE WHEN n <= 3 THEN n + 1 WHEN best IS NOT NULL THEN n WHEN n = 4 THEN 5 ELSE 1 END,
+   CASE WHEN best IS NULL THEN taken ELSE list_append(taken, best.id) END, CASE WHEN best IS NULL THEN marks ELSE list_concat(marks, best.marks) END, CASE WHEN best IS NULL THEN kinds ELSE list_append(kinds, best.kind) END,
+   CASE WHEN best IS NULL THEN tiers ELSE list_append(tiers, tier) END, CASE WHEN best IS NULL THEN phases ELSE list_append(phases, greatest(n - 2, 1)) END
+  FROM (SELECT s.step, s.tier, s.n, s.taken, s.marks, s.kinds, s.tiers, s.phases, arg_min({{'id': f.id, 'marks': f.marks, 'kind': f.kind}}, {{'a': -f.score, 'b': f.id}}) AS best
+   FROM s JOIN t USING (tier) LEFT JOIN p ON p.n = s.n LEFT JOIN f ON (f.last IS NULL OR t.days = 0 OR f.last <= f.now - to_days(t.days)) AND NOT list_has_any(f.marks, s.marks) AND NOT list_contains(s.taken, f.id)
+    AND (s.n > 3 OR (f.kind = p.wanted AND NOT list_contains(s.kinds, f.kind))) AND (s.n <> 4 OR len(list_filter(s.kinds, lambda x: x = f.kind)) < f.quota)
+   WHERE len(s.taken) < 20 GROUP BY ALL)),
+ l AS (SELECT * FROM s ORDER BY step DESC LIMIT 1)
+ SELECT unnest(taken) AS id, unnest(tiers) AS tier, unnest(phases) AS phase, CAST(unnest(range(1, len(taken) + 1)) AS INTEGER) AS pos FROM l""")
+def select_batch(spark, d):
+    """A batch of 20 of the coming orders: one a customer, a visual, and a day and title; customers served lately wait."""
+    o = dated(spark, d).withColumn("item_id", F.col("custkey").cast("string"))
+    kinds = dict(zip(("1-URGENT", "2-HIGH", "3-MEDIUM", "5-LOW"), ("concert", "sport", "theatre", "quiz")))
+    kind = F.coalesce(*(F.when(F.col("kind") == k, v) for k, v in kinds.items()))
+    image = F.concat(F.lit("https://img.test/"), (F.col("custkey") % 37).cast("string"), F.lit(".jpg"))
+    cands = o.where(F.col("event_date") >= AS_OF).withColumns({"kind": kind, "image_url": image, "venue_title": F.lit(""), "title_key": F.concat(F.lit("t"), (F.col("id") % 3).cast("string")), "date_key": F.date_format("event_date", "yyyy-MM-dd HH:mm")})
+    past = o.where(F.col("event_date") < AS_OF).select(F.col("id").alias("draft_id"), "item_id", F.col("event_date").alias("posted_at"), "status", "score")
+    return R.select_batch(cands, past, past.where("status = 'P' and score > 400000").select("draft_id", "item_id"), 20, AS_OF, (900, 200, 7, 0), "score").select("id", "tier", "phase", "pos")
 
 
 @query("catalog_merge", """SELECT coalesce(c_custkey, k) AS key, coalesce(name, c_name) AS name, coalesce(bal, c_acctbal) AS bal, c_custkey IS NULL AS appended
@@ -176,9 +204,12 @@ def catalog_search(spark, d):
     return P.search(table(spark, d, "part"), " WIDGET ", ["p_name", "p_type", "p_brand"]).select("p_partkey")
 
 
-@query("ticket_links", """SELECT p_partkey, r_name AS platform, 'https://' || lower(replace(r_name, ' ', '')) || '.example.net/search?q=' || replace(p_name, ' ', '%20') AS link FROM part CROSS JOIN region WHERE regexp_full_match(p_name, '[A-Za-z0-9 _.-]*')""")
+@query("ticket_links", """SELECT p_partkey, r_name AS platform, 'https://' || lower(replace(r_name, ' ', '')) || '.example.net/search?q=' || replace(replace(replace(replace(replace(url_encode(name), '%21', '!'), '%27', ''''), '%28', '('), '%29', ')'), '%2A', '*') AS link
+ FROM (SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN p_name || ' «Ёлка» & C°' WHEN 1 THEN p_name || '!*''()?=/#%+' ELSE p_name END AS name FROM part) CROSS JOIN region""")
 def ticket_links(spark, d):
-    p = table(spark, d, "part").where("p_name rlike '^[A-Za-z0-9 _.-]*$'").withColumnRenamed("p_name", "title")
+    i = F.col("p_partkey") % 3
+    more = F.when(i == 0, " «Ёлка» & C°").when(i == 1, "!*'()?=/#%+").otherwise("")
+    p = table(spark, d, "part").select("p_partkey", F.concat("p_name", more).alias("title"))
     r = table(spark, d, "region").select(F.col("r_regionkey").alias("id"), F.col("r_name").alias("name"), F.concat(F.lit("https://"), F.lower(F.replace("r_name", F.lit(" "), F.lit(""))), F.lit(".example.net/search?q={query}")).alias("search_url"))
     return J.ticket_links(p, r).select("p_partkey", F.explode("ticket_links").alias("t")).select("p_partkey", F.col("t.name").alias("platform"), F.col("t.url").alias("link"))
 
@@ -215,42 +246,19 @@ def source_stats(spark, d):
     return A.merge_source_stats(one("l_shipdate < timestamp'1996-01-01'", "old"), one("l_shipdate >= timestamp'1998-06-01'", "new"))
 
 
-@query("draft_states", """WITH l AS (SELECT o_custkey AS draft_id, CASE o_orderstatus WHEN 'F' THEN 'published' WHEN 'P' THEN 'rejected' ELSE 'pending' END AS status, o_orderdate AS t, max(o_orderdate) OVER (PARTITION BY o_custkey) AS last FROM orders),
- g AS (SELECT draft_id, arg_max(status, t) AS status, min(t) AS created_at, max(t) AS updated_at FROM l GROUP BY 1 HAVING count(*) FILTER (t = last) = 1)
- SELECT draft_id, CASE WHEN status = 'pending' AND created_at < TIMESTAMP '1998-01-01' - INTERVAL 30 HOUR THEN 'expired' ELSE status END AS status, created_at, updated_at FROM g""")
-def draft_states(spark, d):
-    from pyspark.sql import Window
-
-    from ..streaming.jobs import draft_states as fold
-
-    log = dated(spark, d).select(F.col("custkey").alias("draft_id"), F.when(F.col("status") == "F", "published").when(F.col("status") == "P", "rejected").otherwise("pending").alias("status"), F.col("event_date").alias("at"))
-    last = F.max("at").over(Window.partitionBy("draft_id"))
-    clear = log.withColumn("last", last).groupBy("draft_id").agg(F.count_if(F.col("at") == F.col("last")).alias("ties")).where("ties = 1").select("draft_id")
-    return fold(log.join(clear, "draft_id", "left_semi"), AS_OF)
-
-
-@query("draft_states_all", """WITH l AS (SELECT o_custkey AS draft_id, CASE o_orderstatus WHEN 'F' THEN 'published' WHEN 'P' THEN 'rejected' ELSE 'pending' END AS status, o_orderdate AS t, o_orderkey AS k FROM orders),
+@query("draft_states", """WITH l AS (SELECT o_custkey AS draft_id, CASE o_orderstatus WHEN 'F' THEN 'published' WHEN 'P' THEN 'rejected' ELSE 'pending' END AS status, o_orderdate AS t, o_orderkey AS k FROM orders),
  g AS (SELECT draft_id, min(t) AS created_at, max(t) AS updated_at FROM l GROUP BY 1), s AS (SELECT draft_id, status FROM l QUALIFY row_number() OVER (PARTITION BY draft_id ORDER BY t DESC, k DESC) = 1)
  SELECT draft_id, CASE WHEN status = 'pending' AND created_at < TIMESTAMP '1998-01-01' - INTERVAL 30 HOUR THEN 'expired' ELSE status END AS status, created_at, updated_at FROM g JOIN s USING (draft_id)""")
-def draft_states_all(spark, d):
-    """Every draft, of equal times the event with the larger order id; ``draft_states`` and its SQL leave such drafts out."""
+def draft_states(spark, d):
+    """Every draft; of equal times the event with the larger order id counts."""
     from ..streaming.jobs import draft_states as fold
 
     log = dated(spark, d).select(F.col("custkey").alias("draft_id"), F.when(F.col("status") == "F", "published").when(F.col("status") == "P", "rejected").otherwise("pending").alias("status"), F.col("event_date").alias("at"), "id")
     return fold(log, AS_OF, tie="id")
 
 
-@query("reminder_texts_all", "SELECT o_orderkey AS id, 'Напоминание: Order ' || o_orderkey || ' — завтра, ' || strftime(timezone('Europe/Moscow', timezone('UTC', o_orderdate)), '%d.%m %H:%M') AS text FROM orders")
-def reminder_texts_all(spark, d):
-    """Every order; ``reminder_texts`` and its SQL take dates at which Moscow is three hours ahead."""
-    from ..functions.copy import reminder_text
-
-    return dated(spark, d).select("id", reminder_text(F.col("title"), F.lit("24h"), F.col("event_date"), "Europe/Moscow").alias("text"))
-
-
-@query("reminder_texts", "SELECT o_orderkey AS id, 'Напоминание: Order ' || o_orderkey || ' — завтра, ' || strftime(o_orderdate + INTERVAL 3 HOUR, '%d.%m %H:%M') AS text FROM orders WHERE o_orderdate >= TIMESTAMP '2015-01-01' OR o_orderdate < TIMESTAMP '1981-01-01' OR o_orderdate BETWEEN TIMESTAMP '1992-12-01' AND TIMESTAMP '1993-02-01'")
+@query("reminder_texts", "SELECT o_orderkey AS id, 'Напоминание: Order ' || o_orderkey || ' — завтра, ' || strftime(timezone('Europe/Moscow', timezone('UTC', o_orderdate)), '%d.%m %H:%M') AS text FROM orders")
 def reminder_texts(spark, d):
     from ..functions.copy import reminder_text
 
-    o = dated(spark, d).where("event_date >= timestamp'2015-01-01' or event_date < timestamp'1981-01-01' or event_date between timestamp'1992-12-01' and timestamp'1993-02-01'")
-    return o.select("id", reminder_text(F.col("title"), F.lit("24h"), F.col("event_date"), "Europe/Moscow").alias("text"))
+    return dated(spark, d).select("id", reminder_text(F.col("title"), F.lit("24h"), F.col("event_date"), "Europe/Moscow").alias("text"))

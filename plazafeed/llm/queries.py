@@ -83,16 +83,35 @@ QUERIES = {
 
 
 def _license_sql() -> str:
-    rows = ", ".join(f"({t}, {j}, '{w}', {int(x.key_at <= j < x.key_at + len(x.key_words))})" for t, x in enumerate(license.TEMPLATES) for j, w in enumerate(x.words))
-    heads = ", ".join(f"({t}, '{x.label}', {len(x.words)}, {len(x.key_words)}, {str(x.base).lower()})" for t, x in enumerate(license.TEMPLATES))
+    """The scan as joins of words, all pairs of what they find compared."""
+    T, slack = license.TEMPLATES, license.SLACK
+    listed = lambda rows: ", ".join("(" + ", ".join(f"'{x}'" if isinstance(x, str) else str(x).lower() for x in r) + ")" for r in rows)
+    held = [license.postings(t, T) for t in T]
+    need = [len(ps) if t.base else min(license.MEET, len({w for w, _ in ps})) for t, ps in zip(T, held)]
+    words = listed((t, j, w) for t, x in enumerate(T) for j, w in enumerate(x.words))
+    posted = listed((t, j, w) for t, ps in enumerate(held) for w, j in ps)
+    phrases = listed((t, k, len(ws), at + j, w) for t, x in enumerate(T) for k, (at, ws) in enumerate(x.keys) for j, w in enumerate(ws))
+    heads = listed((t, x.label, len(x.words), len(x.keys), x.base, 0 if x.base else slack, n) for t, (x, n) in enumerate(zip(T, need)))
+    better = "(q.score >= 0.6, q.same, q.exact, q.score, -q.pos, -q.t) > (p.score >= 0.6, p.same, p.exact, p.score, -p.pos, -p.t)"
     return f"""
 WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{license.UPPER}', '{license.LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS words FROM documents),
-tw(t, j, word, is_key) AS (VALUES {rows}), th(t, label, size, key_size, base) AS (VALUES {heads}),
+tw(t, j, word) AS (VALUES {words}),
+pt(t, j, word) AS (VALUES {posted}),
+kp(t, k, n, j, word) AS (VALUES {phrases}),
+th(t, label, size, n_keys, base, slack, need) AS (VALUES {heads}),
 p AS (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) - 1 AS i FROM w),
-m AS (SELECT doc_id, t, i - j AS first, count(*) AS same, sum(is_key) AS keys FROM p JOIN tw USING (word) GROUP BY ALL),
-o AS (SELECT doc_id, t, first, label, base, CAST(same AS DOUBLE) / size AS score FROM m JOIN th USING (t) WHERE keys = key_size),
-g AS (SELECT doc_id, count(*) FILTER (base) AS n_base, min(first) FILTER (base) AS first_word, max(first) FILTER (base) AS last_word,
- string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (score >= 0.6) AS labels, max(score) AS score FROM o GROUP BY doc_id)
+h AS (SELECT DISTINCT doc_id, t, i - j AS pos, j FROM p JOIN pt USING (word)),
+c AS (SELECT a.doc_id, a.t, a.pos, slack, n_keys FROM (SELECT DISTINCT doc_id, t, pos FROM h) a JOIN th USING (t)
+ JOIN h b ON b.doc_id = a.doc_id AND b.t = a.t AND b.pos BETWEEN a.pos AND a.pos + slack GROUP BY ALL HAVING count(DISTINCT b.j) >= any_value(need)),
+s AS (SELECT unnest(generate_series(-{slack}, {slack})) AS s),
+k AS (SELECT doc_id, t, c.pos, n_keys, kp.k FROM c JOIN kp USING (t) JOIN s ON abs(s) <= slack JOIN p USING (doc_id, word) WHERE i = c.pos + kp.j + s GROUP BY doc_id, t, c.pos, n_keys, kp.k, s HAVING count(*) = any_value(n)),
+v AS (SELECT doc_id, t, pos FROM k GROUP BY doc_id, t, pos, n_keys HAVING count(DISTINCT k) = n_keys),
+o AS (SELECT doc_id, t, v.pos, label, base, size, count(DISTINCT tw.j) AS same, count(DISTINCT tw.j) FILTER (i = v.pos + tw.j) AS exact, CAST(count(DISTINCT tw.j) AS DOUBLE) / size AS score
+ FROM v JOIN th USING (t) JOIN tw USING (t) JOIN p USING (doc_id, word) WHERE i BETWEEN v.pos + tw.j - slack AND v.pos + tw.j + slack GROUP BY doc_id, t, v.pos, label, base, size),
+o1 AS (SELECT * FROM o p WHERE base OR NOT EXISTS (FROM o q WHERE q.doc_id = p.doc_id AND q.t = p.t AND abs(q.pos - p.pos) <= {slack} AND {better})),
+o2 AS (SELECT * FROM o1 p WHERE base OR NOT EXISTS (FROM o1 q WHERE q.doc_id = p.doc_id AND NOT q.base AND q.pos < p.pos + p.size AND p.pos < q.pos + q.size AND {better})),
+g AS (SELECT doc_id, count(*) FILTER (base) AS n_base, min(pos) FILTER (base) AS first_word, max(pos) FILTER (base) AS last_word,
+ string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (score >= 0.6) AS labels, max(score) AS score FROM o2 GROUP BY doc_id)
 SELECT w.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,
  coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0) AS score FROM w LEFT JOIN g USING (doc_id)"""
 

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections import Counter
+from collections.abc import Callable, Iterator, Sequence
 from datetime import datetime
 from itertools import chain
 from types import SimpleNamespace
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import keys, rules, text
 from ..functions.time import date_key, time_key, ts
-from .staging import checkpointed
+from .staging import checkpointed, staged
 
 
 def with_signatures(items: DataFrame, tz: str) -> DataFrame:
@@ -109,18 +110,37 @@ def match_pairs(signed: DataFrame) -> DataFrame:
 
 
 def connected(pairs: DataFrame, nodes: DataFrame, max_rounds: int = 40) -> DataFrame:
-    """``(node, root)`` for every node: the smallest one that pairs reach. Labels spread and jump; lineage is cut each round."""
-    e = checkpointed(pairs.select("a", "b").union(pairs.select("b", "a")).distinct())
-    labels = checkpointed(nodes.select(F.col(nodes.columns[0]).alias("node")).distinct().withColumn("root", F.col("node")))
+    """``(node, root)`` for every node: the smallest one that pairs reach.
+
+    Each round hangs a node's larger neighbours, then its smaller ones and itself, under the
+    smallest of them: trees become flat in few rounds, long chains too. Rounds are staged.
+    """
+    def hang(e: DataFrame, larger: bool) -> DataFrame:
+        both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b"))) if larger else e
+        low = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("k"), F.least("a", "m").alias("m"))
+        j = both.join(low, F.col("a") == F.col("k"))
+        if larger:
+            out = j.where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
+        else:
+            out = j.select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select(F.col("k").alias("a"), F.col("m").alias("b")))
+        return out.where(F.col("a") != F.col("b")).distinct()
+
+    def mark(e: DataFrame) -> tuple:
+        return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+
+    now = staged(pairs.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "pairs")
+    before = mark(now)
     for _ in range(max_rounds):
-        heard = e.join(labels, F.col("b") == F.col("node")).groupBy(F.col("a").alias("to")).agg(F.min("root").alias("r"))
-        spread = labels.join(heard, F.col("node") == F.col("to"), "left").select("node", F.least("root", F.coalesce("r", "root")).alias("root"), F.col("root").alias("old"))
-        up = spread.select(F.col("node").alias("n2"), F.col("root").alias("r2"))
-        new = checkpointed(spread.join(up, F.col("root") == F.col("n2")).select("node", F.least("root", "r2").alias("root"), "old"))
-        labels = new.select("node", "root")
-        if new.where("root <> old").isEmpty():
-            return labels
-    raise RuntimeError(f"groups did not settle in {max_rounds} rounds")
+        if not before[0]:
+            break
+        now = staged(hang(hang(now, True), False), "pairs")
+        before, last = mark(now), before
+        if before == last:
+            break
+    else:
+        raise RuntimeError(f"groups did not settle in {max_rounds} rounds")
+    every = nodes.select(F.col(nodes.columns[0]).alias("node")).distinct()
+    return every.join(now.toDF("_n", "_r"), F.col("node") == F.col("_n"), "left").select("node", F.coalesce("_r", "node").alias("root"))
 
 
 def _sources() -> Column:
@@ -164,49 +184,109 @@ def merge_group(df: DataFrame, group: str) -> DataFrame:
 
 def collapse(items: DataFrame, tz: str, mode: str = "components") -> DataFrame:
     """One row an event. ``components``: matching pairs, connected; ``fold``: rows in id order join the first group whose
-    merged fields they match, date by date (the sequential reading of the rule, for checking and small dates). Undated
-    rows match nothing."""
+    merged fields they match (``fold_groups``). Undated rows match nothing."""
     signed = with_signatures(items, tz)
     if mode == "components":
         roots = connected(match_pairs(signed), signed.select("id"))
-        grouped = signed.join(roots, F.col("id") == F.col("node")).drop("node")
     else:
         clock = F.when(F.coalesce("event_has_explicit_time", F.lit(False)), time_key(F.col("event_date"), tz)).otherwise("no-time")
         rated = signed.withColumns({"title_q": text.title_quality(F.col("title")), "summary_q": text.summary_quality(F.col("summary")), "venue_q": text.text_quality(F.col("venue_title")), "clock": clock})
-        folded = rated.where("date_key is not null").groupBy("date_key").applyInPandas(_fold, rated.select("*", F.col("id").alias("root")).schema)
-        grouped = folded.unionByName(rated.where("date_key is null").withColumn("root", F.col("id"))).drop("title_q", "summary_q", "venue_q", "clock")
-    return merge_group(grouped, "root").drop("root")
-
-
-def _fold(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Greedy first match against what each group has merged so far: its best title, summary and venue, and their signatures."""
-    pdf = pdf.sort_values("id")
-    heads: list[SimpleNamespace] = []
-    roots = []
-    for r in pdf.itertuples():
-        r = SimpleNamespace(**{k: getattr(r, k) for k in _FOLDED})
-        head = next((h for h in heads if _same(h, r)), None)
-        if head is None:
-            heads.append(r)
-            roots.append(r.id)
-            continue
-        roots.append(head.id)
-        if r.title_q > head.title_q:
-            head.title_q, head.title_key, head.title_tokens, head.quoted = r.title_q, r.title_key, r.title_tokens, r.quoted
-        if r.summary_q > head.summary_q:
-            head.summary_q, head.summary_text = r.summary_q, r.summary_text
-        if r.venue_q > head.venue_q:
-            head.venue_q, head.venue_key, head.venue_tokens = r.venue_q, r.venue_key, r.venue_tokens
-        timed = lambda x: (x.clock == "no-time", x.event_date)
-        if timed(r) < timed(head):
-            head.clock, head.event_date = r.clock, r.event_date
-        own = [w for w in dict.fromkeys(head.summary_text.split(" ")) if len(w) >= 3 and w not in _STOP]
-        rest = [w for w in own if w not in {*head.title_tokens, *head.venue_tokens}]
-        head.summary_tokens = rest or own
-        key = "-".join(sorted(head.summary_tokens[:8]))
-        head.exact_signature = f"exact:{head.date_key}:{head.clock}:{head.title_key}:{head.venue_key}" if head.title_key and head.venue_key else ""
-        head.loose_signature = f"loose:{head.date_key}:{head.title_key}:{key}" if head.title_key and key else ""
-    return pdf.assign(root=roots)
+        roots = fold_groups(rated.where("date_key is not null").select(*_FOLDED)).union(signed.where("date_key is null").select("id", "id")).toDF("node", "root")
+    return merge_group(signed.join(roots, F.col("id") == F.col("node")).drop("node"), "root").drop("root")
+
+
+def title_parts(dated: DataFrame) -> DataFrame:
+    """``(node, root)``: rows of one date whose titles have to do with each other, directly or through others.
+
+    A row can only match a group whose title, which is that of one of its rows, has the
+    same key, a quoted word in common, or two tokens and 0.74 of the shorter one's. So rows
+    of different parts never meet, whatever is merged before. Equal keys and quoted words
+    are linked as stars, titles once for each key.
+    """
+    lead = dated.where("title_key <> ''").groupBy("date_key", "title_key").agg(F.min("id").alias("a"))
+    by_key = dated.join(lead, ["date_key", "title_key"]).select("a", F.col("id").alias("b"))
+    words = dated.select("id", "date_key", F.explode("quoted").alias("q"))
+    by_word = words.join(words.groupBy("date_key", "q").agg(F.min("id").alias("a")), ["date_key", "q"]).select("a", F.col("id").alias("b"))
+    heads = dated.join(lead.select(F.col("a").alias("id")), "id", "left_semi")
+    return connected(by_key.union(by_word).where("a <> b").union(title_pairs(heads)), dated.select("id"))
+
+
+def fold_groups(rated: DataFrame) -> DataFrame:
+    """``(id, root)``: greedy first match in id order, each row against what every earlier group of its date has merged so far.
+
+    Whether a row matches depends on what the groups before it have become, so the rows that
+    could meet (``title_parts``) are read in order by one task; all others go elsewhere. Rows
+    stream through: a task holds the merged fields of a part's groups, and looks up those
+    that share a title key, a quoted word or two title words with the row.
+    """
+    rated = checkpointed(rated)
+    parts = title_parts(rated).select(F.col("node").alias("id"), F.col("root").alias("part"))
+    dealt = rated.join(parts, "id").repartition("part").sortWithinPartitions("part", "id")
+    kind = dict(rated.dtypes)["id"]
+    return dealt.mapInPandas(_fold, f"id {kind}, root {kind}")
+
+
+class _Groups:
+    """The groups of one part in the order in which they began, found by the words of their titles."""
+
+    def __init__(self) -> None:
+        self.heads: list[SimpleNamespace] = []
+        self.by_word: dict[tuple, set[int]] = {}
+
+    def names(self, k: int) -> None:
+        """Enter group ``k`` under what its title has now; what it had before does no harm."""
+        h = self.heads[k]
+        for word in (("key", h.title_key), *(("quoted", w) for w in h.quoted), *(("title", w) for w in h.title_tokens)):
+            self.by_word.setdefault(word, set()).add(k)
+
+    def near(self, r: SimpleNamespace) -> list[int]:
+        """Groups that ``r`` could match, in order."""
+        found = set(self.by_word.get(("key", r.title_key), ())).union(*(self.by_word.get(("quoted", w), ()) for w in r.quoted))
+        shared = Counter(k for w in r.title_tokens for k in self.by_word.get(("title", w), ()))
+        return sorted(found.union(k for k, n in shared.items() if n >= 2))
+
+    def place(self, r: SimpleNamespace):
+        """The root of the first group that ``r`` matches, after merging it in; else of a new one."""
+        for k in self.near(r):
+            if _same(self.heads[k], r):
+                if _merge(self.heads[k], r):
+                    self.names(k)
+                return self.heads[k].id
+        self.heads.append(r)
+        self.names(len(self.heads) - 1)
+        return r.id
+
+
+def _fold(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    groups, now = _Groups(), None
+    for pdf in pdfs:
+        roots = []
+        for r in pdf.itertuples():
+            if r.part != now:
+                groups, now = _Groups(), r.part
+            roots.append(groups.place(SimpleNamespace(**{k: getattr(r, k) for k in _FOLDED})))
+        yield pd.DataFrame({"id": pdf["id"], "root": roots})
+
+
+def _merge(head: SimpleNamespace, r: SimpleNamespace) -> bool:
+    """Take over what ``r`` has better, and sign anew; whether the title changed."""
+    better = r.title_q > head.title_q
+    if better:
+        head.title_q, head.title_key, head.title_tokens, head.quoted = r.title_q, r.title_key, r.title_tokens, r.quoted
+    if r.summary_q > head.summary_q:
+        head.summary_q, head.summary_text = r.summary_q, r.summary_text
+    if r.venue_q > head.venue_q:
+        head.venue_q, head.venue_key, head.venue_tokens = r.venue_q, r.venue_key, r.venue_tokens
+    timed = lambda x: (x.clock == "no-time", x.event_date)
+    if timed(r) < timed(head):
+        head.clock, head.event_date = r.clock, r.event_date
+    own = [w for w in dict.fromkeys(head.summary_text.split(" ")) if len(w) >= 3 and w not in _STOP]
+    rest = [w for w in own if w not in {*head.title_tokens, *head.venue_tokens}]
+    head.summary_tokens = rest or own
+    key = "-".join(sorted(head.summary_tokens[:8]))
+    head.exact_signature = f"exact:{head.date_key}:{head.clock}:{head.title_key}:{head.venue_key}" if head.title_key and head.venue_key else ""
+    head.loose_signature = f"loose:{head.date_key}:{head.title_key}:{key}" if head.title_key and key else ""
+    return better
 
 
 _STOP = frozenset(rules.STOP_WORDS)

@@ -219,6 +219,25 @@ def collapse_events(spark, d):
     return c.select("id", "title", F.sha2(F.coalesce("summary", F.lit("")), 256).alias("summary_sha256"), "url", "source_name", F.array_join("categories", ",").alias("categories"), "group_size", "source_count", F.array_join(F.transform("sources", lambda x: x.id), ",").alias("sources"), "priority_score")
 
 
+@query("fold_events", """WITH RECURSIVE o AS (SELECT o_orderkey AS id, year(o_orderdate) AS y, o_orderkey * 7919 % 600 AS v, row_number() OVER (PARTITION BY year(o_orderdate) ORDER BY o_orderkey) AS n FROM orders),
+ s AS (SELECT DISTINCT y, CAST(0 AS BIGINT) AS n, CAST([] AS BIGINT[]) AS heads, CAST([] AS BIGINT[]) AS held, CAST(NULL AS BIGINT) AS root FROM o
+  UNION ALL SELECT y, n, CASE WHEN hit IS NULL THEN list_append(heads, id) ELSE heads END, CASE WHEN hit IS NULL THEN list_append(held, v) ELSE held END, CASE WHEN hit IS NULL THEN id ELSE heads[hit] END
+  FROM (SELECT o.y, o.n, o.id, o.v, heads, held, nullif(list_position(list_transform(held, lambda h: abs(h - o.v) <= 1), true), 0) AS hit FROM s JOIN o ON o.y = s.y AND o.n = s.n + 1))
+ SELECT root AS id, count(*) AS group_size FROM s WHERE root IS NOT NULL GROUP BY root""")
+def fold_events(spark, d):
+    """Orders as items of one date a year, whose titles of four words share three with the next ones: a row joins the first group it matches."""
+    from .orders import dated
+
+    none = lambda c: F.lit(None).cast("string").alias(c)
+    word = lambda k: F.format_string("w%04d", F.col("id") * 7919 % 600 + k)
+    items = dated(spark, d).select(
+        "id", F.concat_ws(" ", *map(word, range(4))).alias("title"), F.lit("").alias("summary"), none("venue_title"), none("url"), none("kind"), none("image_url"), F.lit(False).alias("event_has_explicit_time"),
+        F.date_trunc("year", "event_date").alias("event_date"), F.array(F.lit("events")).alias("categories"), F.array("status").alias("source_ids"), F.array("status").alias("source_names"), "score",
+        F.col("score").alias("base_score"), F.col("event_date").alias("seen_at"), F.col("event_date").alias("updated_at"),
+    )
+    return D.collapse(items, "UTC", mode="fold").select("id", "group_size")
+
+
 @query("import_batch", """WITH b AS (SELECT o_orderkey AS id, o_orderdate AS t, o_orderpriority AS type, 0 AS fresh FROM orders WHERE o_orderpriority <> '1-URGENT' AND o_orderkey % 3 > 0 UNION ALL SELECT o_orderkey, o_orderdate, '1-URGENT', 1 FROM orders WHERE o_orderkey % 3 = 0)
  SELECT min(id) AS id, count(*) AS group_size FROM b WHERE type <> '5-LOW' GROUP BY t, id % 50""")
 def import_batch(spark, d):

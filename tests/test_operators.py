@@ -322,3 +322,26 @@ def test_batch_is_the_greedy_choice(spark, limit):
     none = posted.limit(0)
     got = [x.id for x in R.select_batch(df, posted, none, limit, AS_OF).orderBy("pos").collect()]
     assert got == greedy(plain, limit, (4, 2, 1, 0), {f"e:{s}": n + 0.01 for s, n in days.items()}) and len(got) == limit
+
+
+def test_fold_is_the_plain_reading(spark, monkeypatch):
+    """The rule read plainly compares each row with every group of its date (worker/src/index.js, collapseDuplicateItems)."""
+    import random
+
+    r = random.Random(4)
+    words = [f"слово{k}" for k in range(14)]
+    rows = []
+    for k in range(260):
+        title = " ".join(r.sample(words, r.randrange(1, 5)))
+        if r.random() < 0.3:
+            title = f"«{r.choice(words)} {r.choice(words)}» " + title
+        rows.append((f"{k:03d}", title, " ".join(r.sample(words, r.randrange(0, 6))), r.choice(["", "Зал", "Зал два", "Клуб"]), r.choice(["concert", "sport", None]), T(2026, 3, r.choice([12, 12, 13]), r.randrange(24)), r.random() < 0.5))
+    items = spark.createDataFrame(rows, "id string, title string, summary string, venue_title string, kind string, event_date timestamp, event_has_explicit_time boolean").withColumn("url", F.col("id"))
+    signed = D.with_signatures(items, "UTC")
+    clock = F.when(F.col("event_has_explicit_time"), D.time_key(F.col("event_date"), "UTC")).otherwise("no-time")
+    rated = signed.withColumns({"title_q": D.text.title_quality(F.col("title")), "summary_q": D.text.summary_quality(F.col("summary")), "venue_q": D.text.text_quality(F.col("venue_title")), "clock": clock}).select(*D._FOLDED)
+    got = {x.id: x.root for x in D.fold_groups(rated).collect()}
+    monkeypatch.setattr(D._Groups, "near", lambda self, r: range(len(self.heads)))
+    plain = rated.withColumn("part", F.col("date_key")).orderBy("part", "id").toPandas()
+    want = {i: root for pdf in D._fold(iter([plain])) for i, root in zip(pdf["id"], pdf["root"])}
+    assert got == want and 20 < len(set(got.values())) < 240

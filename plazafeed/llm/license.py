@@ -51,24 +51,33 @@ class Template:
 
 #: The phrases whose places a scan counts.
 BASE = [Template("mit", "under the mit license", base=True), Template("apache-2", "apache license version 2", base=True), Template("cc-by-nc", "cc by nc", base=True)]
-NOTICES = [Template("all-rights-reserved", "all rights reserved", ("all rights reserved",)), Template("mit", "released under the MIT license", ("the mit license",)), Template("mit", "licensed under the MIT license", ("the mit license",))]
+NOTICES = [Template("all-rights-reserved", "all rights reserved", ("all rights reserved",)), Template("mit", "released under the MIT license", ("released under the mit license",)), Template("mit", "licensed under the MIT license", ("licensed under the mit license",))]
 TEMPLATES = [*BASE, *NOTICES, *(Template(label, text, tuple(phrases)) for label, text, phrases in LICENSES)]
 #: Postings of a template in the index, how many of them must meet, and the inserted or missing words that a match bears.
-POSTINGS, MEET, SLACK = 8, 3, 4
+POSTINGS, MEET, SLACK = 6, 3, 4
+
+
+#: Fixed value: words of any English text, which are never rare however few templates have them.
+COMMON = frozenset("a an and any are as at be but by do for from in is it no not of on or the this to was what with you your".split())
 
 
 def idf(word: str, templates: list[Template]) -> float:
-    return math.log(len(templates) / sum(word in t.words for t in templates))
+    """Inverse frequency over the templates; 0 for a common word."""
+    return 0.0 if word in COMMON else math.log(len(templates) / sum(word in t.words for t in templates))
 
 
 def postings(t: Template, templates: list[Template]) -> list[tuple[str, int]]:
-    """The index's words of ``t`` and their places: for a base template all; else its rarest, at least ``MEET`` from the mandatory phrases. Ties: the longer word, then the earlier."""
+    """The index's words of ``t`` and their places: the rarest, ``MEET`` at least from the mandatory phrases, none that a fifth of the templates have but two. Ties: the longer word, then the earlier."""
     rank = lambda i: (-idf(t.words[i], templates), -len(t.words[i]), i)
-    if t.base:
-        return [(w, i) for i, w in enumerate(t.words)]
-    key = sorted({at + i for at, k in t.keys for i in range(len(k))}, key=rank)
-    rest = sorted(set(range(len(t.words))) - {*key[:MEET]}, key=rank)
-    return [(t.words[i], i) for i in [*key[:MEET], *rest][:POSTINGS]]
+    key = sorted({at + i for at, k in t.keys for i in range(len(k))}, key=rank)[: 2 if t.base else MEET]
+    rest = [] if t.base else sorted(set(range(len(t.words))) - {*key}, key=rank)
+    order = [*key, *rest][:POSTINGS]
+    return [(t.words[i], i) for n, i in enumerate(order) if n < 2 or idf(t.words[i], templates) > math.log(5)]
+
+
+def needed(t: Template, held: list[tuple[str, int]]) -> int:
+    """How many postings must meet at a start: all of a base template, where the phrase is compared exactly."""
+    return len(held) if t.base else min(MEET, len({w for w, _ in held}))
 
 
 def scan(docs: DataFrame, templates: list[Template] = TEMPLATES, min_score: float = 0.6) -> DataFrame:
@@ -94,7 +103,7 @@ def scan(docs: DataFrame, templates: list[Template] = TEMPLATES, min_score: floa
     place = lambda k, o: F.struct(F.lit(k).alias("t"), F.lit(o).alias("o"))
     index = F.create_map(*[x for word, ps in sorted(by_word.items()) for x in (F.lit(word), F.array(*[place(k, o) for k, o in ps]))])
     phrase = lambda at, ws: F.struct(F.lit(at).alias("at"), strings(ws).alias("words"))
-    need = [len(ps) if t.base else min(MEET, len({w for w, _ in ps})) for t, ps in zip(templates, held)]
+    need = [needed(t, ps) for t, ps in zip(templates, held)]
     table = F.array(*[
         F.struct(F.lit(t.label).alias("label"), strings(t.words).alias("words"), F.array(*(phrase(*k) for k in t.keys)).alias("keys"), F.lit(0 if t.base else SLACK).alias("slack"), F.lit(n).alias("need"))
         for t, n in zip(templates, need)

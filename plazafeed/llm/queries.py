@@ -87,7 +87,7 @@ def _license_sql() -> str:
     T, slack = license.TEMPLATES, license.SLACK
     listed = lambda rows: ", ".join("(" + ", ".join(f"'{x}'" if isinstance(x, str) else str(x).lower() for x in r) + ")" for r in rows)
     held = [license.postings(t, T) for t in T]
-    need = [len(ps) if t.base else min(license.MEET, len({w for w, _ in ps})) for t, ps in zip(T, held)]
+    need = [license.needed(t, ps) for t, ps in zip(T, held)]
     words = listed((t, j, w) for t, x in enumerate(T) for j, w in enumerate(x.words))
     posted = listed((t, j, w) for t, ps in enumerate(held) for w, j in ps)
     phrases = listed((t, k, len(ws), at + j, w) for t, x in enumerate(T) for k, (at, ws) in enumerate(x.keys) for j, w in enumerate(ws))

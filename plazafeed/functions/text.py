@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import pandas as pd
 from pyspark.sql import Column
@@ -105,24 +105,37 @@ LOOSE_ENDS = [
 ]
 
 
+def let(c: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of ``c``, which is computed once however often ``f`` uses it."""
+    return F.get(F.transform(F.array(c), f), 0)
+
+
 def ensure_sentence(c: Column) -> Column:
     """The text with one mark at its end that closes a sentence."""
     c = F.regexp_replace(F.regexp_replace(normalize(c), r"(?:\.{3,}|…)\s*\z", "."), r"[,:;–—-]\s*\z", ".")
-    c = F.trim(c)
-    return F.when(c == "", "").when(c.rlike(r"[.!?]\z"), c).otherwise(F.concat(c, F.lit(".")))
+    return let(F.trim(c), lambda x: F.when(x == "", "").when(x.rlike(r"[.!?]\z"), x).otherwise(F.concat(x, F.lit("."))))
 
 
 def trim_text(c: Column, limit: int) -> Column:
     """At most ``limit`` characters: to the last sentence end at 45 per cent or later, else to a word, without loose ends and closed by a full stop."""
-    c = normalize(c)
     least = int(0.45 * limit)
-    head = F.regexp_replace(F.substring(c, 1, max(0, limit - 1)), r"^\s+|\s+\z", "")
-    sentence = F.regexp_extract(head, rf"(?s)^(.*(?:[!?]|(?<!(?iu:[A-Za-z0-9_](?:{ABBREVIATIONS})))\.))", 1)
-    word = F.regexp_extract(head, r"(?s)^(.*) ", 1)
-    cut = F.when(F.length(word) >= least, word).otherwise(head)
-    for pattern, to in LOOSE_ENDS:
-        cut = F.regexp_replace(cut, pattern, to)
-    return F.when(F.length(c) <= limit, c).when(F.length(sentence) > least, sentence).otherwise(ensure_sentence(F.trim(cut)))
+
+    def cut(head: Column) -> Column:
+        """To a word, without loose ends."""
+        out = let(F.regexp_extract(head, r"(?s)^(.*) ", 1), lambda word: F.when(F.length(word) >= least, word).otherwise(head))
+        for pattern, to in LOOSE_ENDS:
+            out = F.regexp_replace(out, pattern, to)
+        return ensure_sentence(F.trim(out))
+
+    def shortened(head: Column) -> Column:
+        sentence = F.regexp_extract(head, rf"(?s)^(.*(?:[!?]|(?<!(?iu:[A-Za-z0-9_](?:{ABBREVIATIONS})))\.))", 1)
+        return let(sentence, lambda x: F.when(F.length(x) > least, x).otherwise(cut(head)))
+
+    def whole(x: Column) -> Column:
+        head = F.regexp_replace(F.substring(x, 1, max(0, limit - 1)), r"^\s+|\s+\z", "")
+        return F.when(F.length(x) <= limit, x).otherwise(let(head, shortened))
+
+    return let(normalize(c), whole)
 
 
 def ellipsis(c: Column, limit: int, mark: str = "…") -> Column:
@@ -208,21 +221,21 @@ def is_mojibake(c: Column) -> Column:
     return (n >= 3) | (n > 0.04 * F.length(F.coalesce(c, F.lit(""))))
 
 
-@F.pandas_udf(StringType())
-def _recode(s: pd.Series) -> pd.Series:
-    def fix(x: str | None) -> str | None:
-        try:
-            return None if x is None else x.encode("cp1251").decode("utf-8")
-        except UnicodeError:
-            return x
+#: The upper half of code page 1251 (0x98 is free), and the bytes as the characters with their numbers.
+_CP1251 = bytes(b for b in range(128, 256) if b != 0x98).decode("cp1251")
+_BYTES = "".join(chr(b) for b in range(128, 256) if b != 0x98)
+
 
-    return s.map(fix)
+def recode(c: Column) -> Column:
+    """The bytes that code page 1251 has for the text, read as UTF-8; null where it lacks a character or they are none."""
+    known = "".join(f"\\x{{{ord(x):x}}}" for x in _CP1251)
+    data = F.encode(F.when(~c.rlike(rf"[^\x00-\x7f{known}]"), F.translate(c, _CP1251, _BYTES)), "ISO-8859-1")
+    return F.try_validate_utf8(data.cast("string"))
 
 
 def repair_mojibake(c: Column) -> Column:
-    """The text read the other way, where it looks garbled and that leaves less noise; only such rows reach Python."""
-    fixed = _recode(F.when(is_mojibake(c), c))
-    return F.when(fixed.isNotNull() & (mojibake_hits(fixed) < mojibake_hits(c)), fixed).otherwise(c)
+    """The text read the other way, where it looks garbled and that leaves less noise."""
+    return let(recode(F.when(is_mojibake(c), c)), lambda x: F.when(x.isNotNull() & (mojibake_hits(x) < mojibake_hits(c)), x).otherwise(c))
 
 
 def parse_list(c: Column, limit: int = 12) -> Column:

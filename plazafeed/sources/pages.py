@@ -191,7 +191,8 @@ def extract_page_candidates(pages: DataFrame) -> DataFrame:
     lists = pages.withColumn("_ld", F.transform(blocks, lambda x: F.try_parse_json(x)))
     events = F.filter("_ld", lambda v: v.isNotNull() & F.coalesce(F.lower(F.coalesce(F.try_variant_get(v, "$['@type']", "string"), F.try_variant_get(v, "$['@graph'][0]['@type']", "string"))).contains("event"), F.lit(False)))
     def take(*paths: str) -> Column:
-        return F.array_compact(F.flatten(F.transform(events, lambda v: F.array(*[F.coalesce(F.try_variant_get(v, f"$.{p}", "string"), F.try_variant_get(v, f"$['@graph'][0].{p}", "string")) for p in paths]))))
+        found = lambda v: F.array(*[F.coalesce(F.try_variant_get(v, f"$.{p}", "string"), F.try_variant_get(v, f"$['@graph'][0].{p}", "string")) for p in paths])
+        return F.filter(F.flatten(F.transform(events, found)), lambda x: x.isNotNull() & ~x.rlike(r"^\s*[\[{]"))  # a list or an object is told by its parts
 
     h = F.col("html")
     return lists.select(

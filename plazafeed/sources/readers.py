@@ -39,7 +39,7 @@ def read_snapshots(spark: SparkSession, paths: Sequence[str], item_schema: str)
     there = [p for p in paths if hadoop.Path(p).getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop.Path(p))]
     if not there:
         return spark.createDataFrame([], item_schema + ", file string")
-    raw = spark.read.text(there, wholetext=True).select(F.trim("value").alias("v"), F.col("_metadata.file_path").alias("file"))
+    raw = spark.read.text(there, wholetext=True, recursiveFileLookup=True).select(F.trim("value").alias("v"), F.col("_metadata.file_path").alias("file"))
     rows = F.when(F.col("v").startswith("["), F.from_json("v", f"array<struct<{item_schema.replace(' string', ':string').replace(' double', ':double').replace(' timestamp', ':timestamp').replace(' boolean', ':boolean').replace(' int', ':int')}>>")).otherwise(
         F.from_json("v", f"items array<struct<{item_schema.replace(' string', ':string').replace(' double', ':double').replace(' timestamp', ':timestamp').replace(' boolean', ':boolean').replace(' int', ':int')}>>").getField("items"))
     return raw.select(F.explode(rows).alias("i"), "file").select("i.*", "file")

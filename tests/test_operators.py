@@ -345,3 +345,19 @@ def test_fold_is_the_plain_reading(spark, monkeypatch):
     plain = rated.withColumn("part", F.col("date_key")).orderBy("part", "id").toPandas()
     want = {i: root for pdf in D._fold(iter([plain])) for i, root in zip(pdf["id"], pdf["root"])}
     assert got == want and 20 < len(set(got.values())) < 240
+
+
+@pytest.mark.parametrize("limit", [20, 60])
+def test_trim_text_computes_its_parts_once(spark, limit):
+    """The plan names the normalised text and the head; without that it held more than a hundred replacements."""
+    df = spark.createDataFrame([("Первое предложение. Второе, г. Казань, очень длинное и без конца, " * 3,)], "s string").select(text.trim_text(F.col("s"), limit).alias("t"))
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace") < 60
+    assert len(df.first().t) <= limit + 1
+
+
+def test_repair_without_python(spark):
+    garbled = "Концерт в парке сегодня".encode().decode("cp1251", "ignore")
+    rows = [("Концерт в театре".encode().decode("cp1251"),), ("Рассказ",), (garbled + "é日",), (None,), ("",)]
+    df = spark.createDataFrame(rows, "s string").select("s", text.repair_mojibake(F.col("s")).alias("t"))
+    assert "Python" not in df._jdf.queryExecution().executedPlan().toString()
+    assert [r.t for r in df.collect()] == ["Концерт в театре", "Рассказ", rows[2][0], None, ""]

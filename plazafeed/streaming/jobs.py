@@ -109,9 +109,96 @@ def frontier_state(log: DataFrame, as_of: datetime | str, keep_days: int = 180)
     return g.where("pending_upload" if keep_days < 0 else (F.col("last_seen_at") >= ts(as_of) - F.expr(f"INTERVAL '{keep_days}' DAY")) | F.col("pending_upload"))
 
 
-def frontier_stream(log: DataFrame) -> DataFrame:
-    """The same fold as an update stream, without pruning (the sink's reader prunes)."""
-    return log.groupBy("source_id", "url").agg(F.min("at").alias("first_seen_at"), F.max("at").alias("last_seen_at"), F.max_by("event", "at").alias("state"), F.count_if(F.col("event") == "blocked").alias("blocked_count"))
+class KeptState(StatefulProcessor):
+    """State of a key that goes ``keep_ms`` of event time after its last row; subclasses say what a row adds and what is put out."""
+
+    SCHEMA, OUT = "", ""
+
+    def __init__(self, keep_ms: int):
+        self.keep_ms = keep_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("kept", f"last_ms long, {self.SCHEMA}")
+
+    def add(self, old: tuple | None, rows: pd.DataFrame) -> tuple:
+        """The fields after the newest time, from those before (None: a new key)."""
+        raise NotImplementedError
+
+    def show(self, key: tuple, last_ms: int, fields: tuple) -> pd.DataFrame:
+        raise NotImplementedError
+
+    def stays(self, fields: tuple) -> bool:
+        """Whether the state outlives its time."""
+        return False
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        old = self.state.get() if self.state.exists() else None
+        last, fields = (old[0], tuple(old[1:])) if old else (None, None)
+        for pdf in rows:
+            fields = self.add(fields, pdf)
+            newest = int(pdf["ms"].max())
+            last = newest if last is None else max(last, newest)
+        if old:
+            self.handle.deleteTimer(old[0] + self.keep_ms)
+        self.handle.registerTimer(last + self.keep_ms)
+        self.state.update((last, *fields))
+        yield self.show(key, last, fields)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.state.exists() and not self.stays(tuple(self.state.get()[1:])):
+            self.state.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+class FrontierState(KeptState):
+    SCHEMA = "first_ms long, state_ms long, state string, blocked long, collected_ms long, uploaded_ms long"
+    OUT = "source_id string, url string, first_seen_ms long, last_seen_ms long, state string, blocked_count long"
+
+    def add(self, old, rows):
+        first, state_ms, state, blocked, collected, uploaded = old or (1 << 62, -1, "", 0, -1, -1)
+        newest = max((int(ms), e) for ms, e in zip(rows["ms"], rows["event"]))
+        of = lambda e, was: max([was, *rows.loc[rows["event"] == e, "ms"].astype(int)])
+        state_ms, state = max((state_ms, state), newest)
+        return min(first, int(rows["ms"].min())), state_ms, state, blocked + int((rows["event"] == "blocked").sum()), of("collected", collected), of("uploaded", uploaded)
+
+    def show(self, key, last_ms, fields):
+        return pd.DataFrame({"source_id": [key[0]], "url": [key[1]], "first_seen_ms": [fields[0]], "last_seen_ms": [last_ms], "state": [fields[2]], "blocked_count": [fields[3]]})
+
+    def stays(self, fields):
+        return fields[4] >= 0 and fields[5] < fields[4]  # collected, and that not uploaded yet
+
+
+class FeedbackState(KeptState):
+    SCHEMA = "urls array<string>, times array<long>"
+    OUT = "item_key string, action string, urls array<string>"
+
+    def __init__(self, keep_ms: int, n: int):
+        super().__init__(keep_ms)
+        self.n = n
+
+    def add(self, old, rows):
+        seen = dict(zip(*old)) if old else {}
+        for u, ms in zip(rows["url_key"], rows["ms"]):
+            seen[u] = max(int(ms), seen.get(u, -1))
+        kept = sorted(seen.items(), key=lambda x: (x[1], x[0]))[-self.n :]
+        return [u for u, _ in kept], [ms for _, ms in kept]
+
+    def show(self, key, last_ms, fields):
+        return pd.DataFrame({"item_key": [key[0]], "action": [key[1]], "urls": [[*fields[0]][::-1]]})
+
+
+def _keyed(log: DataFrame, at: str, late: str) -> DataFrame:
+    return log.withWatermark(at, late).withColumn("ms", F.unix_millis(at))
+
+
+def frontier_stream(log: DataFrame, keep_days: int = 180, late: str = "1 day") -> DataFrame:
+    """The same fold as an update stream. A link's state goes ``keep_days`` of event time after it was last seen, unless an upload is pending; needs the RocksDB state store."""
+    out = _keyed(log, "at", late).groupBy("source_id", "url").transformWithStateInPandas(FrontierState(keep_days * 86_400_000), FrontierState.OUT, "Update", "EventTime")
+    return out.select("source_id", "url", F.timestamp_millis("first_seen_ms").alias("first_seen_at"), F.timestamp_millis("last_seen_ms").alias("last_seen_at"), "state", "blocked_count")
 
 
 def ingest_listings(pages: DataFrame, extract: Callable[[DataFrame], DataFrame], publish: Callable[[DataFrame, int], None], checkpoint: str):
@@ -140,19 +227,9 @@ def photo_feedback_history(log: DataFrame, n: int = 25) -> DataFrame:
     return analytics.bounded_history(k, "k", "url_key", "reviewed_at", n)
 
 
-def photo_feedback_stream(log: DataFrame, n: int = 25) -> DataFrame:
-    """The same from a stream: the state of an item is its last ``n`` urls."""
-
-    def run(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        urls = list(state.get[0]) if state.exists else []
-        for pdf in pdfs:
-            for u in pdf.sort_values("reviewed_at")["url_key"]:
-                urls = [x for x in urls if x != u] + [u]
-        urls = urls[-n:]
-        state.update((urls,))
-        yield pd.DataFrame({"item_key": [key[0]], "action": [key[1]], "urls": [urls[::-1]]})
-
-    return log.groupBy("item_key", "action").applyInPandasWithState(run, "item_key string, action string, urls array<string>", "urls array<string>", "update", GroupStateTimeout.NoTimeout)
+def photo_feedback_stream(log: DataFrame, n: int = 25, keep_days: int = 365, late: str = "1 day") -> DataFrame:
+    """The same from a stream: the state of an item is its newest ``n`` urls, and goes ``keep_days`` of event time after the last; needs the RocksDB state store."""
+    return _keyed(log, "reviewed_at", late).groupBy("item_key", "action").transformWithStateInPandas(FeedbackState(keep_days * 86_400_000, n), FeedbackState.OUT, "Update", "EventTime")
 
 
 def drop_late(items: DataFrame, as_of: datetime | str) -> DataFrame:

@@ -46,13 +46,32 @@ def test_flag_requests(spark, tmp_path):
 def test_frontier_and_feedback(spark, tmp_path):
     df, stream = landed(spark, tmp_path)
     log = lambda d: d.select(F.col("user_id").cast("string").alias("source_id"), F.col("event_type").alias("url"), F.lit("collected").alias("event"), F.col("ts").alias("at"))
-    run(jobs.frontier_stream(log(stream)), "frontier", tmp_path, "complete")
-    assert spark.table("frontier").count() == log(df).select("source_id", "url").distinct().count()
+    run(jobs.frontier_stream(log(stream), late="60 days"), "frontier", tmp_path, "update")
+    last = spark.table("frontier").groupBy("source_id", "url").agg(F.min("first_seen_at").alias("first_seen_at"), F.max("last_seen_at").alias("last_seen_at"))
+    want = log(df).groupBy("source_id", "url").agg(F.min("at").alias("first_seen_at"), F.max("at").alias("last_seen_at"))
+    ms = lambda d: {(r.source_id, r.url, r.a, r.b) for r in d.select("source_id", "url", F.unix_millis("first_seen_at").alias("a"), F.unix_millis("last_seen_at").alias("b")).collect()}
+    assert ms(last) == ms(want)
     fb = stream.select(F.col("event_type").alias("item_key"), F.lit("approved").alias("action"), F.col("user_id").cast("string").alias("url_key"), F.col("ts").alias("reviewed_at"))
-    run(jobs.photo_feedback_stream(fb, 3), "feedback", tmp_path, "update")
+    run(jobs.photo_feedback_stream(fb, 3, late="60 days"), "feedback", tmp_path, "update")
     assert spark.table("feedback").select(F.max(F.size("urls")).alias("m")).first().m == 3
 
 
+def test_state_of_links_goes_after_its_time(spark, tmp_path):
+    """A link that comes again after its time starts anew, unless its upload was pending; the state shrinks."""
+    schema, day = "source_id string, url string, event string, at timestamp", lambda n: datetime(2026, 1, 1 + n)
+    steps = [[("s", "gone", "seen", day(0)), ("s", "held", "collected", day(0)), *(("s", f"l{k}", "seen", day(0)) for k in range(20))], [("s", "late", "seen", day(20))], [("s", "late", "seen", day(21))], [("s", "gone", "seen", day(22)), ("s", "held", "seen", day(22))]]
+    for rows in steps:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "log"))
+        q = jobs.frontier_stream(jobs.read_landed(spark, str(tmp_path / "log"), schema, files_per_trigger=1), keep_days=5).writeStream.foreachBatch(lambda d, k: d.write.mode("append").parquet(str(tmp_path / "out"))).outputMode("update").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+        q.awaitTermination(180)
+        assert q.exception() is None
+    out = spark.read.parquet(str(tmp_path / "out"))
+    first = lambda url: [r.first_seen_at for r in out.where(F.col("url") == url).orderBy("last_seen_at").collect()]
+    assert first("gone") == [day(0), day(22)] and first("held") == [day(0), day(0)]
+    totals = [op.numRowsTotal for p in q.recentProgress for op in p.stateOperators]
+    assert totals[-1] < 22
+
+
 def test_reminders(spark, tmp_path):
     rows = [("1", "u", datetime(2026, 3, 10, 10), datetime(2026, 3, 10, 9)), ("2", "u", datetime(2026, 3, 12), datetime(2026, 3, 10, 9))]
     schema = "id string, user_id string, due_at timestamp, ts timestamp"

@@ -30,6 +30,22 @@ MANIFEST = "first_page long, last_page long, file string, n_records long, n_byte
 RECORDS = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
 
 
+def _qualified(spark: SparkSession, root: str) -> str:
+    """``root`` with the scheme that Spark takes for it, so that records and manifest lie in one file system.
+
+    A path on a local disk is refused where tasks run on other machines, unless it is inside the folder that they share.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    whole = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    if whole.startswith("file:"):
+        plain = lambda x: "/" + x.removeprefix("file:").strip("/")
+        shared, whole = spark.conf.get("spark.checkpoint.dir", None), plain(whole)
+        if not spark.sparkContext.master.startswith("local") and not (shared and whole.startswith(f"{plain(shared)}/")):
+            raise ValueError(f"{root} is on a local disk; name a folder that driver and executors share")
+        return f"file://{whole}"
+    return whole
+
+
 def _open(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri if ":/" in uri else f"file://{os.path.abspath(uri)}")
 
@@ -85,7 +101,7 @@ class _Shard:
             self.out = None
 
 
-def write_archive(pages: DataFrame, root: str, min_revisit_bytes: int = 1000, roll_bytes: int = 16 << 20, level: int = 6, as_of: datetime = datetime(2024, 1, 31, tzinfo=timezone.utc), shard_bytes: int = 16 << 20) -> DataFrame:
+def write_archive(pages: DataFrame, root: str, min_revisit_bytes: int = 1000, roll_bytes: int = 4 << 20, level: int = 6, as_of: datetime = datetime(2024, 1, 31, tzinfo=timezone.utc), shard_bytes: int = 64 << 20) -> DataFrame:
     """Write one record per row of ``pages(page_id, url, html)`` under ``root``; returns the manifest.
 
     Of records with equal payloads of at least ``min_revisit_bytes`` that with the largest
@@ -93,11 +109,12 @@ def write_archive(pages: DataFrame, root: str, min_revisit_bytes: int = 1000, ro
     first written is the response. Rows without page_id are responses, as nothing could
     name them; they come first, by url and payload, in as many shards as they need. A null
     html or url is empty; repeated rows are records of their own; an empty table gives an
-    empty manifest. A shard takes about ``shard_bytes`` of payload and rolls its file once its
-    compressed size passes ``roll_bytes``. The html itself is shuffled once: a row for each
+    empty manifest. A shard takes about ``shard_bytes`` of payload, which one task writes, and
+    rolls its file once its compressed size passes ``roll_bytes``. The html itself is shuffled once: a row for each
     revisit is sorted in just before its page. Files that lost attempts left unfinished go at the end.
     """
     spark = pages.sparkSession
+    root = _qualified(spark, root)
     src = pages.select(F.col("page_id").cast("long"), text_or_empty("url").alias("url"), text_or_empty("html").alias("html"))
     src = src.withColumn("digest", F.sha1(F.col("html").cast("binary")))
     #: Rows of one page and payload stay together; rows without page_id are spread by all they have.
@@ -173,6 +190,8 @@ def read_archive(spark: SparkSession, root: str, payload: bool = True) -> DataFr
     or empty, payload null for revisits (and for all, without ``payload``). An empty archive gives an empty table.
     """
 
+    root = _qualified(spark, root)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, base = _open(root)
         for b in batches:

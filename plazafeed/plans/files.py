@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..operators.staging import shared_folder
 from ..sources import pages as S
-from ..sources import readers, udtf
+from ..sources import readers, sinks, udtf
 from .registry import query, table
 from .texts import TITLE_SQL, docs
 
@@ -121,3 +121,14 @@ def repair_texts(spark, d):
     """Whole texts, garbled by reading their bytes in the wrong code page, and repaired."""
     bad = F.translate(F.decode(F.coalesce("text", F.lit("")).cast("binary"), "ISO-8859-1"), _LOW, _HIGH)
     return docs(spark, d).withColumn("bad", bad).select("doc_id", F.sha2(text.repair_mojibake(F.col("bad")), 256).alias("text_sha256"))
+
+
+@query("event_log", "SELECT event_id, event_type FROM events ORDER BY CAST(ts AS TIMESTAMP) DESC, event_id DESC LIMIT 700")
+def event_log(spark, d):
+    """Events appended in four batches, one of them twice, days beyond the cap retired: the newest 700."""
+    e = table(spark, d, "events").select("event_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
+    log = sinks.EventLog(spark, shared_folder(spark, "log"), 700, "event_id")
+    for k in (0, 1, 1, 2, 3):
+        log.append(e.where(F.col("event_id") % 4 == k), k)
+    log.retire()
+    return log.newest().select("event_id", "event_type")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame, Observation, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import dedupe
@@ -30,10 +30,61 @@ def write_snapshot(prev: DataFrame, nxt: DataFrame, mode: str, path: str, tz: st
     return dict(seen.get)
 
 
-def append_events(log: DataFrame, batch: DataFrame, cap: int, tie: str | None = None) -> DataFrame:
+def append_events(log: DataFrame, batch: DataFrame, cap: int, tie: str) -> DataFrame:
     """The newest ``cap`` events of log and batch; of equal times those with the larger ``tie``."""
     both = log.unionByName(batch, allowMissingColumns=True)
-    return both.orderBy(F.desc("ts"), *([F.desc(tie)] if tie else [])).limit(cap)
+    return both.orderBy(F.desc("ts"), F.desc(tie)).limit(cap)
+
+
+class EventLog:
+    """A bounded log under ``root``: a folder a batch, in it one a day.
+
+    A batch that is written again replaces itself, so a replay adds nothing. The newest
+    events are whole days and a part of one: days are counted from the files' footers, and
+    only the rows of the day in which the cap falls are sorted.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, cap: int, tie: str):
+        self.spark, self.root, self.cap, self.tie = spark, root.rstrip("/"), cap, tie
+
+    def append(self, batch: DataFrame, batch_id: int) -> None:
+        day = F.date_format("ts", "yyyy-MM-dd")
+        batch.withColumn("day", day).repartition("day").write.mode("overwrite").partitionBy("day").parquet(f"{self.root}/batch={batch_id}")
+
+    def rows(self) -> DataFrame:
+        """All that is kept, with ``batch`` and ``day``."""
+        return self.spark.read.option("basePath", self.root).option("spark.sql.sources.partitionColumnTypeInference.enabled", "false").parquet(self.root).withColumn("day", F.col("day").cast("string"))
+
+    def edge(self) -> tuple[bool, str | None, int]:
+        """Whether the cap falls inside a day, which (None: that of events without a time), and how many of its events are within. The driver sees one row a day."""
+        left = self.cap
+        for r in self.rows().groupBy("day").agg(F.count("*").alias("n")).orderBy(F.desc_nulls_last("day")).collect():
+            if r["n"] > left:
+                return True, r["day"], left
+            left -= r["n"]
+        return False, None, left
+
+    def newest(self) -> DataFrame:
+        """The newest ``cap`` events; those without a time come last."""
+        cut, day, left = self.edge()
+        rows = self.rows()
+        if not cut:
+            return rows.drop("batch", "day")
+        whole = rows.where("day is not null") if day is None else rows.where(F.col("day") > day)
+        part = rows.where(F.col("day").eqNullSafe(F.lit(day))).orderBy(F.desc("ts"), F.desc(self.tie)).limit(left)
+        return whole.unionByName(part).drop("batch", "day")
+
+    def retire(self) -> int:
+        """Delete the days before the one in which the cap falls; how many folders went."""
+        cut, day, _ = self.edge()
+        if not cut or day is None:
+            return 0
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/batch=*/day=*")
+        store = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        old = [f.getPath() for f in store.globStatus(path) if f.getPath().getName().removeprefix("day=") < day or "__HIVE" in f.getPath().getName()]
+        for p in old:
+            store.delete(p, True)
+        return len(old)
 
 
 def write_report(df: DataFrame, path: str) -> None:

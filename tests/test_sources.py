@@ -89,7 +89,7 @@ def test_sinks(spark, tmp_path):
     path = sinks.write_version(df, str(tmp_path / "t"), 3)
     assert spark.read.parquet(path).count() == 2
     log = spark.createDataFrame([(k, datetime(2026, 1, 1 + k)) for k in range(5)], "event_id int, ts timestamp")
-    assert sorted(r.event_id for r in sinks.append_events(log, log.limit(0), 2).collect()) == [3, 4]
+    assert sorted(r.event_id for r in sinks.append_events(log, log.limit(0), 2, "event_id").collect()) == [3, 4]
     best = spark.createDataFrame([("k1", "T", "new"), ("k2", "U", "new")], "preview_key string, title string, url string")
     old = spark.createDataFrame([("k1", "old", datetime(2026, 1, 1)), ("k9", "gone", datetime(2026, 1, 1))], "preview_key string, url string, updated_at timestamp")
     assert {r.preview_key: r.url for r in sinks.preview_manifest(best, old, "2026-03-10").collect()} == {"k1": "old", "k2": "new"}
@@ -109,3 +109,19 @@ def test_page_events_in_sql(spark):
     ld = '<script type="application/ld+json">{"@graph": [{"@type": "MusicEvent", "name": "A", "location": {"name": "V"}}, {"@type": "Person"}]}</script><script type="application/ld+json">broken</script>'
     page(spark, ld).createOrReplaceTempView("landed")
     assert [(r.title, r.venue) for r in spark.sql("SELECT e.* FROM landed, LATERAL page_events(html, url) e").collect()] == [("A", "V")]
+
+
+def test_bounded_log(spark, tmp_path):
+    """The newest events by time, then tie; a batch again adds nothing; old days go."""
+    rows = [(k, datetime(2026, 1, 1 + k // 10, k % 3) if k % 13 else None) for k in range(60)]
+    df = spark.createDataFrame(rows, "event_id long, ts timestamp")
+    order = lambda r: (r[1] or datetime(1970, 1, 1), r[0])
+    for cap in (1, 17, 20, 55, 58, 60, 99):
+        log = sinks.EventLog(spark, str(tmp_path / f"log{cap}"), cap, "event_id")
+        for k in (0, 1, 0):
+            log.append(df.where(F.col("event_id") % 2 == k), k)
+        want = sorted(r[0] for r in sorted(rows, key=order, reverse=True)[:cap])
+        assert sorted(r.event_id for r in log.newest().collect()) == want
+        log.retire()
+        assert sorted(r.event_id for r in log.newest().collect()) == want
+    assert sinks.EventLog(spark, str(tmp_path / "log17"), 17, "event_id").rows().count() < 30

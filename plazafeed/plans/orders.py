@@ -169,10 +169,10 @@ _BATCH_KIND = "CASE o_orderpriority WHEN '1-URGENT' THEN 'concert' WHEN '2-HIGH'
  q(kind, quota) AS (VALUES ('concert', 8), ('sport', 7), ('theatre', 7), ('other', 7), ('quiz', 7)),
  f AS (SELECT c.*, quota, TIMESTAMP '1998-01-01' AS now FROM c JOIN q USING (kind)),
  s AS (SELECT 0 AS step, 0 AS tier, 1 AS n, CAST([] AS BIGINT[]) AS taken, CAST([] AS VARCHAR[]) AS marks, CAST([] AS VARCHAR[]) AS kinds, CAST([] AS INTEGER[]) AS tiers, CAST([] AS INTEGER[]) AS phases
-  UNION ALL SELECT step + 1, CASE WHEN n = 5 AND best IS NULL THEN tier + 1 ELSE tier END,
-   CASE WHEN n <= 3 THEN n + 1 WHEN best IS NOT NULL THEN n WHEN n = 4 THEN 5 ELSE 1 END,
-   CASE WHEN best IS NULL THEN taken ELSE list_append(taken, best.id) END, CASE WHEN best IS NULL THEN marks ELSE list_concat(marks, best.marks) END, CASE WHEN best IS NULL THEN kinds ELSE list_append(kinds, best.kind) END,
-   CASE WHEN best IS NULL THEN tiers ELSE list_append(tiers, tier) END, CASE WHEN best IS NULL THEN phases ELSE list_append(phases, greatest(n - 2, 1)) END
+  UNION ALL SELECT step + 1, CASE WHEN n = 5 AND best.id IS NULL THEN tier + 1 ELSE tier END,
+   CASE WHEN n <= 3 THEN n + 1 WHEN best.id IS NOT NULL THEN n WHEN n = 4 THEN 5 ELSE 1 END,
+   CASE WHEN best.id IS NULL THEN taken ELSE list_append(taken, best.id) END, CASE WHEN best.id IS NULL THEN marks ELSE list_concat(marks, best.marks) END, CASE WHEN best.id IS NULL THEN kinds ELSE list_append(kinds, best.kind) END,
+   CASE WHEN best.id IS NULL THEN tiers ELSE list_append(tiers, tier) END, CASE WHEN best.id IS NULL THEN phases ELSE list_append(phases, greatest(n - 2, 1)) END
   FROM (SELECT s.step, s.tier, s.n, s.taken, s.marks, s.kinds, s.tiers, s.phases, arg_min({{'id': f.id, 'marks': f.marks, 'kind': f.kind}}, {{'a': -f.score, 'b': f.id}}) AS best
    FROM s JOIN t USING (tier) LEFT JOIN p ON p.n = s.n LEFT JOIN f ON (f.last IS NULL OR t.days = 0 OR f.last <= f.now - to_days(t.days)) AND NOT list_has_any(f.marks, s.marks) AND NOT list_contains(s.taken, f.id)
     AND (s.n > 3 OR (f.kind = p.wanted AND NOT list_contains(s.kinds, f.kind))) AND (s.n <> 4 OR len(list_filter(s.kinds, lambda x: x = f.kind)) < f.quota)

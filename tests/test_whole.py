@@ -43,16 +43,16 @@ def orders_query(spark, name, sf="/root/testdata/sf0.01"):
 
 
 def test_reminder_texts_of_every_order(spark):
-    assert orders_query(spark, "reminder_texts_all") == 15_000
+    assert orders_query(spark, "reminder_texts") == 15_000
 
 
 def test_every_round(spark):
-    assert orders_query(spark, "round_robin_all") == 15_000
+    assert orders_query(spark, "round_robin") == 15_000
 
 
 def test_tied_drafts_stay(spark):
     n = spark.read.parquet("/root/testdata/sf0.01/orders.parquet").select("o_custkey").distinct().count()
-    assert orders_query(spark, "draft_states_all") == n
+    assert orders_query(spark, "draft_states") == n
 
 
 def test_ties_of_drafts_have_one_result(spark):

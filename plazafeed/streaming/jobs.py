@@ -210,6 +210,22 @@ def ingest_listings(pages: DataFrame, extract: Callable[[DataFrame], DataFrame],
     return pages.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def publish_batches(root: str) -> Callable[[DataFrame, int], None]:
+    """A ``publish`` for ``ingest_listings``: a folder a batch under ``root``. A batch that is replayed replaces its own rows and no others."""
+
+    def publish(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{root}/batch={batch_id}")
+
+    return publish
+
+
+def latest_rows(spark: SparkSession, root: str, key: str) -> DataFrame:
+    """Of what was published under ``root`` the row of the latest batch for each ``key``."""
+    rows = spark.read.option("basePath", root).parquet(root)
+    cols = [c for c in rows.columns if c not in (key, "batch")]
+    return rows.groupBy(key).agg(F.max_by(F.struct(*cols), F.col("batch").cast("long")).alias("r")).select(key, "r.*")
+
+
 def draft_states(log: DataFrame, as_of: datetime | str, ttl_hours: int = 30, tie: str = "status") -> DataFrame:
     """The latest status of each draft from ``(draft_id, status, at)``, of equal times the one with the largest ``tie``; pending beyond the time to live is expired."""
     g = log.groupBy("draft_id").agg(F.max_by("status", F.struct("at", F.col(tie).alias("tie"))).alias("status"), F.min("at").alias("created_at"), F.max("at").alias("updated_at"))

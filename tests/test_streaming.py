@@ -97,6 +97,15 @@ def test_listing_ingest(spark, tmp_path):
     assert spark.read.parquet(out).select("url").distinct().count() == 2
 
 
+def test_a_replayed_batch_replaces_itself(spark, tmp_path):
+    out = str(tmp_path / "out")
+    publish = jobs.publish_batches(out)
+    rows = lambda *r: spark.createDataFrame(list(r), "url string, title string")
+    for batch, k in ((rows(("a", "1"), ("b", "1")), 0), (rows(("a", "2"), ("c", "x")), 1), (rows(("a", "2"), ("c", "2")), 1), (rows(("d", "10")), 10), (rows(("d", "9")), 9)):
+        publish(batch, k)
+    assert {r.url: r.title for r in jobs.latest_rows(spark, out, "url").collect()} == {"a": "2", "b": "1", "c": "2", "d": "10"}
+
+
 def test_draft_states(spark):
     log = spark.createDataFrame([("a", "pending", datetime(2026, 3, 1)), ("a", "published", datetime(2026, 3, 2)), ("b", "pending", datetime(2026, 3, 1))], "draft_id string, status string, at timestamp")
     s = jobs.draft_states(log, "2026-03-10 00:00:00")

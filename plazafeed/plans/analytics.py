@@ -31,8 +31,10 @@ def count_by_day(spark, d):
     return A.count_by_day(events(spark, d))
 
 
-_COUNTERS = """count(*) FILTER (regexp_matches(lower(event_type), 'view|open')) AS views, count(*) FILTER (contains(lower(event_type), 'search')) AS searches,
- count(*) FILTER (regexp_matches(lower(event_type), 'ticket|source|outbound|purchase')) AS outbound, count(*) FILTER (regexp_matches(lower(event_type), 'favorite|click')) AS favorites,
+_COUNTERS = """count(*) FILTER (regexp_matches(lower(event_type), 'view|open')) AS views, count(*) FILTER (contains(lower(event_type),
+ 'search')) AS searches,
+ count(*) FILTER (regexp_matches(lower(event_type), 'ticket|source|outbound|purchase')) AS outbound,
+ count(*) FILTER (regexp_matches(lower(event_type), 'favorite|click')) AS favorites,
  count(*) FILTER (regexp_matches(lower(event_type), 'reminder|signup')) AS reminders"""
 
 
@@ -43,17 +45,20 @@ def kpis(spark, d):
 
 @query("daily_activity", f"""WITH s AS (SELECT CAST(unnest(generate_series(DATE '2024-01-18', DATE '2024-01-31', INTERVAL 1 DAY)) AS DATE) AS day),
  c AS (SELECT CAST(ts + INTERVAL 3 HOUR AS DATE) AS day, count(*) AS events, {_COUNTERS} FROM events GROUP BY 1)
- SELECT day, coalesce(events, 0) AS events, coalesce(views, 0) AS views, coalesce(searches, 0) AS searches, coalesce(outbound, 0) AS outbound, coalesce(favorites, 0) AS favorites, coalesce(reminders, 0) AS reminders FROM s LEFT JOIN c USING (day)""")
+ SELECT day, coalesce(events, 0) AS events, coalesce(views, 0) AS views, coalesce(searches, 0) AS searches, coalesce(outbound, 0) AS outbound,
+ coalesce(favorites, 0) AS favorites, coalesce(reminders, 0) AS reminders FROM s LEFT JOIN c USING (day)""")
 def daily_activity(spark, d):
     return A.daily_activity(events(spark, d), AS_OF, 14, "Europe/Moscow")
 
 
-@query("top_values", "SELECT CAST(user_id AS VARCHAR) AS value, count(*) AS n FROM events WHERE user_id IS NOT NULL GROUP BY 1 ORDER BY n DESC, value LIMIT 20")
+@query("top_values", """SELECT CAST(user_id AS VARCHAR) AS value, count(*) AS n FROM events WHERE user_id IS NOT NULL GROUP BY 1
+ ORDER BY n DESC, value LIMIT 20""")
 def top_values(spark, d):
     return A.top_values(events(spark, d), F.col("user_id"), 20)
 
 
-@query("top_links", "SELECT json_extract_string(props, '$.k') AS url, event_type AS label, count(*) AS n FROM events WHERE json_extract_string(props, '$.k') <> '' GROUP BY 1, 2 ORDER BY n DESC, url, label LIMIT 20")
+@query("top_links", """SELECT json_extract_string(props, '$.k') AS url, event_type AS label, count(*) AS n FROM events
+ WHERE json_extract_string(props, '$.k') <> '' GROUP BY 1, 2 ORDER BY n DESC, url, label LIMIT 20""")
 def top_links(spark, d):
     ev = events(spark, d).select(F.col("event_type").alias("label"), F.create_map(F.lit("url"), F.get_json_object("props", "$.k")).alias("metadata"))
     return A.top_links(ev, 20)
@@ -70,7 +75,8 @@ def bounded_history(spark, d):
     return A.bounded_history(events(spark, d).select("user_id", "event_type", "ts"), "user_id", "event_type", "ts", 3)
 
 
-@query("rate_limit", """SELECT event_id, user_id, time_bucket(INTERVAL 60 SECOND, ts) AS window_start, row_number() OVER (PARTITION BY user_id, time_bucket(INTERVAL 60 SECOND, ts) ORDER BY ts, event_id) AS k,
+@query("rate_limit", """SELECT event_id, user_id, time_bucket(INTERVAL 60 SECOND, ts) AS window_start, row_number() OVER (PARTITION BY user_id,
+ time_bucket(INTERVAL 60 SECOND, ts) ORDER BY ts, event_id) AS k,
  row_number() OVER (PARTITION BY user_id, time_bucket(INTERVAL 60 SECOND, ts) ORDER BY ts, event_id) > 1 AS limited FROM events""")
 def rate_limit(spark, d):
     return A.rate_limit(events(spark, d), "user_id", 1).select("event_id", "user_id", "window_start", "k", "limited")
@@ -86,13 +92,15 @@ def user_hash(spark, d):
     return events(spark, d).select("event_id", keys.user_hash(F.col("user_id"), "feed").alias("user_hash"))
 
 
-@query("ingest_events", "SELECT ts, event_type AS action, substr(sha256('feed:' || CAST(user_id AS VARCHAR)), 1, 16) AS user_hash, json_extract_string(props, '$.k') AS k FROM events")
+@query("ingest_events", """SELECT ts, event_type AS action, substr(sha256('feed:' || CAST(user_id AS VARCHAR)), 1, 16) AS user_hash,
+ json_extract_string(props, '$.k') AS k FROM events""")
 def ingest_events(spark, d):
     raw = events(spark, d).select("ts", F.col("event_type").alias("type"), "action", F.lit("").alias("label"), F.lit("").alias("source"), "user_id", F.create_map(F.lit("k"), F.get_json_object("props", "$.k")).alias("metadata"))
     return A.sanitize_events(raw, "feed").select("ts", "action", "user_hash", F.col("metadata")["k"].alias("k"))
 
 
-@query("local_day", "SELECT event_id, CAST(ts + INTERVAL 3 HOUR AS DATE) AS day, strftime(ts + INTERVAL 3 HOUR, '%Y-%m-%d') AS date_key, strftime(ts + INTERVAL 3 HOUR, '%H:%M') AS time_key FROM events")
+@query("local_day", """SELECT event_id, CAST(ts + INTERVAL 3 HOUR AS DATE) AS day, strftime(ts + INTERVAL 3 HOUR, '%Y-%m-%d') AS date_key,
+ strftime(ts + INTERVAL 3 HOUR, '%H:%M') AS time_key FROM events""")
 def local_days(spark, d):
     from ..functions.time import date_key, time_key
 

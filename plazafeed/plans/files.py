@@ -29,7 +29,9 @@ def written_lists(df, name, as_object=False):
     return path
 
 
-@query("social_export", f"""SELECT 'https://s/' || doc_id AS url, CASE WHEN doc_id % 3 = 0 THEN 'Title ' || doc_id WHEN {PLAIN_SQL} = '' THEN 'Export' ELSE {PLAIN_SQL} END AS title, 'social' AS type, 's1' AS source_id, 'events,news' AS categories FROM documents""")
+@query("social_export", f"""SELECT 'https://s/' || doc_id AS url, CASE WHEN doc_id % 3 = 0 THEN 'Title ' || doc_id
+ WHEN {PLAIN_SQL} = '' THEN 'Export' ELSE {PLAIN_SQL} END AS title, 'social' AS type, 's1' AS source_id, 'events,news' AS categories
+ FROM documents""")
 def social_export(spark, d):
     """Captions of documents written as exports; every third has a title of its own."""
     i = F.col("doc_id").cast("string")
@@ -40,7 +42,9 @@ def social_export(spark, d):
     return got.select("url", "title", "type", "source_id", F.array_join("categories", ",").alias("categories"))
 
 
-@query("feed_items", f"""SELECT 'https://f/' || doc_id AS url, trim('T ' || {PLAIN_SQL}, ' ') AS title, trim('text & ' || doc_id || ' ' || {PLAIN_SQL}, ' ') AS summary, CASE WHEN doc_id % 2 = 0 THEN '2026-01-02' ELSE 'Thu, 01 Jan' END AS published_at FROM documents""")
+@query("feed_items", f"""SELECT 'https://f/' || doc_id AS url, trim('T ' || {PLAIN_SQL}, ' ') AS title,
+ trim('text & ' || doc_id || ' ' || {PLAIN_SQL}, ' ') AS summary, CASE WHEN doc_id % 2 = 0 THEN '2026-01-02' ELSE 'Thu, 01 Jan' END AS published_at
+ FROM documents""")
 def feed_items(spark, d):
     """Documents written as RSS items, their summaries as markup, and read as a feed."""
     i = F.col("doc_id")
@@ -59,7 +63,8 @@ def feed_items(spark, d):
     return readers.read_feed(spark, path, SOURCE).select("url", "title", "summary", "published_at")
 
 
-@query("snapshot_items", f"SELECT 'https://n/' || doc_id AS url, {PLAIN_SQL} AS title, CAST(n_chars AS DOUBLE) AS score FROM documents UNION ALL SELECT 'https://b/' || doc_id, {PLAIN_SQL}, 1.0 FROM documents WHERE doc_id % 2 = 0")
+@query("snapshot_items", f"""SELECT 'https://n/' || doc_id AS url, {PLAIN_SQL} AS title, CAST(n_chars AS DOUBLE) AS score FROM documents UNION ALL
+ SELECT 'https://b/' || doc_id, {PLAIN_SQL}, 1.0 FROM documents WHERE doc_id % 2 = 0""")
 def snapshot_items(spark, d):
     """Snapshots as objects with items and as bare arrays; one that is not there is passed over."""
     t = table(spark, d, "documents").select("doc_id", "n_chars").join(docs(spark, d).select("doc_id", plain_title().alias("title")), "doc_id")
@@ -98,7 +103,8 @@ def page_candidates(spark, d):
 _WIDE = "".join(chr(0xFEE0 + ord(c)) for c in "abcdefghijklmnopqrstuvwxyz0123456789")
 
 
-@query("search_texts", f"SELECT doc_id, sha256(trim(regexp_replace(translate(lower(coalesce(text, '')), 'ё', 'е'), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'), ' ')) AS text_sha256 FROM documents WHERE nfc_normalize(coalesce(text, '')) = coalesce(text, '')")
+@query("search_texts", f"""SELECT doc_id, sha256(trim(regexp_replace(translate(lower(coalesce(text, '')), 'ё', 'е'), '[^\\p{{L}}\\p{{N}}]+', ' ',
+ 'g'), ' ')) AS text_sha256 FROM documents WHERE nfc_normalize(coalesce(text, '')) = coalesce(text, '')""")
 def search_texts(spark, d):
     """Whole texts, of every second one the small letters and digits in their wide forms."""
     return _search(docs(spark, d))
@@ -114,8 +120,10 @@ _HITS_SQL = "len(regexp_extract_all({}, '[РС][\\x{{80}}-¿Ѐ-Џѐ-џ°±²³µ
 _LOW, _HIGH = text._BYTES, text._CP1251
 
 
-@query("repair_texts", f"""WITH b AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(hex(encode(coalesce(text, ''))), '..') AS bytes FROM documents),
- g AS (SELECT doc_id, text, list_contains(bytes, '98') AS lost, translate(array_to_string(list_transform(bytes, lambda x: chr(CAST('0x' || x AS INTEGER))), ''), '{_LOW}', '{_HIGH}') AS bad FROM b),
+@query("repair_texts", f"""WITH b AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(hex(encode(coalesce(text, ''))), '..') AS bytes
+ FROM documents),
+ g AS (SELECT doc_id, text, list_contains(bytes, '98') AS lost, translate(array_to_string(list_transform(bytes,
+ lambda x: chr(CAST('0x' || x AS INTEGER))), ''), '{_LOW}', '{_HIGH}') AS bad FROM b),
  h AS (SELECT *, {_HITS_SQL.format("bad")} AS n, {_HITS_SQL.format("text")} AS m FROM g)
  SELECT doc_id, sha256(CASE WHEN NOT lost AND (n >= 3 OR n > 0.04 * length(bad)) AND m < n THEN text ELSE bad END) AS text_sha256 FROM h""")
 def repair_texts(spark, d):
@@ -135,7 +143,8 @@ def event_log(spark, d):
     return log.newest().select("event_id", "event_type")
 
 
-@query("listing_ingest", f"SELECT url, CASE WHEN n % 8 = 0 THEN title || ' again' ELSE title END AS title, venue FROM (SELECT *, CAST(substr(url, 11) AS BIGINT) AS n FROM ({_LD_SQL}))")
+@query("listing_ingest", f"""SELECT url, CASE WHEN n % 8 = 0 THEN title || ' again' ELSE title END AS title, venue
+ FROM (SELECT *, CAST(substr(url, 11) AS BIGINT) AS n FROM ({_LD_SQL}))""")
 def listing_ingest(spark, d):
     """Pages landed in four files, and every eighth again with another name: read as a stream of micro-batches, extracted, published by batch; the latest of each url."""
     landed, out = shared_folder(spark, "landed"), shared_folder(spark, "listings")

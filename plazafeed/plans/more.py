@@ -23,11 +23,14 @@ URL_KEY = "lower(regexp_replace(regexp_replace(trim({}), '[?#].*$', ''), '/+$',
 # Filters
 
 
-@query("resolve_range", """WITH p AS (SELECT o_orderkey AS id, TIMESTAMP '1997-06-01' AS af, TIMESTAMP '1998-12-31' AS hi, CASE WHEN o_custkey % 5 > 1 THEN o_orderdate END AS rf, CASE WHEN o_custkey % 7 > 1 THEN o_orderdate + to_days(CAST(o_custkey % 41 - 20 AS INTEGER)) END AS rt,
+@query("resolve_range", """WITH p AS (SELECT o_orderkey AS id, TIMESTAMP '1997-06-01' AS af, TIMESTAMP '1998-12-31' AS hi, CASE
+ WHEN o_custkey % 5 > 1 THEN o_orderdate END AS rf, CASE WHEN o_custkey % 7 > 1 THEN o_orderdate
+ + to_days(CAST(o_custkey % 41 - 20 AS INTEGER)) END AS rt,
  CASE o_orderpriority WHEN '1-URGENT' THEN 'today' WHEN '2-HIGH' THEN '3days' WHEN '3-MEDIUM' THEN 'week' END AS preset FROM orders),
  d AS (SELECT *, TIMESTAMP '1997-12-31 21:00:00' AS today, CASE preset WHEN 'today' THEN 1 WHEN '3days' THEN 3 WHEN 'week' THEN 7 END AS days FROM p),
  r AS (SELECT *, greatest(CASE WHEN days IS NOT NULL THEN today ELSE coalesce(least(rf, rt), greatest(af, today)) END, af) AS from_ts,
- least(CASE WHEN days IS NOT NULL THEN today + to_days(CAST(days AS INTEGER)) - INTERVAL 1 MILLISECOND ELSE coalesce(greatest(rf, rt), hi) END, hi) AS to_ts FROM d)
+ least(CASE WHEN days IS NOT NULL THEN today + to_days(CAST(days AS INTEGER)) - INTERVAL 1 MILLISECOND ELSE coalesce(greatest(rf, rt), hi) END,
+ hi) AS to_ts FROM d)
  SELECT id, from_ts, greatest(from_ts, to_ts) AS to_ts FROM r""")
 def resolve_range(spark, d):
     at = lambda s: F.lit(s).cast("timestamp")
@@ -39,12 +42,15 @@ def resolve_range(spark, d):
 
 
 @query("drop_expired", """SELECT o_orderkey AS id FROM orders WHERE CASE WHEN o_orderstatus = 'F' THEN o_orderdate ELSE
- timezone('UTC', timezone('Europe/Moscow', date_trunc('day', timezone('Europe/Moscow', timezone('UTC', o_orderdate))))) + INTERVAL 1 DAY - INTERVAL 1 MILLISECOND END >= TIMESTAMP '1998-01-01'""")
+ timezone('UTC', timezone('Europe/Moscow', date_trunc('day', timezone('Europe/Moscow', timezone('UTC',
+ o_orderdate))))) + INTERVAL 1 DAY - INTERVAL 1 MILLISECOND END >= TIMESTAMP '1998-01-01'""")
 def drop_expired(spark, d):
     return P.drop_expired(dated(spark, d).withColumn("event_has_explicit_time", F.col("status") == "F"), AS_OF, "Europe/Moscow").select("id")
 
 
-@query("match_categories", """SELECT o_orderkey AS id FROM orders WHERE o_orderpriority = '1-URGENT' OR o_custkey % 4 > 0 AND o_totalprice >= 200000 AND o_custkey % 4 + 1 > 1 OR o_totalprice >= 400000 OR 'Order ' || o_orderkey || ' фестиваль' LIKE '%9 фестиваль'""")
+@query("match_categories", """SELECT o_orderkey AS id FROM orders
+ WHERE o_orderpriority = '1-URGENT' OR o_custkey % 4 > 0 AND o_totalprice >= 200000 AND o_custkey % 4 + 1 > 1 OR o_totalprice >= 400000 OR 'Order '
+ || o_orderkey || ' фестиваль' LIKE '%9 фестиваль'""")
 def match_categories(spark, d):
     """Kinds, expected and festival by text, over all orders."""
     o = dated(spark, d)
@@ -53,7 +59,8 @@ def match_categories(spark, d):
     return P.match_categories(items, ["1-URGENT", "expected", "festival"]).select("id")
 
 
-@query("outside_area", f"SELECT doc_id FROM documents WHERE NOT regexp_matches({TITLE_SQL} || '  ' || source, '(?i)(?:\\bder\\b)|(?:license)|(?:^the )')")
+@query("outside_area", f"""SELECT doc_id FROM documents WHERE NOT regexp_matches({TITLE_SQL} || '  ' || source,
+ '(?i)(?:\\bder\\b)|(?:license)|(?:^the )')""")
 def outside_area(spark, d):
     x = docs(spark, d).withColumn("venue_title", F.lit("")).withColumn("url", F.col("source_id"))
     return P.drop_outside_area(x, [r"\bder\b", "license", "^the "]).select("doc_id")
@@ -76,9 +83,13 @@ def any_category(spark, d):
 PAGE_TITLE = "trim(regexp_replace(regexp_extract(html, '(?is)<title(?:\\s[^>]*)?>(.*?)</title>', 1), '\\s+', ' ', 'g'))"
 
 
-@query("valid_payload", f"""WITH p AS (SELECT page_id, url, CASE page_id % 9 WHEN 0 THEN 'Афиша!' WHEN 1 THEN 'ab' WHEN 2 THEN NULL ELSE {PAGE_TITLE} END AS title, CASE page_id % 4 WHEN 0 THEN 'null' WHEN 1 THEN '' WHEN 2 THEN NULL ELSE 'See the page' END AS summary FROM pages),
- q AS (SELECT page_id, url, {FP_SQL.format("coalesce(title, '')")} AS t, {FP_SQL.format("coalesce(nullif(summary, ''), nullif(title, ''), '')")} AS b FROM p)
- SELECT page_id FROM q WHERE length(t) >= 3 AND t NOT IN ('афиша', 'билеты', 'расписание') AND regexp_matches(url, '^https?://') AND length(b) >= 3 AND b NOT IN ('null', 'undefined', 'none', 'test')""")
+@query("valid_payload", f"""WITH p AS (SELECT page_id, url, CASE page_id % 9 WHEN 0 THEN 'Афиша!' WHEN 1 THEN 'ab'
+ WHEN 2 THEN NULL ELSE {PAGE_TITLE} END AS title, CASE page_id % 4 WHEN 0 THEN 'null' WHEN 1 THEN ''
+ WHEN 2 THEN NULL ELSE 'See the page' END AS summary FROM pages),
+ q AS (SELECT page_id, url, {FP_SQL.format("coalesce(title, '')")} AS t, {FP_SQL.format("coalesce(nullif(summary, ''), nullif(title, ''), '')")} AS b
+ FROM p)
+ SELECT page_id FROM q WHERE length(t) >= 3 AND t NOT IN ('афиша', 'билеты', 'расписание') AND regexp_matches(url,
+ '^https?://') AND length(b) >= 3 AND b NOT IN ('null', 'undefined', 'none', 'test')""")
 def valid_payload(spark, d):
     i, title = F.col("page_id"), F.trim(F.regexp_replace(F.regexp_extract("html", r"(?is)<title(?:\s[^>]*)?>(.*?)</title>", 1), r"\s+", " "))
     p = table(spark, d, "pages").select("page_id", "url", F.when(i % 9 == 0, "Афиша!").when(i % 9 == 1, "ab").when(i % 9 == 2, F.lit(None)).otherwise(title).alias("title"),
@@ -96,12 +107,15 @@ def _image():
     return F.concat("url", F.when(i % 6 == 0, "/logo.png").when(i % 6 == 1, "/%6Cogo.jpg").when(i % 6 == 2, "/a.svg").when(i % 6 == 3, "/Poster.jpg").otherwise("/photo.jpg"))
 
 
-@query("clean_images", f"SELECT page_id, regexp_matches(lower(url_decode({_IMAGE_SQL})), '^https?://') AND NOT regexp_matches(lower(url_decode({_IMAGE_SQL})), '{_MARKS}') AS clean, regexp_matches(lower({_IMAGE_SQL}), '{_DECOR}') AS decorative FROM pages")
+@query("clean_images", f"""SELECT page_id, regexp_matches(lower(url_decode({_IMAGE_SQL})),
+ '^https?://') AND NOT regexp_matches(lower(url_decode({_IMAGE_SQL})), '{_MARKS}') AS clean, regexp_matches(lower({_IMAGE_SQL}),
+ '{_DECOR}') AS decorative FROM pages""")
 def clean_images(spark, d):
     return table(spark, d, "pages").select("page_id", keys.is_clean_image(_image()).alias("clean"), keys.is_decorative_image(_image()).alias("decorative"))
 
 
-@query("keep_this_year", "SELECT o_orderkey AS id FROM orders WHERE o_orderdate BETWEEN TIMESTAMP '1997-12-31 21:00:00' AND TIMESTAMP '1998-12-31 20:59:59.999'")
+@query("keep_this_year", """SELECT o_orderkey AS id FROM orders
+ WHERE o_orderdate BETWEEN TIMESTAMP '1997-12-31 21:00:00' AND TIMESTAMP '1998-12-31 20:59:59.999'""")
 def keep_this_year(spark, d):
     return P.keep_this_year(dated(spark, d), AS_OF, "Europe/Moscow").select("id")
 
@@ -121,8 +135,11 @@ def missing_manifest(spark, d):
     return J.with_manifest(items, table(spark, d, "supplier").select((3 * F.col("s_suppkey")).cast("long").alias("id")))[1]
 
 
-@query("apply_overrides", """WITH o AS (SELECT l_partkey, min(l_shipdate) AS first, max(l_extendedprice) AS top FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 40 GROUP BY 1)
- SELECT p_brand AS section_id, p_partkey AS item_id, CASE WHEN l_partkey % 2 = 0 THEN 'changed ' || CAST(l_partkey AS VARCHAR) ELSE p_name END AS title, coalesce(CASE WHEN l_partkey % 3 > 0 THEN top END, p_retailprice) AS price FROM part LEFT JOIN o ON p_partkey = l_partkey""")
+@query("apply_overrides", """WITH o AS (SELECT l_partkey, min(l_shipdate) AS first, max(l_extendedprice) AS top FROM lineitem
+ WHERE l_returnflag = 'R' AND l_quantity > 40 GROUP BY 1)
+ SELECT p_brand AS section_id, p_partkey AS item_id, CASE WHEN l_partkey % 2 = 0 THEN 'changed ' || CAST(l_partkey AS VARCHAR)
+ ELSE p_name END AS title, coalesce(CASE WHEN l_partkey % 3 > 0 THEN top END, p_retailprice) AS price FROM part LEFT
+ JOIN o ON p_partkey = l_partkey""")
 def apply_overrides(spark, d):
     p = table(spark, d, "part")
     items = p.select(F.col("p_brand").alias("section_id"), F.col("p_partkey").alias("item_id"), F.col("p_name").alias("title"), F.col("p_retailprice").alias("price"))
@@ -133,8 +150,11 @@ def apply_overrides(spark, d):
     return J.apply_overrides(items, over.unionByName(strange))
 
 
-@query("hydrate_drafts", """SELECT o_orderkey AS draft_id, CASE WHEN o_orderstatus = 'F' THEN 'Own title' ELSE c_name END AS title, CASE WHEN o_orderstatus = 'P' THEN 'By hand' WHEN o_orderpriority = '5-LOW' THEN 'Kept' WHEN c_custkey IS NULL THEN NULL ELSE c_name || chr(10) || chr(10) || c_mktsegment END AS text,
- CASE WHEN c_custkey IS NULL THEN NULL ELSE 'https://i/' || c_custkey END AS photo_url FROM orders LEFT JOIN customer ON o_custkey = c_custkey AND c_custkey % 5 > 0""")
+@query("hydrate_drafts", """SELECT o_orderkey AS draft_id, CASE WHEN o_orderstatus = 'F' THEN 'Own title' ELSE c_name END AS title, CASE
+ WHEN o_orderstatus = 'P' THEN 'By hand' WHEN o_orderpriority = '5-LOW' THEN 'Kept'
+ WHEN c_custkey IS NULL THEN NULL ELSE c_name || chr(10) || chr(10) || c_mktsegment END AS text,
+ CASE WHEN c_custkey IS NULL THEN NULL ELSE 'https://i/' || c_custkey END AS photo_url FROM orders LEFT
+ JOIN customer ON o_custkey = c_custkey AND c_custkey % 5 > 0""")
 def hydrate_drafts(spark, d):
     o = dated(spark, d)
     drafts = o.select(F.col("id").alias("draft_id"), F.col("custkey").cast("long").alias("item_id"), F.when(F.col("status") == "F", "Own title").otherwise("").alias("title"), F.when(F.col("kind") == "5-LOW", "Kept").alias("text"), F.lit("").alias("photo_url"), F.when(F.col("status") == "P", "By hand").otherwise("").alias("manual_text"))
@@ -144,8 +164,10 @@ def hydrate_drafts(spark, d):
     return h.select("draft_id", "title", F.nullif("text", F.lit("")).alias("text"), "photo_url")
 
 
-@query("enrich_favorites", """WITH f AS (SELECT event_id, user_id, CASE event_id % 3 WHEN 0 THEN 'place' WHEN 1 THEN 'route' ELSE 'event' END AS type, user_id AS k FROM events),
- t AS (SELECT 'place' AS type, p_partkey AS k, p_name AS title, p_type AS url FROM part WHERE p_partkey % 2 = 0 UNION ALL SELECT 'route', s_suppkey, s_name, 'r' FROM supplier UNION ALL SELECT 'event', c_custkey, c_name, 'e' FROM customer WHERE c_custkey % 3 = 0)
+@query("enrich_favorites", """WITH f AS (SELECT event_id, user_id, CASE event_id % 3 WHEN 0 THEN 'place'
+ WHEN 1 THEN 'route' ELSE 'event' END AS type, user_id AS k FROM events),
+ t AS (SELECT 'place' AS type, p_partkey AS k, p_name AS title, p_type AS url FROM part WHERE p_partkey % 2 = 0 UNION ALL
+ SELECT 'route', s_suppkey, s_name, 'r' FROM supplier UNION ALL SELECT 'event', c_custkey, c_name, 'e' FROM customer WHERE c_custkey % 3 = 0)
  SELECT event_id, coalesce(t.title, 'old') AS title, t.title IS NOT NULL AS available, t.url AS found_url FROM f LEFT JOIN t USING (type, k)""")
 def enrich_favorites(spark, d):
     e = F.col("event_id")
@@ -156,7 +178,9 @@ def enrich_favorites(spark, d):
     return J.enrich_favorites(fav, place=part, route=sup, event=cust).select("event_id", "title", "available", "found_url")
 
 
-@query("duplicate_reviews", """SELECT l_orderkey, l_linenumber FROM lineitem n WHERE n.l_returnflag = 'N' AND EXISTS (SELECT 1 FROM lineitem o WHERE o.l_returnflag IN ('A', 'R') AND o.l_linestatus = 'F' AND o.l_suppkey = n.l_suppkey AND o.l_partkey = n.l_partkey AND o.l_linenumber = n.l_linenumber)""")
+@query("duplicate_reviews", """SELECT l_orderkey, l_linenumber FROM lineitem n WHERE n.l_returnflag = 'N' AND EXISTS (SELECT 1 FROM lineitem o
+ WHERE o.l_returnflag IN ('A', 'R') AND o.l_linestatus = 'F' AND o.l_suppkey = n.l_suppkey AND o.l_partkey = n.l_partkey
+ AND o.l_linenumber = n.l_linenumber)""")
 def duplicate_reviews(spark, d):
     li = table(spark, d, "lineitem")
     photo = lambda tail: F.concat(F.lit("https://P.test/"), F.col("l_linenumber").cast("string"), F.lit(tail)).alias("photo_url")
@@ -168,11 +192,15 @@ def duplicate_reviews(spark, d):
 _SEG = "sqrt(pow(ax + u * (bx - ax), 2) + pow(ay + u * (b_y - ay), 2))"
 
 
-@query("near_route", f"""WITH s AS (SELECT s_nationkey AS route_id, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS pos, 55.0 + (s_suppkey * 37 % 1000) / 2000.0 AS lat, 49.0 + (s_suppkey * 91 % 1000) / 2000.0 AS lng FROM supplier),
- g AS (SELECT a.route_id, a.lat AS alat, a.lng AS alng, coalesce(b.lat, a.lat) AS blat, coalesce(b.lng, a.lng) AS blng FROM s a LEFT JOIN s b ON a.route_id = b.route_id AND b.pos = a.pos + 1 WHERE b.pos IS NOT NULL OR a.pos = 1),
+@query("near_route", f"""WITH s AS (SELECT s_nationkey AS route_id, row_number() OVER (PARTITION BY s_nationkey
+ ORDER BY s_suppkey) AS pos, 55.0 + (s_suppkey * 37 % 1000) / 2000.0 AS lat, 49.0 + (s_suppkey * 91 % 1000) / 2000.0 AS lng FROM supplier),
+ g AS (SELECT a.route_id, a.lat AS alat, a.lng AS alng, coalesce(b.lat, a.lat) AS blat, coalesce(b.lng, a.lng) AS blng FROM s a LEFT
+ JOIN s b ON a.route_id = b.route_id AND b.pos = a.pos + 1 WHERE b.pos IS NOT NULL OR a.pos = 1),
  c AS (SELECT c_custkey AS place_id, 55.0 + (c_custkey * 53 % 1000) / 2000.0 AS lat, 49.0 + (c_custkey * 71 % 997) / 2000.0 AS lng FROM customer),
- x AS (SELECT route_id, place_id, radians(alng - lng) * cos(radians(lat)) * 6371000 AS ax, radians(alat - lat) * 6371000 AS ay, radians(blng - lng) * cos(radians(lat)) * 6371000 AS bx, radians(blat - lat) * 6371000 AS b_y FROM g, c),
- u AS (SELECT *, CASE WHEN pow(bx - ax, 2) + pow(b_y - ay, 2) = 0 THEN 0 ELSE greatest(0, least(1, -(ax * (bx - ax) + ay * (b_y - ay)) / (pow(bx - ax, 2) + pow(b_y - ay, 2)))) END AS u FROM x),
+ x AS (SELECT route_id, place_id, radians(alng - lng) * cos(radians(lat)) * 6371000 AS ax, radians(alat - lat) * 6371000 AS ay,
+ radians(blng - lng) * cos(radians(lat)) * 6371000 AS bx, radians(blat - lat) * 6371000 AS b_y FROM g, c),
+ u AS (SELECT *, CASE WHEN pow(bx - ax, 2) + pow(b_y - ay, 2) = 0 THEN 0 ELSE greatest(0, least(1, -(ax * (bx - ax) + ay * (b_y - ay)) / (pow(bx - ax,
+ 2) + pow(b_y - ay, 2)))) END AS u FROM x),
  m AS (SELECT route_id, place_id, min({_SEG}) AS d FROM u GROUP BY ALL HAVING min({_SEG}) <= 1500)
  SELECT route_id, place_id, round(d, 3) AS distance_m FROM m QUALIFY row_number() OVER (PARTITION BY route_id ORDER BY d, place_id) <= 3""")
 def near_route(spark, d):
@@ -192,15 +220,22 @@ AREAS, INTENTS = ["red", "blu", "mall", "gree"], ["olt", "widg", "econ", "promo"
 _TOKENS_SQL = ", ".join([*(f"('{t}', 3)" for t in AREAS), *(f"('{t}', 1)" for t in INTENTS)])
 
 
-@query("route_affinity", f"""WITH r AS (SELECT s_suppkey AS route_id, {label_sql("s_name || ' ' || coalesce(string_agg(DISTINCT p_name, ' '), '')")} AS t, 55.0 + (s_suppkey * 37 % 1000) / 500.0 AS alat, 49.0 + (s_suppkey * 91 % 1000) / 500.0 AS alng,
-  55.005 + (s_suppkey * 37 % 1000) / 500.0 AS blat, 49.005 + (s_suppkey * 91 % 1000) / 500.0 AS blng FROM supplier LEFT JOIN lineitem ON l_suppkey = s_suppkey AND l_quantity > 49 LEFT JOIN part ON p_partkey = l_partkey AND p_size > 25 GROUP BY s_suppkey, s_name),
- p AS (SELECT p_partkey AS place_id, {label_sql("p_name")} AS title, {label_sql("p_name || ' ' || p_type")} AS t, 55.0 + (p_partkey * 53 % 1000) / 500.0 AS lat, 49.0 + (p_partkey * 71 % 997) / 500.0 AS lng FROM part),
- x AS (SELECT r.route_id, p.place_id, r.t AS rt, p.t AS pt, title, radians(alng - lng) * cos(radians(lat)) * 6371000 AS ax, radians(alat - lat) * 6371000 AS ay, radians(blng - lng) * cos(radians(lat)) * 6371000 AS bx, radians(blat - lat) * 6371000 AS b_y FROM r, p),
+@query("route_affinity", f"""WITH r AS (SELECT s_suppkey AS route_id,
+ {label_sql("s_name || ' ' || coalesce(string_agg(DISTINCT p_name, ' '), '')")} AS t, 55.0 + (s_suppkey * 37 % 1000) / 500.0 AS alat,
+ 49.0 + (s_suppkey * 91 % 1000) / 500.0 AS alng,
+  55.005 + (s_suppkey * 37 % 1000) / 500.0 AS blat, 49.005 + (s_suppkey * 91 % 1000) / 500.0 AS blng FROM supplier LEFT
+ JOIN lineitem ON l_suppkey = s_suppkey AND l_quantity > 49 LEFT JOIN part ON p_partkey = l_partkey AND p_size > 25 GROUP BY s_suppkey, s_name),
+ p AS (SELECT p_partkey AS place_id, {label_sql("p_name")} AS title, {label_sql("p_name || ' ' || p_type")} AS t,
+ 55.0 + (p_partkey * 53 % 1000) / 500.0 AS lat, 49.0 + (p_partkey * 71 % 997) / 500.0 AS lng FROM part),
+ x AS (SELECT r.route_id, p.place_id, r.t AS rt, p.t AS pt, title, radians(alng - lng) * cos(radians(lat)) * 6371000 AS ax,
+ radians(alat - lat) * 6371000 AS ay, radians(blng - lng) * cos(radians(lat)) * 6371000 AS bx, radians(blat - lat) * 6371000 AS b_y FROM r, p),
  u AS (SELECT *, greatest(0, least(1, -(ax * (bx - ax) + ay * (b_y - ay)) / (pow(bx - ax, 2) + pow(b_y - ay, 2)))) AS u FROM x),
  d AS (SELECT *, CASE WHEN {_SEG} <= 1500 THEN round({_SEG}) END AS distance_m FROM u),
- s AS (SELECT route_id, place_id, distance_m, (SELECT coalesce(sum(w), 0) FROM (VALUES {_TOKENS_SQL}) v(k, w) WHERE contains(rt, k) AND contains(pt, k)) + CASE WHEN title <> '' AND contains(rt, title) THEN 5 ELSE 0 END
+ s AS (SELECT route_id, place_id, distance_m, (SELECT coalesce(sum(w), 0) FROM (VALUES {_TOKENS_SQL}) v(k, w)
+ WHERE contains(rt, k) AND contains(pt, k)) + CASE WHEN title <> '' AND contains(rt, title) THEN 5 ELSE 0 END
   + CASE WHEN distance_m IS NOT NULL THEN greatest(1, floor((1600 - distance_m) / 200 + 0.5)) ELSE 0 END AS score FROM d)
- SELECT route_id, place_id, CAST(score AS BIGINT) AS score, distance_m, CAST(row_number() OVER (PARTITION BY route_id ORDER BY score DESC, distance_m NULLS LAST, place_id) AS INTEGER) AS rn FROM s WHERE score > 0 QUALIFY rn <= 3""")
+ SELECT route_id, place_id, CAST(score AS BIGINT) AS score, distance_m, CAST(row_number() OVER (PARTITION BY route_id
+ ORDER BY score DESC, distance_m NULLS LAST, place_id) AS INTEGER) AS rn FROM s WHERE score > 0 QUALIFY rn <= 3""")
 def route_affinity(spark, d):
     """Routes by the names of the larger parts that a supplier ships, places by those of parts."""
     part, k, i = table(spark, d, "part"), F.col("s_suppkey"), F.col("p_partkey")
@@ -214,9 +249,13 @@ def route_affinity(spark, d):
     return J.route_affinity(routes, places, tokens, J.within_reach(routes, places))
 
 
-@query("geocode", f"""WITH w AS (SELECT item_id, unnest(regexp_extract_all(lower(text), '[a-z]{{5,}}')) AS place_key FROM benchmark), g AS (SELECT item_id * 1000 + row_number() OVER (PARTITION BY item_id ORDER BY place_key) AS ord, place_key, 50.0 + item_id / 100.0 AS lat FROM (SELECT DISTINCT * FROM w)),
- s AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN split_part({label_sql(TITLE_SQL)}, ' ', 1) ELSE {label_sql(TITLE_SQL)} END AS name FROM documents), n AS (SELECT DISTINCT name FROM s),
- k AS (SELECT place_key, min(ord) AS ord FROM g GROUP BY 1), e AS (SELECT name, ord FROM n JOIN k ON name = place_key), c AS (SELECT name, min(ord) AS ord FROM n JOIN k ON contains(name, place_key) GROUP BY 1)
+@query("geocode", f"""WITH w AS (SELECT item_id, unnest(regexp_extract_all(lower(text), '[a-z]{{5,}}')) AS place_key
+ FROM benchmark), g AS (SELECT item_id * 1000 + row_number() OVER (PARTITION BY item_id
+ ORDER BY place_key) AS ord, place_key, 50.0 + item_id / 100.0 AS lat FROM (SELECT DISTINCT * FROM w)),
+ s AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN split_part({label_sql(TITLE_SQL)}, ' ', 1) ELSE {label_sql(TITLE_SQL)} END AS name
+ FROM documents), n AS (SELECT DISTINCT name FROM s),
+ k AS (SELECT place_key, min(ord) AS ord FROM g GROUP BY 1), e AS (SELECT name, ord FROM n
+ JOIN k ON name = place_key), c AS (SELECT name, min(ord) AS ord FROM n JOIN k ON contains(name, place_key) GROUP BY 1)
  SELECT doc_id, lat FROM s LEFT JOIN e USING (name) LEFT JOIN c USING (name) LEFT JOIN g ON g.ord = coalesce(e.ord, c.ord)""")
 def geocode(spark, d):
     """The first line of each document (of every third its first word) among words of the benchmark, which often stand inside longer ones."""
@@ -231,16 +270,22 @@ def geocode(spark, d):
 _HOST = "lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]+)', 1))"
 
 
-@query("photo_feedback", f"""WITH f AS (SELECT {URL_KEY.format('url')} AS k, max(page_id % 3 = 0) AS approved, max(page_id % 3 = 1) AS rejected FROM pages WHERE page_id % 2 = 0 GROUP BY 1)
- SELECT page_id, coalesce(approved, false) AS approved, coalesce(rejected, false) AS rejected, regexp_matches({_HOST}, '(^|\\.)(example\\.net|nowhere\\.org)$') AS trusted_host, regexp_matches(lower(url), '/a|shop') AS blocked_host FROM pages LEFT JOIN f ON {URL_KEY.format('url')} = k""")
+@query("photo_feedback", f"""WITH f AS (SELECT {URL_KEY.format('url')} AS k, max(page_id % 3 = 0) AS approved, max(page_id % 3 = 1) AS rejected
+ FROM pages WHERE page_id % 2 = 0 GROUP BY 1)
+ SELECT page_id, coalesce(approved, false) AS approved, coalesce(rejected, false) AS rejected, regexp_matches({_HOST},
+ '(^|\\.)(example\\.net|nowhere\\.org)$') AS trusted_host, regexp_matches(lower(url), '/a|shop') AS blocked_host FROM pages LEFT
+ JOIN f ON {URL_KEY.format('url')} = k""")
 def photo_feedback(spark, d):
     p = table(spark, d, "pages").select("page_id", "url")
     f = p.where("page_id % 2 = 0").select(keys.canonical_url(F.col("url")).alias("url_key"), F.when(F.col("page_id") % 3 == 0, "approved").when(F.col("page_id") % 3 == 1, "rejected").otherwise("seen").alias("action"))
     return J.photo_feedback(p, f, ["example.net", "nowhere.org"], ["/a", "shop"]).select("page_id", "approved", "rejected", "trusted_host", "blocked_host")
 
 
-@query("source_section", """WITH s AS (SELECT 's' || s_suppkey AS id, s_name AS name, CASE WHEN s_suppkey % 2 = 0 THEN 'sec' || s_nationkey ELSE '' END AS section FROM supplier WHERE s_suppkey % 3 > 0)
- SELECT l_orderkey, l_linenumber, coalesce(nullif(s.name, ''), 's' || l_suppkey) AS source_name, CASE WHEN l_linenumber = 7 THEN 'own' WHEN l_linenumber = 6 THEN 'sport' WHEN coalesce(s.section, '') <> '' THEN s.section WHEN l_linenumber = 5 THEN 'festival' ELSE l_returnflag END AS section
+@query("source_section", """WITH s AS (SELECT 's' || s_suppkey AS id, s_name AS name, CASE
+ WHEN s_suppkey % 2 = 0 THEN 'sec' || s_nationkey ELSE '' END AS section FROM supplier WHERE s_suppkey % 3 > 0)
+ SELECT l_orderkey, l_linenumber, coalesce(nullif(s.name, ''), 's' || l_suppkey) AS source_name, CASE WHEN l_linenumber = 7 THEN 'own'
+ WHEN l_linenumber = 6 THEN 'sport' WHEN coalesce(s.section, '') <> '' THEN s.section
+ WHEN l_linenumber = 5 THEN 'festival' ELSE l_returnflag END AS section
  FROM lineitem LEFT JOIN s ON s.id = 's' || l_suppkey""")
 def source_section(spark, d):
     n = F.col("l_linenumber")
@@ -251,8 +296,10 @@ def source_section(spark, d):
     return J.with_source_section(items, sources).select("l_orderkey", "l_linenumber", "source_name", "section")
 
 
-@query("approval_status", """WITH f AS (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem WHERE l_returnflag = 'N'), a AS (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 45)
- SELECT l_orderkey, l_linenumber, CASE WHEN l_discount > 0.05 THEN 'skipped' WHEN a.l_partkey IS NOT NULL THEN 'applied' WHEN f.l_partkey IS NOT NULL THEN 'ready' ELSE 'error' END AS result
+@query("approval_status", """WITH f AS (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem
+ WHERE l_returnflag = 'N'), a AS (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 45)
+ SELECT l_orderkey, l_linenumber, CASE WHEN l_discount > 0.05 THEN 'skipped' WHEN a.l_partkey IS NOT NULL THEN 'applied'
+ WHEN f.l_partkey IS NOT NULL THEN 'ready' ELSE 'error' END AS result
  FROM lineitem l LEFT JOIN f USING (l_suppkey, l_partkey) LEFT JOIN a USING (l_suppkey, l_partkey)""")
 def approval_status(spark, d):
     li = table(spark, d, "lineitem").withColumns({"section_id": F.col("l_suppkey"), "item_id": F.col("l_partkey"), "file": F.lit("a.jpg")})
@@ -269,7 +316,8 @@ def dedupe_first(spark, d):
     return D.dedupe_first(li).select("ord")
 
 
-@query("dedupe_any_key", """WITH RECURSIVE n AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 4 = 0 THEN 'a' || c_custkey // 12 END AS k1, CASE WHEN c_custkey % 6 = 0 THEN 'b' || c_custkey // 30 END AS k2 FROM customer),
+@query("dedupe_any_key", """WITH RECURSIVE n AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 4 = 0 THEN 'a' || c_custkey // 12 END AS k1, CASE
+ WHEN c_custkey % 6 = 0 THEN 'b' || c_custkey // 30 END AS k2 FROM customer),
  e AS (SELECT a.id AS x, b.id AS y FROM n a JOIN n b ON a.k1 = b.k1 UNION SELECT a.id, b.id FROM n a JOIN n b ON a.k2 = b.k2),
  r AS (SELECT id, id AS g FROM n UNION SELECT e.y, r.g FROM r JOIN e ON e.x = r.id) SELECT id, min(g) AS "group" FROM r GROUP BY 1""")
 def dedupe_any_key(spark, d):
@@ -287,8 +335,11 @@ def best_per_preview(spark, d):
     return D.best_per_preview(x, "UTC").select("preview_key", "doc_id")
 
 
-@query("expire_drafts", """WITH p AS (SELECT o_orderkey AS id, o_custkey AS k, o_orderdate AS t FROM orders WHERE o_orderstatus = 'O'), f AS (SELECT k, arg_min(id, (t, id)) AS first FROM p GROUP BY 1)
- SELECT o_orderkey AS id, CASE WHEN o_orderstatus = 'O' AND (o_orderdate < TIMESTAMP '1998-01-01' - INTERVAL 30 HOUR OR first <> o_orderkey) THEN 'expired' WHEN o_orderstatus = 'O' THEN 'pending' ELSE o_orderstatus END AS status FROM orders LEFT JOIN f ON o_custkey = k AND o_orderstatus = 'O'""")
+@query("expire_drafts", """WITH p AS (SELECT o_orderkey AS id, o_custkey AS k, o_orderdate AS t FROM orders
+ WHERE o_orderstatus = 'O'), f AS (SELECT k, arg_min(id, (t, id)) AS first FROM p GROUP BY 1)
+ SELECT o_orderkey AS id, CASE WHEN o_orderstatus = 'O' AND (o_orderdate < TIMESTAMP '1998-01-01' - INTERVAL 30 HOUR OR first <> o_orderkey)
+ THEN 'expired' WHEN o_orderstatus = 'O' THEN 'pending' ELSE o_orderstatus END AS status FROM orders LEFT
+ JOIN f ON o_custkey = k AND o_orderstatus = 'O'""")
 def expire_drafts(spark, d):
     o = dated(spark, d)
     drafts = o.select("id", F.concat(F.lit("c"), F.col("custkey").cast("string")).alias("item_id"), F.when(F.col("status") == "O", "pending").otherwise(F.col("status")).alias("status"), F.col("event_date").alias("created_at"))
@@ -298,18 +349,26 @@ def expire_drafts(spark, d):
 # Audits
 
 
-@query("scan_meta", """SELECT sum(n) AS collected, count(*) FILTER (s_acctbal >= 0 AND n > 0) AS sources_ok, count(*) FILTER (s_acctbal >= 0 AND coalesce(n, 0) = 0) AS sources_skipped, count(*) FILTER (s_acctbal < 0) AS sources_error,
- (SELECT count(*) FROM orders) AS total, (SELECT count(*) FROM orders WHERE o_orderdate >= TIMESTAMP '1998-01-01') AS eligible, (SELECT max(o_orderdate) FROM orders) AS last_update FROM supplier LEFT JOIN (SELECT l_suppkey, count(*) AS n FROM lineitem WHERE l_shipdate >= TIMESTAMP '2000-01-01' GROUP BY 1) ON l_suppkey = s_suppkey""")
+@query("scan_meta", """SELECT sum(n) AS collected, count(*) FILTER (s_acctbal >= 0 AND n > 0) AS sources_ok,
+ count(*) FILTER (s_acctbal >= 0 AND coalesce(n, 0) = 0) AS sources_skipped, count(*) FILTER (s_acctbal < 0) AS sources_error,
+ (SELECT count(*) FROM orders) AS total, (SELECT count(*) FROM orders
+ WHERE o_orderdate >= TIMESTAMP '1998-01-01') AS eligible, (SELECT max(o_orderdate) FROM orders) AS last_update FROM supplier LEFT
+ JOIN (SELECT l_suppkey, count(*) AS n FROM lineitem WHERE l_shipdate >= TIMESTAMP '2000-01-01' GROUP BY 1) ON l_suppkey = s_suppkey""")
 def scan_meta(spark, d):
     n = table(spark, d, "lineitem").where("l_shipdate >= timestamp'2000-01-01'").groupBy(F.col("l_suppkey").alias("s_suppkey")).agg(F.count("*").alias("collected"))
     stats = table(spark, d, "supplier").join(n, "s_suppkey", "left").select("collected", F.when(F.col("s_acctbal") < 0, "failed").alias("error"))
     return A.scan_meta(dated(spark, d).withColumn("updated_at", F.col("event_date")), stats, AS_OF)
 
 
-_AUDIT = f"""WITH d AS (SELECT doc_id, {TITLE_SQL} AS title, coalesce(text, '') AS text, {FP_SQL.format('text')} AS f, TIMESTAMP '1998-01-01' + to_days(CAST(doc_id % 150 - 10 AS INTEGER)) AS t, source FROM documents),
+_AUDIT = f"""WITH d AS (SELECT doc_id, {TITLE_SQL} AS title, coalesce(text, '') AS text, {FP_SQL.format('text')} AS f,
+ TIMESTAMP '1998-01-01' + to_days(CAST(doc_id % 150 - 10 AS INTEGER)) AS t, source FROM documents),
  g AS (SELECT f, count(*) AS n FROM d WHERE f <> '' GROUP BY 1 HAVING count(*) > 1)
- SELECT count(*) AS items, count(*) FILTER (length(title) < 2 OR length(title) > 120) AS weak_title, count(*) FILTER (length(text) < 45) AS weak_summary, count(*) FILTER (source LIKE '%2') AS missing_venue, count(*) FILTER (doc_id % 7 = 0) AS missing_url,
- (SELECT count(*) FROM g) AS duplicate_groups, coalesce((SELECT sum(n) FROM g), 0) AS duplicate_rows, count(*) FILTER (t >= TIMESTAMP '1998-01-01') AS upcoming, count(*) FILTER (t BETWEEN TIMESTAMP '1998-01-01' AND TIMESTAMP '1998-01-08') AS next_7 FROM d"""
+ SELECT count(*) AS items, count(*) FILTER (length(title) < 2 OR length(title) > 120) AS weak_title,
+ count(*) FILTER (length(text) < 45) AS weak_summary, count(*) FILTER (source LIKE '%2') AS missing_venue,
+ count(*) FILTER (doc_id % 7 = 0) AS missing_url,
+ (SELECT count(*) FROM g) AS duplicate_groups, coalesce((SELECT sum(n)
+ FROM g), 0) AS duplicate_rows, count(*) FILTER (t >= TIMESTAMP '1998-01-01') AS upcoming,
+ count(*) FILTER (t BETWEEN TIMESTAMP '1998-01-01' AND TIMESTAMP '1998-01-08') AS next_7 FROM d"""
 
 
 @query("content_audit", _AUDIT)
@@ -320,9 +379,15 @@ def content_audit(spark, d):
     return A.content_audit(x, AS_OF).select("items", "weak_title", "weak_summary", "missing_venue", "missing_url", "duplicate_groups", "duplicate_rows", "upcoming", "next_7")
 
 
-@query("health_warnings", """WITH m AS (SELECT l_suppkey, max(l_shipdate) FILTER (l_returnflag = 'R') AS e, max(l_shipdate) AS c, count(*) FILTER (l_shipdate >= TIMESTAMP '1998-01-01') AS n, count(*) FILTER (l_shipdate >= TIMESTAMP '1998-01-01' AND l_returnflag = 'N') AS done, count(DISTINCT l_partkey) FILTER (l_shipdate >= TIMESTAMP '1998-01-01') AS vis, 4 + l_suppkey % 9 AS target FROM lineitem WHERE l_shipdate < TIMESTAMP '1998-02-01' GROUP BY 1),
- w AS (SELECT 'events_stale' AS code FROM m WHERE epoch(TIMESTAMP '1998-01-31') - epoch(e) > 18 * 3600 UNION ALL SELECT 'catalog_stale' FROM m WHERE epoch(TIMESTAMP '1998-01-31') - epoch(c) > 72 * 3600 UNION ALL SELECT 'drafts_today' FROM m WHERE done = 0 UNION ALL SELECT 'drafts_today_incomplete' FROM m WHERE done > 0 AND done < 10
- UNION ALL SELECT 'draft_delivery_failed' FROM m WHERE n > 0 AND done = 0 UNION ALL SELECT 'draft_candidates_low' FROM m WHERE n < target UNION ALL SELECT 'draft_visuals_low' FROM m WHERE vis < least(target, 6)) SELECT 'warn' AS level, code, count(*) AS n FROM w GROUP BY ALL""")
+@query("health_warnings", """WITH m AS (SELECT l_suppkey, max(l_shipdate) FILTER (l_returnflag = 'R') AS e, max(l_shipdate) AS c,
+ count(*) FILTER (l_shipdate >= TIMESTAMP '1998-01-01') AS n, count(*) FILTER (l_shipdate >= TIMESTAMP '1998-01-01' AND l_returnflag = 'N') AS done,
+ count(DISTINCT l_partkey) FILTER (l_shipdate >= TIMESTAMP '1998-01-01') AS vis, 4 + l_suppkey % 9 AS target FROM lineitem
+ WHERE l_shipdate < TIMESTAMP '1998-02-01' GROUP BY 1),
+ w AS (SELECT 'events_stale' AS code FROM m WHERE epoch(TIMESTAMP '1998-01-31') - epoch(e) > 18 * 3600 UNION ALL SELECT 'catalog_stale' FROM m
+ WHERE epoch(TIMESTAMP '1998-01-31') - epoch(c) > 72 * 3600 UNION ALL SELECT 'drafts_today' FROM m WHERE done = 0 UNION ALL
+ SELECT 'drafts_today_incomplete' FROM m WHERE done > 0 AND done < 10
+ UNION ALL SELECT 'draft_delivery_failed' FROM m WHERE n > 0 AND done = 0 UNION ALL SELECT 'draft_candidates_low' FROM m WHERE n < target UNION ALL
+ SELECT 'draft_visuals_low' FROM m WHERE vis < least(target, 6)) SELECT 'warn' AS level, code, count(*) AS n FROM w GROUP BY ALL""")
 def health_warnings(spark, d):
     """Warnings of every supplier as a channel, counted."""
     ahead = F.col("l_shipdate") >= F.lit(AS_OF).cast("timestamp")
@@ -331,8 +396,12 @@ def health_warnings(spark, d):
     return A.health_warnings(m, "1998-01-31 00:00:00").groupBy("level", "code").agg(F.count("*").alias("n"))
 
 
-@query("validate_registry", """WITH s AS (SELECT CASE WHEN c_custkey % 11 = 0 THEN '' ELSE 's' || c_custkey // 2 * (c_custkey % 13) END AS id, CASE WHEN c_custkey % 5 = 0 THEN '  ' ELSE c_name END AS name, CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE 'html' END AS type, CASE WHEN c_custkey % 3 = 0 THEN '' ELSE 'u' END AS url, CASE WHEN c_custkey % 4 = 0 THEN false END AS enabled FROM customer)
- SELECT id, 'error' AS level, 'no_id' AS code FROM s WHERE id = '' UNION ALL SELECT id, 'error', 'no_name' FROM s WHERE trim(name) = '' UNION ALL SELECT id, 'error', 'no_type' FROM s WHERE type IS NULL UNION ALL SELECT id, 'warning', 'enabled_without_url' FROM s WHERE coalesce(enabled, true) AND url = ''
+@query("validate_registry", """WITH s AS (SELECT CASE WHEN c_custkey % 11 = 0 THEN '' ELSE 's' || c_custkey // 2 * (c_custkey % 13) END AS id, CASE
+ WHEN c_custkey % 5 = 0 THEN '  ' ELSE c_name END AS name, CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE 'html' END AS type, CASE
+ WHEN c_custkey % 3 = 0 THEN '' ELSE 'u' END AS url, CASE WHEN c_custkey % 4 = 0 THEN false END AS enabled FROM customer)
+ SELECT id, 'error' AS level, 'no_id' AS code FROM s WHERE id = '' UNION ALL SELECT id, 'error', 'no_name' FROM s WHERE trim(name) = '' UNION ALL
+ SELECT id, 'error', 'no_type' FROM s WHERE type IS NULL UNION ALL SELECT id, 'warning', 'enabled_without_url' FROM s
+ WHERE coalesce(enabled, true) AND url = ''
  UNION ALL SELECT id, 'error', 'duplicate_id' FROM s WHERE id <> '' GROUP BY id HAVING count(*) > 1""")
 def validate_registry(spark, d):
     i = F.col("c_custkey")
@@ -343,18 +412,27 @@ def validate_registry(spark, d):
 # Selection and plans
 
 
-@query("next_unposted", """SELECT p_partkey, p_retailprice AS score FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 49) AND p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_discount >= 0.1 AND l_quantity > 48) ORDER BY score DESC, p_partkey LIMIT 25""")
+@query("next_unposted", """SELECT p_partkey, p_retailprice AS score FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem
+ WHERE l_returnflag = 'R' AND l_quantity > 49) AND p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_discount >= 0.1 AND l_quantity > 48)
+ ORDER BY score DESC, p_partkey LIMIT 25""")
 def next_unposted(spark, d):
     li = table(spark, d, "lineitem").withColumnRenamed("l_partkey", "p_partkey")
     items = table(spark, d, "part").select("p_partkey", F.col("p_retailprice").alias("score"))
     return R.next_unposted(items, li.where("l_returnflag = 'R' and l_quantity > 49"), li.where("l_discount >= 0.1 and l_quantity > 48"), 25, "p_partkey")
 
 
-_PHOTO_SQL = """WITH c AS (SELECT p_type AS section_id, p_brand AS item_id, 'https://x/' || CASE p_partkey % 5 WHEN 0 THEN 'photo/' WHEN 1 THEN 'logo/' WHEN 2 THEN 'icon/' ELSE 'p/' END || p_partkey AS url, p_partkey % 4 = 0 AS approved, p_partkey % 9 = 0 AS rejected, p_partkey % 6 = 0 AS trusted, p_partkey % 7 = 0 AS blocked,
+_PHOTO_SQL = """WITH c AS (SELECT p_type AS section_id, p_brand AS item_id, 'https://x/' || CASE p_partkey % 5 WHEN 0 THEN 'photo/'
+ WHEN 1 THEN 'logo/' WHEN 2 THEN 'icon/' ELSE 'p/' END || p_partkey AS url, p_partkey % 4 = 0 AS approved, p_partkey % 9 = 0 AS rejected,
+ p_partkey % 6 = 0 AS trusted, p_partkey % 7 = 0 AS blocked,
  p_partkey * 7919 % 150000 AS bytes, 300 + p_partkey * 31 % 1500 AS width, 200 + p_partkey * 17 % 900 AS height FROM part),
- s AS (SELECT *, 50 + CASE WHEN approved THEN 45 ELSE 0 END - CASE WHEN rejected THEN 90 ELSE 0 END + CASE WHEN trusted THEN 14 ELSE 0 END - CASE WHEN blocked THEN 30 ELSE 0 END + CASE WHEN bytes >= 80000 THEN 8 WHEN bytes < 25000 THEN -18 ELSE 0 END + CASE WHEN width >= 900 AND height >= 500 THEN 14 ELSE -10 END
- + CASE WHEN width / height BETWEEN 1.35 AND 2.2 THEN 12 WHEN width / height < 0.85 THEN -15 ELSE 0 END - CASE WHEN url LIKE '%logo%' THEN 35 ELSE 0 END - CASE WHEN url LIKE '%icon%' THEN 45 ELSE 0 END + CASE WHEN url LIKE '%photo%' THEN 4 ELSE 0 END AS raw FROM c)
- SELECT section_id, item_id, url, CAST(greatest(0, least(100, raw)) AS INTEGER) AS photo_score, greatest(0, least(100, raw)) < 45 AS needs_note FROM s QUALIFY row_number() OVER (PARTITION BY section_id, item_id ORDER BY greatest(0, least(100, raw)) DESC, url) <= 3"""
+ s AS (SELECT *, 50 + CASE WHEN approved THEN 45 ELSE 0 END - CASE WHEN rejected THEN 90 ELSE 0 END + CASE WHEN trusted THEN 14 ELSE 0 END - CASE
+ WHEN blocked THEN 30 ELSE 0 END + CASE WHEN bytes >= 80000 THEN 8 WHEN bytes < 25000 THEN -18 ELSE 0 END + CASE
+ WHEN width >= 900 AND height >= 500 THEN 14 ELSE -10 END
+ + CASE WHEN width / height BETWEEN 1.35 AND 2.2 THEN 12 WHEN width / height < 0.85 THEN -15 ELSE 0 END - CASE
+ WHEN url LIKE '%logo%' THEN 35 ELSE 0 END - CASE WHEN url LIKE '%icon%' THEN 45 ELSE 0 END + CASE WHEN url LIKE '%photo%' THEN 4 ELSE 0 END AS raw
+ FROM c)
+ SELECT section_id, item_id, url, CAST(greatest(0, least(100, raw)) AS INTEGER) AS photo_score, greatest(0, least(100, raw)) < 45 AS needs_note FROM s
+ QUALIFY row_number() OVER (PARTITION BY section_id, item_id ORDER BY greatest(0, least(100, raw)) DESC, url) <= 3"""
 
 
 @query("score_photos", _PHOTO_SQL)
@@ -365,15 +443,19 @@ def score_photos(spark, d):
     return R.score_photos(c).select("section_id", "item_id", "url", "photo_score", "needs_note")
 
 
-@query("primary_snapshot", """WITH s AS (SELECT o_custkey, o_orderkey, CASE o_orderpriority WHEN '1-URGENT' THEN '' WHEN '2-HIGH' THEN 'https://a/Logo.png' WHEN '5-LOW' THEN NULL ELSE 'https://a/p.jpg' END AS image FROM orders WHERE o_orderstatus <> 'P')
- SELECT o_custkey AS item_id, o_orderkey AS ord, image FROM s QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY CASE WHEN coalesce(image, '') = '' THEN 2 WHEN lower(image) LIKE '%logo%' THEN 1 ELSE 0 END, o_orderkey) = 1""")
+@query("primary_snapshot", """WITH s AS (SELECT o_custkey, o_orderkey, CASE o_orderpriority WHEN '1-URGENT' THEN ''
+ WHEN '2-HIGH' THEN 'https://a/Logo.png' WHEN '5-LOW' THEN NULL ELSE 'https://a/p.jpg' END AS image FROM orders WHERE o_orderstatus <> 'P')
+ SELECT o_custkey AS item_id, o_orderkey AS ord, image FROM s QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY CASE
+ WHEN coalesce(image, '') = '' THEN 2 WHEN lower(image) LIKE '%logo%' THEN 1 ELSE 0 END, o_orderkey) = 1""")
 def primary_snapshot(spark, d):
     k = F.col("kind")
     s = dated(spark, d).select(F.col("custkey").alias("item_id"), F.col("id").alias("ord"), F.when(k == "1-URGENT", "").when(k == "2-HIGH", "https://a/Logo.png").when(k != "5-LOW", "https://a/p.jpg").alias("image"), (F.col("status") != "P").alias("ok"))
     return R.primary_snapshot(s, "item_id", "ord").select("item_id", "ord", "image")
 
 
-@query("next_preview", """WITH c AS (SELECT l_orderkey AS item_id, CAST(l_linenumber AS BIGINT) * 1000000000 + l_partkey AS ord, 'https://i/' || l_partkey AS url FROM lineitem) SELECT item_id, arg_min(url, ord) AS url FROM c WHERE (item_id, url) NOT IN (SELECT l_orderkey, 'https://i/' || l_partkey FROM lineitem WHERE l_returnflag = 'R') GROUP BY 1""")
+@query("next_preview", """WITH c AS (SELECT l_orderkey AS item_id, CAST(l_linenumber AS BIGINT) * 1000000000 + l_partkey AS ord,
+ 'https://i/' || l_partkey AS url FROM lineitem) SELECT item_id, arg_min(url, ord) AS url FROM c
+ WHERE (item_id, url) NOT IN (SELECT l_orderkey, 'https://i/' || l_partkey FROM lineitem WHERE l_returnflag = 'R') GROUP BY 1""")
 def next_preview(spark, d):
     li = table(spark, d, "lineitem")
     url = lambda tail: F.concat(F.lit("https://i/"), F.col("l_partkey").cast("string"), F.lit(tail)).alias("url")
@@ -381,9 +463,16 @@ def next_preview(spark, d):
     return R.next_preview(cands, li.where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("item_id"), url("/?shown")))
 
 
-@query("trip_plans", """WITH c AS (SELECT p_type AS section, row_number() OVER (PARTITION BY p_type ORDER BY p_retailprice, p_partkey) AS rank, p_name AS item FROM part), e AS (SELECT 'events' AS section, row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS rank, CAST(o_orderkey AS VARCHAR) AS item FROM orders WHERE o_orderdate >= TIMESTAMP '1998-01-01' AND o_orderpriority = '1-URGENT'),
- w AS (SELECT days, day, slot, pref, CASE pref WHEN 0 THEN 'missing' WHEN 1 THEN CASE WHEN slot = 'evening' THEN 'events' ELSE 'ECONOMY' END ELSE 'STANDARD' END AS section, CASE WHEN pref = 1 AND slot = 'noon' THEN 10000000 ELSE day END AS rank FROM (SELECT unnest([1, 3, 7]) AS days), (SELECT unnest([1, 2, 3, 4, 5, 6, 7]) AS day), (SELECT unnest(['morning', 'noon', 'evening']) AS slot), (SELECT unnest([0, 1, 2]) AS pref) WHERE day <= days)
- SELECT days, day, slot, arg_min(item, pref) AS item, min(pref) AS pref_ord FROM w JOIN (SELECT * FROM c UNION ALL SELECT * FROM e) USING (section, rank) GROUP BY ALL""")
+@query("trip_plans", """WITH c AS (SELECT p_type AS section, row_number() OVER (PARTITION BY p_type
+ ORDER BY p_retailprice, p_partkey) AS rank, p_name AS item FROM part), e AS (SELECT 'events' AS section, row_number() OVER (ORDER BY o_orderdate,
+ o_orderkey) AS rank, CAST(o_orderkey AS VARCHAR) AS item FROM orders WHERE o_orderdate >= TIMESTAMP '1998-01-01' AND o_orderpriority = '1-URGENT'),
+ w AS (SELECT days, day, slot, pref, CASE pref WHEN 0 THEN 'missing' WHEN 1 THEN CASE
+ WHEN slot = 'evening' THEN 'events' ELSE 'ECONOMY' END ELSE 'STANDARD' END AS section, CASE
+ WHEN pref = 1 AND slot = 'noon' THEN 10000000 ELSE day END AS rank
+ FROM (SELECT unnest([1, 3, 7]) AS days), (SELECT unnest([1, 2, 3, 4, 5, 6, 7]) AS day), (SELECT unnest(['morning', 'noon', 'evening']) AS slot),
+ (SELECT unnest([0, 1, 2]) AS pref) WHERE day <= days)
+ SELECT days, day, slot, arg_min(item, pref) AS item, min(pref) AS pref_ord FROM w JOIN (SELECT * FROM c UNION ALL SELECT *
+ FROM e) USING (section, rank) GROUP BY ALL""")
 def trip_plans(spark, d):
     """Days of 1, 3 and 7 day trips: the first preference that the ranked pools hold."""
     from pyspark.sql import Window
@@ -403,9 +492,12 @@ SECTIONS = ["excursions", "food", "routes", "sights", "parks", "active", "master
 _SECTION_SQL = "[" + ", ".join(f"'{x}'" for x in SECTIONS) + "][1 + p_partkey % 8]"
 
 
-_TRIP_SQL = f"""c AS (SELECT {_SECTION_SQL} AS section, row_number() OVER (PARTITION BY p_partkey % 8 ORDER BY p_retailprice, p_partkey) AS rank, CAST(p_partkey AS VARCHAR) AS item FROM part WHERE p_partkey % 8 <> 7),
- e AS (SELECT 'events' AS section, row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS rank, 'order ' || o_orderkey AS item FROM orders WHERE o_orderdate >= TIMESTAMP '1998-01-01'),
- trip AS (SELECT day, slot, arg_min(item, pref) AS item, min(pref) AS pref_ord FROM (VALUES {_WEEK}) w(day, slot, pref, section, rank) JOIN (SELECT * FROM c UNION ALL SELECT * FROM e) USING (section, rank) GROUP BY ALL)"""
+_TRIP_SQL = f"""c AS (SELECT {_SECTION_SQL} AS section, row_number() OVER (PARTITION BY p_partkey % 8
+ ORDER BY p_retailprice, p_partkey) AS rank, CAST(p_partkey AS VARCHAR) AS item FROM part WHERE p_partkey % 8 <> 7),
+ e AS (SELECT 'events' AS section, row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS rank, 'order ' || o_orderkey AS item FROM orders
+ WHERE o_orderdate >= TIMESTAMP '1998-01-01'),
+ trip AS (SELECT day, slot, arg_min(item, pref) AS item, min(pref) AS pref_ord FROM (VALUES {_WEEK}) w(day, slot, pref, section, rank) JOIN (SELECT *
+ FROM c UNION ALL SELECT * FROM e) USING (section, rank) GROUP BY ALL)"""
 
 
 def _trip(spark, d):
@@ -423,16 +515,20 @@ def trip_week(spark, d):
     return _trip(spark, d).select("day", "slot", "item", "pref_ord")
 
 
-@query("recommendations", "SELECT p_type AS section, p_partkey AS item, row_number() OVER (PARTITION BY p_type ORDER BY p_size, p_partkey) AS rn FROM part QUALIFY rn <= CASE p_type WHEN 'ECONOMY' THEN 5 WHEN 'STANDARD' THEN 2 ELSE 0 END")
+@query("recommendations", """SELECT p_type AS section, p_partkey AS item, row_number() OVER (PARTITION BY p_type ORDER BY p_size, p_partkey) AS rn
+ FROM part QUALIFY rn <= CASE p_type WHEN 'ECONOMY' THEN 5 WHEN 'STANDARD' THEN 2 ELSE 0 END""")
 def recommendations(spark, d):
     p = table(spark, d, "part").select(F.col("p_type").alias("section"), F.col("p_partkey").alias("item"), F.col("p_size").alias("rank"))
     return R.recommendations(p, {"ECONOMY": 5, "STANDARD": 2}).select("section", "item", "rn")
 
 
-@query("personalize", f"""WITH {_TRIP_SQL}, p AS (SELECT day, slot AS pos, item, coalesce(p_type, 'PROMO') AS tag FROM trip LEFT JOIN part ON item = CAST(p_partkey AS VARCHAR)),
+@query("personalize", f"""WITH {_TRIP_SQL}, p AS (SELECT day, slot AS pos, item, coalesce(p_type, 'PROMO') AS tag FROM trip LEFT
+ JOIN part ON item = CAST(p_partkey AS VARCHAR)),
  u AS (SELECT c_custkey AS user_id, CASE c_custkey % 4 WHEN 0 THEN 'calm' WHEN 1 THEN 'active' WHEN 2 THEN 'normal' END AS pace FROM customer),
- w AS (SELECT o_custkey AS user_id, CASE o_orderpriority WHEN '1-URGENT' THEN 'ECONOMY' WHEN '2-HIGH' THEN 'STANDARD' ELSE 'PROMO' END AS tag, count(*) AS weight FROM orders GROUP BY ALL),
- k AS (SELECT u.user_id, day, pos, item, coalesce(weight, 0) AS score, CASE pace WHEN 'calm' THEN 2 WHEN 'active' THEN 4 ELSE 3 END AS n FROM u JOIN (SELECT DISTINCT user_id FROM w) USING (user_id) CROSS JOIN p LEFT JOIN w ON w.user_id = u.user_id AND w.tag = p.tag)
+ w AS (SELECT o_custkey AS user_id, CASE o_orderpriority WHEN '1-URGENT' THEN 'ECONOMY'
+ WHEN '2-HIGH' THEN 'STANDARD' ELSE 'PROMO' END AS tag, count(*) AS weight FROM orders GROUP BY ALL),
+ k AS (SELECT u.user_id, day, pos, item, coalesce(weight, 0) AS score, CASE pace WHEN 'calm' THEN 2 WHEN 'active' THEN 4 ELSE 3 END AS n FROM u
+ JOIN (SELECT DISTINCT user_id FROM w) USING (user_id) CROSS JOIN p LEFT JOIN w ON w.user_id = u.user_id AND w.tag = p.tag)
  SELECT user_id, day, pos, item, score FROM k QUALIFY row_number() OVER (PARTITION BY user_id, day ORDER BY score DESC, pos) <= n""")
 def personalize(spark, d):
     """The week's plan for every customer, by the tags of their orders."""
@@ -444,8 +540,10 @@ def personalize(spark, d):
     return R.personalize(plan, prefs).select("user_id", "day", "pos", "item", "score")
 
 
-@query("sample_stops", """WITH r AS (SELECT l_orderkey, list(CASE WHEN l_quantity > 30 THEN 'View ' ELSE 'stop ' END || l_linenumber ORDER BY l_linenumber, l_quantity <= 30) AS s FROM lineitem GROUP BY 1)
- SELECT l_orderkey, array_to_string(CASE WHEN len(s) > 4 THEN list_concat(list_concat(s[1:1], list_filter(s[2:len(s) - 1], lambda x: x LIKE 'View%')[1:3]), s[len(s):len(s)]) ELSE s END, ',') AS stops FROM r""")
+@query("sample_stops", """WITH r AS (SELECT l_orderkey, list(CASE WHEN l_quantity > 30 THEN 'View ' ELSE 'stop ' END || l_linenumber
+ ORDER BY l_linenumber, l_quantity <= 30) AS s FROM lineitem GROUP BY 1)
+ SELECT l_orderkey, array_to_string(CASE WHEN len(s) > 4 THEN list_concat(list_concat(s[1:1], list_filter(s[2:len(s) - 1],
+ lambda x: x LIKE 'View%')[1:3]), s[len(s):len(s)]) ELSE s END, ',') AS stops FROM r""")
 def sample_stops(spark, d):
     label = F.concat(F.when(F.col("l_quantity") > 30, "View ").otherwise("stop "), F.col("l_linenumber").cast("string"))
     r = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", label.alias("s")))), lambda x: x.s).alias("stops"))
@@ -465,43 +563,55 @@ def normalize_page_text(spark, d):
     return table(spark, d, "pages").select("page_id", text.normalize(F.col("html")).alias("normal"))
 
 
-@query("clean_titles", rf"""WITH t AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN '19:30 — ' WHEN 1 THEN '12.03.2026 ' WHEN 2 THEN 'Билеты на: ' ELSE '' END || {TITLE_SQL} || CASE WHEN doc_id % 3 = 0 THEN ' | Site' ELSE '' END AS t FROM documents)
- SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '^\s*\d{{1,2}}[:.]\d{{2}}\s*[-–—,]?\s*', ''), '^\s*\d{{1,2}}\.\d{{1,2}}(?:\.\d{{4}})?\s*[-–—,]?\s*', ''), '(?i)^(?:билеты на|купить билеты на|афиша)\s*[:\-–—]?\s*', ''), '\s+[|]\s+[^|]*$', ''), ' ') AS title FROM t""")
+@query("clean_titles", rf"""WITH t AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN '19:30 — ' WHEN 1 THEN '12.03.2026 '
+ WHEN 2 THEN 'Билеты на: ' ELSE '' END || {TITLE_SQL} || CASE WHEN doc_id % 3 = 0 THEN ' | Site' ELSE '' END AS t FROM documents)
+ SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '^\s*\d{{1,2}}[:.]\d{{2}}\s*[-–—,]?\s*', ''),
+ '^\s*\d{{1,2}}\.\d{{1,2}}(?:\.\d{{4}})?\s*[-–—,]?\s*', ''), '(?i)^(?:билеты на|купить билеты на|афиша)\s*[:\-–—]?\s*', ''), '\s+[|]\s+[^|]*$', ''),
+ ' ') AS title FROM t""")
 def clean_titles(spark, d):
     i = F.col("doc_id")
     t = F.concat(F.when(i % 4 == 0, "19:30 — ").when(i % 4 == 1, "12.03.2026 ").when(i % 4 == 2, "Билеты на: ").otherwise(""), F.col("title"), F.when(i % 3 == 0, " | Site").otherwise(""))
     return docs(spark, d).select("doc_id", text.clean_title(t).alias("title"))
 
 
-@query("parse_lists", r"""WITH l AS (SELECT doc_id, list_filter(list_transform(string_split_regex(coalesce(text, ''), '[\n;]'), lambda x: trim(x, ' ')), lambda x: x <> '')[1:12] AS l FROM documents) SELECT doc_id, len(l) AS n, l[1] AS first, l[len(l)] AS last FROM l""")
+@query("parse_lists", r"""WITH l AS (SELECT doc_id, list_filter(list_transform(string_split_regex(coalesce(text, ''), '[\n;]'), lambda x: trim(x,
+ ' ')), lambda x: x <> '')[1:12] AS l FROM documents) SELECT doc_id, len(l) AS n, l[1] AS first, l[len(l)] AS last FROM l""")
 def parse_lists(spark, d):
     li = docs(spark, d).select("doc_id", text.parse_list(F.col("text")).alias("l"))
     return li.select("doc_id", F.size("l").cast("long").alias("n"), F.get("l", 0).alias("first"), F.get("l", F.size("l") - 1).alias("last"))
 
 
-@query("parse_links", "SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'Photo ' || page_id ELSE '' END AS label, url FROM pages UNION ALL SELECT page_id, '', 'https://second' FROM pages")
+@query("parse_links", """SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'Photo ' || page_id ELSE '' END AS label, url FROM pages UNION ALL
+ SELECT page_id, '', 'https://second' FROM pages""")
 def parse_links(spark, d):
     i = F.col("page_id")
     c = F.concat(F.when(i % 2 == 0, F.concat(F.lit(" Photo "), i.cast("string"), F.lit(" | "))).otherwise(""), F.col("url"), F.lit("\n ; https://second"))
     return table(spark, d, "pages").select("page_id", F.explode(text.parse_links(c)).alias("l")).select("page_id", "l.label", "l.url")
 
 
-@query("map_kind", "SELECT o_orderkey AS id, CASE o_orderpriority WHEN '1-URGENT' THEN 'concert' WHEN '2-HIGH' THEN 'theatre' WHEN '3-MEDIUM' THEN 'sport' ELSE 'events' END AS kind FROM orders")
+@query("map_kind", """SELECT o_orderkey AS id, CASE o_orderpriority WHEN '1-URGENT' THEN 'concert' WHEN '2-HIGH' THEN 'theatre'
+ WHEN '3-MEDIUM' THEN 'sport' ELSE 'events' END AS kind FROM orders""")
 def map_kind(spark, d):
     k = F.col("kind")
     word = F.when(k == "1-URGENT", "Concert_Popular").when(k == "2-HIGH", "THEATER").when(k == "3-MEDIUM", "Sports").otherwise(k)
     return dated(spark, d).select("id", readers.map_kind(word, rules.KIND_OF).alias("kind"))
 
 
-@query("post_texts", """SELECT o_orderkey AS id, 'Order ' || o_orderkey || chr(10) || chr(10) || CASE WHEN o_orderpriority = '1-URGENT' THEN 'Живая музыка' || chr(10) || chr(10) ELSE '' END || 'Sum ' || CAST(o_custkey AS VARCHAR) || chr(10) || chr(10) || CASE WHEN o_orderstatus = 'P' THEN 'дата уточняется' WHEN o_orderstatus = 'F' THEN strftime(timezone('Europe/Moscow', timezone('UTC', o_orderdate)), '%d.%m.%Y %H:%M') ELSE strftime(timezone('Europe/Moscow', timezone('UTC', o_orderdate)), '%d.%m.%Y') END
- || CASE WHEN o_custkey % 2 = 0 THEN ', Hall ' || CAST(o_custkey AS VARCHAR) ELSE '' END || CASE WHEN o_custkey % 3 = 0 THEN chr(10) || chr(10) || 'https://t' ELSE '' END AS text FROM orders""")
+@query("post_texts", """SELECT o_orderkey AS id, 'Order ' || o_orderkey || chr(10) || chr(10) || CASE
+ WHEN o_orderpriority = '1-URGENT' THEN 'Живая музыка' || chr(10) || chr(10) ELSE '' END || 'Sum ' || CAST(o_custkey AS VARCHAR) || chr(10) || chr(10)
+ || CASE WHEN o_orderstatus = 'P' THEN 'дата уточняется' WHEN o_orderstatus = 'F' THEN strftime(timezone('Europe/Moscow', timezone('UTC',
+ o_orderdate)), '%d.%m.%Y %H:%M') ELSE strftime(timezone('Europe/Moscow', timezone('UTC', o_orderdate)), '%d.%m.%Y') END
+ || CASE WHEN o_custkey % 2 = 0 THEN ', Hall ' || CAST(o_custkey AS VARCHAR) ELSE '' END || CASE
+ WHEN o_custkey % 3 = 0 THEN chr(10) || chr(10) || 'https://t' ELSE '' END AS text FROM orders""")
 def post_texts(spark, d):
     c, s = F.col("custkey"), F.col("status")
     body = copy.post_text(F.col("title"), F.concat(F.lit("Sum  "), c.cast("string")), F.when(c % 2 == 0, F.concat(F.lit("Hall "), c.cast("string"))).otherwise(""), F.when(s != "P", F.col("event_date")), s == "F", F.when(F.col("kind") == "1-URGENT", "concert"), F.when(c % 3 == 0, "https://t"), "Europe/Moscow")
     return dated(spark, d).select("id", body.alias("text"))
 
 
-@query("sanitize_patch", """SELECT c_custkey, nullif(trim(left(trim(c_name || ' '), 12)), '') AS title, nullif(left(trim(CASE WHEN c_custkey % 2 = 0 THEN '  ' ELSE c_mktsegment END), 4), '') AS note, array_to_string(list_filter([left(c_name, 3), '', left(c_mktsegment, 3), 'x'], lambda x: x <> '')[1:2], '|') AS tags FROM customer""")
+@query("sanitize_patch", """SELECT c_custkey, nullif(trim(left(trim(c_name || ' '), 12)), '') AS title, nullif(left(trim(CASE
+ WHEN c_custkey % 2 = 0 THEN '  ' ELSE c_mktsegment END), 4), '') AS note, array_to_string(list_filter([left(c_name, 3), '', left(c_mktsegment, 3),
+ 'x'], lambda x: x <> '')[1:2], '|') AS tags FROM customer""")
 def sanitize_patch(spark, d):
     p = F.struct(F.concat("c_name", F.lit(" ")).alias("title"), F.when(F.col("c_custkey") % 2 == 0, "  ").otherwise(F.col("c_mktsegment")).alias("note"), F.array("c_name", F.lit(" "), "c_mktsegment", F.lit("x")).alias("tags"), F.lit("dropped").alias("other"))
     s = table(spark, d, "customer").select("c_custkey", copy.sanitize_patch(p, {"title": 12, "note": 4}, {"tags": 3}, 2).alias("p"))
@@ -511,14 +621,17 @@ def sanitize_patch(spark, d):
 # State, sinks, sources
 
 
-@query("due_reminders", "SELECT o_orderkey AS id, CASE WHEN o_orderstatus = 'O' AND o_orderdate <= TIMESTAMP '1998-01-01' THEN 'sent' WHEN o_orderstatus = 'O' THEN 'pending' ELSE 'sent' END AS status, CASE WHEN o_orderstatus = 'O' THEN CASE WHEN o_orderdate <= TIMESTAMP '1998-01-01' THEN TIMESTAMP '1998-01-01' END ELSE o_orderdate END AS sent_at FROM orders")
+@query("due_reminders", """SELECT o_orderkey AS id, CASE WHEN o_orderstatus = 'O' AND o_orderdate <= TIMESTAMP '1998-01-01' THEN 'sent'
+ WHEN o_orderstatus = 'O' THEN 'pending' ELSE 'sent' END AS status, CASE WHEN o_orderstatus = 'O' THEN CASE
+ WHEN o_orderdate <= TIMESTAMP '1998-01-01' THEN TIMESTAMP '1998-01-01' END ELSE o_orderdate END AS sent_at FROM orders""")
 def due_reminders(spark, d):
     o = dated(spark, d)
     r = o.select("id", F.when(F.col("status") == "O", "pending").otherwise("sent").alias("status"), F.col("event_date").alias("due_at"), F.when(F.col("status") != "O", F.col("event_date")).alias("sent_at"))
     return jobs.due_reminders(r, AS_OF)[1].select("id", "status", "sent_at")
 
 
-@query("feedback_history", """WITH l AS (SELECT l_suppkey, l_returnflag, l_partkey, max((l_shipdate, l_orderkey)) AS t FROM lineitem GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY l_suppkey, l_returnflag ORDER BY t DESC, l_partkey) AS rn FROM l)
+@query("feedback_history", """WITH l AS (SELECT l_suppkey, l_returnflag, l_partkey, max((l_shipdate, l_orderkey)) AS t FROM lineitem
+ GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY l_suppkey, l_returnflag ORDER BY t DESC, l_partkey) AS rn FROM l)
  SELECT l_suppkey AS item_key, l_returnflag AS action, count(*) AS n FROM k WHERE rn <= 25 GROUP BY ALL""")
 def feedback_history(spark, d):
     log = table(spark, d, "lineitem").select(F.col("l_suppkey").cast("string").alias("item_key"), F.col("l_returnflag").alias("action"), F.col("l_partkey").cast("string").alias("url_key"), F.col("l_shipdate").alias("reviewed_at"))
@@ -543,7 +656,9 @@ def section_overrides(spark, d):
     return o.select("section_id", F.size("items").cast("long").alias("n"), F.get("items", 0)["item_id"].alias("first"), F.get("items", F.size("items") - 1)["item_id"].alias("last"))
 
 
-@query("preview_manifest", """WITH b AS (SELECT p_partkey AS k, p_name AS title, 'new' || p_partkey AS url FROM part WHERE p_partkey % 2 = 0), e AS (SELECT p_partkey AS k, CASE WHEN p_partkey % 4 = 0 THEN 'old' || p_partkey END AS url FROM part WHERE p_partkey % 3 = 0)
+@query("preview_manifest", """WITH b AS (SELECT p_partkey AS k, p_name AS title, 'new' || p_partkey AS url FROM part
+ WHERE p_partkey % 2 = 0), e AS (SELECT p_partkey AS k, CASE WHEN p_partkey % 4 = 0 THEN 'old' || p_partkey END AS url FROM part
+ WHERE p_partkey % 3 = 0)
  SELECT b.k AS preview_key, title, coalesce(e.url, b.url) AS url FROM b LEFT JOIN e USING (k)""")
 def preview_manifest(spark, d):
     i = F.col("p_partkey")
@@ -553,13 +668,16 @@ def preview_manifest(spark, d):
     return sinks.preview_manifest(best, old, AS_OF).select("preview_key", "title", "url")
 
 
-@query("read_catalog", "SELECT p_brand AS section_id, p_partkey AS item_id, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS ord FROM part")
+@query("read_catalog", """SELECT p_brand AS section_id, p_partkey AS item_id, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS ord
+ FROM part""")
 def read_catalog(spark, d):
     raw = table(spark, d, "part").groupBy(F.col("p_brand").alias("section_id"), F.col("p_brand").alias("title")).agg(F.array_sort(F.collect_list(F.struct(F.col("p_partkey").alias("item_id"), "p_name"))).alias("items"))
     return readers.read_catalog(raw).select("section_id", "item_id", F.col("ord").cast("long").alias("ord"))
 
 
-@query("load_sources", """WITH a AS (SELECT s_suppkey AS id, s_name AS name, s_acctbal >= 0 AS enabled, 0 AS o FROM supplier UNION ALL SELECT c_custkey, c_name, c_custkey % 5 > 0, 1 FROM customer WHERE c_custkey % 2 = 0 UNION ALL SELECT p_partkey, p_name, NULL, 2 FROM part WHERE p_partkey % 7 = 0)
+@query("load_sources", """WITH a AS (SELECT s_suppkey AS id, s_name AS name, s_acctbal >= 0 AS enabled, 0 AS o FROM supplier UNION ALL
+ SELECT c_custkey, c_name, c_custkey % 5 > 0, 1 FROM customer WHERE c_custkey % 2 = 0 UNION ALL SELECT p_partkey, p_name, NULL, 2 FROM part
+ WHERE p_partkey % 7 = 0)
  SELECT id, name FROM (SELECT * FROM a QUALIFY row_number() OVER (PARTITION BY id ORDER BY o DESC) = 1) WHERE coalesce(enabled, true)""")
 def load_sources(spark, d):
     a = table(spark, d, "supplier").select(F.col("s_suppkey").cast("long").alias("id"), F.col("s_name").alias("name"), (F.col("s_acctbal") >= 0).alias("enabled"))
@@ -568,7 +686,8 @@ def load_sources(spark, d):
     return readers.load_sources(a, b, c).select("id", "name")
 
 
-@query("resolve_city", """SELECT c_custkey, n_nationkey AS city FROM customer LEFT JOIN nation ON n_nationkey = CASE WHEN c_custkey % 4 = 3 THEN -1 ELSE c_nationkey END""")
+@query("resolve_city", """SELECT c_custkey, n_nationkey AS city FROM customer LEFT JOIN nation ON n_nationkey = CASE
+ WHEN c_custkey % 4 = 3 THEN -1 ELSE c_nationkey END""")
 def resolve_city(spark, d):
     k = F.col("n_nationkey").cast("string")
     cities = table(spark, d, "nation").select(F.col("n_nationkey").alias("city"), k.alias("id"), F.concat(F.lit("slug-"), k).alias("slug"), F.col("n_name").alias("name"), F.array(F.concat(F.lit("Old "), k)).alias("aliases"))
@@ -577,7 +696,9 @@ def resolve_city(spark, d):
     return readers.resolve_city(cities, refs, {}).select("c_custkey", "city")
 
 
-@query("blocked_pages", r"""WITH p AS (SELECT page_id, page_id % 7 AS family, CASE WHEN page_id % 97 = 50 THEN '<p>Are you a ROBOT</p>' ELSE html END AS html FROM pages), f AS (SELECT family, min(page_id) AS first_block FROM p WHERE regexp_matches(html, '(?i)captcha|are you a robot|checking your browser|access denied|ddos-guard') GROUP BY 1)
+@query("blocked_pages", r"""WITH p AS (SELECT page_id, page_id % 7 AS family, CASE
+ WHEN page_id % 97 = 50 THEN '<p>Are you a ROBOT</p>' ELSE html END AS html FROM pages), f AS (SELECT family, min(page_id) AS first_block FROM p
+ WHERE regexp_matches(html, '(?i)captcha|are you a robot|checking your browser|access denied|ddos-guard') GROUP BY 1)
  SELECT page_id, first_block FROM p LEFT JOIN f USING (family) WHERE first_block IS NULL OR page_id < first_block""")
 def blocked_pages(spark, d):
     i = F.col("page_id")
@@ -585,8 +706,11 @@ def blocked_pages(spark, d):
     return S.flag_blocked_pages(p).select("page_id", "first_block")
 
 
-@query("sitemap_links", f"""WITH p AS (SELECT {URL_KEY.format('url')} AS u, page_id FROM pages), x AS (SELECT DISTINCT regexp_replace(u, '^([a-z]+://[^/]+).*$', '\\1') || '/msk/' || CASE page_id % 3 WHEN 0 THEN 'concert' WHEN 1 THEN 'sport' ELSE 'other' END || '/x-' || page_id || '-2024-0' || (1 + page_id % 9) || '-15' AS url FROM p)
- SELECT url, regexp_extract(url, '/msk/([a-z]+)/', 1) AS section, CAST(regexp_extract(url, '([0-9-]{{10}})$', 1) AS DATE) AS url_date FROM x WHERE url NOT LIKE '%/other/%' AND CAST(regexp_extract(url, '([0-9-]{{10}})$', 1) AS DATE) BETWEEN DATE '2024-02-01' AND DATE '2024-06-30'""")
+@query("sitemap_links", f"""WITH p AS (SELECT {URL_KEY.format('url')} AS u, page_id
+ FROM pages), x AS (SELECT DISTINCT regexp_replace(u, '^([a-z]+://[^/]+).*$', '\\1') || '/msk/' || CASE page_id % 3 WHEN 0 THEN 'concert'
+ WHEN 1 THEN 'sport' ELSE 'other' END || '/x-' || page_id || '-2024-0' || (1 + page_id % 9) || '-15' AS url FROM p)
+ SELECT url, regexp_extract(url, '/msk/([a-z]+)/', 1) AS section, CAST(regexp_extract(url, '([0-9-]{{10}})$', 1) AS DATE) AS url_date FROM x
+ WHERE url NOT LIKE '%/other/%' AND CAST(regexp_extract(url, '([0-9-]{{10}})$', 1) AS DATE) BETWEEN DATE '2024-02-01' AND DATE '2024-06-30'""")
 def sitemap_links(spark, d):
     """Each page's address as the one entry of a site map."""
     i = F.col("page_id")
@@ -598,7 +722,10 @@ def sitemap_links(spark, d):
 _META_SQL = r"trim(regexp_replace(replace(regexp_extract(html, '(?is)<title(?:\s[^>]*)?>(.*?)</title>', 1), '&amp;', '&'), '\s+', ' ', 'g'))"
 
 
-@query("meta_events", rf"""SELECT page_id, trim(regexp_replace({_META_SQL}, '\s+[|]\s+[^|]*$', '')) AS title, 'Walk no ' || page_id AS summary, make_timestamp(2024, CAST(1 + page_id % 12 AS BIGINT), CAST(1 + page_id % 28 AS BIGINT), CASE WHEN page_id % 2 = 0 THEN 19 ELSE 12 END, CASE WHEN page_id % 2 = 0 THEN 30 ELSE 0 END, 0) - INTERVAL 3 HOUR AS event_date, page_id % 2 = 0 AS event_has_explicit_time FROM pages WHERE {_META_SQL} <> ''""")
+@query("meta_events", rf"""SELECT page_id, trim(regexp_replace({_META_SQL}, '\s+[|]\s+[^|]*$', '')) AS title, 'Walk no ' || page_id AS summary,
+ make_timestamp(2024, CAST(1 + page_id % 12 AS BIGINT), CAST(1 + page_id % 28 AS BIGINT), CASE WHEN page_id % 2 = 0 THEN 19 ELSE 12 END, CASE
+ WHEN page_id % 2 = 0 THEN 30 ELSE 0 END, 0) - INTERVAL 3 HOUR AS event_date, page_id % 2 = 0 AS event_has_explicit_time FROM pages
+ WHERE {_META_SQL} <> ''""")
 def meta_events(spark, d):
     """Pages with a description and a date written into them."""
     i = F.col("page_id")
@@ -608,7 +735,8 @@ def meta_events(spark, d):
     return S.extract_meta_events(p, "2024-01-31", "Europe/Moscow").select(F.col("url").cast("long").alias("page_id"), "title", "summary", "event_date", "event_has_explicit_time")
 
 
-@query("embedded_events", """SELECT page_id, 'Event ' || page_id AS title, CASE WHEN page_id % 2 = 0 THEN 'About ' || page_id END AS summary, CASE WHEN page_id % 3 = 0 THEN 'Hall' ELSE 'Place' END AS venue_title, 'https://i/' || page_id AS image_url FROM pages WHERE page_id % 5 > 0""")
+@query("embedded_events", """SELECT page_id, 'Event ' || page_id AS title, CASE WHEN page_id % 2 = 0 THEN 'About ' || page_id END AS summary, CASE
+ WHEN page_id % 3 = 0 THEN 'Hall' ELSE 'Place' END AS venue_title, 'https://i/' || page_id AS image_url FROM pages WHERE page_id % 5 > 0""")
 def embedded_events(spark, d):
     """State objects written into four pages of five."""
     i = F.col("page_id").cast("string")
@@ -618,8 +746,11 @@ def embedded_events(spark, d):
     return S.extract_embedded_json_events(p).select(F.col("url").cast("long").alias("page_id"), "title", "summary", "venue_title", "image_url")
 
 
-@query("fixture_rows", """SELECT page_id, k AS pos, CASE WHEN k % 2 = 0 THEN 'Home ' ELSE 'Away ' END || page_id AS title, make_timestamp(2024, CAST(1 + page_id % 12 AS BIGINT), 1 + k, 19, 0, 0) - INTERVAL 3 HOUR AS event_date, CASE WHEN k % 2 = 0 THEN 70 ELSE 66 END AS base_score, CASE WHEN k = 1 THEN 'Far' WHEN k % 2 = 0 THEN 'Arena' END AS venue_title
- FROM pages, (SELECT unnest([0, 1, 2, 3]) AS k) WHERE make_timestamp(2024, CAST(1 + page_id % 12 AS BIGINT), 1 + k, 19, 0, 0) - INTERVAL 3 HOUR >= TIMESTAMP '2024-03-02 18:00:00'""")
+@query("fixture_rows", """SELECT page_id, k AS pos, CASE WHEN k % 2 = 0 THEN 'Home ' ELSE 'Away ' END || page_id AS title, make_timestamp(2024,
+ CAST(1 + page_id % 12 AS BIGINT), 1 + k, 19, 0, 0) - INTERVAL 3 HOUR AS event_date, CASE WHEN k % 2 = 0 THEN 70 ELSE 66 END AS base_score, CASE
+ WHEN k = 1 THEN 'Far' WHEN k % 2 = 0 THEN 'Arena' END AS venue_title
+ FROM pages, (SELECT unnest([0, 1, 2, 3]) AS k) WHERE make_timestamp(2024, CAST(1 + page_id % 12 AS BIGINT), 1 + k, 19, 0,
+ 0) - INTERVAL 3 HOUR >= TIMESTAMP '2024-03-02 18:00:00'""")
 def fixture_rows(spark, d):
     """A table of four matches written for each page."""
     i = F.col("page_id")
@@ -629,7 +760,8 @@ def fixture_rows(spark, d):
     return S.extract_fixture_rows(p, "Home", "Arena", "2024-03-02 18:00:00", "Europe/Moscow").select(F.col("url").cast("long").alias("page_id"), F.col("pos").cast("long").alias("pos"), "title", "event_date", "base_score", "venue_title")
 
 
-@query("listing_items", r"""SELECT page_id, trim(regexp_replace(replace(regexp_extract(html, '(?is)<h1(?:\s[^>]*)?>(.*?)</h1>', 1), '&amp;', '&'), '\s+', ' ', 'g')) AS title, 'Sum ' || page_id AS summary, 'https://l.test/e/' || page_id AS url FROM pages""")
+@query("listing_items", r"""SELECT page_id, trim(regexp_replace(replace(regexp_extract(html, '(?is)<h1(?:\s[^>]*)?>(.*?)</h1>', 1), '&amp;', '&'),
+ '\s+', ' ', 'g')) AS title, 'Sum ' || page_id AS summary, 'https://l.test/e/' || page_id AS url FROM pages""")
 def listing_items(spark, d):
     """Each page's heading in a listing's block."""
     i = F.col("page_id").cast("string")
@@ -640,7 +772,8 @@ def listing_items(spark, d):
     return got.select(F.regexp_extract("url", "([0-9]+)$", 1).cast("long").alias("page_id"), "title", "summary", "url")
 
 
-@query("channel_posts", "SELECT page_id, CAST(0 AS BIGINT) AS pos, 'First ' || page_id AS title, 'First ' || page_id || chr(10) || 'inner rest' AS summary FROM pages")
+@query("channel_posts", """SELECT page_id, CAST(0 AS BIGINT) AS pos, 'First ' || page_id AS title,
+ 'First ' || page_id || chr(10) || 'inner rest' AS summary FROM pages""")
 def channel_posts(spark, d):
     """Posts with an inner block, and an empty one, written for each page."""
     i = F.col("page_id").cast("string")
@@ -649,7 +782,8 @@ def channel_posts(spark, d):
     return S.extract_channel_posts(p, "Channel", "tgme_widget_message_text").select(F.col("url").cast("long").alias("page_id"), F.col("pos").cast("long").alias("pos"), "title", "summary")
 
 
-@query("snapshot_file", """WITH a AS (SELECT o_orderkey AS id, 'u' || o_orderkey AS url, o_orderdate AS t, 0 AS n FROM orders WHERE o_orderkey % 2 = 0 UNION ALL SELECT o_orderkey, 'u' || o_orderkey, o_orderdate, 1 FROM orders WHERE o_orderkey % 3 = 0)
+@query("snapshot_file", """WITH a AS (SELECT o_orderkey AS id, 'u' || o_orderkey AS url, o_orderdate AS t, 0 AS n FROM orders WHERE o_orderkey % 2 = 0
+ UNION ALL SELECT o_orderkey, 'u' || o_orderkey, o_orderdate, 1 FROM orders WHERE o_orderkey % 3 = 0)
  SELECT id, max(t) AS event_date FROM a GROUP BY id, url HAVING max(t) BETWEEN TIMESTAMP '1998-01-01' AND TIMESTAMP '1998-12-31 23:59:59.999'""")
 def snapshot_file(spark, d):
     """A snapshot merged with the one before, written and read back."""
@@ -667,8 +801,13 @@ def report_file(spark, d):
     return spark.read.schema("status string, n long").json(path)
 
 
-@query("image_search", """WITH i AS (SELECT p_type AS item_id, 'File ' || p_partkey || CASE WHEN p_partkey % 11 = 0 THEN ' Logo' ELSE '' END AS title, 'https://img/' || p_partkey // 2 AS url, CASE p_partkey % 5 WHEN 0 THEN 'image/gif' WHEN 1 THEN 'image/png' ELSE 'image/jpeg' END AS mime, p_partkey * 997 % 90000 AS size, 300 + p_partkey * 31 % 1700 AS width, 200 + p_partkey * 17 % 900 AS height FROM part),
- g AS (SELECT *, least(width * height / 100000, 60) + CASE WHEN width > height THEN 20 ELSE 0 END AS score FROM i WHERE mime <> 'image/gif' AND size >= 8192 AND title NOT LIKE '%Logo'), o AS (SELECT * FROM g QUALIFY row_number() OVER (PARTITION BY item_id, url ORDER BY title) = 1)
+@query("image_search", """WITH i AS (SELECT p_type AS item_id, 'File ' || p_partkey || CASE
+ WHEN p_partkey % 11 = 0 THEN ' Logo' ELSE '' END AS title, 'https://img/' || p_partkey // 2 AS url, CASE p_partkey % 5 WHEN 0 THEN 'image/gif'
+ WHEN 1 THEN 'image/png' ELSE 'image/jpeg' END AS mime, p_partkey * 997 % 90000 AS size, 300 + p_partkey * 31 % 1700 AS width,
+ 200 + p_partkey * 17 % 900 AS height FROM part),
+ g AS (SELECT *, least(width * height / 100000, 60) + CASE WHEN width > height THEN 20 ELSE 0 END AS score FROM i
+ WHERE mime <> 'image/gif' AND size >= 8192 AND title NOT LIKE '%Logo'), o AS (SELECT * FROM g QUALIFY row_number() OVER (PARTITION BY item_id, url
+ ORDER BY title) = 1)
  SELECT item_id, title, url, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, url) AS rank FROM o QUALIFY rank <= 5""")
 def image_search(spark, d):
     """Search answers as JSON, one a kind of part, its parts as images."""

@@ -27,14 +27,17 @@ def normalize_text(spark, d):
     return docs(spark, d).select("doc_id", text.fingerprint_text(F.col("text")).alias("normal"))
 
 
-@query("fingerprint_groups", f"""WITH t AS (SELECT doc_id, list_distinct(list_filter(string_split({FP_SQL.format(TITLE_SQL)}, ' '), lambda w: length(w) >= 3)) AS toks FROM documents),
- k AS (SELECT doc_id, array_to_string(list_slice(list_sort(toks), 1, 7), '-') AS fingerprint FROM t) SELECT fingerprint, count(*) AS n, min(doc_id) AS first_id FROM k GROUP BY 1""")
+@query("fingerprint_groups", f"""WITH t AS (SELECT doc_id, list_distinct(list_filter(string_split({FP_SQL.format(TITLE_SQL)}, ' '),
+ lambda w: length(w) >= 3)) AS toks FROM documents),
+ k AS (SELECT doc_id, array_to_string(list_slice(list_sort(toks), 1, 7), '-') AS fingerprint FROM t)
+ SELECT fingerprint, count(*) AS n, min(doc_id) AS first_id FROM k GROUP BY 1""")
 def fingerprint_groups(spark, d):
     fp = F.array_join(F.slice(F.array_sort(text.tokens(F.col("title"))), 1, 7), "-")
     return docs(spark, d).select("doc_id", fp.alias("fingerprint")).groupBy("fingerprint").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id"))
 
 
-@query("duplicate_groups", f"""SELECT {FP_SQL.format('text')} AS key, count(*) AS n, list_sort(list(DISTINCT source)) AS sources, arg_min({TITLE_SQL}, doc_id) AS title FROM documents WHERE {FP_SQL.format('text')} <> '' GROUP BY 1 HAVING count(*) > 1""")
+@query("duplicate_groups", f"""SELECT {FP_SQL.format('text')} AS key, count(*) AS n, list_sort(list(DISTINCT source)) AS sources, arg_min({TITLE_SQL},
+ doc_id) AS title FROM documents WHERE {FP_SQL.format('text')} <> '' GROUP BY 1 HAVING count(*) > 1""")
 def duplicate_groups(spark, d):
     return A.duplicate_groups(docs(spark, d).withColumn("url", F.lit(None).cast("string")), text.fingerprint_text(F.col("text"))).drop("urls")
 
@@ -53,12 +56,14 @@ def classify_docs(spark, d):
     return A.classify(docs(spark, d), KEYWORDS).select("doc_id", "keyword_score")
 
 
-@query("blocked_content", f"SELECT doc_id, regexp_matches(text, '[{rules.BLOCKED_LETTERS}]') OR regexp_matches({FP_SQL.format('text')}, 'license|розыгрыш') AS blocked FROM documents")
+@query("blocked_content", f"""SELECT doc_id, regexp_matches(text, '[{rules.BLOCKED_LETTERS}]') OR regexp_matches({FP_SQL.format('text')},
+ 'license|розыгрыш') AS blocked FROM documents""")
 def blocked_content(spark, d):
     return docs(spark, d).select("doc_id", P.rejected(F.col("text"), ["license", "розыгрыш"]).alias("blocked"))
 
 
-@query("quality_flags", f"SELECT doc_id, length({TITLE_SQL}) < 2 OR length({TITLE_SQL}) > 120 AS weak_title, length(text) < 45 AS weak_summary FROM documents")
+@query("quality_flags", f"""SELECT doc_id, length({TITLE_SQL}) < 2 OR length({TITLE_SQL}) > 120 AS weak_title, length(text) < 45 AS weak_summary
+ FROM documents""")
 def quality_flags(spark, d):
     x = docs(spark, d).withColumn("venue_title", F.lit("")).withColumn("url", F.lit(""))
     return A.quality_flags(x).select("doc_id", "weak_title", "weak_summary")
@@ -73,9 +78,13 @@ def norm_sql(c: str) -> str:
 
 
 @query("editorial_score", f"""WITH t AS (SELECT doc_id, {norm_sql(TITLE_SQL)} AS title, {norm_sql("coalesce(text, '')")} AS text FROM documents)
- SELECT doc_id, CAST(3 * least(doc_id % 300, 220) + 55 * least(1 + doc_id % 5, 4) - 120 + 28 + least(140, floor((least(length(text), 260) + CASE WHEN regexp_matches(text, '[.!?]') THEN 15 ELSE 0 END + CASE WHEN regexp_matches(text, '[0-9]') THEN 10 ELSE 0 END) / 3.0 + 0.5))
- + least(60, floor((length(title) + CASE WHEN regexp_matches(title, '[0-9]') THEN 20 ELSE 0 END + CASE WHEN regexp_matches(title, '[«»"]') THEN 8 ELSE 0 END - CASE WHEN regexp_matches(title, '(?i)^(?:{text.COLLECTIVE})\\s') THEN 18 ELSE 0 END) / 4.0 + 0.5))
- + CASE WHEN length(text) >= 24 AND {FP_SQL.format('text')} <> '' AND NOT regexp_matches(text, '(?i)^(дата|место|площадка|адрес|когда|где)\\s*:') THEN 16 ELSE 0 END - 14 AS DOUBLE) AS score FROM t""")
+ SELECT doc_id, CAST(3 * least(doc_id % 300, 220) + 55 * least(1 + doc_id % 5, 4) - 120 + 28 + least(140, floor((least(length(text), 260) + CASE
+ WHEN regexp_matches(text, '[.!?]') THEN 15 ELSE 0 END + CASE WHEN regexp_matches(text, '[0-9]') THEN 10 ELSE 0 END) / 3.0 + 0.5))
+ + least(60, floor((length(title) + CASE WHEN regexp_matches(title, '[0-9]') THEN 20 ELSE 0 END + CASE
+ WHEN regexp_matches(title, '[«»"]') THEN 8 ELSE 0 END - CASE
+ WHEN regexp_matches(title, '(?i)^(?:{text.COLLECTIVE})\\s') THEN 18 ELSE 0 END) / 4.0 + 0.5))
+ + CASE WHEN length(text) >= 24 AND {FP_SQL.format('text')} <> '' AND NOT regexp_matches(text,
+ '(?i)^(дата|место|площадка|адрес|когда|где)\\s*:') THEN 16 ELSE 0 END - 14 AS DOUBLE) AS score FROM t""")
 def editorial_score(spark, d):
     from ..operators.ranking import editorial_score as add
 
@@ -109,12 +118,15 @@ def trim_words(spark, d):
     return docs(spark, d).select("doc_id", text.trim_text(c, 60).alias("short"))
 
 
-@query("lead_summaries", trim_sql("CASE WHEN lead = '' THEN n ELSE lead END", 180, f"""(SELECT doc_id, n, array_to_string(list_filter(list_transform(regexp_extract_all(regexp_replace(n, '\\n+', ' ', 'g'), '[^.!?]+[.!?]?'), lambda s: trim(s, ' ')), lambda s: s <> '')[1:2], ' ') AS lead FROM (SELECT doc_id, {norm_sql("coalesce(text, '')")} AS n FROM documents))"""))
+@query("lead_summaries", trim_sql("CASE WHEN lead = '' THEN n ELSE lead END", 180, f"""(SELECT doc_id, n,
+ array_to_string(list_filter(list_transform(regexp_extract_all(regexp_replace(n, '\\n+', ' ', 'g'), '[^.!?]+[.!?]?'), lambda s: trim(s, ' ')),
+ lambda s: s <> '')[1:2], ' ') AS lead FROM (SELECT doc_id, {norm_sql("coalesce(text, '')")} AS n FROM documents))"""))
 def lead_summaries(spark, d):
     return docs(spark, d).select("doc_id", text.lead_summary(F.col("text")).alias("short"))
 
 
-@query("summaries", r"SELECT doc_id, len(list_filter(list_transform(regexp_extract_all(text, '[^.!?]+[.!?]?'), lambda s: trim(s, ' ')), lambda s: s <> '')) AS n_sentences FROM documents")
+@query("summaries", r"""SELECT doc_id, len(list_filter(list_transform(regexp_extract_all(text, '[^.!?]+[.!?]?'), lambda s: trim(s, ' ')),
+ lambda s: s <> '')) AS n_sentences FROM documents""")
 def summaries(spark, d):
     return docs(spark, d).select("doc_id", F.size(text.sentences(F.col("text"))).cast("long").alias("n_sentences"))
 
@@ -124,10 +136,14 @@ def source_counts(spark, d):
     return A.source_counts(docs(spark, d).select(F.array("source_id").alias("source_ids"), F.array("lang").alias("source_names")))
 
 
-@query("secret_scan", r"""WITH l AS (SELECT doc_id, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS line, unnest(string_split(coalesce(text, ''), chr(10))) AS l FROM documents),
- k AS (SELECT *, regexp_extract(l, '(?i)([A-Z0-9_]*(?:TOKEN|SECRET|PASSWORD|API_KEY|PRIVATE_KEY|ACCESS_KEY)[A-Z0-9_]*)\s*[:=]\s*[''"]?[^\s''"]{8,}', 1) AS key FROM l)
- SELECT doc_id, CAST(line AS BIGINT) AS line, CASE WHEN regexp_matches(l, '[0-9]{8,10}:[A-Za-z0-9_-]{35}') THEN 'BOT_TOKEN' ELSE upper(key) END AS key FROM k
- WHERE regexp_matches(l, '[0-9]{8,10}:[A-Za-z0-9_-]{35}') OR (key <> '' AND NOT regexp_matches(lower(l), 'example|changeme|placeholder|your_|xxx|<|process\.env|test'))""")
+@query("secret_scan", r"""WITH l AS (SELECT doc_id, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS line,
+ unnest(string_split(coalesce(text, ''), chr(10))) AS l FROM documents),
+ k AS (SELECT *, regexp_extract(l, '(?i)([A-Z0-9_]*(?:TOKEN|SECRET|PASSWORD|API_KEY|PRIVATE_KEY|ACCESS_KEY)[A-Z0-9_]*)\s*[:=]\s*[''"]?[^\s''"]{8,}',
+ 1) AS key FROM l)
+ SELECT doc_id, CAST(line AS BIGINT) AS line, CASE WHEN regexp_matches(l, '[0-9]{8,10}:[A-Za-z0-9_-]{35}') THEN 'BOT_TOKEN' ELSE upper(key) END AS key
+ FROM k
+ WHERE regexp_matches(l, '[0-9]{8,10}:[A-Za-z0-9_-]{35}') OR (key <> '' AND NOT regexp_matches(lower(l),
+ 'example|changeme|placeholder|your_|xxx|<|process\.env|test'))""")
 def secret_scan(spark, d):
     return P.scan_secrets(docs(spark, d))
 
@@ -169,11 +185,16 @@ def _signed_sql() -> str:
 
 #: All pairs of documents by the whole rule, then what they connect.
 _NEAR_SQL = f"""WITH RECURSIVE {_signed_sql()},
- c AS (SELECT a.doc_id AS x, b.doc_id AS y, a.tk <> '' AND a.sk <> '' AND a.tk = b.tk AND a.sk = b.sk AS loose, a.tk <> '' AND a.tk = b.tk AS titled, len(a.q) > 0 AND len(b.q) > 0 AND len(list_intersect(a.q, b.q)) >= least(2, len(a.q), len(b.q)) AS quoted,
- len(list_intersect(a.tt, b.tt)) >= 2 AND len(list_intersect(a.tt, b.tt)) / least(len(a.tt), len(b.tt)) >= 0.74 AS titles FROM s a JOIN s b ON a.doc_id < b.doc_id),
- m AS (SELECT x, y, loose, titled, quoted, least(len(a.st), len(b.st)) AS low, len(list_intersect(a.st, b.st)) AS n, a.f AS f, b.f AS g FROM c JOIN s a ON a.doc_id = x JOIN s b ON b.doc_id = y WHERE loose OR titled OR quoted OR titles),
- e AS (SELECT x, y FROM m WHERE loose OR (quoted AND NOT titled) OR low < 2 OR n >= least(4, low) OR n >= 0.75 * low OR (f <> '' AND g <> '' AND (contains(f, g) OR contains(g, f)))),
- z AS (SELECT x, y FROM e UNION ALL SELECT y, x FROM e), r AS (SELECT doc_id AS id, doc_id AS g FROM s UNION SELECT z.y, r.g FROM r JOIN z ON z.x = r.id)
+ c AS (SELECT a.doc_id AS x, b.doc_id AS y, a.tk <> '' AND a.sk <> '' AND a.tk = b.tk AND a.sk = b.sk AS loose, a.tk <> '' AND a.tk = b.tk AS titled,
+ len(a.q) > 0 AND len(b.q) > 0 AND len(list_intersect(a.q, b.q)) >= least(2, len(a.q), len(b.q)) AS quoted,
+ len(list_intersect(a.tt, b.tt)) >= 2 AND len(list_intersect(a.tt, b.tt)) / least(len(a.tt), len(b.tt)) >= 0.74 AS titles FROM s a
+ JOIN s b ON a.doc_id < b.doc_id),
+ m AS (SELECT x, y, loose, titled, quoted, least(len(a.st), len(b.st)) AS low, len(list_intersect(a.st, b.st)) AS n, a.f AS f, b.f AS g FROM c
+ JOIN s a ON a.doc_id = x JOIN s b ON b.doc_id = y WHERE loose OR titled OR quoted OR titles),
+ e AS (SELECT x, y FROM m WHERE loose OR (quoted AND NOT titled) OR low < 2 OR n >= least(4,
+ low) OR n >= 0.75 * low OR (f <> '' AND g <> '' AND (contains(f, g) OR contains(g, f)))),
+ z AS (SELECT x, y FROM e UNION ALL SELECT y, x FROM e), r AS (SELECT doc_id AS id, doc_id AS g FROM s UNION SELECT z.y, r.g FROM r
+ JOIN z ON z.x = r.id)
  SELECT id AS doc_id, min(g) AS group_id FROM r GROUP BY 1"""
 
 
@@ -196,8 +217,11 @@ def _as_items(spark, d):
                                  F.array("lang").alias("categories"), F.array("source_id").alias("source_ids"), F.array(F.concat(F.lit("The "), F.col("source_id"))).alias("source_names"), (i % 100).cast("double").alias("score"), F.lit(None).cast("double").alias("base_score"), at.alias("seen_at"), F.timestamp_add("DAY", (i % 7).cast("int"), at).alias("updated_at"))
 
 
-@query("signatures", f"""WITH {_signed_sql()}, b AS (SELECT s.doc_id, tk, sk, list_sort(CASE WHEN len(q) > 0 THEN q WHEN len(tt) > 0 THEN tt WHEN coalesce(text, '') <> '' THEN own WHEN length(CAST(s.doc_id AS VARCHAR)) >= 3 THEN [CAST(s.doc_id AS VARCHAR)] ELSE [] END)[1:7] AS body FROM s JOIN documents USING (doc_id))
- SELECT doc_id, tk AS title_key, CASE WHEN tk <> '' AND sk <> '' THEN 'loose:2014-01-01:' || tk || ':' || sk ELSE '' END AS loose_signature, '2014-01-01:' || array_to_string(body, '-') AS fingerprint FROM b""")
+@query("signatures", f"""WITH {_signed_sql()}, b AS (SELECT s.doc_id, tk, sk, list_sort(CASE WHEN len(q) > 0 THEN q WHEN len(tt) > 0 THEN tt
+ WHEN coalesce(text, '') <> '' THEN own WHEN length(CAST(s.doc_id AS VARCHAR)) >= 3 THEN [CAST(s.doc_id AS VARCHAR)] ELSE [] END)[1:7] AS body FROM s
+ JOIN documents USING (doc_id))
+ SELECT doc_id, tk AS title_key, CASE WHEN tk <> '' AND sk <> '' THEN 'loose:2014-01-01:' || tk || ':' || sk ELSE '' END AS loose_signature,
+ '2014-01-01:' || array_to_string(body, '-') AS fingerprint FROM b""")
 def signatures(spark, d):
     return D.with_signatures(_as_items(spark, d), "UTC").select(F.col("id").alias("doc_id"), "title_key", "loose_signature", "fingerprint")
 
@@ -219,10 +243,13 @@ def collapse_events(spark, d):
     return c.select("id", "title", F.sha2(F.coalesce("summary", F.lit("")), 256).alias("summary_sha256"), "url", "source_name", F.array_join("categories", ",").alias("categories"), "group_size", "source_count", F.array_join(F.transform("sources", lambda x: x.id), ",").alias("sources"), "priority_score")
 
 
-@query("fold_events", """WITH RECURSIVE o AS (SELECT o_orderkey AS id, year(o_orderdate) AS y, o_orderkey * 7919 % 600 AS v, row_number() OVER (PARTITION BY year(o_orderdate) ORDER BY o_orderkey) AS n FROM orders),
+@query("fold_events", """WITH RECURSIVE o AS (SELECT o_orderkey AS id, year(o_orderdate) AS y, o_orderkey * 7919 % 600 AS v,
+ row_number() OVER (PARTITION BY year(o_orderdate) ORDER BY o_orderkey) AS n FROM orders),
  s AS (SELECT DISTINCT y, CAST(0 AS BIGINT) AS n, CAST([] AS BIGINT[]) AS heads, CAST([] AS BIGINT[]) AS held, CAST(NULL AS BIGINT) AS root FROM o
-  UNION ALL SELECT y, n, CASE WHEN hit IS NULL THEN list_append(heads, id) ELSE heads END, CASE WHEN hit IS NULL THEN list_append(held, v) ELSE held END, CASE WHEN hit IS NULL THEN id ELSE heads[hit] END
-  FROM (SELECT o.y, o.n, o.id, o.v, heads, held, nullif(list_position(list_transform(held, lambda h: abs(h - o.v) <= 1), true), 0) AS hit FROM s JOIN o ON o.y = s.y AND o.n = s.n + 1))
+  UNION ALL SELECT y, n, CASE WHEN hit IS NULL THEN list_append(heads, id) ELSE heads END, CASE
+ WHEN hit IS NULL THEN list_append(held, v) ELSE held END, CASE WHEN hit IS NULL THEN id ELSE heads[hit] END
+  FROM (SELECT o.y, o.n, o.id, o.v, heads, held, nullif(list_position(list_transform(held, lambda h: abs(h - o.v) <= 1), true), 0) AS hit FROM s
+ JOIN o ON o.y = s.y AND o.n = s.n + 1))
  SELECT root AS id, count(*) AS group_size FROM s WHERE root IS NOT NULL GROUP BY root""")
 def fold_events(spark, d):
     """Orders as items of one date a year, whose titles of four words share three with the next ones: a row joins the first group it matches."""
@@ -238,7 +265,9 @@ def fold_events(spark, d):
     return D.collapse(items, "UTC", mode="fold").select("id", "group_size")
 
 
-@query("import_batch", """WITH b AS (SELECT o_orderkey AS id, o_orderdate AS t, o_orderpriority AS type, 0 AS fresh FROM orders WHERE o_orderpriority <> '1-URGENT' AND o_orderkey % 3 > 0 UNION ALL SELECT o_orderkey, o_orderdate, '1-URGENT', 1 FROM orders WHERE o_orderkey % 3 = 0)
+@query("import_batch", """WITH b AS (SELECT o_orderkey AS id, o_orderdate AS t, o_orderpriority AS type, 0 AS fresh FROM orders
+ WHERE o_orderpriority <> '1-URGENT' AND o_orderkey % 3 > 0 UNION ALL SELECT o_orderkey, o_orderdate, '1-URGENT', 1 FROM orders
+ WHERE o_orderkey % 3 = 0)
  SELECT min(id) AS id, count(*) AS group_size FROM b WHERE type <> '5-LOW' GROUP BY t, id % 50""")
 def import_batch(spark, d):
     """Orders of one day and title as one event; a batch replaces its own type."""
@@ -272,24 +301,30 @@ def canonical_url(spark, d):
     return table(spark, d, "pages").select("page_id", keys.canonical_url(F.col("url")).alias("url_key"))
 
 
-@query("url_dedupe", r"SELECT page_id FROM pages QUALIFY row_number() OVER (PARTITION BY lower(regexp_replace(regexp_replace(trim(url), '[?#].*$', ''), '/+$', '')) ORDER BY page_id) = 1")
+@query("url_dedupe", r"""SELECT page_id FROM pages QUALIFY row_number() OVER (PARTITION BY lower(regexp_replace(regexp_replace(trim(url), '[?#].*$',
+ ''), '/+$', '')) ORDER BY page_id) = 1""")
 def url_dedupe(spark, d):
     return D.dedupe_urls(table(spark, d, "pages").select("page_id", "url"), order="page_id").select("page_id")
 
 
-@query("private_hosts", r"SELECT page_id FROM pages WHERE NOT regexp_full_match(lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]+)', 1)), '(localhost|.*\.local|.*\.internal|127\..*|10\..*|192\.168\..*|169\.254\..*|172\.(1[6-9]|2[0-9]|3[01])\..*|0\.0\.0\.0)')")
+@query("private_hosts", r"""SELECT page_id FROM pages WHERE NOT regexp_full_match(lower(regexp_extract(url,
+ '^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]+)', 1)), '(localhost|.*\.local|.*\.internal|127\..*|10\..*|192\.168\..*|169\.254\..*|172\.(1[6-9]|2[0-9]|3[01])\..*|0\.0\.0\.0)')""")
 def private_hosts(spark, d):
     return P.drop_private_hosts(table(spark, d, "pages"), F.col("url")).select("page_id")
 
 
-@query("page_links", r"""WITH h AS (SELECT page_id, regexp_extract(url, '^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]+)', 1) AS origin, regexp_extract_all(html, '(?i)<a\s[^>]*?href\s*=\s*["'']([^"''#][^"'']*)["'']', 1) AS a FROM pages),
- u AS (SELECT page_id, generate_subscripts(a, 1) AS pos, origin || unnest(a) AS url FROM h), f AS (SELECT page_id, url, min(pos) AS pos FROM u GROUP BY ALL)
+@query("page_links", r"""WITH h AS (SELECT page_id, regexp_extract(url, '^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]+)', 1) AS origin, regexp_extract_all(html,
+ '(?i)<a\s[^>]*?href\s*=\s*["'']([^"''#][^"'']*)["'']', 1) AS a FROM pages),
+ u AS (SELECT page_id, generate_subscripts(a, 1) AS pos, origin || unnest(a) AS url FROM h), f AS (SELECT page_id, url, min(pos) AS pos FROM u
+ GROUP BY ALL)
  SELECT page_id, url, row_number() OVER (PARTITION BY page_id ORDER BY pos) AS ord FROM f QUALIFY ord <= 50""")
 def page_links(spark, d):
     return S.extract_links(table(spark, d, "pages"), limit=50)
 
 
-@query("page_snapshot", r"""SELECT page_id, left(trim(regexp_replace(replace(regexp_extract(html, '(?is)<title(?:\s[^>]*)?>(.*?)</title>', 1), '&amp;', '&'), '\s+', ' ', 'g')), 160) AS title, left(trim(regexp_replace(replace(regexp_extract(html, '(?is)<h1(?:\s[^>]*)?>(.*?)</h1>', 1), '&amp;', '&'), '\s+', ' ', 'g')), 160) AS h1 FROM pages""")
+@query("page_snapshot", r"""SELECT page_id, left(trim(regexp_replace(replace(regexp_extract(html, '(?is)<title(?:\s[^>]*)?>(.*?)</title>', 1),
+ '&amp;', '&'), '\s+', ' ', 'g')), 160) AS title, left(trim(regexp_replace(replace(regexp_extract(html, '(?is)<h1(?:\s[^>]*)?>(.*?)</h1>', 1),
+ '&amp;', '&'), '\s+', ' ', 'g')), 160) AS h1 FROM pages""")
 def page_snapshot(spark, d):
     return S.page_snapshots(table(spark, d, "pages")).select("page_id", "title", "h1")
 
@@ -306,7 +341,9 @@ def completeness(spark, d):
     return A.completeness(p, "section", {"has_h1": h.rlike("<h1"), "has_nav": h.rlike("<nav"), "has_image": h.rlike("<img")})
 
 
-@query("new_links", r"""WITH p AS (SELECT page_id, lower(regexp_replace(regexp_replace(trim(url), '[?#].*$', ''), '/+$', '')) AS url FROM pages), f AS (SELECT url, max(page_id % 3 = 0) AS collected, max(page_id % 7 = 0) AS pending, max(page_id % 5 = 0) AS blocked FROM p WHERE page_id % 2 = 0 GROUP BY 1)
+@query("new_links", r"""WITH p AS (SELECT page_id, lower(regexp_replace(regexp_replace(trim(url), '[?#].*$', ''), '/+$', '')) AS url
+ FROM pages), f AS (SELECT url, max(page_id % 3 = 0) AS collected, max(page_id % 7 = 0) AS pending, max(page_id % 5 = 0) AS blocked FROM p
+ WHERE page_id % 2 = 0 GROUP BY 1)
  SELECT DISTINCT p.url FROM p LEFT JOIN f USING (url) WHERE (f.url IS NULL OR NOT collected OR pending) AND NOT coalesce(blocked, false)""")
 def new_links(spark, d):
     from ..operators.joins import select_new_links
@@ -317,7 +354,8 @@ def new_links(spark, d):
     return select_new_links(p.select("source_id", "url").distinct(), f, p.select("url"), "2024-01-31 06:00:00").select("url")
 
 
-@query("parse_dates", r"""SELECT doc_id, make_timestamp(2024, CAST(1 + doc_id % 12 AS BIGINT), CAST(1 + doc_id % 28 AS BIGINT), CAST(doc_id % 24 AS BIGINT), CAST(doc_id % 60 AS BIGINT), 0) - INTERVAL 3 HOUR AS ts FROM documents""")
+@query("parse_dates", r"""SELECT doc_id, make_timestamp(2024, CAST(1 + doc_id % 12 AS BIGINT), CAST(1 + doc_id % 28 AS BIGINT),
+ CAST(doc_id % 24 AS BIGINT), CAST(doc_id % 60 AS BIGINT), 0) - INTERVAL 3 HOUR AS ts FROM documents""")
 def parse_dates(spark, d):
     from ..functions.time import parse_date
 
@@ -327,7 +365,9 @@ def parse_dates(spark, d):
     return docs(spark, d).select("doc_id", parse_date(s, "2024-01-31", "Europe/Moscow").getField("ts").alias("ts"))
 
 
-@query("haversine", "SELECT doc_id, round(2 * 6371000 * asin(least(1.0, sqrt(pow(sin(radians(n_chars % 100 / 1000.0) / 2), 2) + cos(radians(55.0)) * cos(radians(55.0 + n_chars % 100 / 1000.0)) * pow(sin(radians(doc_id % 100 / 1000.0) / 2), 2)))), 3) AS metres FROM documents")
+@query("haversine", """SELECT doc_id, round(2 * 6371000 * asin(least(1.0, sqrt(pow(sin(radians(n_chars % 100 / 1000.0) / 2),
+ 2) + cos(radians(55.0)) * cos(radians(55.0 + n_chars % 100 / 1000.0)) * pow(sin(radians(doc_id % 100 / 1000.0) / 2), 2)))), 3) AS metres
+ FROM documents""")
 def haversine(spark, d):
     from ..functions.geo import haversine_m
 

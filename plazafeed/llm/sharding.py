@@ -13,8 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Buckets that a shard's records are numbered in, and copies of a record that one row is spread out to at a time.
-BUCKETS, COPIES = 1024, 10_000
+#: Buckets that a shard's records are numbered in; copies of a record that one row is spread out to at a time; buckets of all shards that are broadcast (24 bytes each).
+BUCKETS, COPIES, BROADCAST = 1024, 10_000, 1 << 20
 
 
 def draws(keys: Sequence[str], weights: Sequence[float]) -> Column:
@@ -71,7 +71,8 @@ def placed(docs: DataFrame, shards: int = 16, buckets: int = BUCKETS) -> DataFra
     # one row a shard and bucket, however many records there are
     filled = rows.groupBy("shard", "bucket").agg(F.sum("times").alias("held"))
     first = F.sum("held").over(Window.partitionBy("shard").orderBy("bucket")) - F.col("held")
-    rows = rows.join(F.broadcast(filled.select("shard", "bucket", first.alias("first"))), ["shard", "bucket"])
+    begins = filled.select("shard", "bucket", first.alias("first"))
+    rows = rows.join(F.broadcast(begins) if shards * buckets <= BROADCAST else begins, ["shard", "bucket"])
     parts = rows.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(times - 1) div {COPIES}"))))
     parts = parts.repartition("doc_id", "size", "text_crc32", "part")
     copy = F.explode(F.sequence(F.col("part") * COPIES, F.least(F.col("times"), (F.col("part") + 1) * COPIES) - 1))

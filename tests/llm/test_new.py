@@ -201,7 +201,7 @@ def test_tables_score_exactly(dims, width, many, seed):
 # ---- sharding
 
 
-def test_slots_and_growth(spark):
+def test_slots_and_growth(spark, monkeypatch):
     rows = [(i, f"text {i}" * (i % 9), "s", 0, 0) for i in range(500)] + [(None, None, "s", 0, 0), (None, "x", "s", 0, 0), (3, "text 3" * 3, "s", 0, 0), (900, "é😀", "s", 0, 0)]
     df = spark.createDataFrame(rows, SCHEMA)
     got = sharding.placed(df, buckets=7).collect()
@@ -214,6 +214,7 @@ def test_slots_and_growth(spark):
         draw = [int(hashlib.md5(f"{'null' if r.doc_id is None else r.doc_id}:{i}".encode()).hexdigest()[:15], 16) for i in range(17)]
         assert r.shard == int(np.argmax(draw[:16])) and r.grown_shard == int(np.argmax(draw))
     assert all(sorted(s) == list(range(len(s))) for s in by.values())
+    monkeypatch.setattr(sharding, "BROADCAST", 1)
     again = sharding.placed(df.repartition(7), buckets=7).collect()
     assert Counter(map(tuple, again)) == Counter(map(tuple, got))
     assert sharding.placed(df.limit(0)).count() == 0

@@ -12,14 +12,15 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Iterator
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, stage, text_or_empty
+from .common import components, slices, stage, text_or_empty
 from .quality import _only_if_small
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -211,13 +212,34 @@ def wide_pairs(classes: DataFrame, radius: int, parts: int, least: float = 0.0)
 LEADS = 4
 
 
-def sketches(docs: DataFrame, shingle: int) -> DataFrame:
-    """``(doc_id, key, node, fp, n, leads)`` for every row: node names the sequence of words, key the text, n counts distinct shingles."""
+def _required(n: Column, similarity: float) -> Column:
+    """Shingles that a set of ``n`` has in common with any set of that similarity, at least."""
+    return F.ceil(n * F.lit(similarity) - 1e-9)
+
+
+def _head(n: int, similarity: float) -> int:
+    """Smallest hashes of a set of ``n`` that are looked up among all sets: see ``_alike``."""
+    return n - ceil(similarity * n - 1e-9) + _spare(n) if n else 0
+
+
+def _spare(n: int) -> int:
+    return max(1, n // 20)
+
+
+def sketches(docs: DataFrame, shingle: int, similarity: float = 0.8) -> DataFrame:
+    """``(doc_id, key, node, fp, n, leads, head)`` for every row.
+
+    node names the sequence of words, key the text; n counts distinct shingles; leads are
+    minima by which near copies often agree, head the smallest hashes of the set, in order.
+    A null text is empty: it has no shingles, and so no leads and no head.
+    """
     salts = np.random.Generator(np.random.PCG64(7)).integers(0, 1 << 63, LEADS, np.uint64) * np.uint64(2) + np.uint64(1)
+    names = ["doc_id", "key", "node", "fp", "n", "leads", "head"]
+    longs = pa.list_(pa.int64())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            node, fp, n, leads = [], [], [], []
+        for b in slices(batches):
+            node, fp, n, leads, head = [], [], [], [], []
             for t in b.column(2).to_pylist():
                 words = words_of(t)
                 blocks = list(shingle_hashes(words, shingle))
@@ -226,21 +248,21 @@ def sketches(docs: DataFrame, shingle: int) -> DataFrame:
                 fp.append(majority(blocks))
                 n.append(len(h))
                 leads.append([int((h * s).min().view(np.int64)) for s in salts] if len(h) else [])
-            cols = [b.column(0), b.column(1), pa.array(node, pa.int64()), pa.array(fp, pa.int64()), pa.array(n, pa.int64()), pa.array(leads, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "key", "node", "fp", "n", "leads"])
+                head.append(h[: _head(len(h), similarity)].view(np.int64))
+            cols = [b.column(0), b.column(1), *(pa.array(c, pa.int64()) for c in (node, fp, n)), pa.array(leads, longs), pa.array(head, longs)]
+            yield pa.RecordBatch.from_arrays(cols, names=names)
 
     src = docs.select(F.col("doc_id").cast("long"), F.xxhash64(text_or_empty()).alias("key"), text_or_empty().alias("text"))
-    return src.mapInArrow(run, "doc_id long, key long, node long, fp long, n long, leads array<long>")
+    return src.mapInArrow(run, "doc_id long, key long, node long, fp long, n long, leads array<long>, head array<long>")
 
 
 def _word_key(words: list[bytes]) -> int:
     return int.from_bytes(xxhash.xxh64_digest(b" ".join(words), 1), "big", signed=True)
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """The ``pairs`` of nodes whose sets of shingles have a Jaccard similarity of ``similarity`` at least, from the texts."""
-    used = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    keys = stage(classes.select("node", "key").join(used, "node", "left_semi").select("key"), "simhash-used")
+def _sets(nodes: DataFrame, classes: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
+    """Staged ``(node, s)``: the hashes of the distinct shingles of the classes in ``nodes``, from the texts."""
+    keys = stage(classes.select("node", "key").join(nodes, "node", "left_semi").select("key"), "simhash-used")
     texts = docs.select(F.xxhash64(text_or_empty()).alias("key"), text_or_empty().alias("text")).join(_only_if_small(keys), "key", "left_semi")
 
     def out(keys: list[int], sets: list[np.ndarray]) -> pa.RecordBatch:
@@ -259,38 +281,95 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, shingle: in
                     keys, sets, size = [], [], 0
             yield out(keys, sets)
 
-    sets = stage(texts.groupBy("key").agg(F.first("text").alias("text")).select("text").mapInArrow(run, "node long, s array<long>"), "simhash-sets")
+    return stage(texts.groupBy("key").agg(F.first("text").alias("text")).select("text").mapInArrow(run, "node long, s array<long>"), "simhash-sets")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The ``pairs`` of nodes whose sets of shingles have a Jaccard similarity of ``similarity`` at least."""
     j = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("y")), "b")
     both = F.size(F.array_intersect("x", "y"))
     return j.where((1 + similarity) * both >= similarity * (F.size("x") + F.size("y")) - 1e-9).select("a", "b")
 
 
+def _nodes_of(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+
+
+def _alike(named: DataFrame, similarity: float) -> DataFrame:
+    """``(node)`` of the rows of ``named(node, root, n, head)`` that may be similar to one of another root; no other can be.
+
+    Two similar sets have ``similarity * n`` shingles in common, for the larger n. So of
+    their common shingles the l smallest lie among the first n - similarity * n + l of
+    each: the heads of both hold the same l, where l is the spare of the smaller set, whose
+    size is at least ``similarity * n``. A node with fewer shingles in heads of other roots is out.
+    """
+    t = named.select("node", "root", "n", F.explode("head").alias("h"))
+    shared = t.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("h")
+    spare = F.greatest(F.lit(1), F.floor(_required(F.col("n"), similarity) / 20))
+    return t.join(shared, "h").groupBy("node", "n").agg(F.count("*").alias("m")).where(F.col("m") >= spare).select("node")
+
+
+def set_pairs(sets: DataFrame, similarity: float) -> DataFrame:
+    """Candidates ``(a, b)`` among ``sets(node, root, s)``: every pair of that similarity whose roots differ, and few others.
+
+    Prefix filter: shingles are ordered by the number of sets that hold them (those of one
+    root only come first, and meet nothing), then by hash. Two similar sets have their first
+    common shingle among the first n - similarity * n + 1 of each; sizes and the places of
+    that shingle must leave room for the rest. Sets without shingles meet nothing.
+    """
+    all_ = sets.select("node", "root", F.size("s").alias("n"), F.explode("s").alias("h"))
+    counts = all_.groupBy("h").agg(F.count("*").alias("f"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("h", "f")
+    of_node = Window.partitionBy("node")
+    ranked = all_.join(counts, "h").select("node", "root", "n", "h", F.row_number().over(of_node.orderBy("f", "h")).alias("r"), F.count("*").over(of_node).alias("m"))
+    k = ranked.select("node", "root", "n", "h", (F.col("n") - F.col("m") + F.col("r") - 1).alias("at")).where(F.col("at") <= F.col("n") - _required(F.col("n"), similarity))
+    k = stage(k, "simhash-prefixes")
+    x, y = (k.select("h", *[F.col(c).alias(f"{c}_{side}") for c in ("node", "root", "n", "at")]) for side in "ab")
+    room = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b")) * (1 + similarity) >= similarity * (F.col("n_a") + F.col("n_b")) - 1e-9
+    met = x.join(y, "h").where((F.col("node_a") < F.col("node_b")) & (F.col("root_a") != F.col("root_b")) & room)
+    return met.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+
+
 def similar_links(docs: DataFrame, shingle: int, radius: int, parts: int, similarity: float) -> tuple[DataFrame, DataFrame]:
-    """``classes(node, low, ...)`` of equal word sequences, and links between those that are similar.
+    """``classes(node, low, ...)`` of equal word sequences, and links that connect all those that are similar.
 
     Classes with an equal smallest hash are first verified against the smallest class of
-    that hash: a crowd of near copies is joined by as many links as it has members. All
-    pairs of classes within the radius that this has not joined are then verified.
+    that hash: a crowd of near copies is joined by as many links as it has members. Then
+    pairs within ``radius`` bits that this has not joined are found by covering masks, and
+    verified. Similar texts that differ in more bits come from an exact set join, over the
+    texts that can have a partner outside their group at all.
     """
-    rows = stage(sketches(docs, shingle), "simhash-sketches")
-    classes = stage(rows.groupBy("node").agg(_least(F.struct("doc_id", "key"), "doc_id").alias("low"), F.min("key").alias("key"), F.min("fp").alias("fp"), F.min("n").alias("n"), F.min("leads").alias("leads")), "simhash-classes")
+    rows = stage(sketches(docs, shingle, similarity), "simhash-sketches")
+    first = {c: F.min(c).alias(c) for c in ("key", "fp", "n", "leads", "head")}
+    classes = stage(rows.groupBy("node").agg(_least(F.struct("doc_id", "key"), "doc_id").alias("low"), *first.values()), "simhash-classes")
     leads = classes.select("node", "fp", "n", F.posexplode("leads").alias("k", "lead"))
     least = leads.groupBy("k", "lead").agg(F.min(F.struct("node", "fp", "n")).alias("o"), F.count("*").alias("m")).where("m > 1")
-    close = (F.bit_count(F.col("fp").bitwiseXOR(F.col("o.fp"))) <= radius) & (F.least("n", "o.n") >= similarity * F.greatest("n", "o.n") - 1e-9)
+    close = F.least("n", "o.n") >= similarity * F.greatest("n", "o.n") - 1e-9
     stars = leads.join(least, ["k", "lead"]).where((F.col("node") != F.col("o.node")) & close).select(F.col("o.node").alias("a"), F.col("node").alias("b")).distinct()
-    links = stage(_verified(stage(stars, "simhash-stars"), classes, docs, shingle, similarity), "simhash-links")
-    named = classes.join(components(links), "node", "left").select("node", "fp", "n", F.coalesce("root", "node").alias("root"))
-    pairs = stage(wide_pairs(named.where("n > 0"), radius, parts, similarity), "simhash-pairs")
-    return classes, links.union(_verified(pairs, classes, docs, shingle, similarity))
+
+    def confirmed(pairs: DataFrame, name: str) -> DataFrame:
+        pairs = stage(pairs, f"simhash-{name}")
+        return stage(_verified(pairs, _sets(_nodes_of(pairs), classes, docs, shingle), similarity), "simhash-links")
+
+    def grouped(links: DataFrame, *columns: str) -> DataFrame:
+        return classes.join(components(links), "node", "left").select("node", *columns, F.coalesce("root", "node").alias("root")).where("n > 0")
+
+    links = confirmed(stars, "stars")
+    links = links.union(confirmed(wide_pairs(grouped(links, "fp", "n"), radius, parts, similarity), "pairs"))
+    rest = stage(_alike(stage(grouped(links, "n", "head"), "simhash-heads"), similarity), "simhash-alike")
+    sets = _sets(rest, classes, docs, shingle)
+    roots = components(links)
+    of_root = sets.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "s")
+    return classes, links.union(stage(_verified(stage(set_pairs(of_root, similarity), "simhash-rest"), sets, similarity), "simhash-links"))
 
 
-def keep_one_similar(docs: DataFrame, shingle: int = 5, radius: int = 14, parts: int = 3, similarity: float = 0.8) -> DataFrame:
+def keep_one_similar(docs: DataFrame, shingle: int = 5, radius: int = 5, parts: int = 1, similarity: float = 0.8) -> DataFrame:
     """The rows of ``docs`` whose doc_id (of equal ones, whose text's hash) is the smallest of their group: one document of each stays.
 
-    Rows of one id and different texts are different documents; a row that came twice is one, and comes twice. Groups connect texts with equal words, and texts at most ``radius`` bits apart whose
-    sets of word shingles have a Jaccard similarity of ``similarity`` or more. No pair
-    within the radius is lost; a pair beyond it is. Texts without words are one group. A
-    row without doc_id stays only if its whole group has none.
+    Rows of one id and different texts are different documents; a row that came twice is one, and comes twice. Groups connect texts with equal words, and texts whose
+    sets of word shingles have a Jaccard similarity of ``similarity`` or more; no such pair
+    is lost. ``radius`` and ``parts`` say which of them the fingerprints find, not which
+    are found. Texts without words are one group. A row without doc_id stays only if its
+    whole group has none.
     """
     classes, links = similar_links(docs, shingle, radius, parts, similarity)
     named = classes.join(components(links), "node", "left")

@@ -153,7 +153,8 @@ def part_masks(radius: int, parts: int) -> np.ndarray:
 
 def _bucket_of(t: np.ndarray, key: np.ndarray) -> np.ndarray:
     """One long for a table and a masked fingerprint; two buckets that collide only add comparisons."""
-    x = (key + t * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xBF58476D1CE4E5B9)
+    with np.errstate(over="ignore"):  # a scalar that wraps around warns, an array does not
+        x = (key + t * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
     return (x ^ (x >> np.uint64(32))).view(np.int64)
 

@@ -251,13 +251,14 @@ def personalize(plan: DataFrame, prefs: DataFrame) -> DataFrame:
 
     ``plan(day, pos, item, tags)``, ``prefs(user_id, pace, tag, weight)``. The plan is one
     week's, and is refused beyond ``PLAN_SLOTS`` rows: every user gets all of it to rank.
+    Preferences stay where they are: a tag that most users have is no key of a shuffle.
     """
     if plan.limit(PLAN_SLOTS + 1).count() > PLAN_SLOTS:
         raise ValueError(f"a plan has at most {PLAN_SLOTS} slots")
     pace = F.coalesce(F.try_element_at(F.create_map(*map(F.lit, chain.from_iterable(PACE.items()))), F.col("pace")), F.lit(3))
     users = prefs.groupBy("user_id").agg(F.max("pace").alias("pace"))
     tagged = plan.select("day", "pos", "item", F.explode_outer("tags").alias("tag"))
-    hits = tagged.join(prefs.select("user_id", "tag", "weight"), "tag").groupBy("user_id", "day", "pos", "item").agg(F.sum("weight").alias("score"))
+    hits = prefs.select("user_id", "tag", "weight").join(F.broadcast(tagged), "tag").groupBy("user_id", "day", "pos", "item").agg(F.sum("weight").alias("score"))
     every = users.crossJoin(F.broadcast(plan.select("day", "pos", "item")))  # its size was checked above
     j = every.join(hits, ["user_id", "day", "pos", "item"], "left").withColumn("score", F.coalesce("score", F.lit(0)))
     w = Window.partitionBy("user_id", "day").orderBy(F.desc("score"), "pos")

@@ -146,19 +146,23 @@ def event_log(spark, d):
 @query("listing_ingest", f"""SELECT url, CASE WHEN n % 8 = 0 THEN title || ' again' ELSE title END AS title, venue
  FROM (SELECT *, CAST(substr(url, 11) AS BIGINT) AS n FROM ({_LD_SQL}))""")
 def listing_ingest(spark, d):
-    """Pages landed in four files, and every eighth again with another name: read as a stream of micro-batches, extracted, published by batch; the latest of each url."""
+    """Pages landed in four loads and ingested, every eighth landed again with another name and ingested in a second run: micro-batches, extracted, published by batch; the latest of each url."""
     landed, out = shared_folder(spark, "landed"), shared_folder(spark, "listings")
     pages = _ld_pages(spark, d)
     for k in range(4):
-        pages.where(F.col("page_id") % 4 == k).select("url", "html").coalesce(1).write.mode("append").parquet(landed)
+        pages.where(F.col("page_id") % 4 == k).select("url", "html").write.mode("append").parquet(landed)
     again = F.regexp_replace("html", r'"name": "(Page \d+)"', '"name": "$1 again"')
-    pages.where("page_id % 8 = 0").select("url", again.alias("html")).coalesce(1).write.mode("append").parquet(landed)
+    state = shared_folder(spark, "listings-state")
 
     def extract(batch):
         c = S.extract_page_candidates(batch)
         return c.select("url", F.get("titles", 0).alias("title"), F.get("venues", 0).alias("venue"))
 
-    stream = jobs.read_landed(spark, landed, "url string, html string", files_per_trigger=1)
-    run = jobs.ingest_listings(stream, extract, jobs.publish_batches(out), shared_folder(spark, "listings-state"))
-    run.awaitTermination()
+    def ingest():
+        stream = jobs.read_landed(spark, landed, "url string, html string", files_per_trigger=64)
+        jobs.ingest_listings(stream, extract, jobs.publish_batches(out), state).awaitTermination()
+
+    ingest()
+    pages.where("page_id % 8 = 0").select("url", again.alias("html")).write.mode("append").parquet(landed)
+    ingest()
     return jobs.latest_rows(spark, out, "url")

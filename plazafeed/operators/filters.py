@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from datetime import datetime
 from functools import reduce
@@ -25,9 +26,10 @@ def is_feed_item(with_posts: bool = False) -> Column:
 
 def rejected(c: Column, keywords: Sequence[str] = rules.BLOCKED_KEYWORDS, letters: str = rules.BLOCKED_LETTERS) -> Column:
     """Holds a blocked letter, or a blocked keyword in normalised text."""
-    plain = text.fingerprint_text(c)
     words = [w.replace("ё", "е") for w in keywords]
-    return F.coalesce(c.rlike(f"[{letters}]"), F.lit(False)) | _any([plain.contains(w) for w in words])
+    # a word of letters and digits stands in the normalised text where it stands in the lower-cased one
+    plain = F.translate(F.lower(F.coalesce(c, F.lit(""))), "ё", "е") if all(re.fullmatch("[a-zа-я0-9]+", w) for w in words) else text.fingerprint_text(c)
+    return F.coalesce(c.rlike(f"[{letters}]"), F.lit(False)) | text.let(plain, lambda x: _any([x.contains(w) for w in words]))
 
 
 def reject_content(df: DataFrame, **rule) -> DataFrame:

@@ -49,8 +49,8 @@ AT_RULE = re.compile(r"@[^{};]*(?:;|\{(?:[^{}]|\{[^{}]*\})*\})")
 RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
 SELECTOR = re.compile(r"([a-zA-Z][\w-]*|\*)?((?:[.#][\w-]+)*)")
 MARK = re.compile(r"[.#][\w-]+")
-#: Columns over which spans are kept; characters of a table's layout for each of its markup.
-COLUMNS, LAYOUT = 256, 4
+#: Columns over which spans are kept; characters of a line within which a column has a place of its own.
+COLUMNS, PLACES = 256, 256
 #: Rows that a cell without an end spans.
 ENDLESS = 1 << 30
 
@@ -113,25 +113,19 @@ class _Flow:
         return "\n".join(self.lines).strip("\n")
 
 
-def _columns(rows: list[list[tuple[int, list[str]]]], room: int) -> list[str]:
+def _columns(rows: list[list[tuple[int, list[str]]]]) -> list[str]:
     """Rows of (column, lines) as lines, every column as wide as its widest line and two blanks apart; a row is as high as its highest cell.
 
-    Where the blanks would make more than ``room`` characters, cells stand two blanks apart without columns.
+    A column that begins beyond ``PLACES`` characters has no place: its cells stand two blanks after the cell before.
     """
     widths: dict[int, int] = {}
     for r in rows:
         for c, lines in r:
             widths[c] = max(widths.get(c, 0), max(map(len, lines)))
-    start, at, blanks, size = {}, 0, 0, 0
+    start, at = {}, 0
     for c in sorted(widths):
         start[c] = 2 * c + at
         at += widths[c]
-    for r in rows:  # of each line of a row, its last cell's place and length
-        ends: dict[int, int] = {}
-        for c, lines in r:
-            for k, line in enumerate(lines):
-                ends[k] = start[c] + len(line)
-        size += sum(ends.values())
     out = []
     for r in rows:
         made: list[list[str]] = [[] for _ in range(max((len(lines) for _, lines in r), default=0))]
@@ -139,7 +133,7 @@ def _columns(rows: list[list[tuple[int, list[str]]]], room: int) -> list[str]:
         for c, lines in r:
             for k, line in enumerate(lines):
                 if line:
-                    blanks = max(0, start[c] - length[k]) if size <= room else 2 if length[k] else 0
+                    blanks = max(0, start[c] - length[k]) if start[c] <= PLACES else 2 if length[k] else 0
                     made[k] += [" " * blanks, line]
                     length[k] += blanks + len(line)
         out += ["".join(x).rstrip(" ") for x in made]
@@ -152,10 +146,10 @@ class _Table:
     Spans are kept for the first ``COLUMNS`` columns, so that a row never costs more than these beside its own cells.
     """
 
-    def __init__(self, began: int) -> None:
+    def __init__(self) -> None:
         self.rows: list[list[tuple[int, list[str]]]] = []
         self.spans: dict[int, int] = {}
-        self.span, self.column, self.began = (1, 1), 0, began
+        self.span, self.column = (1, 1), 0
 
     def row(self) -> None:
         self.rows.append([])
@@ -216,7 +210,7 @@ class Page:
         self.flows: list[_Flow] = [_Flow()]
         self.tables: list[_Table] = []
         self.lists: list[list[int] | None] = []  # of a numbered list the last number and the step
-        self.at, self.rules = 0, None
+        self.rules = None
         self.selects: list[tuple[bool, list[tuple[bool, str]]]] = []
         self.hidden = self.pre = 0
 
@@ -225,7 +219,6 @@ class Page:
         if "<style" in html or "<STYLE" in html:
             self.rules = _Rules(SHEET.findall(html))
         while at < n:
-            self.at = at
             m = TAG.search(html, at)
             self.text(html[at : m.start() if m else n])
             if m is None:
@@ -295,7 +288,7 @@ class Page:
             if visible:
                 flow.mark("  " * min(len(self.lists) - 1, 20) + (f"{count[0]}. " if count is not None else "- "))
         elif name == "table":
-            self.tables.append(_Table(self.at))
+            self.tables.append(_Table())
         elif name == "tr" and self.tables:
             self.tables[-1].row()
         elif name in ("td", "th") and self.tables:
@@ -345,7 +338,7 @@ class Page:
             flow = self.flows[-1]
             flow.block(2)
             table = self.tables.pop()
-            for line in _columns(table.rows, LAYOUT * (self.at - table.began)):
+            for line in _columns(table.rows):
                 if line:
                     flow.mark(line)
                     flow.block(1)
@@ -370,8 +363,8 @@ def extract(pages: DataFrame) -> DataFrame:
 
     Never raises on broken markup: unknown end tags are ignored, open elements are closed
     at the end, a tag that the page ends in is dropped. Repeated rows and null ids stay;
-    a page of any length is rendered whole. A table whose columns would take more than
-    ``LAYOUT`` times its markup is given without them, and spans reach over the first
+    a page of any length is rendered whole. A table's columns have places
+    within the first ``PLACES`` characters of a line, whatever the table's size, and spans reach over the first
     ``COLUMNS`` columns, so that neither text nor time grows faster than the page. Style
     sheets count with their selectors of a name, classes and ids; an ``ol`` counts down where
     it is reversed and says from where, and a ``li`` may set its number.

@@ -48,3 +48,10 @@ def test_a_wide_cell_does_not_take_the_columns_of_a_small_table():
 )
 def test_rules_and_numbers(html, text):
     assert render(html) == text
+
+
+def test_columns_do_not_depend_on_the_size_of_a_table():
+    rows = lambda n: render("<table><tr><td>" + "w" * 200 + "<td>b" + "<tr><td>a<td>b" * n + "</table>").split("\n")
+    assert rows(3000) == rows(1) + ["a" + " " * 201 + "b"] * 2999
+    wide = "<table><tr><td>" + "w" * 300 + "<td>b<tr><td>a<td>b"
+    assert render(wide + "</table>") == render(wide + "<!-- " + "x" * 2000 + " --></table>")

@@ -112,3 +112,39 @@ def test_fold_runs_over_titles_and_remembers_rows(spark, monkeypatch):
     monkeypatch.setattr(D, "connected", lambda pairs, nodes, f=D.connected: (seen.append(nodes.distinct().count()), f(pairs, nodes))[1])
     dated = spark.range(300).selectExpr("id", "'d' as date_key", "concat('k', id % 3) as title_key", "array(concat('w', id % 3), 'x', 'y') as title_tokens", "cast(array() as array<string>) as quoted")
     assert {r.root for r in D.title_parts(dated).collect()} <= {0, 1, 2} and seen == [3]
+
+
+def crowded(spark):
+    """Rows of one title, and of titles that hold its words, whose summaries are of two languages, one of them rare, and some of neither."""
+    from pyspark.sql import functions as F
+
+    said = F.when(F.col("id") % 12 == 1, F.lit("uno dos tres cuatro cinco")).otherwise("alpha bravo charlie delta echo")
+    said = F.when(F.col("id") % 40 == 7, F.concat_ws(" ", *[F.concat(F.lit(f"only{k}n"), "id") for k in range(6)])).otherwise(F.concat_ws(" ", said, F.concat(F.lit("own"), "id"), F.concat(F.lit("more"), "id")))
+    title = F.when(F.col("id") % 5 == 4, F.concat(F.lit("great red hall concert "), F.concat(F.lit("night"), F.col("id") % 7))).otherwise("great red hall concert")
+    none = lambda c: F.lit(None).cast("string").alias(c)
+    return spark.range(160).select("id", title.alias("title"), said.alias("summary"), none("venue_title"), none("url"), none("kind"), F.lit(False).alias("event_has_explicit_time"), F.lit("2014-01-01").cast("timestamp").alias("event_date"))
+
+
+@pytest.mark.parametrize("rounds, enough", [(4, 2_000_000), (2, 0)])
+def test_rows_of_a_common_title_are_not_all_compared(spark, monkeypatch, rounds, enough):
+    import itertools
+
+    from pyspark.sql import functions as F
+
+    from plazafeed.operators import dedupe as D
+
+    monkeypatch.setattr(D, "ROUNDS", rounds)
+    monkeypatch.setattr(D, "ENOUGH", enough)
+    compared = []
+    monkeypatch.setattr(D, "_matching", lambda cand, heads, f=D._matching: (compared.append(cand.distinct().count()), f(cand, heads))[1])
+    x = crowded(spark)
+    signed = D.with_signatures(x.union(x.where("id % 8 = 0").withColumn("id", F.col("id") + 1000)), "UTC").cache()
+    got = {r.node: r.root for r in D.connected(D.match_pairs(signed), signed.select("id")).collect()}
+    rows = list(signed.toPandas().itertuples())
+    root = {r.id: r.id for r in rows}
+    for a, b in itertools.combinations(rows, 2):
+        if D._same(a, b) and root[a.id] != root[b.id]:
+            low, high = sorted((root[a.id], root[b.id]))
+            root = {k: low if v == high else v for k, v in root.items()}
+    assert got == root and 3 < len(set(root.values())) < 80
+    assert enough == 0 or sum(compared) < 160 * 159 / 4
